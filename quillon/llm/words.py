@@ -111,3 +111,16 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
         for k in range(1, n):
             out = mix(out * np.uint64(0x100000001B3) + h[k : len(h) - n + 1 + k])
     return out
+
+
+_RAW_VALUE = (np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def hash_slices(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte ranges ``[start, end)`` of one buffer, case kept."""
+    with np.errstate(over="ignore"):
+        t = _tables(len(raw) + 1)
+        total = np.empty(len(raw) + 1, dtype=np.uint64)
+        total[0] = 0
+        np.cumsum(_RAW_VALUE[raw] * t.up[: len(raw)], out=total[1:])
+        return mix((total[end] - total[start]) * t.down[start])
