@@ -10,11 +10,14 @@ maxima apart, so that the values of a band are independent.
    class of any size is one node from here on.
 2. Every bucket of a band links its least class with its other classes (a star,
    not all pairs); links hold if the whole sets reach the threshold.
-3. Stars can miss a link between two other members.  So buckets that still
-   hold several components are compared in full: in blocks, by signature,
-   without pairs that are already connected; what comes near the threshold is
-   confirmed on the whole sets as well.
-4. Connected components over all links.
+3. Stars can miss a link between two other members.  In buckets that still hold
+   several components other members lead a second star, each band's own choice;
+   this joins nearly all of a large group.
+4. Buckets that then still hold several components are compared in full: in
+   blocks, by signature, without pairs that are already connected.  A pair is
+   named by the first of the buckets that it shares; what comes near the
+   threshold is confirmed on the whole sets as well.
+5. Connected components over all links.
 
 With 5 values a band and 40 bands a pair at the threshold 0.75 shares no bucket
 with a chance of 2e-5, at 0.8 of 1e-7.
@@ -42,7 +45,7 @@ PERMUTATIONS = BAND * BANDS // 2
 #: Rows of one side of a block of comparisons.
 BLOCK = 1024
 #: Standard deviations below the threshold at which a signature still counts as near.
-SIGMAS = 5
+SIGMAS = 4
 #: Members that are confirmed against one leader in one go.
 STAR_ROWS = 256
 
@@ -137,38 +140,69 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold."""
-    pairs = pairs.withColumn("part", (F.xxhash64("b") % 8192).cast("long"))
+    pairs = cut(pairs, "pairs")
     size = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR_ROWS).alias("parts"))
-    pairs = cut(pairs.join(size, "a").select("a", F.pmod("part", "parts").alias("part"), "b"), "pairs")
+    pairs = cut(pairs.join(size, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), "b"), "pairs")
     members = pairs.join(texts, pairs.b == texts.c).select("a", "part", "b", "text")
     leaders = (
         pairs.select("a", "part").distinct().join(texts, F.col("a") == texts.c)
         .select("a", "part", F.lit(None).cast("long").alias("b"), "text")
     )
     dealt = members.union(leaders).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(_confirm, "a long, b long")
+    return cut(dealt.mapInArrow(_confirm, "a long, b long"), "confirmed")
+
+
+def _least_likeness(values: int) -> float:
+    """Share of equal signature values below which a pair isn't near."""
+    share = THRESHOLD[0] / THRESHOLD[1]
+    least = share - SIGMAS * (share * (1 - share) / values) ** 0.5
+    return least + (1 - least) / 256  # values are kept as single bytes
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (a, b, sig_a, sig_b) with near signatures."""
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
+            near = (x == y).mean(axis=1) >= _least_likeness(x.shape[1])
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+
+def _second_stars(members: DataFrame, roots: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Near pairs of a leader, chosen anew in each bucket, with other components' members."""
+    m = members.join(roots, members.c == roots.node, "left").select("band", "c", F.coalesce("root", "c").alias("root"))
+    lead = m.groupBy("band").agg(
+        F.min_by(F.struct("c", "root"), F.xxhash64("c", "band")).alias("lead"), F.min("root").alias("lo"), F.max("root").alias("hi")
+    ).filter("lo <> hi")
+    pairs = m.join(lead, "band").filter("root <> lead.root").select(F.least("c", "lead.c").alias("a"), F.greatest("c", "lead.c").alias("b"))
+    pairs = cut(pairs.distinct(), "pairs")
+    x = sigs.select(F.col("c").alias("a"), F.col("sig").alias("sig_a"))
+    y = sigs.select(F.col("c").alias("b"), F.col("sig").alias("sig_b"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_alike, "a long, b long")
 
 
 def _near(pdf):
-    """Near pairs (a, b) of one block of a bucket: rows (band, x, y, side, c, root, sig)."""
+    """Near pairs (a, b) of one block of a bucket: rows (band, x, y, side, c, root, sig, bands)."""
     import pandas as pd
 
     sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(len(pdf), -1)
+    bands = np.stack(pdf["bands"].to_numpy())
     c, root, side = pdf["c"].to_numpy(), pdf["root"].to_numpy(), pdf["side"].to_numpy()
+    here = int(np.flatnonzero(bands[0] == pdf["band"].iloc[0])[0])
     alone = pdf["x"].iloc[0] == pdf["y"].iloc[0]
     first = np.flatnonzero(side == 0)
     other = first if alone else np.flatnonzero(side == 1)
-    share = THRESHOLD[0] / THRESHOLD[1]
-    least = share - SIGMAS * (share * (1 - share) / sig.shape[1]) ** 0.5
+    least = _least_likeness(sig.shape[1])
     out_a, out_b = [], []
     for i in first:
         rest = other[(root[other] != root[i]) & ((c[other] > c[i]) | (not alone))]
         if len(rest):
-            like = ((sig[rest] == sig[i]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-            for j in rest[like >= least]:
-                out_a.append(min(c[i], c[j]))
-                out_b.append(max(c[i], c[j]))
-    return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
+            rest = rest[(sig[rest] == sig[i]).mean(axis=1) >= least]
+            rest = rest[~(bands[rest, :here] == bands[i, :here]).any(axis=1)]
+            out_a.append(np.minimum(c[i], c[rest]))
+            out_b.append(np.maximum(c[i], c[rest]))
+    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
+    return pd.DataFrame({"a": a.astype(np.int64), "b": b.astype(np.int64)})
 
 
 def _remaining(members: DataFrame, roots: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -176,15 +210,15 @@ def _remaining(members: DataFrame, roots: DataFrame, sigs: DataFrame) -> DataFra
     m = members.join(roots, members.c == roots.node, "left").select("band", "c", F.coalesce("root", "c").alias("root"))
     open_ = m.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
     m = m.join(open_.select("band", F.ceil(F.col("n") / BLOCK).alias("blocks")), "band").join(sigs, "c")
+    # A row meets its own block and all others: it goes to each pair of blocks that holds its own.
     m = m.withColumn("own", F.pmod(F.xxhash64("c"), "blocks"))
-    # Block k meets blocks 0..k as (least, greatest); a row goes to each pair of blocks that holds its own.
     m = m.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     m = m.select(
-        "band", "c", "root", "sig",
+        "band", "c", "root", "sig", "bands",
         F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"),
         F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"),
     )
-    return m.groupBy("band", "x", "y").applyInPandas(_near, "a long, b long").distinct()
+    return m.groupBy("band", "x", "y").applyInPandas(_near, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -213,12 +247,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.join(members.select("c").distinct(), docs.doc_id == F.col("c")).select("c", "text")
     texts = cut(texts.dropDuplicates(["c"]), "texts")
     stars = members.filter("c <> leader").select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct()
-    links = cut(_confirmed(stars, texts), "confirmed")
-
+    links = _confirmed(stars, texts)
     roots = connected_components(links)
-    sigs = sketch.select(F.col("doc_id").alias("c"), "sig").join(members.select("c").distinct(), "c").dropDuplicates(["c"])
-    more = cut(_confirmed(_remaining(members.select("band", "c"), roots, sigs), texts), "confirmed")
-    roots = connected_components(links.union(more)) if more.take(1) else roots
+    sigs = cut(reps.select("c", "sig", "bands").join(members.select("c").distinct(), "c"), "signatures")
+    of_band = members.select("band", "c")
+    for find in (_second_stars, _remaining):
+        links = links.union(_confirmed(find(of_band, roots, sigs), texts))
+        roots = connected_components(links)
 
     comp = of_doc.join(roots, of_doc.c == roots.node, "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "c")).alias("component_id"))
     out = sketch.select("doc_id", "n_shingles").join(comp, "doc_id", "left")
