@@ -41,7 +41,9 @@ SHINGLE = 5
 THRESHOLD = (75, 100)
 BAND = 5
 BANDS = 40
-PERMUTATIONS = BAND * BANDS // 2
+#: Permutations whose values form the bands (minima and maxima), and all of them.
+BANDED = BAND * BANDS // 2
+PERMUTATIONS = 2 * BANDED
 #: Rows of one side of a block of comparisons.
 BLOCK = 1024
 #: Standard deviations below the threshold at which a signature still counts as near.
@@ -71,7 +73,8 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 def bands_of(signatures: np.ndarray) -> np.ndarray:
     """Bucket keys, one a band, of each row of signatures."""
-    v = signatures.reshape(len(signatures), BANDS, BAND).astype(np.uint64)
+    banded = np.concatenate([signatures[:, :BANDED], signatures[:, PERMUTATIONS : PERMUTATIONS + BANDED]], axis=1)
+    v = banded.reshape(len(signatures), BANDS, BAND).astype(np.uint64)
     out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), v.shape[:2]).copy()
     with np.errstate(over="ignore"):
         for k in range(BAND):
