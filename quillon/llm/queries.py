@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dup, ngram_lm, quality, tokens, warc
+from . import fingerprint, mixing, near_dup, ngram_lm, quality, tokens, warc
 
 #: The vocabulary of the token files.
 TOKENIZER = "byte_bpe_50k.json"
@@ -39,6 +39,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dup": op3_near_dup,
     "op4_warc": op4_warc,
     "op6_mixing": op6_mixing,
+    "op7_fingerprint": op7_fingerprint,
     "op8_quality": op8_quality,
     "op10_lm_scores": op10_lm_scores,
 }
