@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, mixing, near_dup, ngram_lm, quality, tokens, warc
+from . import decontaminate, fingerprint, mixing, near_dup, ngram_lm, quality, tokens, warc
 
 #: The vocabulary of the token files.
 TOKENIZER = "byte_bpe_50k.json"
@@ -49,6 +49,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold, with the passage of each."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language-model score of every document."""
     return ngram_lm.lm_scores(table(spark, sf_dir, "documents"))
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_fingerprint": op7_fingerprint,
     "op8_quality": op8_quality,
+    "op9_decontaminate": op9_decontaminate,
     "op10_lm_scores": op10_lm_scores,
 }
 ORACLE_SQL: dict[str, str] = {
