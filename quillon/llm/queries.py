@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, mixing, near_dup, ngram_lm, quality, tokens, warc
+from . import decontaminate, fingerprint, html, mixing, near_dup, ngram_lm, quality, tokens, warc
 
 #: The vocabulary of the token files.
 TOKENIZER = "byte_bpe_50k.json"
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, length and checksum of every document's ids, from the token files."""
     return tokens.token_output(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
@@ -72,6 +77,7 @@ FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_token_output": op2_token_output,
     "op3_near_dup": op3_near_dup,
     "op4_warc": op4_warc,
