@@ -230,7 +230,6 @@ def classify(blocks: list[Block]) -> None:
                 b.label = "bad"
     # Side matter is no neighbour: what stands around it is text or not by itself.
     inside = [b for b in blocks if not (b.side or b.named and b.label == "bad")]
-    first = [b.label for b in inside]
 
     def decided(labels: list[str]) -> list[str]:
         out, seen = [], ""
@@ -239,13 +238,14 @@ def classify(blocks: list[Block]) -> None:
             seen = x if x in ("good", "bad") else seen
         return out
 
-    before, after = decided(first), decided(first[::-1])[::-1]
-    for b, label, left, right in zip(inside, first, before, after, strict=True):
-        if label == "near":
-            b.label = "bad" if left == right == "bad" else "good"
-        elif label == "short":
-            good = (left, right).count("good")
-            b.label = "good" if good == 2 or good and "bad" not in (left, right) or b.article else "bad"
+    for kind in ("near", "short"):  # what nearly was decided counts as decided for the short ones
+        labels = [b.label for b in inside]
+        for b, left, right in zip(inside, decided(labels), decided(labels[::-1])[::-1], strict=True):
+            if b.label == kind == "near":
+                b.label = "bad" if left == right == "bad" else "good"
+            elif b.label == kind:
+                good = (left, right).count("good")
+                b.label = "good" if good == 2 or good and "bad" not in (left, right) or b.article else "bad"
 
 
 def main_text(page: str | None) -> str:
