@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, html, mixing, near_dup, ngram_lm, quality, tokens, warc
+from . import decontaminate, fingerprint, html, langid, mixing, near_dup, ngram_lm, quality, tokens, warc
 
 #: The vocabulary of the token files.
 TOKENIZER = "byte_bpe_50k.json"
@@ -38,6 +38,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return langid.identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     out = mixing.mix(table(spark, sf_dir, "documents"))
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_output": op2_token_output,
     "op3_near_dup": op3_near_dup,
     "op4_warc": op4_warc,
+    "op5_language": op5_language,
     "op6_mixing": op6_mixing,
     "op7_fingerprint": op7_fingerprint,
     "op8_quality": op8_quality,
