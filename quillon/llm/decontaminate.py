@@ -18,13 +18,13 @@ Items are handled in blocks of bounded size, each against all documents; only a
 block's tables are broadcast.  Documents are never shuffled.
 """
 
-from __future__ import annotations
-
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -188,6 +188,44 @@ class ItemTables:
 _LEAKS = "doc_id long, item_id long, edits int, item_words int, start long, end long"
 
 
+def _item_blocks(benchmark: DataFrame) -> Iterator[tuple["ItemTables", list[int]]]:
+    """Tables of one block of items after the other, and the items' ids."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(
+        "item_id is not null and text is not null"
+    ).distinct()
+    blocks = max(1, -(-items.count() // ITEM_BLOCK))
+    for k in range(blocks):  # a stated query set, block by block against all documents
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        rows = sorted((r["item_id"], r["text"]) for r in part.collect())
+        # Texts of a repeated item_id get numbers of their own.
+        yield ItemTables([(n, t) for n, (_, t) in enumerate(rows)]), [i for i, _ in rows]
+
+
+def _leaking(shared: Broadcast):
+    @F.pandas_udf("boolean")
+    def leaks(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tables, _ = shared.value
+        for text in parts:
+            found = {d for d, _ in tables.matches(*hash_words([(t or "").encode("utf-8", "replace") for t in text]))}
+            yield pd.Series([d in found for d in range(len(text))], dtype=bool)
+
+    return leaks
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (any columns, text among them) that leak no item.
+
+    Each row is judged in place by its text; nothing is joined or shuffled, so
+    null and repeated ids make no difference.
+    """
+    small_batches(docs.sparkSession)
+    out = docs
+    for block in _item_blocks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        out = out.filter(~_leaking(shared)(F.col("text").cast("string")))
+    return out
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, edits, item_words, start, end)`` of every leaked item of every document.
 
@@ -201,17 +239,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(
-        "item_id is not null and text is not null"
-    ).distinct()
-    blocks = max(1, -(-items.count() // ITEM_BLOCK))
     out = None
-    for k in range(blocks):  # a stated query set, block by block against all documents
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        rows = sorted((r["item_id"], r["text"]) for r in part.collect())
-        # Texts of a repeated item_id get numbers of their own.
-        tables = ItemTables([(n, t) for n, (_, t) in enumerate(rows)])
-        shared = spark.sparkContext.broadcast((tables, [i for i, _ in rows]))
+    for block in _item_blocks(benchmark):
+        shared = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             tables, names = shared.value
