@@ -1,28 +1,64 @@
-"""Corpus pipeline: the stages that turn ``documents`` into token files."""
+"""Corpus pipeline: five stages turn ``documents`` into token files.
+
+Each stage takes (spark, docs, sf_dir) and returns the rows that it keeps, with
+the columns of documents; the last one returns the table of contents of the
+token files.  Between stages the rows are written as Parquet and read again, so
+a lost executor never costs more than a part of one stage.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.llm import decontaminate, mixing, near_dup, quality, queries, tokens
+from quillon.llm.common import cut
 
-from quillon.llm import near_dup
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go whose quality score is under the bound of prediction."""
+    model = quality.fit_quality(docs, queries.table(spark, sf_dir, "labels"))
+    scored = quality.score_quality(docs, model)
+    return scored.filter(F.col("_quality") >= quality.PREDICT_AT).select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-duplicate groups: the document of the least doc_id stays."""
-    kept = near_dup.near_duplicates(docs).filter("kept")
-    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """Of near-duplicate groups the document of the least doc_id stays."""
+    gone = near_dup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(cut(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that hold a benchmark item."""
+    return decontaminate.without_leaks(docs, queries.table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in their target shares; a document taken twice is there twice."""
+    return mixing.mixed_documents(docs)
+
+
+def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of all documents; their table of contents."""
+    return tokens.token_output(docs, public_tokenizers.path(queries.TOKENIZER))
 
 
-STAGES = [("dedup", deduplicate)]
+STAGES = [
+    ("quality", quality_filter),
+    ("near_duplicates", deduplicate),
+    ("decontamination", decontaminated),
+    ("mixing", mixed),
+    ("tokens", tokenized),
+]
 
+#: SQL can express neither the trained models nor the token files.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, over the table documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages, one after the other, over the whole table documents."""
+    docs = queries.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
