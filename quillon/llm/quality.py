@@ -114,7 +114,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, hold_out: int = HOLD_OUT) ->
     drawn = marks.filter(
         " OR ".join(f"(_y = {y} AND pmod(xxhash64(doc_id), 1000003) < {min(1.0, 4 * SAMPLE_ROWS / n) * 1000003:.0f})" for y, n in count.items()) or "false"
     )
-    rows = texts.join(drawn, "doc_id").filter((F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS))
+    # About 4 * SAMPLE_ROWS ids of each class, whatever the corpus is: a bounded broadcast, no text moves.
+    rows = texts.join(F.broadcast(drawn), "doc_id").filter((F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS))
     by = {}
     for y in (0, 1):
         picked = rows.filter(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_ROWS)
