@@ -73,7 +73,7 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
     three undecided units at a time leave a null space of one dimension.
     """
     out = p.astype(float).copy()
-    scale = float(size.max()) or 1.0
+    scale = float(size.max(initial=0)) or 1.0
     u = rng.random(len(p) + 3).tolist()
     active: list[int] = []
     for i in np.flatnonzero((out > _EPS) & (out < 1 - _EPS)).tolist():
