@@ -1,10 +1,7 @@
-"""All queries of the library but those of ``quillon.llm``."""
+"""All queries of the library but those of its optional subpackage."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans.queries import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
