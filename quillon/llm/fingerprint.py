@@ -6,8 +6,8 @@ terms, sorted, are hashed once for each of several random lexicon subsets of
 different density: dense subsets tell exact copies, sparse ones still agree
 when parts of a text differ.
 
-Terms are 21-bit hashes.  The lexicon so becomes a table of one byte a slot: a
-literal of 2 MB whatever the corpus is, which each row looks up in place, so
+Terms are 21-bit hashes.  The lexicon so becomes a table of one bit a slot: a
+literal of 300 KB whatever the corpus is, which each row looks up in place, so
 that neither the lexicon nor the terms of a text are ever joined or shuffled.
 At ``LOW`` times the corpus as the least frequency of a lexicon term, rare terms
 that share a slot don't lift it into the band.
@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLOTS = 1 << 21
+#: Slots in a byte of the table: 7, so that each byte is an ASCII character.
+PACKED = 7
 #: The band: least and greatest share of the documents that hold a term.
 LOW, HIGH = 0.001, 0.1
 #: One in so many lexicon terms belongs to each subset.
@@ -35,19 +37,20 @@ def slots(text: Column) -> Column:
 
 
 def lexicon(texts: DataFrame) -> bytes:
-    """One byte a slot: 1 if it is in the band, over all rows of ``texts`` (text)."""
+    """One bit a slot: set if it is in the band, over all rows of ``texts`` (text)."""
     counted = texts.select(F.explode(F.array_distinct(slots(F.col("text")))).alias("slot")).groupBy("slot").count()
     n = texts.count()
     band = counted.filter((F.col("count") >= max(2.0, LOW * n)) & (F.col("count") <= max(2.0, HIGH * n)))
-    table = bytearray(SLOTS)
+    table = bytearray(SLOTS // PACKED + 1)
     for r in band.select("slot").collect():  # at most SLOTS numbers, whatever the corpus is
-        table[r["slot"]] = 1
+        table[r["slot"] // PACKED] |= 1 << r["slot"] % PACKED
     return bytes(table)
 
 
 def prints(text: Column, lex: Column) -> Column:
     """A hash for each lexicon subset; null where a subset has no term of the text."""
-    known = F.filter(slots(text), lambda s: F.substring(lex, s + 1, F.lit(1)) == F.lit(b"\x01"))
+    byte = lambda s: F.ascii(F.substring(lex, F.floor(s / PACKED).cast("int") + 1, F.lit(1)).cast("string"))
+    known = F.filter(slots(text), lambda s: F.getbit(byte(s), s % PACKED) == 1)
     terms = F.array_sort(F.array_distinct(known))
     subsets = F.array(*(F.struct(F.lit(i).alias("seed"), F.lit(n).alias("one_in")) for i, n in enumerate(SPARSITY)))
     chosen = F.transform(
@@ -117,6 +120,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     are alike only if they are equal.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", str(1 << 16))  # the literal would fill the plans' texts
     lex = F.lit(lexicon(docs))
     rows = docs.withColumn("h", F.xxhash64("text"))
 
