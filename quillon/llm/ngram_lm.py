@@ -39,7 +39,7 @@ _STEP = 8.0  # cells of the held-out events are 1/8 wide in natural logarithms
 
 def _planes(x: np.ndarray) -> bytes:
     """Integers with equal bytes next to each other, which compress well."""
-    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
 
 
 def _values(b: bytes, dtype: type) -> np.ndarray:
