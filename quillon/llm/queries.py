@@ -69,6 +69,31 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.lm_scores(table(spark, sf_dir, "documents"))
 
 
+# Shingle sets, all pairs that share a shingle, and everything reachable over links.
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(ws) - 3, 2)), lambda i: array_to_string(ws[i:i + 4], ' ')))) AS g
+  FROM w WHERE len(ws) > 0
+), n AS (
+  SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id
+), p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.k + y.k - c)
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (
+  SELECT doc_id, doc_id AS node FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.node = e.a
+), m AS (
+  SELECT doc_id, min(node) AS least FROM r GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(coalesce(n.k, 0) AS BIGINT) AS n_shingles, coalesce(m.least, w.doc_id) AS component_id, coalesce(m.least, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.doc_id = w.doc_id
+"""
+
 OP4_SQL = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
@@ -94,5 +119,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scores": op10_lm_scores,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_near_dup": OP3_SQL,
     "op4_warc": OP4_SQL,
 }
