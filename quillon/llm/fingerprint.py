@@ -15,6 +15,8 @@ that share a slot don't lift it into the band.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,22 +25,25 @@ SLOTS = 1 << 21
 PACKED = 7
 #: The band: least and greatest share of the documents that hold a term.
 LOW, HIGH = 0.001, 0.1
-#: One in so many lexicon terms belongs to each subset.
-SPARSITY = (1, 2, 4, 8, 16, 16, *[32] * 4, *[64] * 6, *[128] * 8, *[256] * 6, *[512] * 4)
+#: Families of lexicon subsets: (shared, own, subsets).  Bits of a term's hash
+#: decide: in each family the shared bits are 0, the own ones name the subset,
+#: so that one in 2 ** (shared + own) terms belongs to it.  Each family has bits
+#: of its own; besides these subsets there is the whole lexicon.
+FAMILIES = ((1, 0, 1), (2, 0, 1), (3, 0, 1), (3, 1, 2), (3, 2, 4), (3, 3, 6), (4, 3, 8), (5, 3, 6), (7, 2, 4))
 #: Average rows of a block in which documents meet their next one.
 BLOCK_ROWS = 4096
 MAX_CUTS = 256
 
 
 def slots(text: Column) -> Column:
-    """Slots of all terms (runs of letters and digits, lower-cased) of a text."""
-    terms = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    return F.transform(terms, lambda t: F.pmod(F.xxhash64(t), F.lit(SLOTS)).cast("int"))
+    """Slots of the distinct terms (runs of letters and digits, lower-cased) of a text."""
+    terms = F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), "")
+    return F.array_distinct(F.transform(terms, lambda t: F.pmod(F.xxhash64(t), F.lit(SLOTS)).cast("int")))
 
 
 def lexicon(texts: DataFrame) -> bytes:
     """One bit a slot: set if it is in the band, over all rows of ``texts`` (text)."""
-    counted = texts.select(F.explode(F.array_distinct(slots(F.col("text")))).alias("slot")).groupBy("slot").count()
+    counted = texts.select(F.explode(slots(F.col("text"))).alias("slot")).groupBy("slot").count()
     n = texts.count()
     band = counted.filter((F.col("count") >= max(2.0, LOW * n)) & (F.col("count") <= max(2.0, HIGH * n)))
     table = bytearray(SLOTS // PACKED + 1)
@@ -47,16 +52,39 @@ def lexicon(texts: DataFrame) -> bytes:
     return bytes(table)
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used (also inside lambdas)."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _with_bits(hashes: Column, at: int, width: int, value: int) -> Column:
+    mask = F.lit(((1 << width) - 1) << at)
+    return F.filter(hashes, lambda x: x.bitwiseAND(mask) == F.lit(value << at))
+
+
+def _split(at: int, width: int, subsets: int, hashes: Column) -> Column:
+    return F.array(*(_with_bits(hashes, at, width, k) for k in range(subsets)))
+
+
 def prints(text: Column, lex: Column) -> Column:
     """A hash for each lexicon subset; null where a subset has no term of the text."""
     byte = lambda s: F.ascii(F.substring(lex, F.floor(s / PACKED).cast("int") + 1, F.lit(1)).cast("string"))
     known = F.filter(slots(text), lambda s: F.getbit(byte(s), s % PACKED) == 1)
-    terms = F.array_sort(F.array_distinct(known))
-    subsets = F.array(*(F.struct(F.lit(i).alias("seed"), F.lit(n).alias("one_in")) for i, n in enumerate(SPARSITY)))
-    chosen = F.transform(
-        subsets, lambda u: F.filter(terms, lambda t: (u["one_in"] == 1) | (F.pmod(F.xxhash64(t, u["seed"]), u["one_in"]) == 0))
-    )
-    return F.transform(chosen, lambda c: F.when(F.size(c) > 0, F.xxhash64(c)))
+
+    def chosen(terms: Column) -> Column:
+        parts, at = [F.array(terms)], 0
+        for shared, own, subsets in FAMILIES:
+            first = _with_bits(terms, at, shared, 0)
+            at += shared
+            if own:
+                parts.append(_once(first, partial(_split, at, own, subsets)))
+            else:
+                parts.append(F.array(first))
+            at += own
+        return F.concat(*parts)
+
+    subsets = _once(F.sort_array(F.transform(known, lambda s: F.xxhash64(s))), chosen)
+    return F.transform(subsets, lambda c: F.when(F.size(c) > 0, F.xxhash64(c)))
 
 
 def likeness(a: Column, b: Column) -> Column:
