@@ -33,6 +33,8 @@ FAMILIES = ((1, 0, 1), (2, 0, 1), (3, 0, 1), (3, 1, 2), (3, 2, 4), (3, 3, 6), (4
 #: Average rows of a block in which documents meet their next one.
 BLOCK_ROWS = 4096
 MAX_CUTS = 256
+#: Blocks up to which their first ids, 8 bytes each, are broadcast.
+MOST_BROADCAST = 1_000_000
 
 
 def slots(text: Column) -> Column:
@@ -127,7 +129,9 @@ def with_next(rows: DataFrame, columns: tuple[str, ...], derive) -> DataFrame:
     heads = rows.groupBy("block").agg(F.max("doc_id").alias("head"))  # a row a block
     after = Window.orderBy(F.col("block").desc())
     order = heads.withColumn("to", F.coalesce(F.lead("block").over(after), F.max("block").over(Window.partitionBy())))
-    first = rows.join(heads.select("head").distinct(), rows.doc_id == F.col("head")).groupBy("block", "doc_id").agg(F.min_by("text", "h").alias("text"), F.min("h").alias("h"))
+    marks = heads.select("head").distinct()
+    marks = F.broadcast(marks) if blocks <= MOST_BROADCAST else marks  # so no text moves for this
+    first = rows.join(marks, rows.doc_id == F.col("head")).groupBy("block", "doc_id").agg(F.min_by("text", "h").alias("text"), F.min("h").alias("h"))
     tails = first.join(order.select(F.col("to").alias("block"), F.col("block").alias("from")), "block").select("doc_id", "text", "h", F.col("from").alias("block"))
     dealt = derive(rows.select("doc_id", "text", "h", "block")).withColumn("tail", F.lit(0)).unionByName(derive(tails).withColumn("tail", F.lit(1)))
     w = Window.partitionBy("block").orderBy("tail", F.col("doc_id").desc(), "h")
