@@ -1,24 +1,22 @@
-"""Benchmark decontamination by CGK embedding and bit-sampling LSH.
+"""Benchmark decontamination by intact runs, exact counts and edit distance.
 
 A document leaks an item if some run of its words lies within ``edits_of(n)``
-word edits of the item's n words.
-
-* Windows.  With k edits in n words some run of ceil((n - k) / (k + 1)) words of
-  the item is intact, so only where a document has such a run of some item can
-  that item be.  The run's place in the item says where a window of the item's
-  size has to start; nothing is lost by leaving out all other windows.
-* Candidates.  A CGK random walk copies a word and, by a coin that depends on
-  step and word, moves on or not: windows at a small edit distance become
-  strings at a small Hamming distance.  Samples of the positions of several
-  walks, as keys, bring window and item together.
-* Verification.  The exact edit distance of the item to the best part of the
-  document around the window decides.
+word edits of the item's n words.  Every such passage is found; each step below
+leaves out only what can't be one.
+
+* Seeds.  With k edits in n words some run of q = ceil((n - k) / (k + 1)) words
+  of the item is intact, so only around such a run can the item be.  The run's
+  place in the item bounds where the passage lies; overlapping bounds are merged.
+* Counts.  k edits break at most k * q of the item's n - q + 1 runs, and leave
+  n - k of its words in a passage of n + k words at most.  Places with fewer
+  runs or words are left out.
+* Verification.  The exact edit distance of the item to the best part of what
+  is left decides.
 
 Items are handled in blocks of bounded size, each against all documents; only a
 block's tables are broadcast.  Documents are never shuffled.
 """
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +33,12 @@ from .words import grams, hash_words, mix, word_spans
 EDIT_SHARE = 0.2
 #: Items of fewer words are ordinary language and are left out.
 MIN_WORDS = 5
+#: Walks of an embedding.
 WALKS = 16
-SAMPLES = 8
-SAMPLE_SIZE = 3
-#: Items of a block: its tables take about 1 KB an item and sample.
+#: Items of a block: its tables take about 50 bytes a word.
 ITEM_BLOCK = 2000
-#: Windows that are embedded at a time.
-WINDOW_BLOCK = 4096
+#: Seeds that are spread out at a time.
+SEED_BLOCK = 1 << 20
 
 _BLANK = np.uint64(0)
 
@@ -58,7 +55,10 @@ def run_of(n: int) -> int:
 
 
 def cgk(words: np.ndarray) -> np.ndarray:
-    """CGK embeddings of rows of equally many words: (rows, WALKS, 3 * words)."""
+    """CGK embeddings of rows of equally many words: (rows, WALKS, 3 * words).
+
+    The search doesn't use them: a fixed number of walks misses long items.
+    """
     rows, n = words.shape
     padded = np.concatenate([words, np.full((rows, 1), _BLANK)], axis=1)
     at = np.zeros((rows, WALKS), dtype=np.int64)
@@ -74,21 +74,6 @@ def cgk(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def lsh_keys(embedded: np.ndarray) -> np.ndarray:
-    """Bucket keys of embeddings, (rows, WALKS * SAMPLES); sizes don't mix."""
-    rows, walks, length = embedded.shape
-    rng = np.random.default_rng(length)
-    # The last third is mostly padding; it tells nothing.
-    places = np.sort(rng.integers(0, max(1, length * 5 // 9), (walks, SAMPLES, SAMPLE_SIZE)), axis=2)
-    picked = embedded[:, np.arange(walks)[:, None, None], places]
-    out = np.arange(walks * SAMPLES, dtype=np.uint64).reshape(walks, SAMPLES) + np.uint64(length << 20)
-    out = np.broadcast_to(out, picked.shape[:3])
-    with np.errstate(over="ignore"):
-        for k in range(SAMPLE_SIZE):
-            out = mix(out * np.uint64(0x100000001B3) + picked[..., k])
-    return out.reshape(rows, -1)
-
-
 def best_part(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     """Least edit distance of ``item`` to any part of ``words``, and that part's bounds."""
     m = len(words)
@@ -109,40 +94,55 @@ def best_part(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(start[end]), end
 
 
+def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Indices of the ranges ``lo .. lo + n``, one after the other."""
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def merged(pair: np.ndarray, lo: np.ndarray, hi: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Unions of a pair's overlapping ranges, with the sums of their counts."""
+    if not len(pair):
+        return pair, lo, hi, count
+    order = np.lexsort((lo, pair))
+    pair, lo, hi, count = pair[order], lo[order], hi[order], count[order]
+    new = np.diff(pair, prepend=-1) != 0
+    shift = np.cumsum(new) * (int(hi.max()) + 1)  # ranges of another pair never reach over
+    reach = np.maximum.accumulate(hi + shift)
+    new[1:] |= lo[1:] + shift[1:] >= reach[:-1]
+    at = np.flatnonzero(new)
+    return pair[at], lo[at], np.maximum.reduceat(hi, at), np.add.reduceat(count, at)
+
+
 class ItemTables:
     """What a block of items is looked up by."""
 
     def __init__(self, items: list[tuple[int, str]]):
         words = {i: hash_words([t.encode("utf-8", "replace")])[0] for i, t in items}
         self.words = {i: w for i, w in words.items() if len(w) >= MIN_WORDS}
-        runs: dict[int, dict[int, set[tuple[int, int]]]] = defaultdict(lambda: defaultdict(set))
-        by_size: dict[int, list[int]] = defaultdict(list)
-        for i, w in self.words.items():
-            q = run_of(len(w))
-            for at, g in enumerate(grams(w, q).tolist()):
-                runs[q][g].add((len(w), at))
-            by_size[len(w)].append(i)
-        #: Run length -> (runs ascending, their (item size, place in the item)).
+        self.ids = list(self.words)
+        self.size = np.array([len(w) for w in self.words.values()], dtype=np.int64)
+        self.edits = np.array([edits_of(len(w)) for w in self.words.values()], dtype=np.int64)
+        q = np.array([run_of(len(w)) for w in self.words.values()], dtype=np.int64)
+        #: Runs that every passage within the edits shares with the item.
+        self.least = np.maximum(1, self.size - q + 1 - self.edits * q)
+        self.distinct = [np.unique(w) for w in self.words.values()]
+        #: Run length -> (runs ascending, where each one's places begin, items, places in the item).
         self.runs = {}
-        for q, found in runs.items():
-            keys = np.array(sorted(found), dtype=np.uint64)
-            self.runs[q] = (keys, [sorted(found[k]) for k in keys.tolist()])
-        self.buckets: dict[int, list[int]] = defaultdict(list)
-        for ids in by_size.values():
-            keys = lsh_keys(cgk(np.stack([self.words[i] for i in ids])))
-            for i, row in zip(ids, keys.tolist(), strict=True):
-                for k in row:
-                    self.buckets[k].append(i)
-        self.buckets = dict(self.buckets)
-
-    def windows(self, h: np.ndarray, off: np.ndarray) -> dict[int, set[tuple[int, int]]]:
-        """Item size -> (document, first word) of the windows that may hold an item."""
-        out: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        for q, (keys, places) in self.runs.items():
-            if len(h) < q or not len(keys):
+        for k in sorted(set(q.tolist())):
+            own = [(n, grams(self.words[self.ids[n]], k)) for n in np.flatnonzero(q == k).tolist()]
+            found = np.concatenate([g for _, g in own])
+            item = np.concatenate([np.full(len(g), n) for n, g in own])
+            place = np.concatenate([np.arange(len(g)) for _, g in own])
+            order = np.argsort(found, kind="stable")
+            keys, first = np.unique(found[order], return_index=True)
+            self.runs[k] = (keys, np.append(first, len(found)), item[order], place[order])
+
+    def seeds(self, h: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(document * items + item, first word, end word) of the bounds around each intact run, in slices."""
+        for q, (keys, first, item, place) in self.runs.items():
+            if len(h) < q:
                 continue
-            with np.errstate(over="ignore"):
-                g = grams(h, q)
+            g = grams(h, q)
             bits = np.zeros(1 << 16, dtype=bool)
             bits[keys & np.uint64(0xFFFF)] = True
             hit = np.flatnonzero(bits[g & np.uint64(0xFFFF)])
@@ -151,36 +151,49 @@ class ItemTables:
             hit, at = hit[same], at[same]
             doc = np.searchsorted(off, hit, side="right") - 1
             inside = hit + q <= off[doc + 1]
-            for p, k, d in zip(hit[inside].tolist(), at[inside].tolist(), doc[inside].tolist(), strict=True):
-                for size, place in places[k]:
-                    last = int(off[d + 1]) - size
-                    out[size].add((d, max(int(off[d]), min(p - place, last))))
-        return out
-
-    def candidates(self, h: np.ndarray, off: np.ndarray) -> set[tuple[int, int, int]]:
-        """(document, first word, item) of windows that share a bucket with an item."""
-        out = set()
-        for size, places in self.windows(h, off).items():
-            ordered = sorted(places)
-            for i in range(0, len(ordered), WINDOW_BLOCK):
-                part = ordered[i : i + WINDOW_BLOCK]
-                index = np.array([p for _, p in part])[:, None] + np.arange(size)
-                ends = off[np.array([d for d, _ in part]) + 1][:, None]
-                window = np.where(index < ends, h[np.minimum(index, len(h) - 1)], _BLANK)
-                for (d, p), keys in zip(part, lsh_keys(cgk(window)).tolist(), strict=True):
-                    out.update((d, p, item) for k in keys for item in self.buckets.get(k, ()))
-        return out
+            hit, at, doc = hit[inside], at[inside], doc[inside]
+            n = first[at + 1] - first[at]
+            total = np.cumsum(n)
+            a = 0
+            while a < len(n):
+                b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + SEED_BLOCK, side="right")))
+                k = _ranges(first[at[a:b]], n[a:b])
+                i, d = item[k], np.repeat(doc[a:b], n[a:b])
+                begin = np.repeat(hit[a:b], n[a:b]) - place[k]
+                lo = np.maximum(off[d], begin - self.edits[i])
+                hi = np.minimum(off[d + 1], begin + self.size[i] + self.edits[i])
+                yield d * len(self.ids) + i, lo, hi
+                a = b
+
+    def parts(self, h: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document, number of the item, first word, end word) of all parts with enough runs and words of an item."""
+        none = np.empty(0, dtype=np.int64)
+        pair, lo, hi, count = none, none, none, none
+        for p, a, b in self.seeds(h, off):
+            new = merged(p, a, b, np.ones(len(p), dtype=np.int64))
+            pair, lo, hi, count = merged(*(np.concatenate(x) for x in zip((pair, lo, hi, count), new, strict=True)))
+        if not len(pair):
+            return
+        enough = count >= self.least[pair % len(self.ids)]
+        for p, a, b in zip(pair[enough].tolist(), lo[enough].tolist(), hi[enough].tolist(), strict=True):
+            d, i = divmod(p, len(self.ids))
+            n, k = int(self.size[i]), int(self.edits[i])
+            words = self.distinct[i]
+            at = np.minimum(np.searchsorted(words, h[a:b]), len(words) - 1)
+            shared = np.concatenate([[0], np.cumsum(words[at] == h[a:b])])
+            wide = min(n + k, b - a)
+            full = np.flatnonzero(shared[wide:] - shared[: len(shared) - wide] >= n - k)
+            if len(full):
+                yield d, i, a + int(full[0]), a + int(full[-1]) + wide
 
     def matches(self, h: np.ndarray, off: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
         """(document, item) -> (edits, first word, end word) of the best passage within the edits."""
         out: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for d, p, item in self.candidates(h, off):
-            w = self.words[item]
-            k = edits_of(len(w))
-            lo, hi = max(int(off[d]), p - 2 * k), min(int(off[d + 1]), p + len(w) + 2 * k)
-            edits, a, b = best_part(w, h[lo:hi])
+        for d, i, lo, hi in self.parts(h, off):
+            item = self.ids[i]
+            edits, a, b = best_part(self.words[item], h[lo:hi])
             found = (edits, lo + a - int(off[d]), lo + b - int(off[d]))
-            if edits <= k and ((d, item) not in out or found < out[d, item]):
+            if edits <= self.edits[i] and ((d, item) not in out or found < out[d, item]):
                 out[d, item] = found
         return out
 

@@ -121,3 +121,26 @@ def test_best_part_is_the_edit_distance():
         h, off = hash_words([" ".join(item).encode(), " ".join(doc).encode()])
         edits, a, b = D.best_part(h[: off[1]], h[off[1] :])
         assert edits == best(item, doc) == best(item, doc[a:b])
+
+
+@pytest.mark.parametrize("n", [100, 200, 300])
+def test_long_items_with_words_left_out(n):
+    rng = random.Random(n)
+    for trial in range(12):
+        item = rng.choices(WORDS, k=n)
+        k = D.edits_of(n) - (trial % 3 == 2)
+        kept = sorted(rng.sample(range(n), n - k))
+        doc = rng.choices(WORDS, k=50) + [item[i] for i in kept] + rng.choices(WORDS, k=rng.randint(0, 50))
+        found = D.ItemTables([(7, " ".join(item))]).matches(*hash_words([b"other words", " ".join(doc).encode()]))
+        assert [(key, v[0]) for key, v in found.items()] == [((1, 7), best(item, doc))]
+
+
+@pytest.mark.parametrize("seeds", [1 << 20, 5])
+def test_every_leak_is_found_where_words_repeat(monkeypatch, seeds):
+    monkeypatch.setattr(D, "SEED_BLOCK", seeds)
+    rng = random.Random(seeds)
+    few = WORDS[:4]
+    items = [(i, " ".join(rng.choices(few, k=rng.randint(5, 40)))) for i in range(8)]
+    docs = [(d, " ".join(rng.choices(few, k=rng.randint(0, 80)))) for d in range(30)]
+    found = D.ItemTables(items).matches(*hash_words([t.encode() for _, t in docs]))
+    assert {key: v[0] for key, v in found.items()} == brute_force(docs, items)
