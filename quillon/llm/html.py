@@ -66,7 +66,8 @@ _SCOPES = frozenset("article aside body dialog div dl footer form header html li
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|textarea|template|svg|iframe|object|canvas|math|video|audio|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(?:svg|math)(?=[\s/>])[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*(?<=/)>"  # self-closed: empty
+    r"|<(script|style|noscript|textarea|template|svg|iframe|object|canvas|math|video|audio|xmp)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)",

@@ -85,3 +85,15 @@ def test_the_table_holds_articles_and_nothing_else(spark):
         total += 1
         good += r.text == "\n".join(x for x in parts if x)
     assert total and good == total
+
+
+@pytest.mark.parametrize(
+    "between",
+    [
+        "<svg/>", "<svg class='i' />", '<svg viewBox="0 0 1 1" aria-label="a > b"/>', "<MATH />", "<svg/><svg><text>in a picture</text></svg>",
+        "<svg-icon></svg-icon>", "<svg-icon name='x'/>", "<video-player src='a'></video-player>", "<template-x></template-x>", "<math-field></math-field>",
+        "<svg width='1'><path d='M0 0'/><text>in a picture</text></svg>", "<script src='a'></script>",
+    ],
+)
+def test_text_after_empty_and_custom_elements(between):
+    assert html.main_text(page(f"<article><p>{P1}</p>{between}<p>{P2}</p></article>")).split("\n") == [P1, P2]
