@@ -9,7 +9,9 @@ place in the whole sequence.
 Encoding goes through the tokenizers library.  A space before a character that
 isn't white space always begins a new piece of the byte-level pre-tokenizer, so
 a text can be encoded slice by slice at such spaces with the same ids; each
-distinct slice of a worker is encoded once.
+distinct slice of a worker is encoded once.  An added token such as
+<|endoftext|> ends a piece wherever it stands, so a text that holds one is
+encoded whole.
 """
 
 from __future__ import annotations
@@ -54,7 +56,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(tokenizer_json)
-        self._tokenizer.encode_special_tokens = True
+        self._added = [t.content.encode() for t in self._tokenizer.get_added_tokens_decoder().values()]
         vocab = self._tokenizer.get_vocab()
         self._bytes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for token, i in vocab.items():
@@ -101,6 +103,11 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text, without an end id."""
+        whole = [any(a in t for a in self._added) for t in texts]
+        sliced = iter(self._by_slices([t for t, w in zip(texts, whole, strict=True) if not w]))
+        return [self._ids(t.decode("utf-8")) if w else next(sliced) for t, w in zip(texts, whole, strict=True)]
+
+    def _by_slices(self, texts: list[bytes]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         i = 0
         while i < len(texts):

@@ -41,6 +41,14 @@ def test_slices_encode_like_whole_texts(plain, encoder, texts):
     assert [x.tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_added_tokens_in_texts_encode_like_the_library(plain, encoder):
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f" {end}", f"a  {end}  b", f"x\n {end}\n y", f"{end}{end}", f"a{end}b <|endoftext| >", "no token", f"é {end} 漢", ""]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in encoder.encode([t.encode() for t in texts])] == want
+    assert 50256 in want[0]
+
+
 def test_real_texts_encode_like_the_library(spark, plain, encoder):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
     assert [x.tolist() for x in encoder.encode([t.encode() for t in texts])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
