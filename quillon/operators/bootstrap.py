@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -52,12 +53,28 @@ def exact_intervals(df: DataFrame, group: str, value: str, order: list[str], sam
 
 
 def native_draw(round_: Column, position: Column, n: Column, seed: int) -> Column:
-    """A place in 0..n-1 for each round and position, by whole-number arithmetic."""
+    """A place in 0..n-1 for each round and position, by whole-number arithmetic.
+
+    This is one linear map of round and position, so rounds are shifts of one
+    lattice and no independent resamples: intervals from it can be far too wide
+    or too narrow.  It stays for the query whose SQL shares it.
+    """
     mixed = (round_ * _A + position * _B + F.lit(seed) * _C) % _M
     return ((mixed * 48_271) % _M * 16_807 % _M) % n
 
 
-def native_intervals(df: DataFrame, group: str, value: str, order: list[str], samples: int = 200, seed: int = 72) -> DataFrame:
+def hashed_draw(group: Column, round_: Column, position: Column, n: Column, seed: int) -> Column:
+    """A place in 0..n-1 for each group, round and position, by 60 bits of an MD5 digest."""
+    digest = F.md5(F.concat_ws("|", F.lit(seed).cast("string"), group.cast("string"), round_.cast("string"), position.cast("string")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % n
+
+
+def hashed_intervals(df: DataFrame, group: str, value: str, order: list[str], samples: int = 1000, seed: int = 72) -> DataFrame:
+    """``(group, n, mean, low, high)`` in DataFrame functions, by independent draws."""
+    return native_intervals(df, group, value, order, samples, seed, lambda *a: hashed_draw(F.col(group), *a))
+
+
+def native_intervals(df: DataFrame, group: str, value: str, order: list[str], samples: int = 200, seed: int = 72, draw: Callable[..., Column] = native_draw) -> DataFrame:
     """``(group, n, mean, low, high)`` in DataFrame functions.
 
     Values are numbered within their group; each round joins its draws back to
@@ -70,7 +87,7 @@ def native_intervals(df: DataFrame, group: str, value: str, order: list[str], sa
     n = F.count("*").over(Window.partitionBy(group))
     v = df.select(group, F.col(value).alias("_v"), place.cast("long").alias("_i"), n.alias("_n"))
     rounds = v.select(group, "_i", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long"))).alias("_b"))
-    drawn = rounds.select(group, "_b", native_draw(F.col("_b"), F.col("_i"), F.col("_n"), seed).alias("_i"))
+    drawn = rounds.select(group, "_b", draw(F.col("_b"), F.col("_i"), F.col("_n"), seed).alias("_i"))
     means = drawn.join(v.select(group, "_i", "_v"), [group, "_i"]).groupBy(group, "_b").agg(F.avg("_v").alias("_m"))
     low, high = interval_indices(samples)
     bounds = means.groupBy(group).agg(F.array_sort(F.collect_list("_m")).alias("_s"))  # ``samples`` numbers a group

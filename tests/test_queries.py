@@ -61,6 +61,19 @@ def test_exact_bootstrap_matches_its_definition(spark):
     assert (got.low, got.high) == pytest.approx((means[2], means[97]))
 
 
+def test_hashed_bootstrap_has_the_width_of_independent_resamples(spark):
+    rng = random.Random(3)
+    rows = [(f"m{n}", i, rng.gauss(0, 1)) for n in (400, 1000, 3000) for i in range(n)]
+    df = spark.createDataFrame(rows, "mode string, record_id long, diff double")
+    for r in bootstrap.hashed_intervals(df, "mode", "diff", ["record_id"]).collect():
+        values = [v for m, _, v in rows if m == r.mode]
+        mean = sum(values) / r.n
+        error = (sum((v - mean) ** 2 for v in values) / r.n / r.n) ** 0.5
+        assert r.mean == pytest.approx(mean)
+        assert (r.high - r.low) / (2 * 1.96 * error) == pytest.approx(1, abs=0.12)
+        assert abs((r.high + r.low) / 2 - mean) < 0.3 * error
+
+
 def test_both_index_rules():
     assert bootstrap.interval_indices(1000) == (25, 975)
     assert bootstrap.interval_indices(1000, closed=True) == (24, 974)
