@@ -9,7 +9,8 @@ place in the whole sequence.
 Encoding goes through the tokenizers library.  A space before a character that
 isn't white space always begins a new piece of the byte-level pre-tokenizer, so
 a text can be encoded slice by slice at such spaces with the same ids; each
-distinct slice of a worker is encoded once.  An added token such as
+distinct slice of a worker is encoded once; slices are looked up by hash, and
+their bytes are compared.  An added token such as
 <|endoftext|> ends a piece wherever it stands, so a text that holds one is
 encoded whole.
 """
@@ -36,6 +37,8 @@ FRAME_IDS = 1 << 16
 CACHE_SLICES = 3_000_000
 #: Bytes of text that are encoded at a time.
 CHUNK_BYTES = 1 << 21
+#: Bytes of text of an average shard, if that makes more shards than there are shuffle partitions.
+SHARD_BYTES = 1 << 27
 
 #: A space starts no slice before these bytes: ASCII white space and the lead
 #: bytes of other Unicode white space.
@@ -49,6 +52,19 @@ def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(lo - before, n) + np.arange(n.sum())
 
 
+def _appended(pool: np.ndarray, used: int, new: np.ndarray) -> np.ndarray:
+    """``pool`` with ``new`` from place ``used`` on, in a larger array if need be."""
+    while used + len(new) > len(pool):
+        pool = np.concatenate([pool, np.empty_like(pool)])
+    pool[used : used + len(new)] = new
+    return pool
+
+
+def _same(a: np.ndarray, a_lo: np.ndarray, a_n: np.ndarray, b: np.ndarray, b_lo: np.ndarray, b_n: np.ndarray) -> bool:
+    """Whether the ranges of ``a`` hold the same bytes as those of ``b``."""
+    return np.array_equal(a_n, b_n) and np.array_equal(a[_ranges(a_lo, a_n)], b[_ranges(b_lo, b_n)])
+
+
 class Encoder:
     """Ids of many texts at a time, equal to the tokenizer's own."""
 
@@ -69,6 +85,10 @@ class Encoder:
         self._n = np.empty(0, dtype=np.int64)
         self._pool = np.empty(1 << 20, dtype=np.uint32)
         self._used = 0
+        self._text_lo = np.empty(0, dtype=np.int64)
+        self._text_n = np.empty(0, dtype=np.int64)
+        self._text = np.empty(1 << 20, dtype=np.uint8)  # the slices' bytes
+        self._text_used = 0
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
@@ -90,15 +110,17 @@ class Encoder:
             parts.append(ids)
             counts.append([len(ids)])
         ids, n = np.concatenate(parts), np.concatenate(counts).astype(np.int64)
-        while self._used + len(ids) > len(self._pool):
-            self._pool = np.concatenate([self._pool, np.empty_like(self._pool)])
-        self._pool[self._used : self._used + len(ids)] = ids
-        start = self._used + np.cumsum(n) - n
+        self._pool, start = _appended(self._pool, self._used, ids), self._used + np.cumsum(n) - n
         self._used += len(ids)
         back = np.argsort(order)
         at = np.searchsorted(self._keys, keys)
         self._lo = np.insert(self._lo, at, start[back])
         self._n = np.insert(self._n, at, n[back])
+        size = hi - lo
+        self._text = _appended(self._text, self._text_used, raw[_ranges(lo, size)])
+        self._text_lo = np.insert(self._text_lo, at, self._text_used + np.cumsum(size) - size)
+        self._text_n = np.insert(self._text_n, at, size)
+        self._text_used += int(size.sum())
         self._keys = np.insert(self._keys, at, keys)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -131,10 +153,17 @@ class Encoder:
         cut[-1] = False
         begin = np.flatnonzero(cut)
         end = np.append(begin[1:], len(raw))
+        size = end - begin
         keys, first, inverse = np.unique(hash_slices(raw, begin, end), return_index=True, return_inverse=True)
         at = np.searchsorted(self._keys, keys)
         new = at == len(self._keys)
         new[~new] = self._keys[at[~new]] != keys[~new]
+        old, place = first[~new], at[~new]
+        if not (
+            _same(raw, begin[first][inverse], size[first][inverse], raw, begin, size)
+            and _same(self._text, self._text_lo[place], self._text_n[place], raw, begin[old], size[old])
+        ):
+            return [self._ids(t.decode("utf-8")) for t in texts]  # different slices of one hash
         if len(self._keys) + new.sum() > CACHE_SLICES:
             self._forget()
             new[:] = True
@@ -185,7 +214,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, shards: int
     small_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer = spark.sparkContext.broadcast(f.read())
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if not shards:
+        size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
@@ -219,7 +251,6 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, shards: int
             out.close(seekable.join_index([np.array(c, dtype="<i8").tobytes() for c in columns]))
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(rows)]), pa.array([total])], names=["shard", "n_docs", "n_tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     written = dealt.mapInArrow(write, _WRITTEN).collect()  # a row a shard; the files are the data
     return spark.createDataFrame(sorted(written), _WRITTEN)

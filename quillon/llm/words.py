@@ -1,52 +1,28 @@
 """Vectorised words and word hashes of UTF-8 texts, used inside Spark tasks.
 
 A word is a maximal run of bytes outside space and ``\\x09-\\x0D``; A-Z are
-lower-cased first.  Hashes are 64 bits: a polynomial over the bytes modulo
-2**64, finished with an avalanche step.  They depend on nothing but the bytes.
+lower-cased first.  Hashes are 64 bits and depend on nothing but the bytes: the
+length, then eight bytes at a time, each followed by an avalanche step, so that
+no rule that holds for sums or products of bytes makes two words collide.  Where
+a result rests on equality alone, callers compare the bytes themselves.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
-_BASE = 0x9E3779B97F4A7C15 | 1
 _CHUNK = 1 << 20
+#: Longer ranges are hashed one by one.
+_LONG = 256
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-#: Folded bytes as the summands of the polynomial; never 0, so lengths count.
-_VALUE = (_FOLD.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, dtype=np.uint64)
-    out[0] = 1
-    have = 1
-    step = np.uint64(base)
-    while have < n:
-        take = min(have, n - have)
-        out[have : have + take] = out[:take] * step
-        have += take
-        step = step * step
-    return out
-
-
-class _Tables:
-    size = 0
-    up: np.ndarray
-    down: np.ndarray
-
-
-def _tables(n: int) -> _Tables:
-    if _Tables.size < n:
-        n = max(n, _CHUNK + 1)
-        with np.errstate(over="ignore"):
-            _Tables.up = _powers(_BASE, n)
-            _Tables.down = _powers(pow(_BASE, -1, 1 << 64), n)
-        _Tables.size = n
-    return _Tables
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,17 +35,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def hash_slices(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte ranges ``[start, end)`` of one buffer."""
+    size = end - start
+    with np.errstate(over="ignore"):
+        h = mix((size.astype(np.uint64) + np.uint64(1)) * _ODD)
+        padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(raw) + 1,), dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+        live, at = np.flatnonzero((size > 0) & (size <= _LONG)), 0
+        while len(live):
+            left = size[live] - at
+            h[live] = mix(h[live] * _ODD + (eight[start[live] + at] & _MASK[np.minimum(left, 8)]))
+            live, at = live[left > 8], at + 8
+    for i in np.flatnonzero(size > _LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]].tobytes())
+    return h
+
+
 def _hash_chunk(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the words of one buffer."""
     space = _IS_SPACE[raw]
     edge = np.diff(space.view(np.int8), prepend=np.int8(1), append=np.int8(1))
     start = np.flatnonzero(edge == -1)
     end = np.flatnonzero(edge == 1)
-    t = _tables(len(raw) + 1)
-    total = np.empty(len(raw) + 1, dtype=np.uint64)
-    total[0] = 0
-    np.cumsum(_VALUE[raw] * t.up[: len(raw)], out=total[1:])
-    return start, end, mix((total[end] - total[start]) * t.down[start])
+    return start, end, hash_slices(_FOLD[raw], start, end)
 
 
 def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -77,19 +66,18 @@ def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     hashes: list[np.ndarray] = []
     counts = np.zeros(len(texts) + 1, dtype=np.int64)
     i = 0
-    with np.errstate(over="ignore"):
-        while i < len(texts):
-            j, size = i, 0
-            while j < len(texts) and (j == i or size + len(texts[j]) < _CHUNK):
-                size += len(texts[j]) + 1
-                j += 1
-            raw = np.frombuffer(b" ".join(texts[i:j]), dtype=np.uint8)
-            if len(raw):
-                start, _, h = _hash_chunk(raw)
-                ends = np.cumsum([len(x) + 1 for x in texts[i:j]])
-                counts[i + 1 : j + 1] = np.diff(np.searchsorted(start, ends), prepend=0)
-                hashes.append(h)
-            i = j
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j]) < _CHUNK):
+            size += len(texts[j]) + 1
+            j += 1
+        raw = np.frombuffer(b" ".join(texts[i:j]), dtype=np.uint8)
+        if len(raw):
+            start, _, h = _hash_chunk(raw)
+            ends = np.cumsum([len(x) + 1 for x in texts[i:j]])
+            counts[i + 1 : j + 1] = np.diff(np.searchsorted(start, ends), prepend=0)
+            hashes.append(h)
+        i = j
     return (np.concatenate(hashes) if hashes else np.empty(0, np.uint64)), np.cumsum(counts)
 
 
@@ -97,8 +85,7 @@ def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts, byte ends and hashes of the words of one text."""
     if not text:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    with np.errstate(over="ignore"):
-        return _hash_chunk(np.frombuffer(text, dtype=np.uint8))
+    return _hash_chunk(np.frombuffer(text, dtype=np.uint8))
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
@@ -112,15 +99,3 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
             out = mix(out * np.uint64(0x100000001B3) + h[k : len(h) - n + 1 + k])
     return out
 
-
-_RAW_VALUE = (np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-
-
-def hash_slices(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the byte ranges ``[start, end)`` of one buffer, case kept."""
-    with np.errstate(over="ignore"):
-        t = _tables(len(raw) + 1)
-        total = np.empty(len(raw) + 1, dtype=np.uint64)
-        total[0] = 0
-        np.cumsum(_RAW_VALUE[raw] * t.up[: len(raw)], out=total[1:])
-        return mix((total[end] - total[start]) * t.down[start])

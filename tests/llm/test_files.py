@@ -54,6 +54,31 @@ def test_real_texts_encode_like_the_library(spark, plain, encoder):
     assert [x.tolist() for x in encoder.encode([t.encode() for t in texts])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def thue_morse(n: int, first: int = 0) -> str:
+    return "".join("ab"[(i.bit_count() + first) % 2] for i in range(n))
+
+
+def test_complementary_words_encode_apart(plain, encoder):
+    """Words that hashes by polynomials modulo a power of 2 can't tell apart."""
+    texts = [f"x {thue_morse(n, k)} y" for n in (256, 1024, 2048, 4096) for k in (0, 1)]
+    for batch in (texts, texts[::-1], [" ".join(texts)]):
+        assert [x.tolist() for x in encoder.encode([t.encode() for t in batch])] == [plain.encode(t, add_special_tokens=False).ids for t in batch]
+
+
+def test_slices_of_one_hash_are_told_apart_by_their_bytes(plain, monkeypatch):
+    with open(PATH, encoding="utf-8") as f:
+        blind = tokens.Encoder(f.read())
+    monkeypatch.setattr(tokens, "hash_slices", lambda raw, lo, hi: np.array([3, 5], dtype=np.uint64)[(hi - lo) % 2])
+    for t in ("a house", "a mouse", "a house a mouse", "some other words stand here", ""):
+        assert blind.encode([t.encode()])[0].tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+def test_shards_follow_the_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokens, "SHARD_BYTES", 1000)
+    docs = spark.createDataFrame([(i, "word " * 40) for i in range(60)], "doc_id long, text string")
+    assert tokens.write_tokens(docs, str(tmp_path), PATH).count() > 8
+
+
 def test_a_full_cache_starts_anew(plain, monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_SLICES", 20)
     with open(PATH, encoding="utf-8") as f:
