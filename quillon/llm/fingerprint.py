@@ -6,11 +6,13 @@ terms, sorted, are hashed once for each of several random lexicon subsets of
 different density: dense subsets tell exact copies, sparse ones still agree
 when parts of a text differ.
 
-Terms are 21-bit hashes.  The lexicon so becomes a table of one bit a slot: a
-literal of 300 KB whatever the corpus is, which each row looks up in place, so
-that neither the lexicon nor the terms of a text are ever joined or shuffled.
-At ``LOW`` times the corpus as the least frequency of a lexicon term, rare terms
-that share a slot don't lift it into the band.
+Terms are 18-bit hashes.  The lexicon so becomes a table of one bit a slot: one
+value of 37 KB whatever the corpus is, a scalar subquery that each row looks up
+in place, so that neither the lexicon nor the terms of a text are ever joined or
+shuffled, and no plan holds it as a literal.  At ``LOW`` times the corpus as the
+least frequency of a lexicon term, rare terms that share a slot don't lift it
+into the band: were even a tenth of 200 terms a document rare, a slot would get
+a share of 20 / 2**18 of the documents, far less than ``LOW``.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLOTS = 1 << 21
+SLOTS = 1 << 18
 #: Slots in a byte of the table: 7, so that each byte is an ASCII character.
 PACKED = 7
 #: The band: least and greatest share of the documents that hold a term.
@@ -32,7 +34,8 @@ LOW, HIGH = 0.001, 0.1
 FAMILIES = ((1, 0, 1), (2, 0, 1), (3, 0, 1), (3, 1, 2), (3, 2, 4), (3, 3, 6), (4, 3, 8), (5, 3, 6), (7, 2, 4))
 #: Average rows of a block in which documents meet their next one.
 BLOCK_ROWS = 4096
-MAX_CUTS = 256
+#: Quantiles of doc_id, a power of 2, between which blocks are cut evenly.
+MAX_CUTS = 4096
 #: Blocks up to which their first ids, 8 bytes each, are broadcast.
 MOST_BROADCAST = 1_000_000
 
@@ -103,6 +106,19 @@ def fingerprint(hashes: Column, text: Column) -> Column:
     return F.when(some, F.array_join(parts, "")).otherwise(F.concat(F.lit("sha256:"), F.sha2(text, 256)))
 
 
+def _block(edges: Column, at: Column, each: int) -> Column:
+    """Number of the block of an id: the last edge not above it, by halving; ``each`` even parts up to the next edge."""
+    steps = F.array(*(F.lit(MAX_CUTS >> k) for k in range(MAX_CUTS.bit_length())))
+    further = lambda i, k: F.when((i + k <= F.size(edges)) & (F.element_at(edges, F.least(i + k, F.size(edges))) <= at), i + k).otherwise(i)
+
+    def inside(i: Column) -> Column:
+        low, high = F.element_at(edges, i), F.coalesce(F.get(edges, i), F.element_at(edges, -1) + 1)
+        part = F.floor((at - low) * each / F.greatest(high - low, F.lit(1)))
+        return i.cast("long") * each + F.least(F.greatest(part, F.lit(0)), F.lit(each - 1))
+
+    return _once(F.greatest(F.aggregate(steps, F.lit(0), further), F.lit(1)), inside)
+
+
 def with_next(rows: DataFrame, columns: tuple[str, ...], derive) -> DataFrame:
     """``rows`` with ``next_<c>`` of the row with the next smaller doc_id, the first after the last.
 
@@ -118,14 +134,10 @@ def with_next(rows: DataFrame, columns: tuple[str, ...], derive) -> DataFrame:
     if edges:
         edges = sorted({int(e) for e in edges})
         each = -(-blocks // cuts)
-        lo = F.array(*map(F.lit, edges))
-        at = F.greatest(F.size(F.filter(lo, lambda e: e <= F.col("doc_id"))), F.lit(1))
-        low, high = F.element_at(lo, at), F.coalesce(F.get(lo, at), F.element_at(lo, -1) + 1)
-        part = F.floor((F.col("doc_id") - low) * each / F.greatest(high - low, F.lit(1)))
-        block = at.cast("long") * each + F.least(F.greatest(part, F.lit(0)), F.lit(each - 1))
+        table = rows.sparkSession.createDataFrame([(edges,)], "e array<long>").scalar()
+        rows = rows.withColumn("edges", table).withColumn("block", _block(F.col("edges"), F.col("doc_id"), each)).drop("edges")
     else:
-        block = F.lit(0).cast("long")
-    rows = rows.withColumn("block", block)
+        rows = rows.withColumn("block", F.lit(0).cast("long"))
     heads = rows.groupBy("block").agg(F.max("doc_id").alias("head"))  # a row a block
     after = Window.orderBy(F.col("block").desc())
     order = heads.withColumn("to", F.coalesce(F.lead("block").over(after), F.max("block").over(Window.partitionBy())))
@@ -152,12 +164,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     are alike only if they are equal.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", str(1 << 16))  # the literal would fill the plans' texts
-    lex = F.lit(lexicon(docs))
+    lex = docs.sparkSession.createDataFrame([(lexicon(docs),)], "lex binary").scalar()
+
+    def printed(df: DataFrame, column: str, text: str) -> DataFrame:
+        # Higher-order functions take no subquery, so it is a column of its own for a moment.
+        return df.withColumn("lex", lex).withColumn(column, prints(F.col(text), F.col("lex"))).drop("lex")
+
     rows = docs.withColumn("h", F.xxhash64("text"))
 
     def derive(df: DataFrame) -> DataFrame:
-        return df.withColumn("prints", prints(F.col("text"), lex))
+        return printed(df, "prints", "text")
 
     placed = with_next(rows.filter("doc_id is not null"), ("text", "prints"), derive)
     lone = derive(rows.filter("doc_id is null")).withColumns({"next_text": F.lit(None).cast("string"), "next_prints": F.lit(None).cast("array<bigint>")})
@@ -167,7 +183,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
     out = out.withColumn("n_chars", n.cast("long")).withColumn("edited", edited)
-    out = out.withColumn("edited_prints", prints(F.col("edited"), lex))
+    out = printed(out, "edited_prints", "edited")
     like = lambda a, b, equal: F.coalesce(likeness(F.col(a), F.col(b)), equal.cast("double"), F.lit(0.0))
     return out.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
