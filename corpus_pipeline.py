@@ -19,8 +19,7 @@ from quillon.llm.common import cut
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go whose quality score is under the bound of prediction."""
     model = quality.fit_quality(docs, queries.table(spark, sf_dir, "labels"))
-    scored = quality.score_quality(docs, model)
-    return scored.filter(F.col("_quality") >= quality.PREDICT_AT).select(*docs.columns)
+    return docs.filter(quality.quality_of(spark, F.col("text"), model) >= quality.PREDICT_AT)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,10 @@ the number of documents and the number of words of the source balanced: a
 vector of probabilities moves along the null space of the balancing constraints
 until a unit reaches 0 or 1.
 
+Equal rows are one unit: m of them take the whole part of m times the rate
+outright, and the rest is the unit's probability.  So no block holds more than
+one of them, however often a row is repeated.
+
 The flight phase runs in blocks of bounded size inside each source.  A block
 leaves at most as many undecided units as there are constraints; these form the
 blocks of the next round, until one block a source is left.  There a few units of
@@ -19,7 +23,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, word_count
@@ -120,7 +124,7 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _fly(seed: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "doc_id", "size"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["h", "doc_id", "size", "g"], kind="stable").reset_index(drop=True)
         rng = np.random.default_rng(_seed(seed, *key))
         size = pdf["size"].to_numpy(dtype=float)
         p = pdf["p"].to_numpy(dtype=float).copy()
@@ -132,12 +136,12 @@ def _fly(seed: int):
             p[fly] = flight(p[fly], size[fly], rng)
             p = land(p, size)
         pdf["p"] = p
-        return pdf[["doc_id", "source", "size", "h", "whole", "p"]]
+        return pdf[["doc_id", "source", "size", "h", "g", "m", "whole", "p"]]
 
     return run
 
 
-_UNIT = "doc_id long, source string, size long, h long, whole long, p double"
+_UNIT = "doc_id long, source string, size long, h long, g long, m long, whole long, p double"
 
 
 def _round(units: DataFrame, seed: int) -> DataFrame:
@@ -149,9 +153,10 @@ def _round(units: DataFrame, seed: int) -> DataFrame:
 
 
 def copies(units: DataFrame, seed: int = SEED) -> DataFrame:
-    """``units`` (doc_id, source, size, h, rate) with the whole number of copies of each row."""
-    whole = F.floor(F.col("rate") + _EPS).cast("long")
-    units = units.select("doc_id", "source", "size", "h", whole.alias("whole"), F.greatest(F.col("rate") - whole, F.lit(0.0)).alias("p"))
+    """``units`` (doc_id, source, size, h, g, m, rate) with the whole number of copies of all ``m`` rows of a unit."""
+    expected = F.col("m") * F.col("rate")
+    whole = F.floor(expected + _EPS).cast("long")
+    units = units.select("doc_id", "source", "size", "h", "g", "m", whole.alias("whole"), F.greatest(expected - whole, F.lit(0.0)).alias("p"))
     certain = units.filter(F.col("p") <= _EPS).withColumn("p", F.lit(0.0))
     done, open_ = [certain], units.filter(F.col("p") > _EPS)
     undecided = (F.col("p") > 0) & (F.col("p") < 1)
@@ -165,7 +170,27 @@ def copies(units: DataFrame, seed: int = SEED) -> DataFrame:
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select("doc_id", "source", "size", "h", (F.col("whole") + F.round("p").cast("long")).alias("copies"))
+    return out.select("doc_id", "source", "size", "h", "g", "m", (F.col("whole") + F.round("p").cast("long")).alias("copies"))
+
+
+def _plan(rows: DataFrame) -> DataFrame:
+    """``(doc_id, source, size, h, g, m, source_size, target, copies)`` of each group of equal rows (doc_id, source, size, h, g)."""
+    units = cut(rows.groupBy("doc_id", "source", "size", "h", "g").agg(F.count("*").alias("m")), "sizes")
+    targets = cut(source_targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"))), "targets")
+    t = targets.withColumnRenamed("source", "_s")
+    rated = units.join(t, units.source.eqNullSafe(t._s)).drop("_s")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    chosen = copies(rated.select("doc_id", "source", "size", "h", "g", "m", rate.alias("rate")))
+    return chosen.join(t, chosen.source.eqNullSafe(t._s)).drop("_s")
+
+
+def _sized(columns: list[str]) -> list[Column]:
+    """Columns doc_id, source and size of documents, ``h`` that orders the draws, and ``g``, a hash of the given columns."""
+    return [
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        word_count(F.col("text").cast("string")).alias("size"), F.xxhash64("doc_id", "text", F.lit(SEED)).alias("h"),
+        F.xxhash64(*(F.col(f"`{c}`") for c in columns)).alias("g"),
+    ]
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -173,33 +198,29 @@ def mix(docs: DataFrame) -> DataFrame:
 
     A row's size is its number of words; a null text has none, and takes none
     whatever its copies are.  A null source is a source of its own.  Rows
-    without doc_id take part as all others.  Draws depend on doc_id, text and a
-    seed only, so reruns agree; of repeated rows, which one is taken makes no
-    difference.  Without any words all targets are 0.
+    without doc_id take part as all others.  Draws depend on doc_id, source,
+    text and a seed only, so reruns agree; of repeated rows, which one is taken
+    makes no difference.  Without any words all targets are 0.
     """
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        word_count(F.col("text").cast("string")).alias("size"), F.xxhash64("doc_id", "text", F.lit(SEED)).alias("h"),
-    )
-    rows = cut(rows, "sizes")
-    targets = cut(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
-    t = targets.withColumnRenamed("source", "_s")
-    rated = rows.join(t, rows.source.eqNullSafe(t._s)).drop("_s")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    chosen = copies(rated.select("doc_id", "source", "size", "h", rate.alias("rate")))
-    out = chosen.join(t, chosen.source.eqNullSafe(t._s)).drop("_s")
+    plan = _plan(docs.select(_sized(["doc_id", "source", "text"])))
+    each = F.floor(F.col("copies") / F.col("m")).cast("long")
+    more = F.col("copies") - each * F.col("m")  # so many of the equal rows are taken once more than the others
+    out = plan.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "m"))).withColumn("copies", each + (F.col("i") <= more).cast("long"))
     return out.select(
         "doc_id", "source", "size", "h", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"),
     )
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, each as often as it is taken."""
-    plan = mix(docs).filter("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(
-        F.sort_array(F.collect_list("copies"), asc=False).alias("_copies")  # more than one only for equal rows
-    )
-    marked = docs.withColumn("_h", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(SEED)))
-    out = marked.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (marked._h == plan._h)).drop(plan._h)
-    nth = F.row_number().over(Window.partitionBy("_id", "_h").orderBy("_id"))
-    out = out.withColumn("_n", F.get("_copies", nth - 1)).filter("_n > 0")
-    return out.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)
+    """The rows of ``docs`` that the mix takes, each as often as it is taken.
+
+    Columns beyond doc_id, source and text may have any name and stay as they
+    are.  Rows that are equal in all columns are one group: pre-aggregated to
+    one row and repeated as often as the group is taken.
+    """
+    hashed = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    marked = docs.select(*_sized(hashed), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    taken = _plan(marked.select("doc_id", "source", "size", "h", "g")).filter("copies > 0").select(F.col("doc_id").alias("id"), F.col("g").alias("g2"), "copies")
+    one = marked.groupBy("doc_id", "g").agg(F.first("row").alias("row"))
+    out = one.join(taken, one.doc_id.eqNullSafe(taken.id) & (one.g == taken.g2))
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")

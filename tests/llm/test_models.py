@@ -53,9 +53,7 @@ def test_odd_texts_and_tables(spark):
 
 
 def ppm_bits(train: list[bytes], text: bytes) -> float:
-    """Code length by the definition: escapes with exclusion, order 3 down to equal symbols."""
-    every = sorted({b for t in train for b in t.lower()} | {10})
-    alphabet = [*every, None]  # None: any byte that wasn't seen
+    """Code length by the definition: escapes with exclusion, order 3 down to 256 equal bytes."""
     counts: dict = defaultdict(Counter)
     for t in train:
         s = b"\n\n\n" + t.lower()
@@ -63,44 +61,65 @@ def ppm_bits(train: list[bytes], text: bytes) -> float:
             for k in range(4):
                 counts[s[i - k : i]][s[i]] += 1
 
-    def p(context: bytes, x, k: int) -> float:
-        if k < 0:
-            return 1 / len(alphabet)
+    def p(context: bytes) -> list[float]:
+        below = p(context[1:]) if context else [1 / 256] * 256
         c = counts.get(context, Counter())
-        below = lambda y: p(context[1:] if k else b"", y, k - 1)
         if not c:
-            return below(x)
+            return below
         n, d = sum(c.values()), len(c)
-        left = sum(below(y) for y in alphabet if y not in c)
+        left = sum(below[y] for y in range(256) if y not in c)
         escape = d / (n + d) if left > 0 else 0.0
-        return c[x] / n * (1 - escape) if x in c else escape * below(x) / left
+        return [c[x] / n * (1 - escape) if x in c else escape * below[x] / left for x in range(256)]
 
     s = b"\n\n\n" + text.lower()
-    return -sum(math.log2(p(s[i - 3 : i], s[i] if s[i] in every else None, 3)) for i in range(3, len(s)))
+    return -sum(math.log2(p(s[i - 3 : i])[s[i]]) for i in range(3, len(s)))
 
 
-def test_code_lengths_follow_the_definition():
+@pytest.mark.parametrize("chunk", [1 << 20, 7])
+@pytest.mark.parametrize("letters", ["abc d", "".join(chr(c) for c in range(0x4E00, 0x4E00 + 400)) + "ab "])
+def test_code_lengths_follow_the_definition(monkeypatch, letters, chunk):
+    """Also over a script whose characters take far more than 96 bytes, and over texts cut in pieces."""
     rng = random.Random(4)
-    train = ["".join(rng.choices("abc d", k=40)).encode() for _ in range(12)]
-    gram, n = np.unique(langid._grams(train)[0], return_counts=True)
-    model = langid.build_model({"x": (gram, n.astype(float))})
-    texts = [b"abc dd a", b"cabz Q", b"", b"bbbbbbbb", "aéb".encode()]
-    got = model.code_lengths(texts)[:, 0]
-    for t, bits in zip(texts, got, strict=True):
-        if all(b in {x for y in train for x in y} or b not in b"\n" for b in t.lower()) and t.isascii():
-            assert bits == pytest.approx(ppm_bits(train, t), rel=1e-4)
-
-
-def test_probabilities_sum_to_one_in_every_context():
+    train = ["".join(rng.choices(letters, k=60)).encode() for _ in range(12)]
+    model = langid.build_model({"x": langid.gram_counts(train)})
+    monkeypatch.setattr(langid, "CHUNK_BYTES", chunk)
+    texts = [b"abc dd a", b"cabz Q", b"", b"bbbbbbbb", "aéb一丁".encode(), train[3] + train[5]]
+    for t, bits in zip(texts, model.code_lengths(texts)[:, 0], strict=True):
+        assert bits == pytest.approx(ppm_bits(train, t), rel=1e-4)
+
+
+def test_many_bytes_are_told_apart():
+    """Languages of one script that differ in rare bytes only."""
+    rng = random.Random(2)
+    common = [chr(c) for c in range(0x4E00, 0x4F00)]
+    own = {"x": [chr(c) for c in range(0x5E00, 0x5E80)], "y": [chr(c) for c in range(0x5E80, 0x5F00)]}
+    write = lambda lang, n: "".join(rng.choice(own[lang]) if rng.random() < 0.2 else rng.choice(common) for _ in range(n)).encode()
+    model = langid.build_model({x: langid.gram_counts([write(x, 200) for _ in range(40)]) for x in own})
+    for lang in own:
+        assert (model.code_lengths([write(lang, 60) for _ in range(20)]).argmin(axis=1) == model.languages.index(lang)).all()
+
+
+def test_probabilities_sum_to_one_in_every_context(monkeypatch):
+    monkeypatch.setattr(langid, "CONTEXTS", 20)
     rng = random.Random(9)
-    grams = {}
-    for name in ("x", "y"):
-        texts = ["".join(rng.choices("abcdef ", k=60)).encode() for _ in range(10)]
-        g, n = np.unique(langid._grams(texts)[0], return_counts=True)
-        grams[name] = (g, n.astype(float))
-    model = langid.build_model(grams)
-    a = int(model.symbol.max()) + 1
-    assert np.allclose(np.exp2(-model.bits.astype(float)).reshape(-1, a, 2).sum(axis=1), 1, atol=1e-4)
+    model = langid.build_model({x: langid.gram_counts(["".join(rng.choices("abcdef ", k=60)).encode() for _ in range(10)]) for x in "xy"})
+    rest = 256 - int(model.symbol.max())
+    for tree in model.trees:
+        p = np.exp2(-tree.bits.astype(float))
+        p[:, -1] *= rest
+        assert np.allclose(p.sum(axis=1), 1, atol=1e-4) and len(p) == p.shape[1] + 40
+
+
+def test_every_prediction_is_the_shortest_code(spark):
+    """The query's rows against code lengths by the definition, on a small table."""
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choices({"x": "aab c", "y": "abbd "}[lang], k=rng.randint(1, 30))), lang) for i in range(60) for lang in ["xy"[i % 2]]]
+    out = {r.doc_id: r for r in langid.identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    train = {x: [t.encode() for i, t, lang in rows if lang == x and crc(i, 3) != 1] for x in "xy"}
+    for i, t, _ in rows:
+        bits = {x: ppm_bits(train[x], t.encode()) for x in "xy"}
+        if t.strip() and abs(bits["x"] - bits["y"]) > 1e-3:
+            assert out[i].lang_pred == min(bits, key=bits.get)
 
 
 def auc(score, label) -> float:
@@ -129,6 +148,32 @@ def test_held_out_labels_do_not_matter(spark):
     assert a == b
 
 
+def test_scores_are_those_of_the_plain_formula(spark):
+    """Every score from the model's dictionaries, block by block, with the library alone."""
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    m = quality.fit_quality(docs, labels)
+    size = {}
+    for name, content in (("good", m.good), ("bad", m.bad)):
+        c = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=False, write_dict_id=False)
+        size[name] = lambda t, c=c: sum(len(c.compress(t[i : i + 2048])) for i in range(0, len(t), 2048))
+    text = {r.doc_id: (r.text or "").encode() for r in docs.select("doc_id", "text").collect()}
+    for r in quality.quality_scores(docs, labels).collect()[:300]:
+        t = text[r.doc_id]
+        feature = (size["bad"](t) - size["good"](t) + m.mean * quality.PRIOR_BYTES) / (len(t) + quality.PRIOR_BYTES)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(m.slope * feature + m.offset))), abs=1e-9)
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    """All labelled texts are long: nothing is left out by its length."""
+    rows = [(i, ("good words here stand so " if i % 2 else "zz qq xx yy ") * 4000) for i in range(24)]
+    short = [(100, "good words here stand so " * 8), (101, "zz qq xx yy " * 8)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(24)], "doc_id long, quality int")
+    out = {r.doc_id: r.score for r in quality.quality_scores(spark.createDataFrame(rows + short, "doc_id long, text string"), labels).collect()}
+    assert out[100] > 0.5 > out[101]
+
+
 def test_quality_of_odd_rows_and_tables(spark):
     docs = "doc_id long, text string, score int"
     marks = "doc_id long, quality int"

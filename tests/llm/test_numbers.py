@@ -85,6 +85,25 @@ def test_mixed_documents_repeat_what_is_taken(spark):
     assert Counter(r.doc_id for r in got.collect()) == want
 
 
+def test_many_equal_rows_and_clashing_names(spark):
+    """Equal rows are one unit; columns with the names that the operator uses stay as they are."""
+    schema = "doc_id long, text string, source string, h int, g int, m int, row string, copies int, _n int"
+    rows = [(None, None, None, 1, 2, 3, "r", 4, 5)] * 500 + [(7, "a b c", "x", 1, 2, 3, "r", 4, 5)] * 400 + [(7, "a b c", "x", 9, 2, 3, "r", 4, 5)] * 3
+    rows += [(100 + i, "w " * (i % 50), "yz"[i % 2], i, 2, 3, "r", 4, 5) for i in range(200)]
+    docs = spark.createDataFrame(rows, schema)
+    plan = mixing.mix(docs).collect()
+    assert len(plan) == len(rows) and max(r.copies for r in plan) <= 3
+    same = [r.copies for r in plan if r.doc_id == 7]
+    assert max(same) - min(same) <= 1 and sum(r.taken for r in plan if r.source == "x") == pytest.approx(next(r.target for r in plan if r.source == "x"), rel=0.02)
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns
+    got = Counter(map(tuple, got.collect()))
+    assert got.keys() <= set(rows)
+    assert {k: sum(n for r, n in got.items() if r[:3] == k) for k in {r[:3] for r in rows}} == {
+        k: sum(r.copies for r in plan if (r.doc_id, r.source) == (k[0], k[2])) for k in {r[:3] for r in rows}
+    }
+
+
 def test_flight_keeps_both_totals_and_rates():
     rng = np.random.default_rng(4)
     size = rng.integers(1, 3000, 500).astype(float)
