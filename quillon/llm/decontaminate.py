@@ -1,23 +1,31 @@
-"""Benchmark decontamination by intact runs, exact counts and edit distance.
+"""Benchmark decontamination by CGK embedding, bit-sampling LSH and edit distance.
 
 A document leaks an item if some run of its words lies within ``edits_of(n)``
-word edits of the item's n words.  Every such passage is found; each step below
-leaves out only what can't be one.
-
-* Seeds.  With k edits in n words some run of q = ceil((n - k) / (k + 1)) words
-  of the item is intact, so only around such a run can the item be.  The run's
-  place in the item bounds where the passage lies; overlapping bounds are merged.
-* Counts.  k edits break at most k * q of the item's n - q + 1 runs, and leave
-  n - k of its words in a passage of n + k words at most.  Places with fewer
-  runs or words are left out.
-* Verification.  The exact edit distance of the item to the best part of what
-  is left decides.
+word edits of the item's n words.
+
+* Windows.  With k edits in n words some run of q = ceil((n - k) / (k + 1)) words
+  of the item is intact, so only around such a run can the item be; and k edits
+  break at most k * q of the item's runs and leave n - k of its words in a
+  passage of n + k words.  Both hold for every passage, so looking no further
+  leaves none out: each place that can hold the item gives its windows.
+* CGK.  An item is cut into parts of bounded length; of k edits some part has no
+  more than its share.  The random walk of an embedding repeats or passes each
+  word by a coin that word and step decide, so that two sequences of small edit
+  distance fall into step again: edit distance becomes Hamming distance.
+* LSH.  Windows of a part's length, one from each word on, are embedded by the
+  same walks; a few sampled places of an embedding form a key, and a place is a
+  candidate if any key of any part is equal.  How many walks a part needs for
+  the recall ``RECALL`` follows from its length and edits, by a simulation of
+  deletions, which are the hardest edits for the walk.
+* Verification.  The exact edit distance of the item to the best part of the
+  place decides.
 
 Items are handled in blocks of bounded size, each against all documents; only a
 block's tables are broadcast.  Documents are never shuffled.
 """
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -26,17 +34,26 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, word_count
 from .words import grams, hash_words, mix, word_spans
 
 #: Edits allowed, as a share of an item's words.
 EDIT_SHARE = 0.2
-#: Items of fewer words are ordinary language and are left out.
-MIN_WORDS = 5
-#: Walks of an embedding.
-WALKS = 16
-#: Items of a block: its tables take about 50 bytes a word.
-ITEM_BLOCK = 2000
+#: Share of the passages at the greatest number of edits that the search finds at least.
+RECALL = 0.999
+#: Words of an item's part; a part is shorter than twice this.
+PART = 24
+#: Places of an embedding in a key, and keys of a walk.
+SAMPLE_SIZE, SAMPLES = 2, 8
+MOST_WALKS = 64
+#: Walks that are tried before all others: enough for most passages.
+FIRST_WALKS = 2
+#: Trials of the simulation that tells the number of walks.
+TRIALS = 400
+#: Words of the items of a block: its tables take about 100 bytes a word.
+BLOCK_WORDS = 500_000
+#: Windows that are embedded at a time.
+WINDOWS = 256
 #: Seeds that are spread out at a time.
 SEED_BLOCK = 1 << 20
 
@@ -54,19 +71,16 @@ def run_of(n: int) -> int:
     return -(-(n - k) // (k + 1))
 
 
-def cgk(words: np.ndarray) -> np.ndarray:
-    """CGK embeddings of rows of equally many words: (rows, WALKS, 3 * words).
-
-    The search doesn't use them: a fixed number of walks misses long items.
-    """
+def cgk(words: np.ndarray, walks: range) -> np.ndarray:
+    """CGK embeddings of rows of equally many words: (rows, walks, 2 * words); past the end stands 0."""
     rows, n = words.shape
     padded = np.concatenate([words, np.full((rows, 1), _BLANK)], axis=1)
-    at = np.zeros((rows, WALKS), dtype=np.int64)
+    at = np.zeros((rows, len(walks)), dtype=np.int64)
     row = np.arange(rows)[:, None]
-    out = np.empty((rows, WALKS, 3 * n), dtype=np.uint64)
-    walk = np.arange(1, WALKS + 1, dtype=np.uint64)
+    out = np.empty((rows, len(walks), 2 * n), dtype=np.uint64)
+    walk = np.array(walks, dtype=np.uint64) + np.uint64(1)
     with np.errstate(over="ignore"):
-        for t in range(3 * n):
+        for t in range(2 * n):
             w = padded[row, at]
             out[:, :, t] = w
             coin = mix(w ^ mix(walk * np.uint64(0x9E3779B97F4A7C15) + np.uint64(t + 1))) >> np.uint64(63)
@@ -74,6 +88,44 @@ def cgk(words: np.ndarray) -> np.ndarray:
     return out
 
 
+def lsh_keys(words: np.ndarray, walks: range) -> np.ndarray:
+    """Bit-sampling keys of rows of equally many words: (rows, walks, SAMPLES); 0 where a sampled place is past the end."""
+    rows, n = words.shape
+    places = np.random.default_rng(n).integers(0, 2 * n, (MOST_WALKS, SAMPLES, SAMPLE_SIZE))[list(walks)]
+    seen = cgk(words, walks)[:, np.arange(len(walks))[:, None, None], places]
+    out = np.zeros(seen.shape[:3], dtype=np.uint64)  # keys are only compared place by place
+    with np.errstate(over="ignore"):
+        for k in range(SAMPLE_SIZE):
+            out = mix(out * np.uint64(0x100000001B3) + seen[..., k])
+    out[(seen == _BLANK).any(axis=-1)] = 0
+    return out
+
+
+@cache
+def walks_of(n: int) -> int:
+    """Walks after which a part of n words with its share of words left out collides with chance ``RECALL``.
+
+    A walk's chance to collide is measured over random words; walks of one pair
+    are alike in how hard it is, so the chance of no collision is averaged over
+    the trials, not its logarithm.
+    """
+    k = edits_of(n)
+    if not k:
+        return 1
+    rng = np.random.default_rng(n)
+    item = rng.integers(1, 1 << 62, (TRIALS, n)).astype(np.uint64)
+    order = np.argsort(rng.random((TRIALS, n)), axis=1)
+    keep = np.sort(order[:, k:], axis=1)
+    after = rng.integers(1, 1 << 62, (TRIALS, k)).astype(np.uint64)  # what follows the passage in the document
+    window = np.concatenate([np.take_along_axis(item, keep, axis=1), after], axis=1)
+    a, b = (lsh_keys(x, range(MOST_WALKS)) for x in (item, window))
+    hit = ((a == b) & (a != 0)).any(axis=2).mean(axis=1)
+    for w in range(1, MOST_WALKS):
+        if ((1 - np.minimum(hit, 1 - 1 / MOST_WALKS)) ** w).mean() <= 1 - RECALL:
+            return w
+    return MOST_WALKS
+
+
 def best_part(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     """Least edit distance of ``item`` to any part of ``words``, and that part's bounds."""
     m = len(words)
@@ -118,7 +170,7 @@ class ItemTables:
 
     def __init__(self, items: list[tuple[int, str]]):
         words = {i: hash_words([t.encode("utf-8", "replace")])[0] for i, t in items}
-        self.words = {i: w for i, w in words.items() if len(w) >= MIN_WORDS}
+        self.words = {i: w for i, w in words.items() if len(w)}
         self.ids = list(self.words)
         self.size = np.array([len(w) for w in self.words.values()], dtype=np.int64)
         self.edits = np.array([edits_of(len(w)) for w in self.words.values()], dtype=np.int64)
@@ -126,6 +178,8 @@ class ItemTables:
         #: Runs that every passage within the edits shares with the item.
         self.least = np.maximum(1, self.size - q + 1 - self.edits * q)
         self.distinct = [np.unique(w) for w in self.words.values()]
+        #: The parts of each item: words, walks and keys.
+        self.parts_of = [self._parts(w) for w in self.words.values()]
         #: Run length -> (runs ascending, where each one's places begin, items, places in the item).
         self.runs = {}
         for k in sorted(set(q.tolist())):
@@ -137,6 +191,28 @@ class ItemTables:
             keys, first = np.unique(found[order], return_index=True)
             self.runs[k] = (keys, np.append(first, len(found)), item[order], place[order])
 
+    @staticmethod
+    def _parts(words: np.ndarray) -> list[tuple[int, range, np.ndarray]]:
+        """(words, walks, keys) of each part, for its first walks, then for all others."""
+        out = []
+        parts = np.array_split(words, max(1, len(words) // PART))
+        for first in (True, False):
+            for part in parts:
+                walks = range(FIRST_WALKS) if first else range(FIRST_WALKS, max(FIRST_WALKS, walks_of(len(part))))
+                if walks:
+                    out.append((len(part), walks, lsh_keys(part[None, :], walks)))
+        return out
+
+    def collides(self, i: int, words: np.ndarray) -> bool:
+        """Whether a window of these words shares an LSH key with a part of item number ``i``."""
+        for n, walks, keys in self.parts_of[i]:
+            padded = np.concatenate([words, np.zeros(n - 1, dtype=np.uint64)])
+            windows = np.lib.stride_tricks.sliding_window_view(padded, n)
+            for k in range(0, len(windows), WINDOWS):
+                if ((lsh_keys(windows[k : k + WINDOWS], walks) == keys) & (keys != 0)).any():
+                    return True
+        return False
+
     def seeds(self, h: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(document * items + item, first word, end word) of the bounds around each intact run, in slices."""
         for q, (keys, first, item, place) in self.runs.items():
@@ -165,8 +241,8 @@ class ItemTables:
                 yield d * len(self.ids) + i, lo, hi
                 a = b
 
-    def parts(self, h: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(document, number of the item, first word, end word) of all parts with enough runs and words of an item."""
+    def places(self, h: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document, number of the item, first word, end word) of all places with enough runs and words of an item."""
         none = np.empty(0, dtype=np.int64)
         pair, lo, hi, count = none, none, none, none
         for p, a, b in self.seeds(h, off):
@@ -189,7 +265,9 @@ class ItemTables:
     def matches(self, h: np.ndarray, off: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
         """(document, item) -> (edits, first word, end word) of the best passage within the edits."""
         out: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for d, i, lo, hi in self.parts(h, off):
+        for d, i, lo, hi in self.places(h, off):
+            if not self.collides(i, h[lo:hi]):
+                continue
             item = self.ids[i]
             edits, a, b = best_part(self.words[item], h[lo:hi])
             found = (edits, lo + a - int(off[d]), lo + b - int(off[d]))
@@ -204,12 +282,12 @@ _LEAKS = "doc_id long, item_id long, edits int, item_words int, start long, end
 def _item_blocks(benchmark: DataFrame) -> Iterator[tuple["ItemTables", list[int]]]:
     """Tables of one block of items after the other, and the items' ids."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(
-        "item_id is not null and text is not null"
+        "text is not null"
     ).distinct()
-    blocks = max(1, -(-items.count() // ITEM_BLOCK))
+    blocks = max(1, -(-(items.agg(F.sum(word_count(F.col("text")))).first()[0] or 0) // BLOCK_WORDS))
     for k in range(blocks):  # a stated query set, block by block against all documents
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        rows = sorted((r["item_id"], r["text"]) for r in part.collect())
+        rows = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         # Texts of a repeated item_id get numbers of their own.
         yield ItemTables([(n, t) for n, (_, t) in enumerate(rows)]), [i for i, _ in rows]
 
@@ -244,9 +322,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``start`` and ``end`` bound the passage in code points of the text.  One row
     for each row of ``docs`` and item, with the passage of the fewest edits (the
-    first of equals).  Null or blank texts hold nothing; items without item_id,
-    text or ``MIN_WORDS`` words are left out; of an item_id that occurs with
-    several texts each is searched for.  Documents without doc_id are searched
+    first of equals).  Null or blank texts hold nothing; items without a word are
+    in no document; an item of under five words allows no edit.  Items without
+    item_id are reported with null; of an item_id that occurs with several texts
+    each is searched for.  Documents without doc_id are searched
     and reported with null.  An empty table on either side gives no rows.
     """
     spark = docs.sparkSession
@@ -268,7 +347,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     stop = start + len(texts[d][begin[a] : end[max(a, b - 1)]].decode("utf-8", "replace"))
                     row = (edits, start, stop, len(tables.words[item]))
                     rows[d, names[item]] = min(row, rows.get((d, names[item]), row))
-                flat = [(ids[d], i, e, n, s, t) for (d, i), (e, s, t, n) in sorted(rows.items())]
+                flat = [(ids[d], i, e, n, s, t) for (d, i), (e, s, t, n) in sorted(rows.items(), key=lambda r: (r[0][0], r[0][1] is None, r[0][1] or 0))]
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
                 columns = zip(*flat, strict=True) if flat else [[]] * 6
                 names_ = ["doc_id", "item_id", "edits", "item_words", "start", "end"]

@@ -36,7 +36,7 @@ def brute_force(docs, items):
     for d, t in docs:
         for i, u in items:
             w = words_of(u)
-            if len(w) >= D.MIN_WORDS and t:
+            if w and t:
                 k = best(w, words_of(t))
                 if k <= D.edits_of(len(w)):
                     out[d, i] = k
@@ -58,11 +58,11 @@ def planted(rng: random.Random, items, n: int):
     return docs
 
 
-@pytest.mark.parametrize("seed, block", [(1, 2000), (2, 7)])
+@pytest.mark.parametrize("seed, block", [(1, 500_000), (2, 200)])
 def test_leaks_against_all_distances(spark, monkeypatch, seed, block):
-    monkeypatch.setattr(D, "ITEM_BLOCK", block)
+    monkeypatch.setattr(D, "BLOCK_WORDS", block)
     rng = random.Random(seed)
-    items = [(i, " ".join(rng.choices(WORDS, k=rng.randint(3, 60)))) for i in range(30)]
+    items = [(i, " ".join(rng.choices(WORDS, k=rng.randint(1, 60)))) for i in range(30)]
     docs = planted(rng, items, 160)
     want = brute_force(docs, items)
     rows = D.find_leaks(spark.createDataFrame([(*r, 0) for r in docs], DOCS), spark.createDataFrame([(*r, 0) for r in items], ITEMS)).collect()
@@ -70,7 +70,7 @@ def test_leaks_against_all_distances(spark, monkeypatch, seed, block):
     assert len(got) == len(rows)
     assert not got.keys() - want.keys()  # verified exactly: no false alarm
     assert all(got[k] == want[k] for k in got)
-    assert len(got) >= 0.97 * len(want)
+    assert len(got) >= 0.99 * len(want)
     text = dict(docs)
     item = {i: words_of(t) for i, t in items}
     for r in rows:
@@ -93,8 +93,8 @@ def test_odd_rows(spark):
     docs = [(1, f"ÄÖ before {passage.upper()}\tafter", 0), (1, f"x {passage}", 0), (None, passage, 0), (2, None, 0), (3, "", 0), (4, "five six", 0), (5, "a " * 100_000 + passage, 0)]
     items = [(7, passage, 0), (7, passage, 0), (7, "another text of six words", 0), (8, None, 0), (None, passage, 0), (9, "one two", 0)]
     d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
-    out = sorted((r.doc_id or 0, r.item_id, r.edits, r.start) for r in D.find_leaks(d, b).collect())
-    assert out == [(0, 7, 0, 0), (1, 7, 0, 2), (1, 7, 0, 10), (5, 7, 0, 200_000)]
+    out = sorted((r.doc_id or 0, r.item_id or 0, r.edits, r.start) for r in D.find_leaks(d, b).collect())
+    assert out == sorted((d, i, 0, s) for d, s in [(0, 0), (1, 2), (1, 10), (5, 200_000)] for i in (0, 7, 9))
     assert sorted(r.doc_id for r in D.without_leaks(d, b).collect()) == [2, 3, 4]
     assert D.without_leaks(d, b).columns == d.columns
     assert D.find_leaks(d.limit(0), b).collect() == [] and D.find_leaks(d, b.limit(0)).collect() == []
@@ -108,7 +108,7 @@ def test_the_walk_turns_few_edits_into_few_differences():
         a = rng.integers(1, 1 << 62, 40).astype(np.uint64)
         b = np.concatenate([a[:11], a[12:], rng.integers(1, 1 << 62, 1).astype(np.uint64)])  # a word is missing
         c = rng.integers(1, 1 << 62, 40).astype(np.uint64)
-        e = D.cgk(np.stack([a, b, c]))[:, :, : 40 * 5 // 3]
+        e = D.cgk(np.stack([a, b, c]), range(16))[:, :, : 40 * 5 // 3]
         near.append((e[0] == e[1]).mean())
         far.append((e[0] == e[2]).mean())
     assert np.mean(near) > 0.5 and np.mean(far) < 0.05
@@ -135,6 +135,27 @@ def test_long_items_with_words_left_out(n):
         assert [(key, v[0]) for key, v in found.items()] == [((1, 7), best(item, doc))]
 
 
+def test_short_items_are_searched_exactly():
+    items = [(1, "alpha"), (2, "beta gamma"), (3, "delta alpha beta"), (4, "a b c d")]
+    docs = ["x alpha y", "beta x gamma", "delta alpha beta gamma", "a b c d", "a b c e", ""]
+    found = D.ItemTables(items).matches(*hash_words([t.encode() for t in docs]))
+    assert {k: v[0] for k, v in found.items()} == brute_force(list(enumerate(docs)), items)
+
+
+@pytest.mark.parametrize("n", [5, 10, 16, 30, 45, 60, 120])
+def test_recall_at_the_most_deletions(n):
+    """LSH alone, over its own windows, where every passage has as many words left out as is allowed."""
+    rng = random.Random(n)
+    lost, trials = 0, 150
+    for _ in range(trials):
+        item = rng.choices(WORDS, k=n)
+        kept = sorted(rng.sample(range(n), n - D.edits_of(n)))
+        words = rng.choices(WORDS, k=10) + [item[i] for i in kept] + rng.choices(WORDS, k=20)
+        h, off = hash_words([" ".join(words).encode()])
+        lost += not D.ItemTables([(7, " ".join(item))]).collides(0, h)
+    assert lost <= 0.01 * trials
+
+
 @pytest.mark.parametrize("seeds", [1 << 20, 5])
 def test_every_leak_is_found_where_words_repeat(monkeypatch, seeds):
     monkeypatch.setattr(D, "SEED_BLOCK", seeds)
