@@ -8,9 +8,15 @@ deleted from all counts for that purpose.
 Counts follow the corpus, so nothing of them goes to the driver or is broadcast.
 Documents are dealt to blocks of bounded size.  A block sends its distinct keys
 (64-bit hashes of words and word pairs), sorted, by key range; each range adds
-up what all blocks sent and answers every block in the block's own order, so an
-answer carries counts only.  Blocks then score their documents.  What is shuffled
-are a block's distinct keys, not its tokens.
+up what was sent and answers in the sender's own order, so an answer carries
+counts only.  Blocks then score their documents.  What is shuffled are a block's
+distinct keys, not its tokens.
+
+A block sends at most ``FANOUT`` messages.  If that many ranges are too few, the
+exchange has several levels, like the digits of a number: a node adds up what
+``fan`` senders sent for one range, sends the sums on for the range's parts, and
+passes the answers back.  So the messages grow in proportion to the blocks (times
+the levels: one up to 256 blocks, two up to 65,536, three up to 16 million).
 """
 
 from __future__ import annotations
@@ -27,7 +33,9 @@ from .words import hash_words, mix
 HOLD_OUT = 10
 #: Bytes of text of an average block.
 BLOCK_BYTES = 16 << 20
-#: Every so many-th block is the part on which the weights are learned.
+#: Most messages that a block or a node of the exchange sends.
+FANOUT = 256
+#: One in so many documents is in the part on which the weights are learned.
 FOLD = 10
 ADD = 0.1
 EM_ROUNDS = 200
@@ -37,14 +45,33 @@ _START, _END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _STEP = 8.0  # cells of the held-out events are 1/8 wide in natural logarithms
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Integers with equal bytes next to each other, which compress well."""
-    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+def pack(x: np.ndarray) -> bytes:
+    """Unsigned 64-bit integers in as few bytes each as the largest one needs, bytes of equal weight side by side."""
+    if not len(x):
+        return b""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8)
+    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
-def _values(b: bytes, dtype: type) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    return np.frombuffer(b, np.uint8).reshape(width, -1).T.copy().view(dtype).ravel()
+def unpack(b: bytes) -> np.ndarray:
+    if not b:
+        return np.empty(0, dtype=np.uint64)
+    planes = np.frombuffer(b, np.uint8, offset=1).reshape(b[0], -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, : b[0]] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as the first one and their steps."""
+    return keys[:1].tobytes() + pack(np.diff(keys)) if len(keys) else b""
+
+
+def _unpack_keys(b: bytes) -> np.ndarray:
+    if not b:
+        return np.empty(0, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        return np.cumsum(np.concatenate([np.frombuffer(b, "<u8", count=1), unpack(b[8:])]), dtype=np.uint64)
 
 
 class _Block:
@@ -77,81 +104,145 @@ class _Block:
         self.context[self.first] = end  # as many starts as ends
 
 
-def _bounds(keys: np.ndarray, ranges: int) -> np.ndarray:
-    edge = [(k << 64) // ranges for k in range(1, ranges)]
-    return np.concatenate([[0], np.searchsorted(keys, np.array(edge, dtype=np.uint64)), [len(keys)]])
+_KINDS = ("word", "pair")
+_ASK = "node long, member long, fold boolean, word_keys binary, word_n binary, word_part binary, pair_keys binary, pair_n binary, pair_part binary"
+_ANSWER = "member long, digit int, word_n binary, word_part binary, pair_n binary, pair_part binary, n_distinct long, n_tokens long, n_fold long"
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "double": pa.float64()}
 
 
-_ASK = "range int, block int, word_keys binary, word_n binary, pair_keys binary, pair_n binary"
-_ANSWER = "block int, range int, word_n binary, pair_n binary, word_fold binary, pair_fold binary, n_distinct long, n_tokens long, n_fold long"
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    fields = [x.split() for x in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+    return pa.table({n: pa.array(c, _ARROW[t]) for (n, t), c in zip(fields, columns, strict=True)})
 
 
-def _asking(ranges: int):
-    def ask(key: tuple, docs: pa.Table) -> pa.Table:
-        b = _Block(docs)
-        columns: list[list] = [[] for _ in range(6)]
-        parts = []
-        for keys, place in ((b.words, b.word), (b.pairs, b.pair)):
-            n = np.bincount(place, weights=b.trained, minlength=len(keys)).astype(np.uint32)
-            parts.append((keys, n, _bounds(keys, ranges)))
-        for r in range(ranges):
-            row = [r, key[0].as_py()]
-            for keys, n, at in parts:
-                s = slice(at[r], at[r + 1])
-                row += [_planes(np.diff(keys[s], prepend=np.uint64(0))), _planes(n[s])]
-            for c, x in zip(columns, row, strict=True):
-                c.append(x)
-        types = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
-        names = [x.split()[0] for x in _ASK.split(", ")]
-        return pa.table({k: pa.array(c, t) for k, c, t in zip(names, columns, types, strict=True)})
-
-    return ask
-
-
-def _is_fold(block: np.ndarray) -> np.ndarray:
+def _is_fold(block: int) -> bool:
     return block % FOLD == 1
 
 
-def _answer(key: tuple, asked: pa.Table) -> pa.Table:
-    """Sum a key range over all blocks; a row for each block that asked."""
-    block = asked.column("block").to_numpy()
-    fold = _is_fold(block)
-    out: dict[str, list] = {"block": block.tolist(), "range": [key[0].as_py()] * len(block)}
-    stats = [0, 0, 0]
-    for what in ("word", "pair"):
-        with np.errstate(over="ignore"):
-            keys = [np.cumsum(_values(x.as_py(), np.uint64)) for x in asked.column(f"{what}_keys")]
-        n = [_values(x.as_py(), np.uint32) for x in asked.column(f"{what}_n")]
-        sizes = np.array([len(k) for k in keys])
-        every, place = np.unique(np.concatenate(keys), return_inverse=True)
-        flat = np.concatenate(n).astype(np.float64)
-        total = np.bincount(place, weights=flat, minlength=len(every)).astype(np.uint32)
-        mine = np.repeat(fold, sizes)
-        part = np.bincount(place[mine], weights=flat[mine], minlength=len(every)).astype(np.uint32)
-        ends = np.cumsum(sizes)
-        out[f"{what}_n"] = [_planes(total[place[e - s : e]]) for e, s in zip(ends, sizes, strict=True)]
-        out[f"{what}_fold"] = [_planes(part[place[e - s : e]]) if f else None for e, s, f in zip(ends, sizes, fold, strict=True)]
-        if what == "word":
-            stats = [int((total > 0).sum()), int(total.sum(dtype=np.int64)), int(part.sum(dtype=np.int64))]
-    for name, x in zip(("n_distinct", "n_tokens", "n_fold"), stats, strict=True):
-        out[name] = [x] + [0] * (len(block) - 1)
-    names = [x.split()[0] for x in _ANSWER.split(", ")]
-    types = (pa.int32(), pa.int32(), *[pa.binary()] * 4, *[pa.int64()] * 3)
-    return pa.table({k: pa.array(out[k], t) for k, t in zip(names, types, strict=True)})
+class Exchange:
+    """Numbers of the nodes that blocks and nodes exchange counts with.
+
+    A node of a level stands for ``fan ** level`` blocks and one of as many key
+    ranges; the last level's nodes stand for all blocks.  Blocks are level 0.
+    """
+
+    def __init__(self, blocks: int):
+        self.levels, self.fan = 1, min(blocks, FANOUT)
+        while self.fan**self.levels < blocks:
+            self.levels += 1
+
+    def send(self, sender: int, level: int, fold: bool, counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
+        """Messages of a block or node: its (keys, counts, counts in the fold) by the next level's ranges."""
+        group, path = divmod(sender, self.fan**level)
+        parts = self.fan ** (level + 1)
+        first = path * self.fan
+        edges = [((first + d) << 64) // parts for d in range(1, self.fan)]
+        bounds = [np.concatenate([[0], np.searchsorted(k, np.array(edges, dtype=np.uint64)), [len(k)]]) for k, _, _ in counts]
+        rows = []
+        for d in range(self.fan):
+            row: list = [group // self.fan * parts + first + d, sender, fold]
+            for (keys, n, part), at in zip(counts, bounds, strict=True):
+                s = slice(at[d], at[d + 1])
+                row += [_pack_keys(keys[s]), pack(n[s]), pack(part[s]) if part[s].any() else b""]
+            rows.append(tuple(row))
+        return _table(rows, _ASK)
+
+    def ask(self, key: tuple, docs: pa.Table) -> pa.Table:
+        """Messages of a block."""
+        block = key[0].as_py()
+        b = _Block(docs)
+        counts = []
+        for keys, place in ((b.words, b.word), (b.pairs, b.pair)):
+            n = np.bincount(place, weights=b.trained, minlength=len(keys)).astype(np.uint64)
+            counts.append((keys, n, n if _is_fold(block) else np.zeros_like(n)))
+        return self.send(block, 0, _is_fold(block), counts)
+
+    def pass_on(self, level: int):
+        """Messages of a node: the sums of what it was sent."""
+
+        def up(key: tuple, asked: pa.Table) -> pa.Table:
+            sums = [_Sums(asked, kind) for kind in _KINDS]
+            return self.send(key[0].as_py(), level, any(asked.column("fold").to_pylist()), [(s.keys, s.n, s.part) for s in sums])
+
+        return up
+
+    def answer(self, key: tuple, asked: pa.Table) -> pa.Table:
+        """A node of the last level: its sums are those of all blocks."""
+        sums = [_Sums(asked, kind) for kind in _KINDS]
+        words = sums[0]
+        stats = (int((words.n > 0).sum()), int(words.n.sum()), int(words.part.sum()))
+        return self._answers(key[0].as_py(), asked, sums, [(s.n, s.part) for s in sums], stats)
+
+    def pass_back(self, key: tuple, asked: pa.Table, answers: pa.Table) -> pa.Table:
+        """A node of a lower level: answers of its ranges' parts, for those that asked it."""
+        sums = [_Sums(asked, kind) for kind in _KINDS]
+        whole = any(asked.column("fold").to_pylist())
+        found = []
+        for kind, s in zip(_KINDS, sums, strict=True):
+            found.append((_joined(answers, f"{kind}_n", len(s.keys)), _joined(answers, f"{kind}_part", len(s.keys)) if whole else None))
+        return self._answers(key[0].as_py(), asked, sums, found, (0, 0, 0))
+
+    def _answers(self, node: int, asked: pa.Table, sums: list["_Sums"], found: list[tuple], stats: tuple[int, int, int]) -> pa.Table:
+        rows = []
+        for i, (member, fold) in enumerate(zip(asked.column("member").to_pylist(), asked.column("fold").to_pylist(), strict=True)):
+            row: list = [member, node % self.fan]
+            for s, (n, part) in zip(sums, found, strict=True):
+                row += [pack(n[s.places(i)]), pack(part[s.places(i)]) if fold else None]
+            rows.append((*row, *(stats if i == 0 else (0, 0, 0))))
+        return _table(rows, _ANSWER)
+
+
+class _Sums:
+    """Keys of all messages to a node, their summed counts, and each message's places among them."""
+
+    def __init__(self, asked: pa.Table, kind: str):
+        keys = [_unpack_keys(x.as_py()) for x in asked.column(f"{kind}_keys")]
+        self.keys, self._place = np.unique(np.concatenate(keys), return_inverse=True)
+        self._ends = np.cumsum([0, *map(len, keys)])
+        self.n, self.part = np.zeros(len(self.keys), np.uint64), np.zeros(len(self.keys), np.uint64)
+        for name, total in (("n", self.n), ("part", self.part)):
+            for i, x in enumerate(asked.column(f"{kind}_{name}")):
+                if x.as_py():
+                    total[self.places(i)] += unpack(x.as_py())  # a message's keys are distinct
+
+    def places(self, i: int) -> np.ndarray:
+        return self._place[self._ends[i] : self._ends[i + 1]]
+
+
+def _joined(answers: pa.Table, column: str, size: int) -> np.ndarray:
+    """Counts of a sender's keys, in their order, from the answers of all ranges."""
+    order = np.argsort(answers.column("digit").to_numpy())
+    parts = [unpack(answers.column(column)[int(k)].as_py() or b"") for k in order]
+    out = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    if len(out) != size:
+        raise ValueError("the answers don't fit the block: its rows differ from those that asked")
+    return out
 
 
 def _counts(b: _Block, answers: pa.Table, suffix: str) -> tuple[np.ndarray, np.ndarray]:
     """Corpus counts of a block's words and pairs, in the block's order."""
-    order = np.argsort(answers.column("range").to_numpy())
-    found = []
-    for what, keys in (("word", b.words), ("pair", b.pairs)):
-        column = answers.column(f"{what}_{suffix}")
-        parts = [_values(column[int(k)].as_py(), np.uint32) for k in order]
-        x = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        if len(x) != len(keys):
-            raise ValueError("the answers don't fit the block: its rows differ from those that asked")
-        found.append(x.astype(np.float64))
-    return found[0], found[1]
+    words, pairs = (_joined(answers, f"{kind}_{suffix}", len(keys)) for kind, keys in zip(_KINDS, (b.words, b.pairs), strict=True))
+    return words.astype(np.float64), pairs.astype(np.float64)
+
+
+def exchanged(docs: DataFrame, blocks: int) -> tuple[DataFrame, tuple[int, int, int]]:
+    """Answers to all blocks of ``docs``, as a table in the shared folder; distinct words, tokens, tokens in the fold."""
+    x = Exchange(blocks)
+    asked = [docs.groupBy("block").applyInArrow(lambda k, t: x.ask(k, t), _ASK)]
+    for level in range(1, x.levels):
+        asked[-1] = cut(asked[-1], "asked")  # read again on the way back
+        asked.append(asked[-1].groupBy("node").applyInArrow(x.pass_on(level), _ASK))
+    answers = asked.pop().groupBy("node").applyInArrow(lambda k, t: x.answer(k, t), _ANSWER)
+    stats = None
+    while asked:
+        answers = cut(answers, "answers")
+        part = answers.select("n_distinct", "n_tokens", "n_fold")
+        stats = part if stats is None else stats
+        answers = asked.pop().groupBy("node").cogroup(answers.groupBy("member")).applyInArrow(lambda k, t, a: x.pass_back(k, t, a), _ANSWER)
+    answers = cut(answers, "answers")
+    total = (answers if stats is None else stats).agg(F.sum("n_distinct"), F.sum("n_tokens"), F.sum("n_fold")).first()
+    return answers, tuple(v or 0 for v in total)
 
 
 def bucket_of(n: np.ndarray) -> np.ndarray:
@@ -169,7 +260,7 @@ def _cells(kept: float):
         if not docs.num_rows:
             return pa.table({x.split()[0]: pa.array([], pa.int32() if " int" in x else pa.float64()) for x in _CELLS.split(", ")})
         b = _Block(docs)
-        (words, pairs), (own_words, own_pairs) = _counts(b, answers, "n"), _counts(b, answers, "fold")
+        (words, pairs), (own_words, own_pairs) = _counts(b, answers, "n"), _counts(b, answers, "part")
         words, pairs = words - own_words, pairs - own_pairs
         seen, c1, c2 = words[b.context][b.trained], words[b.word][b.trained], pairs[b.pair][b.trained]
         p2, p1 = c2 / np.maximum(seen, 1), c1 / max(kept, 1.0)
@@ -257,7 +348,9 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     Reads doc_id and text.  A null or blank text has one token, the end.  Rows
     without doc_id are learned from.  Repeated rows count as often as they
     occur.  If nothing is learned from, each token's base score is that of one
-    slot in one.  An empty table gives an empty result.
+    slot in one.  An empty table gives an empty result.  ``docs`` is read more
+    than once and must give its rows in the same order, as files do; otherwise
+    the run stops rather than mix up counts.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(
@@ -265,16 +358,16 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         F.coalesce(crc_mod(F.col("doc_id"), HOLD_OUT) == 0, F.lit(False)).alias("held_out"),
     )
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    blocks = max(FOLD, -(-size // BLOCK_BYTES))
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    asked = docs.groupBy("block").applyInArrow(_asking(blocks), _ASK)
-    answers = cut(asked.groupBy("range").applyInArrow(_answer, _ANSWER), "answers")
-    distinct, total, fold = (x or 0 for x in answers.agg(F.sum("n_distinct"), F.sum("n_tokens"), F.sum("n_fold")).first())
-
-    part = F.col("block") % FOLD == 1
-    events = docs.filter(part).groupBy("block").cogroup(answers.filter(part).groupBy("block")).applyInArrow(_cells(float(total - fold)), _CELLS)
+    each = max(1, -(-size // (FOLD * BLOCK_BYTES)))  # blocks of each fold
+    fold = F.pmod(F.xxhash64("doc_id", "text"), F.lit(FOLD))
+    # The row's own number is mixed in, so that equal rows don't all meet in one block.
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(each)) * FOLD + fold)
+    answers, (distinct, total, in_fold) = exchanged(docs, each * FOLD)
+
+    part, own = F.col("block") % FOLD == 1, F.col("member") % FOLD == 1
+    events = docs.filter(part).groupBy("block").cogroup(answers.filter(own).groupBy("member")).applyInArrow(_cells(float(total - in_fold)), _CELLS)
     cells = events.groupBy("bucket", "q2", "q1").agg(*(F.sum(c) for c in ("n", "log2", "log1"))).collect()  # a bounded grid
     weights = learn_weights(np.array([tuple(r) for r in cells], dtype=float).reshape(-1, 6), distinct)
 
-    scored = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scoring(weights, distinct, total), _SCORES)
+    scored = docs.groupBy("block").cogroup(answers.groupBy("member")).applyInArrow(_scoring(weights, distinct, total), _SCORES)
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))

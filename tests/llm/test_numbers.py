@@ -172,6 +172,55 @@ def test_the_mixture_is_the_stated_one(spark, monkeypatch):
         assert sum(p(h, t) for t in one) + p(h, "unseen") == pytest.approx(1)
 
 
+@pytest.mark.parametrize("fan", [2, 3])
+def test_an_exchange_of_many_levels_gives_the_same(spark, monkeypatch, fan):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices([f"t{k}" for k in range(40)], k=rng.randint(0, 30)))) for i in range(300)] + [(None, "same row")] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    read = lambda: sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9), round(r.score, 6)) for r in ngram_lm.lm_scores(df).collect())
+    want = read()
+    monkeypatch.setattr(ngram_lm, "FANOUT", fan)
+    monkeypatch.setattr(ngram_lm, "BLOCK_BYTES", 300)
+    assert ngram_lm.Exchange(40).levels >= 4
+    assert read() == want
+
+
+def test_messages_grow_in_proportion():
+    for blocks in (10, 256, 257, 5000, 70_000):
+        x = ngram_lm.Exchange(blocks)
+        assert x.fan <= ngram_lm.FANOUT and x.fan**x.levels >= blocks
+    x = ngram_lm.Exchange(300)
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2))
+    asked = x.send(299, 0, True, [(keys, np.ones(5000, np.uint64), np.zeros(5000, np.uint64))] * 2)
+    assert asked.num_rows == x.fan and set(asked.column("node").to_pylist()) == {x.fan + d for d in range(x.fan)}
+    assert np.array_equal(np.concatenate([ngram_lm._unpack_keys(k.as_py()) for k in asked.column("word_keys")]), keys)
+
+
+def test_counts_above_32_bits():
+    """Sums of messages whose counts exceed 2**32, up to the answers."""
+    x = ngram_lm.Exchange(2)
+    keys = np.array([5, 1 << 60], dtype=np.uint64)
+    n = np.array([3 << 32, 7], dtype=np.uint64)
+    asks = [x.send(b, 0, b == 1, [(keys, n, n if b == 1 else n * np.uint64(0))] * 2) for b in (0, 1)]
+    import pyarrow as pa
+
+    asked = pa.concat_tables(asks)
+    answer = x.answer((pa.scalar(0),), asked.filter(pa.compute.equal(asked.column("node"), 0)))
+    assert ngram_lm.unpack(answer.column("word_n")[0].as_py()).tolist() == [6 << 32, 14]
+    assert ngram_lm.unpack(answer.column("word_part")[1].as_py()).tolist() == [3 << 32, 7]
+    assert answer.column("n_tokens")[0].as_py() == (6 << 32) + 14 and answer.column("n_fold")[0].as_py() == (3 << 32) + 7
+    rng = np.random.default_rng(2)
+    for high in (1, 1 << 8, 1 << 40, (1 << 64) - 1):
+        v = rng.integers(0, high, 99, dtype=np.uint64)
+        assert np.array_equal(ngram_lm.unpack(ngram_lm.pack(v)), v)
+
+
+def test_complementary_words_are_counted_apart(spark):
+    rows = [(i, "".join("ab"[(k.bit_count() + i) % 2] for k in range(2048))) for i in range(1, 4)]
+    out = ngram_lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == lm_brute_force(rows)
+
+
 def test_lm_of_odd_tables(spark):
     schema = "doc_id long, text string, score int"
     assert ngram_lm.lm_scores(spark.createDataFrame([], schema)).collect() == []
