@@ -1,20 +1,31 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level elements.  Pass 1 decides each block by
-itself: what stands in an element that is no article text (menu, footer, form,
-advert, comments ...) is bad; of the rest link density, length and the share of
-stop words make a block good, bad, or ambiguous.  Pass 2 gives ambiguous blocks
-the label of their nearest decided neighbours.
+A page is cut into blocks at block-level elements.  What stands in an element
+that is side matter by its tag, role or class (footer, form, advert, comments
+...) is left out.  Every other block is decided by its text:
+
+* Pass 1: link density, length and stop-word density make a block good, bad,
+  nearly good, or ambiguous.
+* Pass 2: ambiguous blocks take the label of their nearest decided neighbours in
+  the smallest element around them that has any; nearly good ones are bad only
+  between bad ones.  Where the neighbours of a short block differ, a heading goes
+  with the text below it, and any other block with the nearer one (bad if both
+  are as near).
+
+``<article>`` or ``<main>`` add one thing: if most of the good text is in them,
+the rest isn't part of the article.  On a page with no good block, stop words
+don't tell its language, and long blocks without links are good; if nothing at
+all is decided, short blocks are good (those in the article, if there is one).
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,14 +92,15 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass
 class Block:
-    """Text of one block and where it stood."""
+    """Text of one block and where it stood: ``box`` is the number of the element around it."""
 
     text: str
     links: int
     side: bool
     article: bool
     heading: bool
-    named: tuple[int, ...]
+    name: int
+    box: int
     label: str = ""
 
 
@@ -99,46 +111,82 @@ class _Open:
     article: bool = False
     link: bool = False
     heading: bool = False
-    named: tuple[int, ...] = ()
+    credits: bool = False
+    name: int = 0
+    box: int = 0
+
+
+@dataclass
+class Page:
+    """Blocks with text in page order, and the elements around them."""
+
+    blocks: list[Block]
+    #: For each element: the one around it, and the blocks in it as a range.
+    around: list[int]
+    first: list[int]
+    end: list[int]
+    #: For each element that is named like side matter: the named one around it.
+    named: list[int]
+    #: Whether a named element is in the article.
+    within: list[bool]
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {n.lower(): html.unescape(a or b or c or "") for n, a, b, c in _ATTRIBUTE.findall(raw)}
 
 
-def blocks_of(page: str) -> list[Block]:
-    """All blocks with text, in page order."""
-    out: list[Block] = []
-    stack = [_Open("")]
+class _Stack:
+    """Open elements; finds the last open one of a tag without a search."""
+
+    def __init__(self) -> None:
+        self.open = [_Open("")]
+        self._at: dict[str, list[int]] = {}
+        self._scopes = [0]
+
+    def push(self, element: _Open) -> None:
+        self._at.setdefault(element.tag, []).append(len(self.open))
+        if element.tag in _SCOPES:
+            self._scopes.append(len(self.open))
+        self.open.append(element)
+
+    def last(self, tags: set[str]) -> int:
+        """Place of the last open element of these tags; 0 if there is none."""
+        return max((self._at[t][-1] for t in tags if self._at.get(t)), default=0)
+
+    def scope(self) -> int:
+        return self._scopes[-1]
+
+    def drop(self, place: int) -> list[_Open]:
+        """Close all elements from ``place`` on."""
+        gone = self.open[place:]
+        del self.open[place:]
+        for e in gone:
+            self._at[e.tag].pop()
+        while self._scopes[-1] >= place:
+            self._scopes.pop()
+        return gone
+
+
+def read_page(page: str) -> Page:
+    """Blocks of a page, in time proportional to its length."""
+    out = Page([], [0], [0], [0], [0], [False])
+    stack = _Stack()
     text: list[str] = []
     links = 0
     breaks = 0
-    names = 0
 
     def end_block() -> None:
         nonlocal text, links, breaks
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            at = stack[-1]
-            out.append(Block(joined, min(links, len(joined)), at.side, at.article, at.heading, at.named))
+            at = stack.open[-1]
+            out.blocks.append(Block(joined, min(links, len(joined)), at.side or at.credits and not at.heading, at.article, at.heading, at.name, at.box))
         text, links, breaks = [], 0, 0
 
-    def close(tag: str) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == tag:
-                if tag in _BLOCK:
-                    end_block()
-                del stack[i:]
-                return
-
-    def close_open(tags: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                end_block()
-                del stack[i:]
-                return
-            if stack[i].tag in _SCOPES:
-                return
+    def close(place: int) -> None:
+        for e in stack.drop(place):
+            if e.tag in _BLOCK:
+                out.end[e.box] = len(out.blocks)
 
     def said(piece: str) -> None:
         nonlocal links, breaks
@@ -146,7 +194,7 @@ def blocks_of(page: str) -> list[Block]:
             text.append(piece)
             if not piece.isspace():
                 breaks = 0
-                if stack[-1].link:
+                if stack.open[-1].link:
                     links += len(" ".join(html.unescape(piece).split()))
 
     at = 0
@@ -157,7 +205,11 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = m[3].lower()
         if m[2]:
-            close(tag)
+            place = stack.last({tag})
+            if place:
+                if tag in _BLOCK:
+                    end_block()
+                close(place)
             continue
         if tag == "br":
             breaks += 1
@@ -166,19 +218,25 @@ def blocks_of(page: str) -> list[Block]:
                 end_block()
             continue
         if tag in _BLOCK:
-            if tag in _ENDS:
-                close_open(_ENDS[tag])
-            else:
-                close_open({"p"})
             end_block()
+            place = stack.last(_ENDS.get(tag, {"p"}))
+            if place and place >= stack.scope():
+                close(place)
         if tag in _VOID:
             continue
-        up = stack[-1]
-        new = _Open(tag, up.side, up.article, up.link or tag == "a", up.heading, up.named)
+        up = stack.open[-1]
+        new = _Open(tag, up.side, up.article, up.link or tag == "a", up.heading, up.credits, up.name, up.box)
+        if tag in _BLOCK:
+            new.box = len(out.around)
+            out.around.append(up.box)
+            out.first.append(len(out.blocks))
+            out.end.append(-1)
         if tag in ("article", "main"):
             new.article = True
         if tag in _SIDE or tag == "header" and not up.article:
             new.side = True
+        if tag == "header" and up.article:
+            new.credits = True  # an article's own header: only its headings are text
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             new.heading = True
         if m[4].strip():
@@ -188,20 +246,19 @@ def blocks_of(page: str) -> list[Block]:
             if tag not in ("html", "body", "main", "a") and tag in _BLOCK | {"span", "ins"}:
                 parts = _NAME_PARTS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}")
                 if _NAMED.intersection(p.lower() for p in parts) and not (tag == "article" and not up.article):
-                    names += 1
-                    new.named = (*up.named, names)
-        if tag == "header" and up.article and not new.named:
-            names += 1
-            new.named = (*up.named, -names)  # an article's own header: only its headings are text
-        stack.append(new)
+                    new.name = len(out.named)
+                    out.named.append(up.name)
+                    out.within.append(new.article)
+        stack.push(new)
     said(page[at:])
     end_block()
+    out.end = [len(out.blocks) if e < 0 else e for e in out.end]
+    out.end[0] = len(out.blocks)
     return out
 
 
-def _decide(b: Block, side_names: set[int]) -> str:
-    if b.side or any(n > 0 and n in side_names or n < 0 and not b.heading for n in b.named):
-        return "bad"
+def first_label(b: Block) -> str:
+    """Pass 1: good, bad, near (nearly good), long or short (ambiguous)."""
     if b.links > LINKS * len(b.text):
         return "bad"
     if len(b.text) < SHORT:
@@ -210,50 +267,90 @@ def _decide(b: Block, side_names: set[int]) -> str:
     stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
     if stops >= STOPS_HIGH:
         return "good" if len(b.text) > LONG else "near"
-    if stops >= STOPS_LOW:
-        return "near"
-    return "short" if b.article else "bad"
-
-
-def classify(blocks: list[Block]) -> None:
+    return "near" if stops >= STOPS_LOW else "long"
+
+
+def _inherit(page: Page, blocks: list[int], kinds: tuple[str, ...]) -> None:
+    """Pass 2 for the blocks with these labels, from the neighbours that are decided."""
+    n = len(page.blocks)
+    label = [b.label for b in page.blocks]
+    decided = np.zeros(n + 1, dtype=np.int64)
+    before, after = np.full(n, -1), np.full(n, n)
+    last = -1
+    for i in blocks:
+        before[i] = last
+        if label[i] in ("good", "bad"):
+            last = i
+            decided[i + 1] = 1
+    last = n
+    for i in reversed(blocks):
+        after[i] = last
+        if label[i] in ("good", "bad"):
+            last = i
+    known = np.cumsum(decided)
+    articles = any(page.blocks[i].article for i in blocks)
+    # The smallest element around each one that has a decided block.
+    around = list(range(len(page.around)))
+    for e in range(1, len(around)):
+        if known[page.end[e]] == known[page.first[e]]:
+            around[e] = around[page.around[e]]
+    for i in blocks:
+        b = page.blocks[i]
+        if label[i] not in kinds:
+            continue
+        e = around[b.box]
+        left = label[before[i]] if before[i] >= page.first[e] else ""
+        right = label[after[i]] if after[i] < page.end[e] else ""
+        if label[i] == "near":
+            b.label = "bad" if left == right == "bad" else "good"
+        elif left == right or not (left and right):
+            b.label = left or right or ("good" if b.article or not articles else "bad")
+        elif b.heading:
+            b.label = right
+        else:
+            nearer = left if i - before[i] < after[i] - i else right if i - before[i] > after[i] - i else "bad"
+            b.label = nearer
+
+
+def classify(page: Page) -> None:
     """Set every block's label to good or bad."""
-    amount: Counter[int] = Counter()
-    for b in blocks:
-        for n in b.named:
-            amount[n] += len(b.text)
-    total = sum(len(b.text) for b in blocks if not b.side)
-    side_names = {n for n, k in amount.items() if n > 0 and k <= SIDE_SHARE * total}
-    for b in blocks:
-        b.label = _decide(b, side_names)
-    if any(b.article and b.label != "bad" for b in blocks):
-        for b in blocks:
+    amount = [0] * len(page.named)
+    for b in page.blocks:
+        amount[b.name] += len(b.text)
+    for k in range(len(amount) - 1, 0, -1):
+        amount[page.named[k]] += amount[k]
+    total = sum(len(b.text) for b in page.blocks if not b.side)
+    side = [False] * len(amount)
+    plain = any(b.article and not b.side and not b.name for b in page.blocks)
+    for k in range(1, len(amount)):  # what holds most of a page's text is no side matter, whatever its name, unless the article is elsewhere
+        side[k] = plain and not page.within[k] or side[page.named[k]] or amount[k] <= SIDE_SHARE * total
+    inside = []  # side matter is no neighbour: what stands around it is text or not by itself
+    for i, b in enumerate(page.blocks):
+        if b.side or side[b.name]:
+            b.label = "bad"
+        else:
+            b.label = first_label(b)
+            inside.append(i)
+    first = {i: page.blocks[i].label for i in inside}
+    if not any(x in ("good", "near") for x in first.values()):
+        for i in inside:
+            if first[i] == "long":
+                page.blocks[i].label = "good"
+    _inherit(page, inside, ("near",))  # what nearly was decided counts as decided for the others
+    _inherit(page, inside, ("short", "long"))
+    good = [page.blocks[i] for i in inside if page.blocks[i].label == "good"]
+    size = sum(len(b.text) for b in good)
+    if 2 * sum(len(b.text) for b in good if b.article) > size:
+        for b in good:
             if not b.article:
                 b.label = "bad"
-    # Side matter is no neighbour: what stands around it is text or not by itself.
-    inside = [b for b in blocks if not (b.side or b.named and b.label == "bad")]
-
-    def decided(labels: list[str]) -> list[str]:
-        out, seen = [], ""
-        for x in labels:
-            out.append(seen)
-            seen = x if x in ("good", "bad") else seen
-        return out
-
-    for kind in ("near", "short"):  # what nearly was decided counts as decided for the short ones
-        labels = [b.label for b in inside]
-        for b, left, right in zip(inside, decided(labels), decided(labels[::-1])[::-1], strict=True):
-            if b.label == kind == "near":
-                b.label = "bad" if left == right == "bad" else "good"
-            elif b.label == kind:
-                good = (left, right).count("good")
-                b.label = "good" if good == 2 or good and "bad" not in (left, right) or b.article else "bad"
 
 
 def main_text(page: str | None) -> str:
     """The good blocks of a page, joined by newlines; empty for a null page."""
-    blocks = blocks_of(page or "")
-    classify(blocks)
-    return "\n".join(b.text for b in blocks if b.label == "good")
+    read = read_page(page or "")
+    classify(read)
+    return "\n".join(b.text for b in read.blocks if b.label == "good")
 
 
 _TEXTS = "page_id long, url string, text string, n_chars long"

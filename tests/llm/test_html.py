@@ -27,6 +27,7 @@ def page(body: str) -> str:
         (f"<aside>{P2}</aside><main><p>{P1}</p></main>", [P1]),
         (f"<div class='cookie-notice'>{P2}</div><article><p>{P1}</p></article>", [P1]),
         (f"<article><p>{P1}</p><form><label>Your name in the field</label><input></form></article>", [P1]),
+        (f"<article><h1>Head</h1><div class='share widget'><p>{P1}</p><p>{P2}</p></div></article>", ["Head", P1, P2]),  # a name isn't all
         (f"<article><p>{P1}<p>{P2}</article>", [P1, P2]),  # unclosed paragraphs
         (f"<article><p>{P1[:40]}<b>{P1[40:]}</b></p></article>", [P1]),
         (f"<article><p>{P1}<br>{P2}</p></article>", [P1 + " " + P2]),
@@ -52,6 +53,42 @@ def test_no_elements_at_all():
     assert html.main_text(P1 + " " + P2) == P1 + " " + P2
 
 
+DIVS = [  # pages without any element, class or role that tells side matter
+    f"<div><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News &amp; more of it</a></li></ul></div><div><p>{P1} {P2}</p><p>Yes.</p><p>{P2} {P1}</p></div>",
+    f"<div><p>{P1} {P2}</p><div>Buy now</div><p><a href='x'>{P1} {P2}</a></p><p>No.</p></div>",
+    "<div><p>Kaufen Angebot Preis Rabatt Lieferung Versand Bestellung Kunde Konto Warenkorb Kasse Zahlung Rechnung Gutschein</p>"
+    f"<p><a href='x'>{P1}</a></p><p>Preis</p></div><div><h2>Head</h2><p>{P1} {P2}</p></div>",
+    f"<div><p><a href='x'>{P1}</a></p><p>{P1} {P2}</p><p><a href='y'>{P2}</a></p></div>",
+]
+
+
+def test_blocks_are_decided_by_their_text():
+    assert html.main_text(DIVS[0]) == f"{P1} {P2}\nYes.\n{P2} {P1}"
+    assert html.main_text(DIVS[1]) == f"{P1} {P2}"
+    assert html.main_text(DIVS[3]) == f"{P1} {P2}"
+    assert html.main_text(DIVS[2]) == f"Head\n{P1} {P2}"
+
+
+@pytest.mark.parametrize("rule", [("STOP_WORDS", frozenset()), ("LINKS", 2.0), ("SHORT", 0), ("LONG", 10_000)])
+def test_every_rule_decides(monkeypatch, rule):
+    """Without stop words, the rule of links or those of length, results differ."""
+    want = [html.main_text(x) for x in DIVS]
+    monkeypatch.setattr(html, *rule)
+    assert [html.main_text(x) for x in DIVS] != want
+
+
+@pytest.mark.parametrize(
+    "page", ["<div>" * 100_000 + P1, "<div>" * 50_000 + "</b>" * 50_000, "<div class='ad'>x" * 50_000, "<b>" * 50_000 + "<p>" * 50_000, "<p><b>" * 50_000 + "<h1>x" * 50_000,
+             "<li>" * 100_000, "<i>x</b>" * 50_000, "<td><a>x" * 50_000]
+)
+def test_deep_and_broken_pages_take_linear_time(page):
+    import time
+
+    began = time.time()
+    html.main_text(page)
+    assert time.time() - began < 20
+
+
 def test_long_pages_take_linear_time():
     import time
 
