@@ -24,6 +24,8 @@ def shared_root(spark: SparkSession) -> str:
     if sc.applicationId not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="quillon-")
         root = f"{base.rstrip('/')}/quillon-{sc.applicationId}-{uuid.uuid4().hex[:8]}"
         _ROOTS[sc.applicationId] = root
@@ -53,8 +55,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the texts that a Python worker holds at once: rows of an Arrow batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bound the texts that a Python worker holds at once: rows of an Arrow batch.
+
+    Plans are lazy, so the bound has to stand until they run: it is only ever
+    lowered, and a smaller one of the session's own stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
 
 
 def crc_mod(doc_id: Column, m: int) -> Column:

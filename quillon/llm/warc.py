@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import seekable
-from .common import scratch_path, small_batches
+from .common import cut, scratch_path, small_batches
 
 #: Smaller payloads are always stored.
 MIN_REVISIT = 100
@@ -39,7 +39,11 @@ def _page_of(uri: str) -> int | None:
 
 
 def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; a revisit of ``refers_to`` has an empty block."""
+    """One WARC/1.1 record; a revisit of ``refers_to`` has an empty block.
+
+    The block of a response is an HTTP message, as its content type says; the
+    payload and its digest begin after the message's head.
+    """
     revisit = refers_to is not None
     clean = "".join(c if c > " " else "%%%02X" % ord(c) for c in url or "")
     head = [
@@ -56,20 +60,22 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, digest: st
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
             f"WARC-Refers-To: <{record_uri(refers_to)}>",
         ]
-        payload = b""
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+        block = b""
+    else:
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers (by lower-case name) and block of one record."""
+    """Headers (by lower-case name) and payload of one record."""
     head, _, rest = record.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("no WARC record here")
     fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
     block = rest[: int(fields["content-length"])]
-    return fields, block
+    return fields, block.partition(b"\r\n\r\n")[2]
 
 
 def bundle_uri(folder: str, part: int) -> str:
@@ -84,8 +90,9 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
 
     A null html is an empty payload.  The response of a group of equal payloads
     is the row of the smallest page_id (rows that repeat it are responses too);
-    rows without page_id are always responses.  Payloads never meet in one
-    task: a digest is pre-aggregated, and joined back by a skew-proof join.
+    rows without page_id are always responses.  Which rows are revisits is
+    found out on digests alone; payloads then move once, by page_id and digest,
+    so that equal payloads never meet in one task.
     """
     spark = pages.sparkSession
     small_batches(spark, 128)
@@ -96,15 +103,17 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
     )
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     large = (F.length("payload") >= MIN_REVISIT) & F.col("page_id").isNotNull()
+    large = rows.filter((F.length("payload") >= MIN_REVISIT) & F.col("page_id").isNotNull()).select("page_id", "digest")
     firsts = (
-        rows.filter(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
-        .filter("first <> last").select(F.col("digest").alias("join_key"), "first")
+        large.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
+        .filter("first <> last").select("digest", "first")
     )
-    # Rows that revisit nothing get keys of their own, so that no null or common small payload is a hot key.
-    rows = rows.withColumn("join_key", F.when(large, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
-    rows = rows.join(firsts, "join_key", "left")
-    refers = F.when(F.col("first") != F.col("page_id"), F.col("first"))
-    rows = rows.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    again = large.distinct().join(firsts, "digest").filter("page_id <> first")
+    again = cut(again.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("first").alias("refers_to")), "revisits")
+    known = rows.filter("page_id is not null")
+    known = known.join(again, (known.page_id == again.p) & (known.digest == again.d), "left")
+    columns = ["page_id", "url", "payload", "digest", "refers_to"]
+    rows = known.select(columns).unionByName(rows.filter("page_id is null").withColumn("refers_to", F.lit(None).cast("long")).select(columns))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, out = TaskContext.get().partitionId(), None

@@ -199,7 +199,7 @@ def test_warc_records_are_found_by_identifier(spark, tmp_path, monkeypatch):
     found = [x for w in written for x in warc.read_bundle(warc.bundle_uri(folder, w.part), wanted)]
     assert sorted((h["warc-record-id"].strip("<>"), b.decode()) for h, b in found) == sorted((warc.record_uri(i), rows[i][2]) for i in (17, 44))
     for head, _ in found:
-        assert head["warc-type"] == "response" and head["content-type"].startswith("text/html") and head["warc-date"]
+        assert head["warc-type"] == "response" and head["content-type"].startswith("application/http; msgtype=response") and head["warc-date"]
 
 
 def test_a_line_break_in_a_url_stays_in_its_header():
