@@ -22,6 +22,8 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 SLOTS = 1 << 18
 #: Slots in a byte of the table: 7, so that each byte is an ASCII character.
 PACKED = 7
@@ -73,6 +75,10 @@ def _split(at: int, width: int, subsets: int, hashes: Column) -> Column:
 
 def prints(text: Column, lex: Column) -> Column:
     """A hash for each lexicon subset; null where a subset has no term of the text."""
+    return _once(lex, lambda x: _prints(text, x))  # taken out of the row once, not for each term
+
+
+def _prints(text: Column, lex: Column) -> Column:
     byte = lambda s: F.ascii(F.substring(lex, F.floor(s / PACKED).cast("int") + 1, F.lit(1)).cast("string"))
     known = F.filter(slots(text), lambda s: F.getbit(byte(s), s % PACKED) == 1)
 
@@ -126,6 +132,7 @@ def with_next(rows: DataFrame, columns: tuple[str, ...], derive) -> DataFrame:
     rows each block gets the first row of the next one.  So every text moves
     once, and no task orders all rows.  ``derive`` adds the columns to rows.
     """
+    bare = rows
     ids = rows.select("doc_id")
     n = ids.count()
     blocks = max(1, -(-n // BLOCK_ROWS))
@@ -138,13 +145,16 @@ def with_next(rows: DataFrame, columns: tuple[str, ...], derive) -> DataFrame:
         rows = rows.withColumn("edges", table).withColumn("block", _block(F.col("edges"), F.col("doc_id"), each)).drop("edges")
     else:
         rows = rows.withColumn("block", F.lit(0).cast("long"))
-    heads = rows.groupBy("block").agg(F.max("doc_id").alias("head"))  # a row a block
+    heads = cut(rows.groupBy("block").agg(F.max("doc_id").alias("head")), "heads")  # a row a block
     after = Window.orderBy(F.col("block").desc())
     order = heads.withColumn("to", F.coalesce(F.lead("block").over(after), F.max("block").over(Window.partitionBy())))
-    marks = heads.select("head").distinct()
-    marks = F.broadcast(marks) if blocks <= MOST_BROADCAST else marks  # so no text moves for this
-    first = rows.join(marks, rows.doc_id == F.col("head")).groupBy("block", "doc_id").agg(F.min_by("text", "h").alias("text"), F.min("h").alias("h"))
-    tails = first.join(order.select(F.col("to").alias("block"), F.col("block").alias("from")), "block").select("doc_id", "text", "h", F.col("from").alias("block"))
+    order = order.select("head", F.col("to"), F.col("block").alias("from"))
+    # Each head's text goes to the block before its own: the row after that block's last one.
+    ahead = order.select(F.col("to").alias("own"), F.col("from").alias("block")).join(heads.select(F.col("block").alias("own"), "head"), "own").select("head", "block")
+    ahead = cut(ahead, "ahead")
+    marked = F.broadcast(ahead) if blocks <= MOST_BROADCAST else ahead  # so no text moves for this
+    first = bare.join(marked, bare.doc_id == F.col("head")).groupBy("block", "doc_id")
+    tails = first.agg(F.min_by("text", "h").alias("text"), F.min("h").alias("h")).select("doc_id", "text", "h", "block")
     dealt = derive(rows.select("doc_id", "text", "h", "block")).withColumn("tail", F.lit(0)).unionByName(derive(tails).withColumn("tail", F.lit(1)))
     w = Window.partitionBy("block").orderBy("tail", F.col("doc_id").desc(), "h")
     for c in columns:
