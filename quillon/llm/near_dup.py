@@ -49,7 +49,7 @@ BLOCK = 1024
 #: Standard deviations below the threshold at which a signature still counts as near.
 SIGMAS = 4
 #: Members that are confirmed against one leader in one go.
-STAR_ROWS = 256
+STAR_ROWS = 512
 
 _ODD = np.random.default_rng(20).integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -121,6 +121,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary"
 
 
+_PAIRS = "a long, b long, n long"
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (a, part, b, text), the leader (b null) first in each (a, part)."""
     at, leader = None, np.empty(0, np.uint64)
@@ -142,10 +145,15 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
-    pairs = cut(pairs, "pairs")
-    size = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR_ROWS).alias("parts"))
-    pairs = cut(pairs.join(size, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), "b"), "pairs")
+    """The pairs (a, b) of rows (a, b, n) whose whole sets reach the threshold.
+
+    ``n`` is the size of a bucket that made the pair.  It tells in how many parts
+    the pairs of ``a`` are dealt, so pairs never meet by ``a`` alone: a part gets
+    at most about ``STAR_ROWS`` members from each of a leader's bands.
+    """
+    parts = F.greatest(F.lit(1), F.pow(F.lit(2.0), F.ceil(F.log2(F.max("n") / STAR_ROWS))).cast("long"))
+    pairs = pairs.groupBy("a", "b").agg(parts.alias("parts"))
+    pairs = cut(pairs.select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), "b"), "pairs")
     members = pairs.join(texts, pairs.b == texts.c).select("a", "part", "b", "text")
     leaders = (
         pairs.select("a", "part").distinct().join(texts, F.col("a") == texts.c)
@@ -163,29 +171,29 @@ def _least_likeness(values: int) -> float:
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (a, b, sig_a, sig_b) with near signatures."""
+    """Rows of (a, b, n, sig_a, sig_b) with near signatures."""
     for batch in batches:
         if batch.num_rows:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
             near = (x == y).mean(axis=1) >= _least_likeness(x.shape[1])
-            yield batch.select(["a", "b"]).filter(pa.array(near))
+            yield batch.select(["a", "b", "n"]).filter(pa.array(near))
 
 
 def _second_stars(members: DataFrame, roots: DataFrame, sigs: DataFrame) -> DataFrame:
     """Near pairs of a leader, chosen anew in each bucket, with other components' members."""
     m = members.join(roots, members.c == roots.node, "left").select("band", "c", F.coalesce("root", "c").alias("root"))
     lead = m.groupBy("band").agg(
-        F.min_by(F.struct("c", "root"), F.xxhash64("c", "band")).alias("lead"), F.min("root").alias("lo"), F.max("root").alias("hi")
+        F.min_by(F.struct("c", "root"), F.xxhash64("c", "band")).alias("lead"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")
     ).filter("lo <> hi")
-    pairs = m.join(lead, "band").filter("root <> lead.root").select(F.least("c", "lead.c").alias("a"), F.greatest("c", "lead.c").alias("b"))
-    pairs = cut(pairs.distinct(), "pairs")
+    pairs = m.join(lead, "band").filter("root <> lead.root").select(F.least("c", "lead.c").alias("a"), F.greatest("c", "lead.c").alias("b"), "n")
+    pairs = cut(pairs.groupBy("a", "b").agg(F.max("n").alias("n")), "pairs")
     x = sigs.select(F.col("c").alias("a"), F.col("sig").alias("sig_a"))
     y = sigs.select(F.col("c").alias("b"), F.col("sig").alias("sig_b"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_alike, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "n", "sig_a", "sig_b").mapInArrow(_alike, _PAIRS)
 
 
 def _near(pdf):
-    """Near pairs (a, b) of one block of a bucket: rows (band, x, y, side, c, root, sig, bands)."""
+    """Near pairs (a, b, n) of one block of a bucket: rows (band, n, x, y, side, c, root, sig, bands)."""
     import pandas as pd
 
     sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(len(pdf), -1)
@@ -205,23 +213,23 @@ def _near(pdf):
             out_a.append(np.minimum(c[i], c[rest]))
             out_b.append(np.maximum(c[i], c[rest]))
     a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
-    return pd.DataFrame({"a": a.astype(np.int64), "b": b.astype(np.int64)})
+    return pd.DataFrame({"a": a.astype(np.int64), "b": b.astype(np.int64), "n": pdf["n"].iloc[0]})
 
 
 def _remaining(members: DataFrame, roots: DataFrame, sigs: DataFrame) -> DataFrame:
     """Near pairs of different components that share a bucket."""
     m = members.join(roots, members.c == roots.node, "left").select("band", "c", F.coalesce("root", "c").alias("root"))
     open_ = m.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
-    m = m.join(open_.select("band", F.ceil(F.col("n") / BLOCK).alias("blocks")), "band").join(sigs, "c")
+    m = m.join(open_.select("band", "n", F.ceil(F.col("n") / BLOCK).alias("blocks")), "band").join(sigs, "c")
     # A row meets its own block and all others: it goes to each pair of blocks that holds its own.
     m = m.withColumn("own", F.pmod(F.xxhash64("c"), "blocks"))
     m = m.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     m = m.select(
-        "band", "c", "root", "sig", "bands",
+        "band", "n", "c", "root", "sig", "bands",
         F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"),
         F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"),
     )
-    return m.groupBy("band", "x", "y").applyInPandas(_near, "a long, b long")
+    return m.groupBy("band", "x", "y").applyInPandas(_near, _PAIRS)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -244,12 +252,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = sketch.join(names, sketch.doc_id == names.c).dropDuplicates(["c"]).select("c", "bands", "sig")
 
     banded = reps.select("c", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("c").alias("leader"), F.max("c").alias("last")).filter("leader <> last")
-    members = cut(banded.join(buckets.select("band", "leader"), "band").select("band", "c", "leader"), "members")
+    buckets = banded.groupBy("band").agg(F.min("c").alias("leader"), F.max("c").alias("last"), F.count("*").alias("n")).filter("leader <> last")
+    members = cut(banded.join(buckets.select("band", "leader", "n"), "band").select("band", "c", "leader", "n"), "members")
 
     texts = docs.join(members.select("c").distinct(), docs.doc_id == F.col("c")).select("c", "text")
     texts = cut(texts.dropDuplicates(["c"]), "texts")
-    stars = members.filter("c <> leader").select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct()
+    stars = members.filter("c <> leader").select(F.col("leader").alias("a"), F.col("c").alias("b"), "n")
     links = _confirmed(stars, texts)
     roots = connected_components(links)
     sigs = cut(reps.select("c", "sig", "bands").join(members.select("c").distinct(), "c"), "signatures")

@@ -82,6 +82,23 @@ def test_one_large_group_needs_all_three_searches(spark, monkeypatch):
     assert found(spark, rows) == brute_force(rows)
 
 
+def test_parts_of_a_star_are_confirmed_apart(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "STAR_ROWS", 4)
+    rng = random.Random(9)
+    base = rng.choices(WORDS, k=90)
+    rows = [(i, edited(rng, base, rng.randint(0, 3))) for i in range(100)]
+    assert found(spark, rows) == brute_force(rows)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_complementary_words_are_not_linked(spark, n):
+    """Words that hashes by polynomials modulo a power of 2 can't tell apart."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, word), (4, f"{word} c d e f g h i"), (5, f"{other} c d e f g h i")]
+    assert found(spark, rows) == brute_force(rows)
+
+
 def test_the_registered_table_against_all_pairs(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
