@@ -96,12 +96,13 @@ def f1(common: Column, predicted: Column, expected: Column) -> Column:
     return let(F.struct(common.alias("common"), predicted.alias("predicted"), expected.alias("expected")), score)
 
 
-def _pair_f1(p: Column, r: Column) -> Column:
+def pair_f1(p: Column, r: Column) -> Column:
+    """F1 over the common elements of two arrays, as often as they occur."""
     return let(F.struct(p.alias("p"), r.alias("r")), lambda x: f1(overlap(x["p"], x["r"]), F.size(x["p"]), F.size(x["r"])))
 
 
 def token_f1(prediction: Column, reference: Column) -> Column:
-    return _pair_f1(tokenize(prediction), tokenize(reference))
+    return pair_f1(tokenize(prediction), tokenize(reference))
 
 
 def _lcs(a: list[str], b: list[str]) -> int:
@@ -163,7 +164,7 @@ def extract_numbers(c: Column) -> Column:
 def numeric_f1(prediction: Column, reference: Column) -> Column:
     """F1 over the numbers of both texts; null if neither has any."""
     p, r = extract_numbers(prediction), extract_numbers(reference)
-    return F.when((F.size(p) > 0) | (F.size(r) > 0), _pair_f1(p, r))
+    return F.when((F.size(p) > 0) | (F.size(r) > 0), pair_f1(p, r))
 
 
 def length_ratio(prediction: Column, reference: Column) -> Column:

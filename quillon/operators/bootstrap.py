@@ -36,17 +36,20 @@ def mean_interval(values: list[float], samples: int, seed: int, alpha: float = 0
     return mean, means[low], means[high]
 
 
-def exact_intervals(df: DataFrame, group: str, value: str, order: list[str], samples: int = 1000, seed: int = 72, closed: bool = False) -> DataFrame:
+def exact_intervals(
+    df: DataFrame, group: str, value: str, order: list[str], samples: int = 1000, seed: int = 72, closed: bool = False, choice: bool = False, seeds: dict[str, int] | None = None
+) -> DataFrame:
     """``(group, n, mean, low, high)`` with Python's draws, one group a task.
 
     The draws index into the group's values in ``order``, so a group is one
     worker's work by definition; groups here are the differences of one mode.
+    ``seeds`` names a seed for each group.
     """
     first, *_ = [f.dataType.simpleString() for f in df.schema.fields if f.name == group]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         values = pdf.sort_values(order, kind="stable")[value].tolist()
-        found = mean_interval(values, samples, seed, closed=closed)
+        found = mean_interval(values, samples, (seeds or {}).get(key[0], seed), closed=closed, choice=choice)
         return pd.DataFrame([] if found is None else [(key[0], len(values), *found)], columns=[group, "n", "mean", "low", "high"])
 
     return df.select(group, value, *order).groupBy(group).applyInPandas(run, f"{group} {first}, n long, mean double, low double, high double")
@@ -69,27 +72,27 @@ def hashed_draw(group: Column, round_: Column, position: Column, n: Column, seed
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % n
 
 
-def hashed_intervals(df: DataFrame, group: str, value: str, order: list[str], samples: int = 1000, seed: int = 72) -> DataFrame:
+def hashed_intervals(df: DataFrame, group: str, value: str, order: list[str], samples: int = 1000, seed: int = 72, closed: bool = False) -> DataFrame:
     """``(group, n, mean, low, high)`` in DataFrame functions, by independent draws."""
-    return native_intervals(df, group, value, order, samples, seed, lambda *a: hashed_draw(F.col(group), *a))
+    return native_intervals(df, group, value, order, samples, seed, lambda *a: hashed_draw(F.col(group), *a), closed)
 
 
-def native_intervals(df: DataFrame, group: str, value: str, order: list[str], samples: int = 200, seed: int = 72, draw: Callable[..., Column] = native_draw) -> DataFrame:
+def native_intervals(df: DataFrame, group: str, value: str, order: list[str], samples: int = 200, seed: int = 72, draw: Callable[..., Column] = native_draw, closed: bool = False) -> DataFrame:
     """``(group, n, mean, low, high)`` in DataFrame functions.
 
-    Values are numbered within their group; each round joins its draws back to
-    them.  ``samples`` rows a value pass the join, which is partitioned by group
-    and place, so that a large group isn't one task's work.
+    Values are numbered over the table, group by group, without ordering a group
+    in one task; each round joins its draws back to them.  ``samples`` rows a
+    value pass the join, which is partitioned by group and place.
     """
-    from pyspark.sql import Window
+    from .sampling import numbered
 
-    place = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    n = F.count("*").over(Window.partitionBy(group))
-    v = df.select(group, F.col(value).alias("_v"), place.cast("long").alias("_i"), n.alias("_n"))
+    v = numbered(df.filter(F.col(value).isNotNull()).select(group, F.col(value).alias("_v"), *[c for c in order if c != group]), [group, *order], "_g")
+    of = v.groupBy(group).agg(F.count("*").alias("_n"), F.min("_g").alias("_first"), F.avg("_v").alias("mean"))
+    v = v.join(of, group).select(group, "_v", "_n", (F.col("_g") - F.col("_first")).alias("_i"))
     rounds = v.select(group, "_i", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long"))).alias("_b"))
     drawn = rounds.select(group, "_b", draw(F.col("_b"), F.col("_i"), F.col("_n"), seed).alias("_i"))
     means = drawn.join(v.select(group, "_i", "_v"), [group, "_i"]).groupBy(group, "_b").agg(F.avg("_v").alias("_m"))
-    low, high = interval_indices(samples)
+    low, high = interval_indices(samples, closed=closed)
     bounds = means.groupBy(group).agg(F.array_sort(F.collect_list("_m")).alias("_s"))  # ``samples`` numbers a group
     bounds = bounds.select(group, F.get("_s", F.lit(low)).alias("low"), F.get("_s", F.lit(high)).alias("high"))
-    return v.groupBy(group).agg(F.count("*").alias("n"), F.avg("_v").alias("mean")).join(bounds, group)
+    return of.select(group, F.col("_n").alias("n"), "mean").join(bounds, group)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import text_similarity
+from . import bootstrap
 from .latest import latest
 from .scoring import score_predictions
 
@@ -35,9 +36,8 @@ def summarize_scores(pairs: DataFrame) -> DataFrame:
 
     Buckets: overall, changed, unchanged, and each dimension; all from one pass.
     """
-    buckets = F.array(F.lit("overall"), F.when(F.col("changed"), "changed").otherwise("unchanged"), F.concat(F.lit("dimension/"), "dimension"))
     return (
-        pairs.withColumn("bucket", F.explode(buckets)).groupBy("bucket")
+        in_buckets(pairs).groupBy("bucket")
         .agg(
             F.count("*").alias("n"), F.avg("left").alias("left_mean"), F.avg("right").alias("right_mean"), F.avg("delta").alias("delta_mean"),
             F.avg(F.abs("delta")).alias("mean_absolute_delta"), F.count_if(F.col("left") == F.col("right")).alias("exact"),
@@ -46,6 +46,40 @@ def summarize_scores(pairs: DataFrame) -> DataFrame:
     )
 
 
+def in_buckets(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ``bucket``: a row for each bucket that a pair is in."""
+    buckets = F.array(F.lit("overall"), F.when(F.col("changed"), "changed").otherwise("unchanged"), F.concat(F.lit("dimension/"), "dimension"))
+    return pairs.withColumn("bucket", F.explode(buckets))
+
+
+def bucket_seeds(pairs: DataFrame, seed: int) -> dict[str, int]:
+    """Seeds of the buckets: of three fixed ones, then of the dimensions in order (a few names)."""
+    dimensions = sorted(r[0] for r in pairs.select("dimension").distinct().collect())
+    return {"overall": seed, "changed": seed + 1, "unchanged": seed + 2} | {f"dimension/{d}": seed + 10 + i for i, d in enumerate(dimensions)}
+
+
+def delta_intervals(pairs: DataFrame, samples: int = 5000, seed: int = 72, exact: bool = False) -> DataFrame:
+    """``(bucket, n, mean, low, high)``: the mean difference of each bucket and its interval.
+
+    Bounds are the means at 2.5 and 97.5 percent of samples - 1.  ``exact`` draws
+    with Python's generator, a bucket a task, with a seed of its own each; else
+    draws are hashes of bucket, round and place, in DataFrame functions.
+    """
+    rows = in_buckets(pairs).select("bucket", "delta", *SCORE)
+    if exact:
+        return bootstrap.exact_intervals(rows, "bucket", "delta", SCORE, samples, seed, closed=True, choice=True, seeds=bucket_seeds(pairs, seed))
+    return bootstrap.hashed_intervals(rows, "bucket", "delta", SCORE, samples, seed, closed=True)
+
+
+def same_types(pairs: DataFrame) -> DataFrame:
+    """``pairs`` of predictions, after a check that both sides have the same question type."""
+    kind = lambda s: F.coalesce(f"{s}_question_type", F.lit("unknown"))
+    found = pairs.filter(kind("left") != kind("right")).select(*PREDICTION).orderBy(*PREDICTION).limit(1).collect()
+    if found:
+        raise ValueError(f"question type mismatch for {tuple(found[0])!r}")
+    return pairs
+
+
 def prediction_pairs(left: DataFrame, right: DataFrame, similarity: bool = False) -> DataFrame:
     """Predictions of two runs side by side, by key."""
     cols = lambda df, s: df.select(*PREDICTION, *(F.col(c).alias(f"{s}_{c}") for c in ("question_type", "response", "primary_score")))

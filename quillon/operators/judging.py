@@ -44,6 +44,11 @@ def wait_seconds(round_: int) -> float:
     return min(MAX_WAIT, 2.0 ** min(round_, MAX_DOUBLINGS))
 
 
+def wait_column(round_: Column) -> Column:
+    """:func:`wait_seconds` of a column."""
+    return F.least(F.lit(MAX_WAIT), F.pow(F.lit(2.0), F.least(round_, F.lit(MAX_DOUBLINGS))))
+
+
 def call(client: Callable[[str, int], dict], prompt: str, max_rounds: int, sleep: Callable[[float], None] = time.sleep) -> tuple[str, dict | None, int]:
     """(verdict, response, attempts): done, permanent or exhausted."""
     for attempt in range(1, max_rounds + 1):

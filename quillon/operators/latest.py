@@ -34,9 +34,16 @@ def key_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
     return both.filter("_l is null or _r is null").select(*keys, F.when(F.col("_l"), "left").otherwise("right").alias("side"))
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str], label: str) -> None:
-    """Raise if the key sets differ; names the first five of each side."""
+def first_of_difference(left: DataFrame, right: DataFrame, keys: list[str], most: int = 5) -> DataFrame:
+    """The first keys, in order, that only one side has: at most ``most`` a side."""
     diff = key_difference(left, right, keys)
-    first = diff.groupBy("side").agg(F.count("*").alias("n"), F.min(F.struct(*keys)).alias("first")).collect()
-    if first:
-        raise ValueError(f"{label} key mismatch: " + "; ".join(f"{r['n']} only {r['side']}, first {tuple(r['first'])!r}" for r in sorted(first, key=lambda r: r["side"])))
+    sides = [diff.filter(F.col("side") == s).orderBy(*keys).limit(most) for s in ("left", "right")]
+    return sides[0].unionByName(sides[1])
+
+
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str], label: str) -> None:
+    """Raise if the key sets differ; names the first five keys of each side, in order."""
+    found = first_of_difference(left, right, keys).collect()
+    if found:
+        sides = {s: [tuple(r)[:-1] for r in found if r["side"] == s] for s in ("left", "right")}
+        raise ValueError(f"{label} key mismatch: " + "; ".join(f"only {s}: {k!r}" for s, k in sides.items() if k))

@@ -37,7 +37,17 @@ def partial_groups(rows: DataFrame, group: str, done: str) -> DataFrame:
     return n.filter("n_done > 0 and n_done < n")
 
 
+def unwrapped(journal: DataFrame) -> DataFrame:
+    """Journal rows with the columns record_id and mode of their inner row, where there is one."""
+    if "row" not in journal.columns:
+        return journal
+    inner = [f.name for f in journal.schema["row"].dataType.fields]
+    own = lambda c: F.col(c) if c in journal.columns else F.lit(None).cast("string")
+    return journal.withColumns({c: F.coalesce(f"row.{c}", own(c)) if c in inner else own(c) for c in ("record_id", "mode")})
+
+
 def only_records(rows: DataFrame, manifest: DataFrame, modes: tuple[str, ...] = ()) -> DataFrame:
-    """Rows whose record is in the manifest (and mode among ``modes``)."""
+    """Rows whose record is in the manifest (and mode among ``modes``); journal rows by their inner row."""
+    rows = unwrapped(rows)
     rows = rows.filter(F.col("mode").isin(*modes)) if modes else rows
     return rows.join(manifest.select("record_id").distinct(), "record_id", "left_semi")

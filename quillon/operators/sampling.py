@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 #: Share and seed of the split, and the slice of the short subset.
 TRAIN_SHARE, SEED, SLICE_SHARE, SLICE_LENGTH = 0.95, 42, 0.02, 70
 
@@ -36,20 +38,31 @@ def split_names(names: list[str], seed: int = SEED, share: float = TRAIN_SHARE)
     return order[:cut], order[cut:]
 
 
-def position(*order: str | Column) -> Column:
-    """0-based rank of a row over the whole table; for tables of names or keys."""
-    return F.row_number().over(Window.orderBy(*order)) - 1
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with the 0-based rank ``name`` of each row over the whole table.
+
+    Rows are dealt by ranges of the order and written once; the ranges' counts (a
+    row a range) tell where each one's numbers begin, so no task orders all rows.
+    Equal keys are in one range.
+    """
+    ranges = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    out = ranges.join(F.broadcast(starts), "_range")  # as many rows as shuffle partitions
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1 + F.col("_start")
+    return out.withColumn(name, place.cast("long")).select(*df.columns, name)
 
 
 def stride_shards(df: DataFrame, world: int, order: list[str]) -> DataFrame:
     """``df`` with ``rank``: rows dealt in turn, in order."""
-    return df.withColumn("rank", F.pmod(position(*order), F.lit(world)))
+    return numbered(df, order, "rank").withColumn("rank", F.pmod("rank", F.lit(world)))
 
 
 def split(df: DataFrame, order: list[str], share: float = TRAIN_SHARE) -> DataFrame:
     """``df`` with ``split``: the first share of the rows in order is train, the rest val."""
-    n = F.count("*").over(Window.partitionBy())
-    return df.withColumn("split", F.when(position(*order) < F.floor(n * share), "train").otherwise("val"))
+    cut = int(df.count() * share)
+    return numbered(df, order, "_place").withColumn("split", F.when(F.col("_place") < cut, "train").otherwise("val")).drop("_place")
 
 
 def offset_limit(df: DataFrame, order: list[str], share: float = SLICE_SHARE, length: int = SLICE_LENGTH) -> DataFrame:
@@ -58,5 +71,5 @@ def offset_limit(df: DataFrame, order: list[str], share: float = SLICE_SHARE, le
 
 
 def ordered_groups(df: DataFrame, key: str, order: str) -> DataFrame:
-    """``(key, first)``: groups in the order in which they first occur."""
-    return df.groupBy(key).agg(F.min(order).alias("first")).withColumn("position", position("first"))
+    """``(key, first, position)``: groups in the order in which they first occur."""
+    return numbered(df.groupBy(key).agg(F.min(order).alias("first")), ["first"], "position")

@@ -34,29 +34,31 @@ def score_predictions(predictions: DataFrame, rouge: bool = True) -> DataFrame:
     choice, verdict = F.col("question_type") == "multiple_choice", F.col("question_type") == "true_false"
     open_ = ~choice & ~verdict
     g, m = F.col("_gold"), F.col("_made")
+    # Tokens are cut once; those of closed questions are empty arrays, which cost the UDF nothing.
+    tokens = lambda c: F.when(open_, T.tokenize(c)).otherwise(F.array().cast("array<string>"))
+    df = df.withColumns({"_p": tokens(m), "_r": tokens(g)})
+    if rouge:
+        df = df.withColumn("_lcs", T.lcs_length("_p", "_r"))
     df = df.withColumns(
         {
             "gold_choice": F.when(choice, T.extract_choice(g)),
             "pred_choice": F.when(choice, T.extract_choice(m)),
             "gold_true_false": F.when(verdict, T.extract_true_false(g)),
             "pred_true_false": F.when(verdict, T.extract_true_false(m)),
-            "token_f1": F.when(open_, T.token_f1(m, g)),
+            "token_f1": F.when(open_, T.pair_f1(F.col("_p"), F.col("_r"))),
             "numeric_f1": F.when(open_, T.numeric_f1(m, g)),
-            "length_ratio": F.when(open_, T.length_ratio(m, g)),
+            "length_ratio": F.when(open_, F.size("_p") / F.greatest(F.size("_r"), F.lit(1))),
         }
     )
     same = lambda a, b: F.when(F.col(a).isNotNull(), F.col(a).eqNullSafe(F.col(b)).cast("double"))
     df = df.withColumns({"choice_correct": same("gold_choice", "pred_choice"), "true_false_correct": same("gold_true_false", "pred_true_false")})
     closed = F.coalesce("choice_correct", "true_false_correct")
     if rouge:
-        # The UDF runs on all rows: tokens of closed questions are passed as empty arrays.
-        tokens = lambda c: F.when(open_, T.tokenize(c)).otherwise(F.array().cast("array<string>"))
-        df = df.withColumns({"_p": tokens(m), "_r": tokens(g)}).withColumn("_lcs", T.lcs_length("_p", "_r"))
-        df = df.withColumn("rouge_l_f1", F.when(open_, T.f1(F.col("_lcs"), F.size("_p"), F.size("_r")))).drop("_p", "_r", "_lcs")
+        df = df.withColumn("rouge_l_f1", F.when(open_, T.f1(F.col("_lcs"), F.size("_p"), F.size("_r"))))
         df = df.withColumn("primary_score", F.when(open_, 0.5 * F.col("token_f1") + 0.5 * F.col("rouge_l_f1")).otherwise(closed))
     else:
         df = df.withColumn("primary_score", closed)
-    return df.drop("_gold", "_made")
+    return df.drop("_gold", "_made", "_p", "_r", "_lcs")
 
 
 def scored_report(scored: DataFrame) -> DataFrame:

@@ -27,3 +27,9 @@ def key_agreement(predictions: DataFrame, candidate: str, keys: list[str]) -> Da
     n = predictions.select(candidate).distinct().count()  # candidates are few
     per = predictions.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct(candidate).alias("candidates"))
     return per.filter((F.col("n") != n) | (F.col("candidates") != n))
+
+
+def totals(predictions: DataFrame, by: list[str]) -> DataFrame:
+    """Rows, total loss and average loss; without rows all are 0."""
+    n, total = F.count("*"), F.coalesce(F.sum("loss"), F.lit(0.0))
+    return predictions.groupBy(*by).agg(n.alias("n"), total.alias("total_loss"), (total / F.greatest(n, F.lit(1))).alias("average_loss"))

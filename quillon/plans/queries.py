@@ -225,7 +225,27 @@ def numeric_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _open(spark, sf_dir).select("record_id", "mode", F.round(T.numeric_f1(F.col("response"), F.col("answer")), 6).alias("f1"))
 
 
-@query()
+#: Longest common subsequences of the lists p and q of the rows of t: rows of the table of lengths, each from the one before, of all pairs at once.
+_LCS_SQL = """pairs AS (SELECT row_number() OVER () AS pair, record_id, mode, p, q FROM t WHERE question_type = 'open_ended'),
+pt AS (SELECT pair, generate_subscripts(p, 1) AS i, unnest(p) AS a FROM pairs), qt AS (SELECT pair, generate_subscripts(q, 1) AS j, unnest(q) AS b FROM pairs),
+step(pair, i, j, v) AS (SELECT pair, CAST(0 AS BIGINT), j, CAST(0 AS BIGINT) FROM qt UNION ALL
+  SELECT pair, i, j, max(greatest(v, d)) OVER (PARTITION BY pair ORDER BY j) FROM (
+    SELECT s.pair, pt.i, s.j, s.v, coalesce(lag(s.v) OVER (PARTITION BY s.pair ORDER BY s.j), 0) + CAST(pt.a = qt.b AS BIGINT) AS d
+    FROM step s JOIN pt ON pt.pair = s.pair AND pt.i = s.i + 1 JOIN qt ON qt.pair = s.pair AND qt.j = s.j)),
+lcs AS (SELECT record_id, mode, max(v) AS l FROM step JOIN pairs USING (pair) GROUP BY 1, 2)"""
+
+
+def _f1_of(common: str, p: str, r: str) -> str:
+    return f"CASE WHEN len({p}) = 0 AND len({r}) = 0 THEN 1 WHEN {common} = 0 THEN 0 ELSE 2.0 * {common} / (len({p}) + len({r})) END"
+
+
+def _shared(p: str, r: str) -> str:
+    count = lambda x: f"len(list_filter({x}, lambda u: u = t))"
+    return f"coalesce(list_sum(list_transform(list_distinct({p}), lambda t: least({count(p)}, {count(r)}))), 0)"
+
+
+@query(f"""WITH RECURSIVE {A.PREDICTIONS_SQL}, t AS (SELECT record_id, mode, question_type, {_TOKENS.format('response')} AS p, {_TOKENS.format('answer')} AS q FROM predictions),
+{_LCS_SQL}, c AS (SELECT t.*, coalesce(l, 0) AS k FROM t LEFT JOIN lcs USING (record_id, mode) WHERE question_type = 'open_ended') SELECT record_id, mode, round({_f1_of('k', 'p', 'q')}, 6) AS f1 FROM c""")
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ROUGE-L F1 of every open answer."""
     return _open(spark, sf_dir).select("record_id", "mode", F.round(T.rouge_l_f1(F.col("response"), F.col("answer")), 6).alias("f1"))
@@ -280,17 +300,48 @@ def normalize_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy(T.normalize_type(F.col("t")).alias("question_type")).agg(F.count("*").alias("n"))
 
 
-@query()
+_SCORED = f"""{A.PREDICTIONS_SQL}, t AS (SELECT *, {_TOKENS.format('response')} AS p, {_TOKENS.format('answer')} AS q, {_NUMBERS.format(_NORM.format('response'))} AS pn, {_NUMBERS.format(_NORM.format('answer'))} AS qn
+  FROM predictions), {_LCS_SQL}, o AS (SELECT record_id, mode, {_f1_of('k', 'p', 'q')} AS token_f1, {_f1_of('l', 'p', 'q')} AS rouge_l_f1, CASE WHEN len(pn) + len(qn) > 0 THEN {_f1_of('m', 'pn', 'qn')} END AS numeric_f1,
+  len(p) / greatest(len(q), 1) AS length_ratio FROM (SELECT *, {_shared('p', 'q')} AS k, coalesce(l, 0) AS l, {_shared('pn', 'qn')} AS m FROM t LEFT JOIN (SELECT record_id, mode, l FROM lcs) USING (record_id, mode) WHERE question_type = 'open_ended')),
+c AS (SELECT record_id, mode, {_CHOICE('a')} AS gold_choice, {_CHOICE('r')} AS pred_choice FROM ({_PREDICTED} WHERE question_type = 'multiple_choice')),
+v AS (SELECT record_id, mode, {_VERDICT('a')} AS gold_true_false, {_VERDICT('r')} AS pred_true_false FROM ({_PREDICTED} WHERE question_type = 'true_false')),
+scored AS (SELECT p.record_id, p.mode, p.question_type, p.loss, c.gold_choice, c.pred_choice, v.gold_true_false, v.pred_true_false, token_f1, rouge_l_f1, numeric_f1, length_ratio,
+  CASE WHEN gold_choice IS NOT NULL THEN CAST(pred_choice IS NOT DISTINCT FROM gold_choice AS DOUBLE) END AS choice_correct,
+  CASE WHEN gold_true_false IS NOT NULL THEN CAST(pred_true_false IS NOT DISTINCT FROM gold_true_false AS DOUBLE) END AS true_false_correct,
+  CASE p.question_type WHEN 'open_ended' THEN 0.5 * token_f1 + 0.5 * rouge_l_f1 WHEN 'multiple_choice' THEN choice_correct ELSE true_false_correct END AS primary_score
+  FROM predictions p LEFT JOIN c USING (record_id, mode) LEFT JOIN v USING (record_id, mode) LEFT JOIN o USING (record_id, mode))"""
+_NUMERIC = ["token_f1", "rouge_l_f1", "numeric_f1", "length_ratio", "primary_score"]
+
+
+def _normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions with normalized texts, which both engines' patterns read alike."""
+    df = A.predictions(spark, sf_dir)
+    return df.withColumns({c: T.normalize_text(F.col(c)) for c in ("answer", "response")})
+
+
+@query(f"""WITH RECURSIVE {_SCORED} SELECT record_id, mode, question_type, loss, gold_choice, pred_choice, gold_true_false, pred_true_false, {', '.join(f'round({c}, 6) AS {c}' for c in _NUMERIC)} FROM scored""")
 def score_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All scores of every prediction."""
-    columns = ["gold_choice", "pred_choice", "gold_true_false", "pred_true_false", "token_f1", "rouge_l_f1", "numeric_f1", "length_ratio", "primary_score"]
-    return scoring.score_predictions(A.predictions(spark, sf_dir)).select("record_id", "mode", "question_type", "loss", *columns)
+    """All scores of every prediction, of normalized texts."""
+    columns = ["gold_choice", "pred_choice", "gold_true_false", "pred_true_false"]
+    return scoring.score_predictions(_normalized(spark, sf_dir)).select("record_id", "mode", "question_type", "loss", *columns, *map(r6, _NUMERIC))
 
 
-@query()
+_MEANS = ["primary_score", "loss", "choice_correct", "true_false_correct", "token_f1", "rouge_l_f1", "numeric_f1"]
+
+
+@query(f"""WITH RECURSIVE {_SCORED} SELECT question_type, count(*) AS n, {', '.join(f'round(avg({c}), 6) AS {c}' for c in _MEANS)},
+CAST(count(*) FILTER (WHERE question_type = 'multiple_choice' AND pred_choice IS NULL OR question_type = 'true_false' AND pred_true_false IS NULL) AS BIGINT) AS unparsed FROM scored GROUP BY 1""")
 def scored_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of all scores by question type."""
-    return scoring.scored_report(scoring.score_predictions(A.predictions(spark, sf_dir)))
+    out = scoring.scored_report(scoring.score_predictions(_normalized(spark, sf_dir)))
+    return out.select("question_type", "n", *map(r6, _MEANS), "unparsed")
+
+
+@query(f"""WITH RECURSIVE {_SCORED}, k AS (SELECT question_type, count(*) AS n, avg(primary_score) AS p, sum(loss) AS l, count(loss) AS c FROM scored GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS n, round(avg(p), 6) AS macro_primary_score, round(sum(l) / sum(c), 6) AS loss FROM k""")
+def overall_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions, mean loss, and the mean of the types' mean primary scores."""
+    return scoring.overall_report(scoring.score_predictions(_normalized(spark, sf_dir))).select("n", r6("macro_primary_score"), r6("loss"))
 
 
 @query(f"""WITH {A.PREDICTIONS_SQL}, x AS (SELECT question_type, loss, CASE question_type WHEN 'true_false' THEN {_VERDICT('r')} IS NULL ELSE {_CHOICE('r')} IS NULL END AS u
@@ -450,15 +501,16 @@ def distribution_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Audits
 
 
-@query(f"""WITH {A.SCORES_SQL}, c AS (SELECT * FROM (VALUES (0)) LIMIT 0), x AS (
-  SELECT 'duplicate_keys' AS "check", 0 AS bad UNION ALL
+@query(f"""WITH {A.SCORES_SQL}, e AS (SELECT p.record_id, p.mode, r.dimension FROM predictions p JOIN rubric r USING (question_type)), x AS (
+  SELECT 'duplicate_keys' AS "check", count(*) AS bad FROM (SELECT 1 FROM scores GROUP BY record_id, mode, dimension HAVING count(*) > 1) UNION ALL
   SELECT 'score_not_numeric', count(*) FILTER (WHERE score IS NULL) FROM scores UNION ALL
   SELECT 'score_out_of_range', count(*) FILTER (WHERE score < 1 OR score > 5) FROM scores UNION ALL
   SELECT 'samples', count(*) FILTER (WHERE method LIKE 'exact_sample_mean_%') FROM scores UNION ALL
   SELECT 'missing_mass', count(*) FILTER (WHERE missing_score_mass_upper_bound > 1e-6) FROM scores UNION ALL
-  SELECT 'prompt_hash', 0 UNION ALL
+  SELECT 'prompt_hash', count(*) FILTER (WHERE NOT regexp_full_match(coalesce(prompt_sha256, ''), '[0-9a-f]{{64}}')) FROM scores UNION ALL
   SELECT 'method', count(*) FILTER (WHERE method = 'exact_sample_mean_5') FROM scores UNION ALL
-  SELECT 'unexpected', 0 UNION ALL SELECT 'missing', 0)
+  SELECT 'unexpected', count(*) FROM (SELECT record_id, mode, dimension FROM scores EXCEPT SELECT * FROM e) UNION ALL
+  SELECT 'missing', count(*) FROM (SELECT * FROM e EXCEPT SELECT record_id, mode, dimension FROM scores))
 SELECT "check", CAST(bad AS BIGINT) AS bad, bad = 0 AS ok FROM x""")
 def audit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All checks of the score table."""
@@ -468,9 +520,9 @@ def audit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {A.PREDICTIONS_SQL}, x AS (
-  SELECT 'duplicate_keys' AS "check", 0 AS bad UNION ALL SELECT 'empty_response', count(*) FILTER (WHERE loss < 1) FROM predictions UNION ALL
-  SELECT 'unexpected', 0 UNION ALL SELECT 'missing', count(*) FROM predictions WHERE mode = 'wo_windows' AND loss > 8 UNION ALL
+@query(f"""WITH {A.PREDICTIONS_SQL}, have AS (SELECT record_id, mode FROM predictions WHERE NOT (mode = 'wo_windows' AND loss > 8)), x AS (
+  SELECT 'duplicate_keys' AS "check", count(*) AS bad FROM (SELECT 1 FROM have GROUP BY record_id, mode HAVING count(*) > 1) UNION ALL SELECT 'empty_response', count(*) FILTER (WHERE loss < 1) FROM predictions UNION ALL
+  SELECT 'unexpected', count(*) FROM (SELECT * FROM have EXCEPT SELECT record_id, mode FROM predictions) UNION ALL SELECT 'missing', count(*) FROM predictions WHERE mode = 'wo_windows' AND loss > 8 UNION ALL
   SELECT 'record_ids', count(DISTINCT record_id) FROM predictions WHERE question_type = 'true_false')
 SELECT "check", CAST(bad AS BIGINT) AS bad, bad = 0 AS ok FROM x""")
 def audit_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -484,7 +536,8 @@ def audit_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {A.PREDICTIONS_SQL}, base AS (SELECT * FROM predictions WHERE mode = 'base'), n AS (SELECT series_file, count(*) AS n FROM base GROUP BY 1), x AS (
-  SELECT 'duplicate_keys' AS "check", 0 AS bad UNION ALL SELECT 'other_modes', 0 UNION ALL SELECT 'empty_response', 0 UNION ALL
+  SELECT 'duplicate_keys' AS "check", count(*) AS bad FROM (SELECT 1 FROM base GROUP BY record_id, mode HAVING count(*) > 1) UNION ALL SELECT 'other_modes', count(*) FILTER (WHERE mode <> 'base') FROM base UNION ALL
+  SELECT 'empty_response', count(*) FILTER (WHERE trim(response) = '') FROM base UNION ALL
   SELECT 'series', (SELECT count(DISTINCT conv_id) FROM conversations) - (SELECT count(*) FROM n) UNION ALL SELECT 'records_of_series', count(*) FILTER (WHERE n <> 2) FROM n)
 SELECT "check", CAST(bad AS BIGINT) AS bad, bad = 0 AS ok FROM x""")
 def audit_validation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .plans import files, runs  # noqa: F401  their queries register themselves
 from .plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -27,13 +27,16 @@ def _tokens(t: str) -> list[str]:
 
 
 def _lcs(a, b):
-    row = [0] * (len(b) + 1)
-    for x in a:
-        new = [0]
-        for j, y in enumerate(b):
-            new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
-        row = new
-    return row[-1]
+    """By trying all subsequences of the shorter list, longest first."""
+    from itertools import combinations
+
+    a, b = sorted((a, b), key=len)
+
+    def inside(picked):
+        rest = iter(b)
+        return all(t in rest for t in picked)
+
+    return next(n for n in range(len(a), -1, -1) if any(map(inside, combinations(a, n))))
 
 
 def test_rouge_and_token_f1_against_python(spark):
@@ -41,7 +44,7 @@ def test_rouge_and_token_f1_against_python(spark):
 
     rng = random.Random(5)
     words = ["a", "b", "c", "1.5", "x-y", "50%", "É", "!"]
-    pairs = [(" ".join(rng.choices(words, k=rng.randint(0, 12))), " ".join(rng.choices(words, k=rng.randint(0, 12)))) for _ in range(60)]
+    pairs = [(" ".join(rng.choices(words, k=rng.randint(0, 9))), " ".join(rng.choices(words, k=rng.randint(0, 9)))) for _ in range(60)]
     pairs += [("", ""), ("a", ""), ("", "a"), (None, "a"), ("a a a", "a a")]
     df = spark.createDataFrame(pairs, "p string, r string")
     for row in df.select("p", "r", T.token_f1(F.col("p"), F.col("r")).alias("f"), T.rouge_l_f1(F.col("p"), F.col("r")).alias("l")).collect():
