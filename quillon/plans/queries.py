@@ -310,6 +310,14 @@ scored AS (SELECT p.record_id, p.mode, p.question_type, p.loss, c.gold_choice, c
   CASE WHEN gold_true_false IS NOT NULL THEN CAST(pred_true_false IS NOT DISTINCT FROM gold_true_false AS DOUBLE) END AS true_false_correct,
   CASE p.question_type WHEN 'open_ended' THEN 0.5 * token_f1 + 0.5 * rouge_l_f1 WHEN 'multiple_choice' THEN choice_correct ELSE true_false_correct END AS primary_score
   FROM predictions p LEFT JOIN c USING (record_id, mode) LEFT JOIN v USING (record_id, mode) LEFT JOIN o USING (record_id, mode))"""
+#: Added before rounding, so that halves that the engines reach by different sums round alike.
+_NUDGE = 1e-9
+
+
+def _r6(c: str):
+    return F.round(F.col(c) + _NUDGE, 6).alias(c)
+
+
 _NUMERIC = ["token_f1", "rouge_l_f1", "numeric_f1", "length_ratio", "primary_score"]
 
 
@@ -319,22 +327,22 @@ def _normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumns({c: T.normalize_text(F.col(c)) for c in ("answer", "response")})
 
 
-@query(f"""WITH RECURSIVE {_SCORED} SELECT record_id, mode, question_type, loss, gold_choice, pred_choice, gold_true_false, pred_true_false, {', '.join(f'round({c}, 6) AS {c}' for c in _NUMERIC)} FROM scored""")
+@query(f"""WITH RECURSIVE {_SCORED} SELECT record_id, mode, question_type, loss, gold_choice, pred_choice, gold_true_false, pred_true_false, {', '.join(f'round({c} + {_NUDGE}, 6) AS {c}' for c in _NUMERIC)} FROM scored""")
 def score_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All scores of every prediction, of normalized texts."""
     columns = ["gold_choice", "pred_choice", "gold_true_false", "pred_true_false"]
-    return scoring.score_predictions(_normalized(spark, sf_dir)).select("record_id", "mode", "question_type", "loss", *columns, *map(r6, _NUMERIC))
+    return scoring.score_predictions(_normalized(spark, sf_dir)).select("record_id", "mode", "question_type", "loss", *columns, *map(_r6, _NUMERIC))
 
 
 _MEANS = ["primary_score", "loss", "choice_correct", "true_false_correct", "token_f1", "rouge_l_f1", "numeric_f1"]
 
 
-@query(f"""WITH RECURSIVE {_SCORED} SELECT question_type, count(*) AS n, {', '.join(f'round(avg({c}), 6) AS {c}' for c in _MEANS)},
+@query(f"""WITH RECURSIVE {_SCORED} SELECT question_type, count(*) AS n, {', '.join(f'round(avg({c}) + {_NUDGE}, 6) AS {c}' for c in _MEANS)},
 CAST(count(*) FILTER (WHERE question_type = 'multiple_choice' AND pred_choice IS NULL OR question_type = 'true_false' AND pred_true_false IS NULL) AS BIGINT) AS unparsed FROM scored GROUP BY 1""")
 def scored_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of all scores by question type."""
     out = scoring.scored_report(scoring.score_predictions(_normalized(spark, sf_dir)))
-    return out.select("question_type", "n", *map(r6, _MEANS), "unparsed")
+    return out.select("question_type", "n", *map(_r6, _MEANS), "unparsed")
 
 
 @query(f"""WITH RECURSIVE {_SCORED}, k AS (SELECT question_type, count(*) AS n, avg(primary_score) AS p, sum(loss) AS l, count(loss) AS c FROM scored GROUP BY 1)
