@@ -129,21 +129,26 @@ def series_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT series, k AS window_index, list_aggregate(list_transform(vals[k * 16 + 1 : k * 16 + 16], lambda x: printf('%.0f', CAST(CAST(x AS FLOAT) AS DOUBLE) * 100)), 'string_agg', ', ') AS text FROM w""")
 def window_slice_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of every 16-step window as text."""
-    df = A.series(spark, sf_dir).select("series", "values", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / 16).cast("int") - 1)).alias("k"))
-    cut = arrays.window(F.col("values"), F.col("k") * 16, F.col("k") * 16 + 16)
-    return df.select("series", F.col("k").cast("long").alias("window_index"), arrays.values_text(cut).alias("text"))
+    df = _windows(spark, sf_dir)
+    return df.select("series", "window_index", arrays.values_text(F.col("values")).alias("text"))
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series, window_index, values) of 16 steps each: no series is ever one row."""
+    points = A.series_points(spark, sf_dir).withColumn("window_index", F.floor(F.col("pos") / 16))
+    steps = points.groupBy("series", "window_index").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("steps"))
+    return steps.select("series", "window_index", F.transform("steps", lambda x: x["value"]).alias("values"))
 
 
 @query(f"""WITH {A.SERIES_SQL} SELECT series, CAST(ceil(n / 16.0) AS BIGINT) AS patches, CAST(ceil(n / 16.0) * 16 - n AS BIGINT) AS padding, round(list_sum(vals), 6) AS total FROM series""")
 def patch_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Padded patches of every series: their number, padding and total, and that all are valid."""
-    df = A.series(spark, sf_dir).withColumn("p", arrays.patches(F.col("values"), 16))
-    length = (F.ceil(F.col("n") / 16) * 16).cast("int")
-    valid = arrays.patch_mask(arrays.validity(F.col("values"), length), 16)
-    flat = F.flatten("p")
-    return df.select(
-        "series", F.size(F.filter(valid, lambda x: x)).cast("long").alias("patches"), (F.size(flat) - F.col("n")).cast("long").alias("padding"),
-        F.round(F.aggregate(flat, F.lit(0.0), lambda s, x: s + x), 6).alias("total"),
+    df = _windows(spark, sf_dir)
+    patch, mask = F.get(arrays.patches(F.col("values"), 16), F.lit(0)), arrays.validity(F.col("values"), 16)
+    df = df.select("series", patch.alias("patch"), mask.alias("mask"), F.get(arrays.patch_mask(mask, 16), F.lit(0)).alias("valid"))
+    return df.groupBy("series").agg(
+        F.count_if("valid").alias("patches"), F.sum(F.size("patch") - F.size(F.filter("mask", lambda x: x))).alias("padding"),
+        F.round(F.sum(F.aggregate("patch", F.lit(0.0), lambda s, x: s + x)), 6).alias("total"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,4 +57,24 @@ def load_split(spark: SparkSession, folder: str, split: str, seed: int = 42, sha
     return read_series(spark, folder, names)
 
 
-__all__ = ["list_names", "load_records", "load_split", "read_series", "records", "shuffled_names"]
+class SeriesCache:
+    """Series folders that are kept read, ``capacity`` at most; the one unused the longest goes first."""
+
+    def __init__(self, spark: SparkSession, capacity: int = 4):
+        self._spark, self._capacity = spark, capacity
+        self._held: dict[str, DataFrame] = {}
+
+    def get(self, folder: str) -> DataFrame:
+        df = self._held.pop(folder, None)
+        if df is None:
+            df = read_series(self._spark, folder).persist(StorageLevel.MEMORY_AND_DISK)
+        self._held[folder] = df
+        while len(self._held) > self._capacity:
+            self._held.pop(next(iter(self._held))).unpersist()
+        return df
+
+    def folders(self) -> list[str]:
+        return list(self._held)
+
+
+__all__ = ["SeriesCache", "list_names", "load_records", "load_split", "read_series", "records", "shuffled_names"]

@@ -45,3 +45,12 @@ def two_sinks(rows: DataFrame, finished: Column, done_path: str, pending_path: s
             out.unpersist()
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def progress(query: StreamingQuery) -> list[dict]:
+    """What a query has done so far: batch, rows of the batch, all rows, and its state."""
+    out, total = [], 0
+    for p in query.recentProgress:
+        total += p["numInputRows"]
+        out.append({"batch": p["batchId"], "rows": p["numInputRows"], "processed": total, "state": "active" if query.isActive else "done"})
+    return out
