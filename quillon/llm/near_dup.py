@@ -48,6 +48,8 @@ PERMUTATIONS = 2 * BANDED
 BLOCK = 1024
 #: Standard deviations below the threshold at which a signature still counts as near.
 SIGMAS = 4
+#: Parts of a class of equal sets.
+CLASS_PARTS = 32
 #: Members that are confirmed against one leader in one go.
 STAR_ROWS = 512
 
@@ -244,11 +246,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = cut(docs.mapInArrow(_sketch, _SKETCH), "sketch")
 
-    live = sketch.filter("set_key is not null and doc_id is not null")
-    classes = live.groupBy("set_key").agg(F.min("doc_id").alias("c"))
-    of_doc = live.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "c")
-    of_doc = cut(of_doc, "classes")
-    names = of_doc.select("c").distinct()
+    # A class is pre-aggregated in parts, and its documents learn its name by part: a
+    # class that holds a third of all rows isn't one task's work.
+    live = sketch.filter("set_key is not null and doc_id is not null").select("doc_id", "set_key", F.pmod(F.xxhash64("doc_id"), F.lit(CLASS_PARTS)).alias("part"))
+    parts = cut(live.groupBy("set_key", "part").agg(F.min("doc_id").alias("c")), "parts")
+    classes = cut(parts.groupBy("set_key").agg(F.min("c").alias("c")), "classes")
+    names = classes.select("c").distinct()
     reps = sketch.join(names, sketch.doc_id == names.c).dropDuplicates(["c"]).select("c", "bands", "sig")
 
     banded = reps.select("c", F.explode("bands").alias("band"))
@@ -266,7 +269,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = links.union(_confirmed(find(of_band, roots, sigs), texts))
         roots = connected_components(links)
 
-    comp = of_doc.join(roots, of_doc.c == roots.node, "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "c")).alias("component_id"))
+    named = classes.join(roots, classes.c == roots.node, "left").select("set_key", F.coalesce("root", "c").alias("root"))
+    named = cut(parts.select("set_key", "part").join(named, "set_key"), "named")
+    comp = live.join(named, ["set_key", "part"]).groupBy("doc_id").agg(F.min("root").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles").join(comp, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select(
