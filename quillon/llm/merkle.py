@@ -5,7 +5,7 @@ nodes one (an odd last node becomes the hash of itself) until one is left.
 
 1. Leaves are hashed in the JVM.  They are numbered in their language over ranges
    of (language, doc_id, leaf), so no task orders a language.
-2. Blocks of ``BLOCK`` consecutive leaves are reduced where they lie, one row a
+2. Blocks of 1024 consecutive leaves (``LEVELS``) are reduced where they lie, one row a
    block, whatever share of all rows a language has.
 3. Block roots make the upper tree.  While it has more than ``TOP`` nodes, it is
    reduced in blocks as well; what is left is built by the driver, and the paths
@@ -26,9 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, cut
 
-#: Levels that a block reduces, and its leaves.
+#: Levels that a block reduces; it has 2 ** LEVELS leaves.
 LEVELS = 10
-BLOCK = 1 << LEVELS
 #: Nodes of the upper tree that the driver may hold.
 TOP = 4096
 #: Rows are tampered with where this divides the crc32 of the id.
@@ -121,38 +120,41 @@ def _numbered(leaves: DataFrame) -> DataFrame:
     return ranges.join(starts, ["g", "range"]).select("g", place.cast("long").alias("i"), "n", F.col("leaf").alias("node"), "doc_id", "changed")
 
 
-_BLOCKS = "g string, block long, n long, nodes binary, ids array<long>, changed array<string>, root string"
-
-
-def _pack(key: tuple, rows: pa.Table) -> pa.Table:
-    """One row for a block of nodes: (g, i, n, node, doc_id, changed)."""
-    rows = rows.sort_by("i")
-    nodes = [x.encode() for x in rows.column("node").to_pylist()]
-    n = rows.column("n")[0].as_py()
-    root = tower(nodes, min(LEVELS, depth(n)))[-1][0].decode()
-    return pa.table(
-        {
-            "g": pa.array([key[0].as_py()], pa.string()),
-            "block": pa.array([key[1].as_py()], pa.int64()),
-            "n": pa.array([n], pa.int64()),
-            "nodes": pa.array([b"".join(map(bytes.fromhex, (x.decode() for x in nodes)))], pa.binary()),
-            "ids": pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-            "changed": pa.array([rows.column("changed").to_pylist()], pa.list_(pa.string())),
-            "root": pa.array([root], pa.string()),
-        }
-    )
+_BLOCKS = "g string, block long, n long, height long, nodes binary, ids array<long>, changed array<string>, root string"
+
+
+def _pack(levels: int):
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        """One row for a block of nodes: (g, i, n, node, doc_id, changed)."""
+        rows = rows.sort_by("i")
+        nodes = rows.column("node").to_pylist()
+        n = rows.column("n")[0].as_py()
+        height = min(levels, depth(n))
+        return pa.table(
+            {
+                "g": pa.array([key[0].as_py()], pa.string()),
+                "block": pa.array([key[1].as_py()], pa.int64()),
+                "n": pa.array([n], pa.int64()),
+                "height": pa.array([height], pa.int64()),
+                "nodes": pa.array([bytes.fromhex("".join(nodes))], pa.binary()),
+                "ids": pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+                "changed": pa.array([rows.column("changed").to_pylist()], pa.list_(pa.string())),
+                "root": pa.array([tower([x.encode() for x in nodes], height)[-1][0].decode()], pa.string()),
+            }
+        )
+
+    return pack
 
 
-def _blocks(nodes: DataFrame) -> DataFrame:
-    dealt = nodes.select("g", F.shiftright("i", LEVELS).alias("block"), "i", "n", "node", "doc_id", "changed")
-    return cut(dealt.groupBy("g", "block").applyInArrow(_pack, _BLOCKS), "blocks")
+def _blocks(nodes: DataFrame, levels: int) -> DataFrame:
+    dealt = nodes.select("g", F.shiftright("i", levels).alias("block"), "i", "n", "node", "doc_id", "changed")
+    return cut(dealt.groupBy("g", "block").applyInArrow(_pack(levels), _BLOCKS), "blocks")
 
 
 def _inner(row: dict) -> list[list[bytes]]:
     """The tower of a block."""
     raw = row["nodes"]
-    nodes = [raw[k : k + 32].hex().encode() for k in range(0, len(raw), 32)]
-    return tower(nodes, min(LEVELS, depth(row["n"])))
+    return tower([raw[k : k + 32].hex().encode() for k in range(0, len(raw), 32)], row["height"])
 
 
 def _driven(rows: list) -> list[tuple]:
@@ -172,17 +174,28 @@ def _driven(rows: list) -> list[tuple]:
 _PATHS = "g string, i long, path binary, subroot string, root string"
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Paths of the members of blocks whose own paths are known."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            levels = _inner(row)
-            out = [(row["g"], row["block"] * BLOCK + k, steps(levels, k) + row["path"], row["subroot"], row["root"]) for k in range(len(levels[0]))]
-            columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=["g", "i", "path", "subroot", "root"])
-
-
-def paths(spark: SparkSession, nodes: DataFrame, top: int = TOP) -> DataFrame:
+def _spread(size: int):
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Paths of the members of blocks (of ``size``) whose own paths are known."""
+        for batch in batches:
+            for row in batch.to_pylist():
+                inner = _inner(row)
+                n = len(inner[0])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([row["g"]] * n, pa.string()),
+                        pa.array([row["block"] * size + k for k in range(n)], pa.int64()),
+                        pa.array([steps(inner, k) + row["path"] for k in range(n)], pa.binary()),
+                        pa.array([row["subroot"]] * n, pa.string()),
+                        pa.array([row["root"]] * n, pa.string()),
+                    ],
+                    names=["g", "i", "path", "subroot", "root"],
+                )
+
+    return spread
+
+
+def paths(spark: SparkSession, nodes: DataFrame, top: int = TOP, levels: int = LEVELS) -> DataFrame:
     """``(g, i, path, subroot, root)`` for every node ``(g, i, n, node)``; ``n`` nodes a group."""
     count, widest = nodes.agg(F.count("*"), F.max("n")).first()
     if count <= top:
@@ -191,17 +204,18 @@ def paths(spark: SparkSession, nodes: DataFrame, top: int = TOP) -> DataFrame:
     if widest == 1:  # very many languages: their subroots are the nodes of one more tree
         subroots = _numbered(nodes.select(F.lit("").alias("g"), F.col("g").alias("doc_id"), F.col("node").alias("leaf"), F.lit(None).cast("string").alias("changed")))
         subroots = cut(subroots.select("g", "i", "n", "node", F.col("doc_id").alias("lang")), "subroots")
-        above = paths(spark, subroots.select("g", "i", "n", "node"), top).select("i", "path", "root")
+        above = paths(spark, subroots.select("g", "i", "n", "node"), top, levels).select("i", "path", "root")
         return subroots.join(above, "i").select(F.col("lang").alias("g"), F.lit(0).cast("long").alias("i"), "path", F.col("node").alias("subroot"), "root")
     empty = {"doc_id": F.lit(None).cast("long"), "changed": F.lit(None).cast("string")}
-    blocks = _blocks(nodes.withColumns(empty))
-    return _joined(spark, blocks, top).mapInArrow(_spread, _PATHS)
+    blocks = _blocks(nodes.withColumns(empty), levels)
+    return _joined(spark, blocks, top, levels).mapInArrow(_spread(1 << levels), _PATHS)
 
 
-def _joined(spark: SparkSession, blocks: DataFrame, top: int) -> DataFrame:
+def _joined(spark: SparkSession, blocks: DataFrame, top: int, levels: int) -> DataFrame:
     """Blocks with the paths of their roots."""
-    roots = blocks.select("g", F.col("block").alias("i"), F.ceil(F.col("n") / BLOCK).cast("long").alias("n"), F.col("root").alias("node"))
-    above = paths(spark, roots, top).withColumnRenamed("i", "block")
+    up = F.shiftright(F.col("n") + ((1 << levels) - 1), levels)
+    roots = blocks.select("g", F.col("block").alias("i"), up.alias("n"), F.col("root").alias("node"))
+    above = paths(spark, roots, top, levels).withColumnRenamed("i", "block")
     return blocks.drop("root").join(above, ["g", "block"])
 
 
@@ -233,7 +247,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def manifest(docs: DataFrame, top: int = TOP) -> DataFrame:
+def manifest(docs: DataFrame, top: int = TOP, levels: int = LEVELS) -> DataFrame:
     """``(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified)`` for every row of ``docs``.
 
     Reads doc_id, source, lang, n_chars and text; other columns may be there.
@@ -244,5 +258,5 @@ def manifest(docs: DataFrame, top: int = TOP) -> DataFrame:
     proof is the hash of nothing.  An empty table gives an empty result.
     """
     leaves = cut(leaves_of(docs), "leaves")
-    blocks = _blocks(_numbered(leaves))
-    return _joined(docs.sparkSession, blocks, top).mapInArrow(_finish, _ROWS)
+    blocks = _blocks(_numbered(leaves), levels)
+    return _joined(docs.sparkSession, blocks, top, levels).mapInArrow(_finish, _ROWS)

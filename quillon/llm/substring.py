@@ -260,24 +260,24 @@ class Reference:
         """First document of each window of a segment, by greedy factors; windows without a match are indexed."""
         m = len(words) - WINDOW + 1
         first, i = [doc] * m, 0
+        self.words.append(words)
         while i < m:
             seed = tuple(words[i : i + WINDOW])
             found = self.index.get(seed)
             if found is None:
-                self.index[seed] = (doc, len(self.words), i)
+                self.index[seed] = (doc, len(self.words) - 1, i)
                 i += 1
                 continue
             of, k, at = found
             source, length = self.words[k], WINDOW
             while i + length < len(words) and at + length < len(source) and words[i + length] == source[at + length]:
                 seed = tuple(words[i + length - WINDOW + 1 : i + length + 1])
-                if self.index[seed][0] < of:
+                if self.index.get(seed, found)[0] < of:
                     break  # an even earlier document has the window that begins here: another factor
                 length += 1
             for j in range(i, i + length - WINDOW + 1):
                 first[j] = of
             i += length - WINDOW + 1  # the first window that crosses the factor's end
-        self.words.append(words)
         return first
 
 

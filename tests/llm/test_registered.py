@@ -25,7 +25,7 @@ def test_query_equals_sql(spark, name):
 
 def test_all_are_registered():
     names = set(__spark_entry__.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if n in queries.QUERIES}
     assert names >= {*queries.QUERIES, "pipeline"} and set(__spark_entry__.oracle_sql()) <= names
 
 
@@ -35,6 +35,7 @@ COLUMNS = {
     "op7_fingerprint": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
     "op8_quality": "doc_id held_out score predicted", "op9_decontaminate": "doc_id item_id edits item_words start end",
     "op10_lm_scores": "doc_id held_out n_tokens n_known base_score score train_tokens",
+    "op11_merkle": "doc_id leaf subroot root proof_sha256 folded_root verified", "op13_substring": "doc_id n_words n_removed kept_sha256",
 }
 
 
