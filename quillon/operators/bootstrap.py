@@ -1,17 +1,27 @@
-"""Bootstrap confidence intervals of a mean, exact and native."""
+"""Bootstrap confidence intervals of a mean.
+
+Three ways to draw.  ``split_intervals`` is the one for large data: a resample is
+the multinomial count of each value, taken from a tree that splits the draws, and
+only sums of rounds are shuffled.  ``exact_intervals`` has the draws of Python's
+seeded generator, in its order.  ``hashed_intervals`` draws by MD5, which SQL can
+repeat; it sends a row for each value and round.
+"""
 
 from __future__ import annotations
 
-import random
-from collections.abc import Callable
+import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed values of the native draw: a multiplicative hash of (seed, round, position).
-_A, _B, _C, _M = 7_919, 104_729, 1_299_709, 2_147_483_647
+from .generator import accepted, stream
+from .sampling import numbered, placed
+
+#: Rounds in a row of sums, and words of the generator in a block.
+SLICE, BLOCK = 500, 1 << 20
 
 
 def interval_indices(samples: int, alpha: float = 0.05, closed: bool = False) -> tuple[int, int]:
@@ -20,50 +30,174 @@ def interval_indices(samples: int, alpha: float = 0.05, closed: bool = False) ->
     return max(0, int(alpha / 2 * top)), min(samples - 1, int((1 - alpha / 2) * top))
 
 
-def mean_interval(values: list[float], samples: int, seed: int, alpha: float = 0.05, closed: bool = False, choice: bool = False) -> tuple[float, float, float] | None:
-    """Mean and bounds with the draws of Python's generator; the order of values matters."""
-    clean = [float(v) for v in values if v is not None and v == v]
-    if not clean:
-        return None
-    mean = sum(clean) / len(clean)
-    if len(clean) == 1 or samples <= 0:
-        return mean, mean, mean
-    rng, n = random.Random(seed), len(clean)
-    draw = (lambda: rng.choice(range(n))) if choice else (lambda: rng.randrange(n))
-    array = np.array(clean)
-    means = sorted(float(array[[draw() for _ in range(n)]].sum() / n) for _ in range(samples))
-    low, high = interval_indices(samples, alpha, closed)
-    return mean, means[low], means[high]
+def _clean(df: DataFrame, group: str, value: str, *more: str) -> DataFrame:
+    """Rows with a value, as ``_v``; the group also as a text that is never null, ``_k``."""
+    v = F.col(value).cast("double")
+    key = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("null"))
+    return df.filter(v.isNotNull() & ~F.isnan(v)).select(F.col(group), key.alias("_k"), (v + 0.0).alias("_v"), *more)
 
 
-def exact_intervals(
-    df: DataFrame, group: str, value: str, order: list[str], samples: int = 1000, seed: int = 72, closed: bool = False, choice: bool = False, seeds: dict[str, int] | None = None
-) -> DataFrame:
-    """``(group, n, mean, low, high)`` with Python's draws, one group a task.
+def _bounds(of: DataFrame, means: DataFrame, group: str, samples: int, closed: bool) -> DataFrame:
+    """``(group, n, mean, low, high)`` from ``of`` (group, _k, n, mean) and the rounds' means (_k, _m)."""
+    if samples <= 0:
+        return of.select(group, "n", "mean", F.col("mean").alias("low"), F.col("mean").alias("high"))
+    low, high = interval_indices(samples, closed=closed)
+    bounds = means.groupBy("_k").agg(F.array_sort(F.collect_list("_m")).alias("_s"))  # ``samples`` numbers a group
+    bounds = bounds.select("_k", F.get("_s", F.lit(low)).alias("low"), F.get("_s", F.lit(high)).alias("high"))
+    return of.join(bounds, "_k").select(group, "n", "mean", "low", "high")
+
 
-    The draws index into the group's values in ``order``, so a group is one
-    worker's work by definition; groups here are the differences of one mode.
-    ``seeds`` names a seed for each group.
+class Splits:
+    """Draws of a resample below each place, for all rounds at once.
+
+    ``n`` draws fall on the places 0..n-1.  A node is a range whose size is a
+    power of two (cut at n); how many of its draws fall on its left half is a
+    binomial number from a generator that the seed, the group and the node name.
+    So any task can tell the draws on any range of places, and all tasks agree.
+    """
+
+    def __init__(self, seed: int, key: str, n: int, rounds: int):
+        self._name, self.n, self.rounds = f"{seed}|{n}|{key}|", n, rounds
+        self._path = [(0, 1 << max(n - 1, 0).bit_length(), np.full(rounds, n, np.int64), np.zeros(rounds, np.int64))]
+
+    def _left(self, a: int, size: int, draws: np.ndarray) -> np.ndarray:
+        end, mid = min(a + size, self.n), a + size // 2
+        if mid >= end:
+            return draws
+        key = int.from_bytes(hashlib.blake2b(f"{self._name}{a}|{size}".encode(), digest_size=16).digest(), "little")
+        return np.random.Generator(np.random.Philox(key=key)).binomial(draws, (mid - a) / (end - a))
+
+    def below(self, x: int) -> np.ndarray:
+        """Draws on places below ``x``, a number a round; best asked in ascending order."""
+        path = self._path
+        while len(path) > 1 and not path[-1][0] < x < path[-1][0] + path[-1][1]:
+            path.pop()  # what is kept are the nodes that hold x inside
+        while True:
+            a, size, draws, before = path[-1]
+            if x <= a:
+                return before
+            if x >= min(a + size, self.n):
+                return before + draws
+            left, half = self._left(a, size, draws), size // 2
+            path.append((a, half, left, before) if x <= a + half else (a + half, half, draws - left, before + left))
+
+
+_SUMS = "_k string, _slice int, _sums array<double>"
+
+
+def _weighted(seed: int, rounds: int):
+    def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums over a task's values of value times weight, round by round, for each group."""
+        sums: dict[str, np.ndarray] = {}
+        splits: dict[str, Splits] = {}
+        for batch in batches:
+            for key, value, m, start, n in zip(*(batch.column(c).to_pylist() for c in ("_k", "_v", "_m", "_start", "_n")), strict=True):
+                if key not in sums:
+                    sums[key], splits[key] = np.zeros(rounds), Splits(seed, key, n, rounds)
+                s = splits[key]
+                low = s.below(start)
+                sums[key] += value * (s.below(start + m) - low)
+        for key, total in sums.items():
+            parts = [total[k : k + SLICE] for k in range(0, rounds, SLICE)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([key] * len(parts)), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.list_(pa.float64()))], names=["_k", "_slice", "_sums"]
+            )
+
+    return weighted
+
+
+def split_intervals(df: DataFrame, group: str, value: str, samples: int = 10_000, seed: int = 72, closed: bool = False) -> DataFrame:
+    """``(group, n, mean, low, high)``: independent resamples without copies of the values.
+
+    Equal values are one row with their number; it takes as many of a group's
+    places, in the order of values.  Each round is a weight of that row: the draws
+    on its places.  Tasks send sums of weighted values, ``samples`` numbers for
+    each group that they hold, whatever the rows.  The same data give the same
+    draws, whatever the partitions.  Null and NaN values don't count; a group
+    without values has no row, and one with a single value has it as both bounds.
     """
-    first, *_ = [f.dataType.simpleString() for f in df.schema.fields if f.name == group]
+    tally = _clean(df, group, value).groupBy(group, "_k", "_v").agg(F.count("*").alias("_m"))
+    places = placed(tally, ["_k"], ["_v"], "_m", "_start", "_n")
+    of = places.groupBy(group, "_k").agg(F.max("_n").alias("n"), (F.sum(F.col("_v") * F.col("_m")) / F.max("_n")).alias("mean"))
+    if samples <= 0:
+        return _bounds(of, of, group, samples, closed)
+    sums = places.select("_k", "_v", "_m", "_start", "_n").sortWithinPartitions("_k", "_start").mapInArrow(_weighted(seed, samples), _SUMS)
+    rounds = sums.select("_k", "_slice", F.posexplode("_sums").alias("_i", "_x")).groupBy("_k", "_slice", "_i").agg(F.sum("_x").alias("_x"))
+    means = rounds.join(of.select("_k", "n"), "_k").select("_k", (F.col("_x") / F.col("n")).alias("_m"))
+    return _bounds(of, means, group, samples, closed)
+
+
+_DRAWS = "_k string, _b long, _i long"
+
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values(order, kind="stable")[value].tolist()
-        found = mean_interval(values, samples, (seeds or {}).get(key[0], seed), closed=closed, choice=choice)
-        return pd.DataFrame([] if found is None else [(key[0], len(values), *found)], columns=[group, "n", "mean", "low", "high"])
+def _tries(size: int, only_count: bool):
+    """Accepted draws of blocks (_k, n, _seed, _block, ...) of the generator: their number, or one by one."""
 
-    return df.select(group, value, *order).groupBy(group).applyInPandas(run, f"{group} {first}, n long, mean double, low double, high double")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [len(accepted(stream(r["_seed"], r["_block"] * size).random_raw(size), r["n"])) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.int64())], names=[*batch.schema.names, "_got"])
 
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                places = accepted(stream(r["_seed"], r["_block"] * size).random_raw(size), r["n"])
+                order = np.arange(len(places)) + r["_before"]
+                for k in range(0, len(places), 1 << 16):
+                    i, g = places[k : k + (1 << 16)], order[k : k + (1 << 16)]
+                    i, g = i[g < r["_need"]], g[g < r["_need"]]
+                    yield pa.RecordBatch.from_arrays([pa.array([r["_k"]] * len(i), pa.string()), pa.array(g // r["n"]), pa.array(i)], names=["_k", "_b", "_i"])
 
-def native_draw(round_: Column, position: Column, n: Column, seed: int) -> Column:
-    """A place in 0..n-1 for each round and position, by whole-number arithmetic.
+    return count if only_count else draw
 
-    This is one linear map of round and position, so rounds are shifts of one
-    lattice and no independent resamples: intervals from it can be far too wide
-    or too narrow.  It stays for the query whose SQL shares it.
+
+def generator_draws(of: DataFrame, samples: int, seed: int, seeds: dict[str, int] | None = None, block: int = BLOCK) -> DataFrame:
+    """``(_k, _b, _i)``: places that Python's generator draws for each round, for groups ``of`` (_k, n).
+
+    A group's stream is cut in blocks of words.  Each block is made twice, by
+    whatever task: first its accepted draws are counted, and the sums of the
+    blocks before tell the number of its first draw; then they are sent.
     """
-    mixed = (round_ * _A + position * _B + F.lit(seed) * _C) % _M
-    return ((mixed * 48_271) % _M * 16_807 % _M) % n
+    need = F.col("n") * samples
+    # A try is accepted with a chance of n / 2 ** bits; two blocks and 2 % more than expected are ample.
+    tries = F.pow(F.lit(2.0), F.floor(F.log2("n")) + 1) * samples
+    blocks = F.ceil(tries * 1.02 / block).cast("long") + 2
+    own = F.lit(seed)
+    for name, other in (seeds or {}).items():
+        own = F.when(F.col("_k") == f"={name}", other).otherwise(own)
+    of = of.select("_k", "n", need.cast("long").alias("_need"), own.cast("long").alias("_seed"), blocks.alias("_blocks"))
+    rows = of.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).repartition("_k", "_block")
+    rows = rows.mapInArrow(_tries(block, True), "_k string, n long, _need long, _seed long, _blocks long, _block long, _got long")
+    # A row a block: their sums are cheap, whatever the draws.
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("_k").orderBy("_block")
+    before = F.coalesce(F.sum("_got").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumns({"_before": before, "_all": F.sum("_got").over(Window.partitionBy("_k"))})
+    enough = F.when(F.col("_all") >= F.col("_need"), F.col("_need")).otherwise(F.raise_error(F.lit("too few draws in the blocks of the generator")).cast("long"))
+    rows = rows.withColumn("_need", enough).filter("_before < _need").repartition("_k", "_block")
+    return rows.mapInArrow(_tries(block, False), _DRAWS)
+
+
+def exact_intervals(
+    df: DataFrame, group: str, value: str, order: list[str], samples: int = 1000, seed: int = 72, closed: bool = False, seeds: dict[str, int] | None = None, block: int = BLOCK
+) -> DataFrame:
+    """``(group, n, mean, low, high)`` with the draws of ``random.Random(seed)`` in their order.
+
+    Round by round, n draws below n index the group's values in ``order``.  The
+    draws of a group are made in blocks by many tasks and joined with the numbered
+    values, so neither is one task's work.  ``seeds`` names a seed for each group
+    (by its text).  At most 2 ** 32 - 1 values a group.
+    """
+    more = [c for c in order if c != group]
+    v = numbered(_clean(df, group, value, *more), ["_k", *more], "_g")
+    of = v.groupBy(group, "_k").agg(F.count("*").alias("n"), F.min("_g").alias("_first"), F.avg("_v").alias("mean"))
+    if samples <= 0:
+        return _bounds(of, of, group, samples, closed)
+    v = v.join(of.select("_k", "_first"), "_k").select("_k", "_v", (F.col("_g") - F.col("_first")).alias("_i"))
+    draws = generator_draws(of.select("_k", "n"), samples, seed, seeds, block)
+    means = draws.join(v, ["_k", "_i"]).groupBy("_k", "_b").agg(F.avg("_v").alias("_m"))
+    return _bounds(of, means, group, samples, closed)
 
 
 def hashed_draw(group: Column, round_: Column, position: Column, n: Column, seed: int) -> Column:
@@ -73,26 +207,18 @@ def hashed_draw(group: Column, round_: Column, position: Column, n: Column, seed
 
 
 def hashed_intervals(df: DataFrame, group: str, value: str, order: list[str], samples: int = 1000, seed: int = 72, closed: bool = False) -> DataFrame:
-    """``(group, n, mean, low, high)`` in DataFrame functions, by independent draws."""
-    return native_intervals(df, group, value, order, samples, seed, lambda *a: hashed_draw(F.col(group), *a), closed)
-
-
-def native_intervals(df: DataFrame, group: str, value: str, order: list[str], samples: int = 200, seed: int = 72, draw: Callable[..., Column] = native_draw, closed: bool = False) -> DataFrame:
-    """``(group, n, mean, low, high)`` in DataFrame functions.
+    """``(group, n, mean, low, high)`` in DataFrame functions, by independent draws.
 
     Values are numbered over the table, group by group, without ordering a group
     in one task; each round joins its draws back to them.  ``samples`` rows a
-    value pass the join, which is partitioned by group and place.
+    value pass the join, partitioned by group and place: for much data use
+    :func:`split_intervals`.
     """
-    from .sampling import numbered
-
-    v = numbered(df.filter(F.col(value).isNotNull()).select(group, F.col(value).alias("_v"), *[c for c in order if c != group]), [group, *order], "_g")
-    of = v.groupBy(group).agg(F.count("*").alias("_n"), F.min("_g").alias("_first"), F.avg("_v").alias("mean"))
-    v = v.join(of, group).select(group, "_v", "_n", (F.col("_g") - F.col("_first")).alias("_i"))
-    rounds = v.select(group, "_i", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long"))).alias("_b"))
-    drawn = rounds.select(group, "_b", draw(F.col("_b"), F.col("_i"), F.col("_n"), seed).alias("_i"))
-    means = drawn.join(v.select(group, "_i", "_v"), [group, "_i"]).groupBy(group, "_b").agg(F.avg("_v").alias("_m"))
-    low, high = interval_indices(samples, closed=closed)
-    bounds = means.groupBy(group).agg(F.array_sort(F.collect_list("_m")).alias("_s"))  # ``samples`` numbers a group
-    bounds = bounds.select(group, F.get("_s", F.lit(low)).alias("low"), F.get("_s", F.lit(high)).alias("high"))
-    return of.select(group, F.col("_n").alias("n"), "mean").join(bounds, group)
+    more = [c for c in order if c != group]
+    v = numbered(_clean(df, group, value, *more), ["_k", *more], "_g")
+    of = v.groupBy(group, "_k").agg(F.count("*").alias("n"), F.min("_g").alias("_first"), F.avg("_v").alias("mean"))
+    v = v.join(of.select("_k", "n", "_first"), "_k").select(group, "_k", "_v", "n", (F.col("_g") - F.col("_first")).alias("_i"))
+    rounds = v.select(group, "_k", "_i", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long"))).alias("_b"))
+    drawn = rounds.select("_k", "_b", hashed_draw(F.col(group), F.col("_b"), F.col("_i"), F.col("n"), seed).alias("_i"))
+    means = drawn.join(v.select("_k", "_i", "_v"), ["_k", "_i"]).groupBy("_k", "_b").agg(F.avg("_v").alias("_m"))
+    return _bounds(of, means, group, samples, closed)

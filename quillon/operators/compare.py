@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import text_similarity
+from ..scratch import written
 from . import bootstrap
 from .latest import latest
 from .scoring import score_predictions
+from .selection import exact_medians
 
 PREDICTION = ["record_id", "mode"]
 SCORE = ["record_id", "mode", "dimension"]
@@ -58,17 +60,22 @@ def bucket_seeds(pairs: DataFrame, seed: int) -> dict[str, int]:
     return {"overall": seed, "changed": seed + 1, "unchanged": seed + 2} | {f"dimension/{d}": seed + 10 + i for i, d in enumerate(dimensions)}
 
 
-def delta_intervals(pairs: DataFrame, samples: int = 5000, seed: int = 72, exact: bool = False) -> DataFrame:
+def delta_intervals(pairs: DataFrame, samples: int = 5000, seed: int = 72, draws: str = "split") -> DataFrame:
     """``(bucket, n, mean, low, high)``: the mean difference of each bucket and its interval.
 
-    Bounds are the means at 2.5 and 97.5 percent of samples - 1.  ``exact`` draws
-    with Python's generator, a bucket a task, with a seed of its own each; else
-    draws are hashes of bucket, round and place, in DataFrame functions.
+    Bounds are the means at 2.5 and 97.5 percent of samples - 1.  ``draws`` are
+    ``split`` (counts from a splitting tree, for data of any size), ``exact`` (of
+    Python's generator, with a seed of its own for each bucket) or ``hashed``
+    (hashes of bucket, round and place, which SQL can repeat).
     """
     rows = in_buckets(pairs).select("bucket", "delta", *SCORE)
-    if exact:
-        return bootstrap.exact_intervals(rows, "bucket", "delta", SCORE, samples, seed, closed=True, choice=True, seeds=bucket_seeds(pairs, seed))
-    return bootstrap.hashed_intervals(rows, "bucket", "delta", SCORE, samples, seed, closed=True)
+    if draws == "split":
+        return bootstrap.split_intervals(rows, "bucket", "delta", samples, seed, closed=True)
+    if draws == "exact":
+        return bootstrap.exact_intervals(rows, "bucket", "delta", SCORE, samples, seed, closed=True, seeds=bucket_seeds(pairs, seed))
+    if draws == "hashed":
+        return bootstrap.hashed_intervals(rows, "bucket", "delta", SCORE, samples, seed, closed=True)
+    raise ValueError(f"unknown draws: {draws}")
 
 
 def same_types(pairs: DataFrame) -> DataFrame:
@@ -94,13 +101,19 @@ def summarize_predictions(pairs: DataFrame) -> DataFrame:
 
     A missing primary score is left out on its side only.
     """
-    like = [F.avg("similarity").alias("mean_similarity"), F.median("similarity").alias("median_similarity")] if "similarity" in pairs.columns else []
-    return pairs.groupBy(F.col("left_question_type").alias("question_type")).agg(
+    like = [F.avg("similarity").alias("mean_similarity")] if "similarity" in pairs.columns else []
+    if like:  # read twice: for means and for the median
+        pairs = written(pairs, "pairs")
+    out = pairs.groupBy(F.col("left_question_type").alias("question_type")).agg(
         F.count("*").alias("n"), F.count_if("same").alias("exact"), F.count_if(~F.col("same")).alias("changed"),
         F.avg(F.length("left_response")).alias("left_length"), F.avg(F.length("right_response")).alias("right_length"),
         F.avg("left_primary_score").alias("left_score"), F.avg("right_primary_score").alias("right_score"),
         (F.avg("right_primary_score") - F.avg("left_primary_score")).alias("score_delta"), *like,
     )
+    if not like:
+        return out
+    medians = exact_medians(pairs, "left_question_type", "similarity").select("left_question_type", F.col("median").alias("median_similarity"))
+    return out.join(medians, F.col("question_type").eqNullSafe(F.col("left_question_type")), "left").drop("left_question_type")
 
 
 def overlap_fraction(left: DataFrame, right: DataFrame) -> DataFrame:

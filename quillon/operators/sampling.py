@@ -54,6 +54,23 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return out.withColumn(name, place.cast("long")).select(*df.columns, name)
 
 
+def placed(df: DataFrame, by: list[str], order: list[str], weight: str, name: str, total: str) -> DataFrame:
+    """``df`` with ``name``, the weights before each row in its group, and ``total``, the group's weight.
+
+    Like :func:`numbered`, by ranges that are written once: a group of any size is
+    many tasks' work.  Rows are unique in (by, order); the columns of ``by`` are
+    not null.
+    """
+    ranges = written(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    group = Window.partitionBy(*by)
+    per = ranges.groupBy(*by, "_range").agg(F.sum(weight).alias("_w"))  # a row a range and group in it
+    before = F.sum("_w").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = per.select(*by, "_range", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_w").over(group).alias(total))
+    inside = F.sum(weight).over(Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    out = ranges.join(starts, [*by, "_range"])
+    return out.withColumn(name, (F.col("_before") + F.coalesce(inside, F.lit(0))).cast("long")).select(*df.columns, name, total)
+
+
 def stride_shards(df: DataFrame, world: int, order: list[str]) -> DataFrame:
     """``df`` with ``rank``: rows dealt in turn, in order."""
     return numbered(df, order, "rank").withColumn("rank", F.pmod("rank", F.lit(world)))

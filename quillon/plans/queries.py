@@ -76,19 +76,10 @@ def bootstrap_ci_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap.exact_intervals(diffs, "mode", "diff", ["record_id"], samples=1000)
 
 
-_DRAW = "((((b * 7919 + i * 104729 + 72 * 1299709) % 2147483647) * 48271) % 2147483647 * 16807 % 2147483647) % n"
-
-
-@query(f"""WITH {_FINALS}, v AS (
-  SELECT o.mode, o.final - b.final AS v, row_number() OVER (PARTITION BY o.mode ORDER BY o.record_id) - 1 AS i, count(*) OVER (PARTITION BY o.mode) AS n
-  FROM finals o JOIN finals b ON o.record_id = b.record_id AND b.mode = 'base' WHERE o.mode <> 'base'
-), d AS (SELECT mode, b, {_DRAW} AS i FROM v, range(200) AS r(b)), m AS (SELECT d.mode, b, avg(v.v) AS m FROM d JOIN v ON d.mode = v.mode AND d.i = v.i GROUP BY 1, 2),
-s AS (SELECT mode, list(m ORDER BY m) AS s FROM m GROUP BY 1)
-SELECT mode, any_value(n) AS n, round(avg(v), 6) AS mean, round(any_value(s.s[6]), 6) AS low, round(any_value(s.s[196]), 6) AS high FROM v JOIN s USING (mode) GROUP BY mode""")
-def bootstrap_ci_native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals of the paired differences with arithmetic draws, in DataFrame functions."""
-    diffs = tables.paired_differences(A.scores(spark, sf_dir))
-    return bootstrap.native_intervals(diffs, "mode", "diff", ["record_id"], samples=200).select("mode", "n", r6("mean"), r6("low"), r6("high"))
+@query()
+def bootstrap_ci_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of the paired differences from 10,000 rounds of split counts."""
+    return bootstrap.split_intervals(tables.paired_differences(A.scores(spark, sf_dir)), "mode", "diff", samples=10_000)
 
 
 _HASHED = "CAST('0x' || substr(md5('72|' || mode || '|' || b || '|' || i), 1, 15) AS BIGINT) % n"

@@ -35,13 +35,19 @@ m AS (SELECT d.bucket, b, avg(v.v) AS m FROM d JOIN v ON d.bucket = v.bucket AND
 round(any_value(s.s[{int(0.975 * (_SAMPLES - 1)) + 1}]), 6) AS high FROM v JOIN s USING (bucket) GROUP BY bucket""")
 def compare_delta_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean difference of two runs and its interval: overall, changed, unchanged and each dimension."""
-    return compare.delta_intervals(_pairs(spark, sf_dir), _SAMPLES).select("bucket", "n", r6("mean"), r6("low"), r6("high"))
+    return compare.delta_intervals(_pairs(spark, sf_dir), _SAMPLES, draws="hashed").select("bucket", "n", r6("mean"), r6("low"), r6("high"))
+
+
+@query()
+def compare_delta_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with 5,000 rounds of split counts, of which only sums are shuffled."""
+    return compare.delta_intervals(_pairs(spark, sf_dir), 5000)
 
 
 @query()
 def compare_delta_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with the draws of Python's generator, a seed a bucket."""
-    return compare.delta_intervals(_pairs(spark, sf_dir), 1000, exact=True)
+    return compare.delta_intervals(_pairs(spark, sf_dir), 1000, draws="exact")
 
 
 @query(f"""WITH {_TWO_RUNS}, l AS (SELECT record_id, mode FROM predictions WHERE loss < 11), r AS (SELECT record_id, mode FROM predictions WHERE loss > 1),

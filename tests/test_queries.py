@@ -7,6 +7,7 @@ from collections import Counter
 
 import pytest
 from oracle import assert_same
+from pyspark.sql import functions as F
 
 from quillon import registry
 from quillon.functions import text as T
@@ -40,8 +41,6 @@ def _lcs(a, b):
 
 
 def test_rouge_and_token_f1_against_python(spark):
-    from pyspark.sql import functions as F
-
     rng = random.Random(5)
     words = ["a", "b", "c", "1.5", "x-y", "50%", "É", "!"]
     pairs = [(" ".join(rng.choices(words, k=rng.randint(0, 9))), " ".join(rng.choices(words, k=rng.randint(0, 9)))) for _ in range(60)]
@@ -54,21 +53,46 @@ def test_rouge_and_token_f1_against_python(spark):
             assert value == pytest.approx(expected)
 
 
-def test_exact_bootstrap_matches_its_definition(spark):
-    rows = [("m", f"r{i}", float(i % 7)) for i in range(30)]
+def drawn(values: list[float], samples: int, seed: int, pick: str = "randrange") -> list[float]:
+    """Sorted means of resamples by Python's generator."""
+    rng = random.Random(seed)
+    draw = (lambda: values[rng.randrange(len(values))]) if pick == "randrange" else (lambda: rng.choice(values))
+    return sorted(sum(draw() for _ in values) / len(values) for _ in range(samples))
+
+
+@pytest.mark.parametrize("block", [64, bootstrap.BLOCK])
+def test_exact_bootstrap_is_that_of_the_generator(spark, block):
+    rng = random.Random(1)
+    rows = [(m, f"r{i}", rng.gauss(0, 1)) for m, n in (("a", 30), ("b", 64), ("one", 1), (None, 17)) for i in range(n)]
+    rows += [("a", "x", None), ("none", "x", None), ("a", "y", float("nan"))]
     df = spark.createDataFrame(rows, "mode string, record_id string, diff double")
-    got = bootstrap.exact_intervals(df, "mode", "diff", ["record_id"], samples=100).first()
-    values = [v for _, _, v in sorted(rows, key=lambda r: r[1])]
+    out = bootstrap.exact_intervals(df.repartition(3), "mode", "diff", ["record_id"], samples=100, seeds={"b": 9}, block=block)
+    got = {r["mode"]: r for r in out.collect()}
+    assert set(got) == {"a", "b", "one", None}
+    for m, r in got.items():
+        values = [v for g, _, v in sorted((x for x in rows if x[0] == m and x[2] is not None and x[2] == x[2]), key=lambda x: x[1])]
+        means = drawn(values, 100, 9 if m == "b" else 72, "choice" if m == "b" else "randrange")
+        assert r.n == len(values) and (r["mean"], r.low, r.high) == pytest.approx((sum(values) / len(values), means[2], means[97]))
+    assert bootstrap.exact_intervals(df.limit(0), "mode", "diff", ["record_id"], samples=10).count() == 0
+
+
+def test_exact_draws_of_one_group_come_from_many_tasks(spark):
+    of = spark.createDataFrame([("=g", 700)], "_k string, n long")
+    draws = bootstrap.generator_draws(of, 40, 72, block=1024)
+    assert len(draws.select(F.spark_partition_id().alias('p')).distinct().collect()) >= 2
+    got = [r["_i"] for r in draws.orderBy("_b").groupBy("_b").agg(F.sort_array(F.collect_list("_i")).alias("_i")).orderBy("_b").collect()]
     rng = random.Random(72)
-    means = sorted(sum(values[rng.randrange(30)] for _ in range(30)) / 30 for _ in range(100))
-    assert (got.low, got.high) == pytest.approx((means[2], means[97]))
+    assert got == [sorted(rng.randrange(700) for _ in range(700)) for _ in range(40)]
 
 
-def test_hashed_bootstrap_has_the_width_of_independent_resamples(spark):
+@pytest.mark.parametrize("intervals", [bootstrap.hashed_intervals, bootstrap.split_intervals])
+def test_bootstrap_has_the_width_of_independent_resamples(spark, intervals):
     rng = random.Random(3)
     rows = [(f"m{n}", i, rng.gauss(0, 1)) for n in (400, 1000, 3000) for i in range(n)]
+    rows += [("coin", i, float(i % 2)) for i in range(2000)]
     df = spark.createDataFrame(rows, "mode string, record_id long, diff double")
-    for r in bootstrap.hashed_intervals(df, "mode", "diff", ["record_id"]).collect():
+    more = {"order": ["record_id"]} if intervals is bootstrap.hashed_intervals else {}
+    for r in intervals(df, "mode", "diff", samples=1000, **more).collect():
         values = [v for m, _, v in rows if m == r.mode]
         mean = sum(values) / r.n
         error = (sum((v - mean) ** 2 for v in values) / r.n / r.n) ** 0.5
@@ -77,6 +101,46 @@ def test_hashed_bootstrap_has_the_width_of_independent_resamples(spark):
         assert abs((r.high + r.low) / 2 - mean) < 0.3 * error
 
 
+def test_split_bootstrap_is_one_multinomial_whatever_the_partitions(spark):
+    rng = random.Random(8)
+    values = [rng.choice([0.0, 0.5, 1.0, rng.random()]) for _ in range(333)]
+    rows = [("g", v) for v in values] + [("one", 2.0), (None, 3.0), ("g", None), ("g", float("nan")), ("empty", None)]
+    df = spark.createDataFrame(rows, "mode string, diff double")
+    got = [{r["mode"]: tuple(r) for r in bootstrap.split_intervals(df.repartition(k), "mode", "diff", samples=700).collect()} for k in (1, 5)]
+    assert set(got[0]) == set(got[1]) == {"g", "one", None} and got[0]["one"][2:] == (2.0, 2.0, 2.0)
+    tree, means = bootstrap.Splits(72, "=g", 333, 700), 0
+    tally = sorted(Counter(values).items())
+    at, total = 0, 0
+    for v, m in tally:
+        weight = tree.below(at + m) - bootstrap.Splits(72, "=g", 333, 700).below(at)
+        assert (weight >= 0).all()
+        at, total, means = at + m, total + weight, means + v * weight
+    assert (total == 333).all()
+    means = sorted(means / 333)
+    for g in got:
+        assert g["g"][1:] == pytest.approx((333, sum(values) / 333, means[17], means[682]))
+    assert bootstrap.split_intervals(df.limit(0), "mode", "diff", samples=10).count() == 0
+
+
+def test_medians_by_selection(spark):
+    import statistics
+
+    from quillon.operators import selection
+
+    rng = random.Random(2)
+    pool = [0.0, -0.0, 1e-300, -1e300, 5e-324, float("inf"), -float("inf"), 3.5, 3.5000000000000004]
+    rows = [(g, rng.choice(pool) if rng.random() < 0.5 else rng.gauss(0, 10 ** rng.randint(-5, 5))) for g, n in (("odd", 501), ("even", 400), (None, 7)) for _ in range(n)]
+    rows += [("same", 2.0)] * 1000 + [("one", -1.5), ("none", None), ("odd", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    got = {r.g: r["median"] for r in selection.exact_medians(df, "g", "v").collect()}
+    want = {g: statistics.median([v for k, v in rows if k == g and v is not None]) for g in ("odd", "even", "same", "one", None)}
+    assert got == want
+    assert selection.exact_medians(df, None, "v").first()["median"] == statistics.median(v for _, v in rows if v is not None)
+    assert selection.exact_medians(df.limit(0), "g", "v").count() == 0
+    plan = selection.exact_medians(df, "g", "v")._jdf.queryExecution().toString().lower()
+    assert "percentile" not in plan and "median(" not in plan
+
+
 def test_both_index_rules():
     assert bootstrap.interval_indices(1000) == (25, 975)
     assert bootstrap.interval_indices(1000, closed=True) == (24, 974)
