@@ -44,7 +44,7 @@ WINDOW, ANCHOR = 13, 5
 #: Bytes of text of a block of documents (a longer document is a block alone).
 BLOCK_BYTES = 4 << 20
 #: Bytes of text whose anchors one reference block gets.
-REFERENCE_BYTES = 24 << 20
+REFERENCE_BYTES = 8 << 20
 #: Blocks of documents with an anchor beyond which its segments are split.
 HOT = 2048
 
