@@ -1,20 +1,15 @@
 """Text scalars of answer scoring, as Column functions inside the JVM.
 
-The one exception is the length of a longest common subsequence, which has no
-built-in and is an Arrow UDF with bit-parallel integers.
-
 Null texts count as empty unless a function says otherwise.  Patterns are
 Unicode-aware (``(?U)``), as white space and word borders of answers are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType
 
 #: Aliases of question types after their separators are removed.
 TYPE_ALIASES = {"multiplechoice": "multiple_choice", "openended": "open_ended", "truefalse": "true_false"}
@@ -68,13 +63,26 @@ def tokenize(c: Column) -> Column:
     return F.filter(F.split(normalize_text(c), " "), lambda t: t != "")
 
 
+def _runs(ordered: Column, same: Callable[[Column, Column], Column], body: Callable[[Column, Column], Column]) -> Column:
+    """``body(first place, length)`` of each run of equal elements in an ordered array."""
+
+    def places(x: Column) -> Column:
+        n = F.size(x["s"])
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | ~same(F.get(x["s"], i), F.get(x["s"], i - 1)))
+        none = F.array().cast("array<int>")
+        return let(F.when(n > 0, starts).otherwise(none), lambda at: F.transform(at, lambda i, k: body(i, F.coalesce(F.get(at, k + 1), n) - i)))
+
+    return let(F.struct(ordered.alias("s")), places)
+
+
 def _numbered(tokens: Column) -> Column:
     """Each token with the number of its occurrence, so that sets behave as multisets."""
-    ordered = F.transform(
-        F.array(F.array_sort(tokens)),
-        lambda s: F.transform(s, lambda t, i: F.concat(t, F.lit("\u0001"), (i + 1 - F.array_position(s, t)).cast("string"))),
-    )
-    return F.element_at(ordered, 1)
+
+    def numbers(s: Column) -> Column:
+        one = lambda i, n: F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.get(s, i), F.lit("\u0001"), k.cast("string")))
+        return F.flatten(_runs(s, lambda a, b: a == b, one))
+
+    return let(F.sort_array(tokens), numbers)
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -105,28 +113,69 @@ def token_f1(prediction: Column, reference: Column) -> Column:
     return pair_f1(tokenize(prediction), tokenize(reference))
 
 
-def _lcs(a: list[str], b: list[str]) -> int:
-    where: dict[str, int] = {}
-    for i, t in enumerate(b):
-        where[t] = where.get(t, 0) | 1 << i
-    full = (1 << len(b)) - 1
-    row = full
-    for t in a:
-        hit = row & where.get(t, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(b) - row.bit_count()
+#: Bits of a word of the bit vectors below: sums of two words and a carry stay positive.
+_BITS = 62
+
+
+def _word_masks(tokens: Column) -> Column:
+    """``(t, m)`` for each distinct token: the words whose bits are the token's places, and 0 elsewhere."""
+    words = F.ceil(F.size(tokens) / _BITS).cast("int")
+
+    def masks(s: Column) -> Column:
+        def mask(i: Column, n: Column) -> Column:
+            places = F.transform(F.slice(s, i + 1, n), lambda x: x["j"])
+            put = lambda m, j: F.transform(m, lambda w, k: F.when(k == F.floor(j / _BITS), w.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), j % _BITS))).otherwise(w))
+            return F.struct(F.get(s, i)["t"].alias("t"), F.aggregate(places, F.array_repeat(F.lit(0).cast("long"), words), put).alias("m"))
+
+        return _runs(s, lambda a, b: a["t"] == b["t"], mask)
+
+    return let(F.sort_array(F.transform(tokens, lambda t, j: F.struct(t.alias("t"), j.alias("j")))), masks)
 
 
-@F.pandas_udf(IntegerType())
-def lcs_length(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Length of the longest common subsequence of two token arrays."""
-    for a, b in parts:
-        yield pd.Series([_lcs(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int32")
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two token arrays.
+
+    A bit vector over the places of ``b``, in words of 62 bits, takes one addition
+    with carries for each token of ``a``; its zeros count the subsequence.
+    """
+    long = lambda x: F.lit(x).cast("long")
+
+    def fold(x: Column) -> Column:
+        n = F.size(x["b"])
+        # All places of b are set at first; what an addition carries beyond them is cut off.
+        full = F.transform(F.sequence(F.lit(0), F.ceil(n / _BITS).cast("int") - 1), lambda k: F.call_function("shiftleft", long(1), F.least(n - k * _BITS, F.lit(_BITS))) - 1)
+
+        def count(y: Column) -> Column:
+            def token(v: Column, t: Column) -> Column:
+                m = F.get(y["masks"], F.array_position(y["of"], t).cast("int") - 1)["m"]
+
+                def add(z: Column) -> Column:
+                    def word(s: Column, k: Column) -> Column:
+                        old, hit = F.get(v, k), F.get(z["m"], k)
+                        return let(
+                            old + old.bitwiseAND(hit) + s["carry"],
+                            lambda total: F.struct(
+                                F.concat(s["words"], F.array(total.bitwiseAND(F.get(y["full"], k)).bitwiseOR(old.bitwiseAND(F.bitwise_not(hit))))).alias("words"), F.shiftright(total, _BITS).alias("carry")
+                            ),
+                        )
+
+                    start = F.struct(F.array().cast("array<long>").alias("words"), long(0).alias("carry"))
+                    return F.aggregate(F.sequence(F.lit(0), F.size(v) - 1), start, word)["words"]
+
+                return let(F.struct(m.alias("m")), add)
+
+            shared = F.filter(x["a"], lambda t: F.array_contains(y["of"], t))
+            return n - F.aggregate(F.aggregate(shared, y["full"], token), F.lit(0), lambda s, w: s + F.bit_count(w))
+
+        masks = let(_word_masks(x["b"]), lambda m: F.struct(m.alias("masks"), F.transform(m, lambda r: r["t"]).alias("of"), full.alias("full")))
+        return F.when((n == 0) | (F.size(x["a"]) == 0), 0).otherwise(let(masks, count))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), fold).cast("int")
 
 
 def rouge_l_f1(prediction: Column, reference: Column) -> Column:
     p, r = tokenize(prediction), tokenize(reference)
-    return f1(lcs_length(p, r), F.size(p), F.size(r))
+    return let(F.struct(p.alias("p"), r.alias("r")), lambda x: f1(lcs_length(x["p"], x["r"]), F.size(x["p"]), F.size(x["r"])))
 
 
 def _hit(c: Column, pattern: str) -> Column:
@@ -198,12 +247,3 @@ def safe_name(c: Column) -> Column:
 
 def endpoint_host(c: Column) -> Column:
     return F.parse_url(c, F.lit("AUTHORITY"))
-
-
-@F.pandas_udf(DoubleType())
-def text_similarity(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Ratcliff/Obershelp likeness of two texts, with the usual popular-element rule."""
-    import difflib
-
-    for a, b in parts:
-        yield pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype=float)

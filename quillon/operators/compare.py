@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import text_similarity
+from ..functions.similarity import text_similarity
 from ..scratch import written
 from . import bootstrap
 from .latest import latest

@@ -25,7 +25,7 @@ def score_predictions(predictions: DataFrame, rouge: bool = True) -> DataFrame:
     types get token, ROUGE-L and numeric F1.  The expected text is
     ``expected_answer`` or ``answer``; the generated one ``generated_response``,
     ``prediction`` or ``response``, the first that isn't empty.  ``rouge=False``
-    leaves out ROUGE-L and the primary score of open answers, the only Python.
+    leaves out ROUGE-L and the primary score of open answers.
     """
     gold = T.first_filled(_column(predictions, "expected_answer"), _column(predictions, "answer"))
     made = T.first_filled(*(_column(predictions, c) for c in ("generated_response", "prediction", "response")))
@@ -34,11 +34,11 @@ def score_predictions(predictions: DataFrame, rouge: bool = True) -> DataFrame:
     choice, verdict = F.col("question_type") == "multiple_choice", F.col("question_type") == "true_false"
     open_ = ~choice & ~verdict
     g, m = F.col("_gold"), F.col("_made")
-    # Tokens are cut once; those of closed questions are empty arrays, which cost the UDF nothing.
+    # Tokens are cut once; those of closed questions are empty arrays.
     tokens = lambda c: F.when(open_, T.tokenize(c)).otherwise(F.array().cast("array<string>"))
     df = df.withColumns({"_p": tokens(m), "_r": tokens(g)})
     if rouge:
-        df = df.withColumn("_lcs", T.lcs_length("_p", "_r"))
+        df = df.withColumn("_lcs", T.lcs_length(F.col("_p"), F.col("_r")))
     df = df.withColumns(
         {
             "gold_choice": F.when(choice, T.extract_choice(g)),

@@ -100,25 +100,50 @@ def record_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.numbered(records, ["series_index", "window_index"], "global_question_id")
 
 
-@query(f"""WITH {A.SERIES_SQL}, c AS (SELECT count(*) AS n, CAST(floor(count(*) * 0.95) AS BIGINT) AS t FROM series)
-SELECT t AS train, n - t AS val, CAST(0 AS BIGINT) AS "both", n AS "all" FROM c""")
+def _shuffled_sql(seed: int) -> str:
+    """CTE ``shuffled`` (series_file, position): the seeded shuffle of the table ``files``, word by word of its generator.
+
+    The generator's state is made of the seed, renewed once and tempered: enough
+    for some 400 names.
+    """
+    return f"""names AS (SELECT list(series_file ORDER BY series_file) AS x, count(*) AS n FROM files),
+s0 AS (SELECT 0 AS i, 19650218::BIGINT AS v UNION ALL SELECT i + 1, (1812433253 * xor(v, v >> 30) + i + 1) % 4294967296 FROM s0 WHERE i < 623),
+s1 AS (SELECT 0 AS s, 0::BIGINT AS one, v FROM s0 WHERE i = 0 UNION ALL
+  SELECT s + 1, CASE WHEN s = 0 THEN w ELSE one END, w FROM (SELECT s, one, (xor(CASE WHEN s < 623 THEN s0.v ELSE one END, xor(s1.v, s1.v >> 30) * 1664525 % 4294967296) + {seed}) % 4294967296 AS w
+    FROM s1 JOIN s0 ON s0.i = CASE WHEN s < 623 THEN s + 1 ELSE 1 END WHERE s < 624)),
+m1 AS (SELECT CASE WHEN s = 624 THEN 1 ELSE s END AS i, v FROM s1 WHERE s >= 2),
+s2 AS (SELECT 0 AS t, v FROM m1 WHERE i = 1 UNION ALL
+  SELECT t + 1, (xor(m1.v, xor(s2.v, s2.v >> 30) * 1566083941 % 4294967296) - m1.i + 4294967296) % 4294967296 FROM s2 JOIN m1 ON m1.i = CASE WHEN t < 622 THEN t + 2 ELSE 1 END WHERE t < 623),
+mt AS (SELECT 0 AS i, 2147483648::BIGINT AS v UNION ALL SELECT CASE WHEN t = 623 THEN 1 ELSE t + 1 END, v FROM s2 WHERE t > 0),
+tw AS (SELECT a.i, xor(((a.v & 2147483648) | (b.v & 2147483647)) >> 1, CASE WHEN b.v % 2 = 1 THEN 2567483615 ELSE 0 END) AS f FROM mt a JOIN mt b ON b.i = a.i + 1),
+n1 AS (SELECT tw.i, xor(f, v) AS v FROM tw JOIN mt ON mt.i = tw.i + 397 WHERE tw.i < 227),
+n2 AS (SELECT tw.i, xor(f, v) AS v FROM tw JOIN n1 ON n1.i = tw.i - 227 WHERE tw.i < 454),
+n3 AS (SELECT tw.i, xor(f, v) AS v FROM tw JOIN n2 ON n2.i = tw.i - 227),
+t1 AS (SELECT i, xor(v, v >> 11) AS v FROM (SELECT * FROM n1 UNION ALL SELECT * FROM n2 UNION ALL SELECT * FROM n3)),
+t2 AS (SELECT i, xor(v, (v << 7) & 2636928640) AS v FROM t1), t3 AS (SELECT i, xor(v, (v << 15) & 4022730752) AS v FROM t2), words AS (SELECT i, xor(v, v >> 18) AS v FROM t3),
+d AS (SELECT 0 AS t, n - 1 AS i, x FROM names UNION ALL
+  SELECT t + 1, CASE WHEN r <= i THEN i - 1 ELSE i END, CASE WHEN r <= i THEN list_transform(x, lambda e, k: CASE k WHEN i + 1 THEN x[r + 1] WHEN r + 1 THEN x[i + 1] ELSE e END) ELSE x END
+  FROM (SELECT d.t, d.i, d.x, v >> CAST(32 - length(bin(d.i + 1)) AS INT) AS r FROM d JOIN words ON words.i = d.t WHERE d.i >= 1)),
+shuffled AS (SELECT unnest(x) AS series_file, unnest(range(len(x))) AS position FROM d WHERE i < 1)"""
+
+
+_FILES_SQL = f"""{A.SERIES_SQL}, files AS (SELECT {_SERIES_NAME} AS series_file FROM series)"""
+
+
+@query(f"""WITH RECURSIVE {_FILES_SQL}, {_shuffled_sql(42)} SELECT series_file, CASE WHEN position < floor((SELECT n FROM names) * 0.95) THEN 'train' ELSE 'val' END AS split FROM shuffled""")
 def series_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Series files of the shuffled training and validation parts: their numbers, shared ones, and all."""
+    """Series files of the shuffled training and validation parts, by name."""
     folder = _series_folder(spark, sf_dir)
-    part = lambda s: series.load_split(spark, folder, s).select("series_file", F.lit(True).alias(s))
-    both = part("train").join(part("val"), "series_file", "full_outer")
-    return both.agg(
-        F.count_if("train").alias("train"), F.count_if("val").alias("val"), F.count_if(F.col("train") & F.col("val")).alias("both"), F.count("*").alias("all"),
-    )
+    part = lambda s: series.load_split(spark, folder, s).select("series_file", F.lit(s).alias("split"))
+    return part("train").unionByName(part("val"))
 
 
-@query(f"""WITH {A.SERIES_SQL}, c AS (SELECT count(*) AS n FROM series) SELECT greatest(least(n - CAST(floor(n * 0.02) AS BIGINT), 70), 0) AS files, CAST(true AS BOOLEAN) AS agrees FROM c""")
+@query(f"""WITH RECURSIVE {_FILES_SQL}, {_shuffled_sql(42)}, c AS (SELECT CAST(floor(n * 0.02) AS BIGINT) AS first FROM names)
+SELECT series_file, CAST(position - first AS INT) AS series_index, CAST(ceil(n / 16.0) AS BIGINT) AS windows FROM shuffled JOIN (SELECT {_SERIES_NAME} AS series_file, n FROM series) s USING (series_file), c WHERE position >= first AND position < first + 70""")
 def short_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Series of the short shuffled subset, and whether loading it again gives the same."""
-    folder = _series_folder(spark, sf_dir)
-    once, again = (series.load_records(spark, folder, "paper140").select("series_file", "series_index").distinct() for _ in range(2))
-    differ = once.exceptAll(again).count()
-    return once.agg(F.count_distinct("series_file").alias("files"), F.lit(differ == 0).alias("agrees"))
+    """Series of the short shuffled subset, by name and place, and their windows."""
+    records = series.load_records(spark, _series_folder(spark, sf_dir), "paper140")
+    return records.groupBy("series_file", "series_index").agg(F.count("*").alias("windows"))
 
 
 @query(f"WITH {A.PREDICTIONS_SQL} SELECT DISTINCT record_id AS value FROM predictions WHERE question_type <> 'true_false' UNION SELECT DISTINCT series_file FROM predictions WHERE question_type <> 'true_false'")
@@ -130,15 +155,16 @@ def manifest_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifests.read_ids(spark, path, ("record_ids", "series_files"))
 
 
-@query(f"""WITH {A.SERIES_SQL}, c AS (SELECT count(*) AS n FROM series) SELECT CAST(floor(n * 0.95) AS BIGINT) AS train, n - CAST(floor(n * 0.95) AS BIGINT) AS val, 72 AS seed, n AS "all" FROM c""")
+@query(f"""WITH RECURSIVE {_FILES_SQL}, {_shuffled_sql(72)}, c AS (SELECT CAST(floor(n * 0.95) AS BIGINT) AS train FROM names)
+SELECT 72 AS seed, CASE WHEN position < train THEN 'train' ELSE 'val' END AS split, CAST(CASE WHEN position < train THEN position ELSE position - train END AS INT) AS place, series_file FROM shuffled, c""")
 def split_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A split manifest, written and read: entries of its lists and of both together."""
-    names = [r[0] for r in A.series(spark, sf_dir).select(F.expr("'series_' || lpad(CAST(series AS STRING), 6, '0') || '.json'")).collect()]  # names, not data
+    """A split manifest, written and read: the name at each place of its lists."""
+    names = A.table(spark, sf_dir, "events").select(F.expr("'series_' || lpad(CAST(user_id AS STRING), 6, '0') || '.json'").alias("series_file")).distinct()
     path = shared_folder(spark, "split")
-    manifests.write_json(manifests.split_manifest(spark, names), path)
-    all_ = manifests.read_ids(spark, path, ("train_series", "val_series")).count()
+    manifests.write_json(manifests.split_manifest(names, "series_file"), path)
     df = spark.read.schema("seed int, train_series array<string>, val_series array<string>").json(path)
-    return df.select(F.size("train_series").cast("long").alias("train"), F.size("val_series").cast("long").alias("val"), "seed", F.lit(all_).cast("long").alias("all"))
+    lists = [df.select("seed", F.lit(s).alias("split"), F.posexplode(f"{s}_series").alias("place", "series_file")) for s in ("train", "val")]
+    return lists[0].unionByName(lists[1])
 
 
 @query(f"WITH {A.PREDICTIONS_SQL} SELECT mode, count(*) AS n, round(sum(loss), 6) AS loss FROM predictions WHERE record_id IN (SELECT record_id FROM predictions WHERE question_type <> 'true_false') GROUP BY 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, logprobs, prompts
 from ..functions import text as T
+from ..functions.similarity import text_similarity
 from ..operators import audit, compare, judging, latest, selection, tables
 from ..scratch import shared_folder
 from ..sources import jsonl
@@ -106,6 +107,22 @@ def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("mode", "n", r6("total_loss"), r6("average_loss"))
 
 
+# A range of both texts gives its longest block and two smaller ranges; short texts have no popular characters.
+@query("""WITH RECURSIVE p AS (SELECT p_partkey AS id, p_name AS a, p_type AS b FROM part),
+x AS (SELECT id, a, b, unnest(range(1, length(a) + 1)) AS i FROM p), y AS (SELECT id, a, b, i, unnest(range(1, length(b) + 1)) AS j FROM x), m AS (SELECT id, i, j FROM y WHERE a[i] = b[j]),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY id, i - j ORDER BY i) AS run FROM m), runs AS (SELECT id, i, j, row_number() OVER (PARTITION BY id, i - j, run ORDER BY i) AS r FROM g),
+q AS (
+  SELECT id, 1 AS i0, length(a) + 1 AS i1, 1 AS j0, length(b) + 1 AS j1, 0 AS n FROM p UNION ALL
+  SELECT id, c.i0, c.i1, c.j0, c.j1, c.n FROM (SELECT id, unnest([{'i0': i0, 'i1': e - k + 1, 'j0': j0, 'j1': f - k + 1, 'n': k}, {'i0': e + 1, 'i1': i1, 'j0': f + 1, 'j1': j1, 'n': 0}]) AS c FROM (
+    SELECT id, i0, i1, j0, j1, best.k AS k, -best.i AS e, -best.j AS f FROM (SELECT q.id, i0, i1, j0, j1, max({'k': least(r, i - i0 + 1, j - j0 + 1), 'i': -i, 'j': -j}) AS best
+      FROM q JOIN runs ON runs.id = q.id AND i >= i0 AND i < i1 AND j >= j0 AND j < j1 GROUP BY q.id, i0, i1, j0, j1))))
+SELECT id AS p_partkey, round(CASE WHEN any_value(length(a) + length(b)) = 0 THEN 1 ELSE 2.0 * sum(n) / any_value(length(a) + length(b)) END, 6) AS similarity FROM q JOIN p USING (id) GROUP BY id""")
+def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likeness of each part's name and type, by longest blocks."""
+    out = A.table(spark, sf_dir, "part").select("p_partkey", text_similarity(F.col("p_name"), F.col("p_type")).alias("similarity"))
+    return out.select("p_partkey", r6("similarity"))
+
+
 # Judging
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.sampling import split_names
 from ..schemas import SPLIT
@@ -28,9 +29,15 @@ def subset_manifest(records: DataFrame, subset: str) -> DataFrame:
     )
 
 
-def split_manifest(spark: SparkSession, names: list[str], seed: int = 72, share: float = 0.95) -> DataFrame:
-    train, val = split_names(names, seed, share)
-    return spark.createDataFrame([(seed, share, train, val)], SPLIT)
+def split_manifest(names: DataFrame, name: str, seed: int = 72, share: float = 0.95) -> DataFrame:
+    """One row: seed, share, and the names of both parts in their shuffled order.
+
+    A manifest lists every name, so this row grows with them.
+    """
+    rows = split_names(names, name, seed, share)
+    part = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("split") == s, F.struct("position", name)))), lambda r: r[name])
+    columns = [F.lit(seed).alias("seed"), F.lit(share).alias("train_ratio"), part("train").alias("train_series"), part("val").alias("val_series")]
+    return rows.agg(*columns).to(T.StructType.fromDDL(SPLIT))
 
 
 def write_json(df: DataFrame, path: str) -> None:

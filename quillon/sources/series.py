@@ -6,15 +6,15 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.sampling import ordered_names, short_subset, shuffled_names, split_names
+from ..operators.sampling import numbered, short_subset, split_names
 from ..schemas import SERIES_FILE
 
 
-def list_names(spark: SparkSession, folder: str) -> list[str]:
-    """Names of the series files, sorted; listed by Spark, so any store will do."""
+def list_names(spark: SparkSession, folder: str) -> DataFrame:
+    """``(series_file)``: names of the series files; listed by Spark, so any store will do."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "series_*.json").load(folder)
-    names = sorted(r[0] for r in files.select(F.element_at(F.split("path", "/"), -1)).collect())  # names, not data
-    if not names:
+    names = files.select(F.element_at(F.split("path", "/"), -1).alias("series_file"))
+    if not names.limit(1).count():
         raise FileNotFoundError(f"no series_*.json in {folder}")
     return names
 
@@ -27,8 +27,8 @@ def read_series(spark: SparkSession, folder: str, names: list[str] | None = None
 
 
 def records(series: DataFrame, order: DataFrame) -> DataFrame:
-    """A record for each window of each series; ``order`` (name, position) numbers the series."""
-    df = series.join(F.broadcast(order), F.col("series_file") == F.col("name"))
+    """A record for each window of each series; ``order`` (series_file, position) numbers the series and picks them."""
+    df = series.join(order, "series_file")
     df = df.select("series_file", F.col("position").cast("int").alias("series_index"), "sample_id", F.col("original_data.time_series").alias("time_series"), F.posexplode("windows").alias("window_index", "w"))
     return df.select(
         F.concat_ws(":", F.regexp_replace("series_file", r"\.json$", ""), F.col("window_index").cast("string")).alias("record_id"),
@@ -44,17 +44,20 @@ def load_records(spark: SparkSession, folder: str, subset: str = "full", seed: i
     """Records of all series in sorted order, or of the short shuffled slice ``paper140``."""
     names = list_names(spark, folder)
     if subset == "paper140":
-        names = short_subset(names, seed)
-    elif subset != "full":
+        order = short_subset(names, "series_file", seed)
+        series = read_series(spark, folder, [r[0] for r in order.select("series_file").collect()])  # ``SLICE_LENGTH`` names at most
+    elif subset == "full":
+        order, series = numbered(names, ["series_file"], "position"), read_series(spark, folder)
+    else:
         raise ValueError(f"unknown subset: {subset}")
-    df = records(read_series(spark, folder, names), ordered_names(spark, names))
+    df = records(series, order)
     return df.orderBy("series_index", "window_index").limit(max_records) if max_records is not None else df
 
 
 def load_split(spark: SparkSession, folder: str, split: str, seed: int = 42, share: float = 0.95) -> DataFrame:
     """Series of the training part, or (for any other name) of the rest."""
-    names = split_names(list_names(spark, folder), seed, share)[0 if split == "train" else 1]
-    return read_series(spark, folder, names)
+    names = split_names(list_names(spark, folder), "series_file", seed, share)
+    return read_series(spark, folder).join(names.filter(F.col("split") == ("train" if split == "train" else "val")), "series_file", "left_semi")
 
 
 class SeriesCache:
@@ -77,4 +80,4 @@ class SeriesCache:
         return list(self._held)
 
 
-__all__ = ["SeriesCache", "list_names", "load_records", "load_split", "read_series", "records", "shuffled_names"]
+__all__ = ["SeriesCache", "list_names", "load_records", "load_split", "read_series", "records"]

@@ -113,3 +113,47 @@ def test_arrays(spark):
     assert one(spark, arrays.values_text(F.array(F.lit(0.125), F.lit(-0.001), F.lit(1.5)))) == "12, -0, 150"
     assert one(spark, arrays.hints("<h>", F.lit(-3), F.lit(True))) == ""
     assert one(spark, arrays.cross_entropy(F.array(F.lit(1.0), F.lit(1.0)), F.lit(0))) == pytest.approx(math.log(2))
+
+
+def test_likeness_is_that_of_the_standard_library(spark):
+    """On random, repetitive and edited texts, with and without popular characters."""
+    import difflib
+    import random
+
+    from quillon.functions import similarity
+
+    rng = random.Random(1)
+    alphabets = ["ab", "abc", "abcdefghijklmnopqrstuvwxyz ,.", [chr(0x4E00 + k) for k in range(150)]]
+    pairs = [("", ""), ("", "a"), ("abcabc" * 40, "bca" * 90), ("a" * 300, "a" * 200 + "b")]
+    for _ in range(500):
+        alphabet = rng.choice(alphabets)
+        a, b = ("".join(rng.choice(alphabet) for _ in range(rng.choice([rng.randrange(12), rng.randrange(60), rng.randrange(190, 420)]))) for _ in range(2))
+        if rng.random() < 0.5:
+            edited = list(a)
+            for _ in range(5):
+                k = rng.randrange(len(edited) + 1)
+                edited[k : k + rng.randrange(5)] = [rng.choice(alphabet) for _ in range(rng.randrange(4))]
+            b = "".join(edited)
+        pairs.append((a, b))
+    for a, b in pairs:
+        assert similarity.ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio(), (a, b)
+    df = spark.createDataFrame([(None, None), (None, "x"), ("xy", "xz")], "a string, b string")
+    assert [r[0] for r in df.select(similarity.text_similarity("a", "b")).collect()] == [1.0, 0.0, 0.5]
+
+
+def test_likeness_of_very_long_texts_takes_seconds():
+    import random
+    import time
+
+    from quillon.functions import similarity
+
+    rng = random.Random(2)
+    words = ["".join(rng.choice("etaoinshrdlucmfwypvbgk") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    a, b = (" ".join(rng.choice(words) for _ in range(33_000))[:200_000] for _ in range(2))
+    edited = list(a)
+    for _ in range(2000):
+        edited[rng.randrange(len(edited))] = rng.choice("abc XYZ019")
+    began = time.perf_counter()
+    assert similarity.ratio(a, b) < similarity.ratio(a, "".join(edited))
+    assert similarity.ratio("ab" * 100_000, "ba" * 100_000) > 0
+    assert time.perf_counter() - began < 60

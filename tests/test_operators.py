@@ -73,11 +73,35 @@ def test_selection(spark):
         selection.loss_summary(df.withColumn("loss", F.lit(None).cast("double")), "candidate").collect()
 
 
-def test_sampling_order():
+def shuffle(n: int, seed: int) -> list[int]:
+    import random
+
+    out = list(range(n))
+    random.Random(seed).shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("n, seed, block", [(0, 1, 8), (1, 1, 8), (2, 1, 8), (3, 72, 8), (700, 42, 64), (1025, 7, 1 << 20)])
+def test_permutation_is_the_seeded_shuffle(spark, n, seed, block):
+    got = {r.position: r.source for r in sampling.permutation(spark, n, seed, block).collect()}
+    assert [got[i] for i in range(n)] == shuffle(n, seed) and len(got) == n
+
+
+def test_shuffle_of_very_many_names(spark):
+    n = 100_000
+    names = spark.range(n).select(F.format_string("series_%06d.json", "id").alias("name")).repartition(7)
+    order = sampling.shuffled(names, "name", 42, block=9000)
+    wrong = spark.createDataFrame(list(enumerate(shuffle(n, 42))), "position long, source long").join(order, "position").filter(F.col("name") != F.format_string("series_%06d.json", "source"))
+    assert order.count() == n and wrong.count() == 0
+
+
+def test_sampling_order(spark):
     names = [f"series_{i:06d}.json" for i in range(100)]
-    train, val = sampling.split_names(names)
-    assert len(train) == 95 and sorted(train + val) == names
-    assert sampling.short_subset(names)[0] == sampling.shuffled_names(names)[2]
+    df = spark.createDataFrame([(x,) for x in reversed(names)], "name string")
+    order = [names[k] for k in shuffle(100, 42)]
+    split = sampling.split_names(df, "name").orderBy("position").collect()
+    assert [r["name"] for r in split] == order and [r.split for r in split] == ["train"] * 95 + ["val"] * 5
+    assert [r["name"] for r in sampling.short_subset(df, "name").orderBy("position").collect()] == order[2:72]
 
 
 def test_resume(spark):

@@ -113,7 +113,7 @@ def test_named_files_and_the_cache(spark, tmp_path):
 
 def test_split_manifest_and_progress(spark, tmp_path):
     names = [f"n{i}" for i in range(40)]
-    (r,) = manifests.split_manifest(spark, names, seed=72).collect()
+    (r,) = manifests.split_manifest(spark.createDataFrame([(x,) for x in names], "name string"), "name", seed=72).collect()
     order = sorted(names)
     random.Random(72).shuffle(order)
     assert (r.train_series, r.val_series) == (order[:38], order[38:])
