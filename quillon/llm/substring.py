@@ -331,17 +331,17 @@ def _remove(blocks: int, text: bool):
         for batch in batches:
             for row in _rows(batch):
                 s, found = _candidates(row, blocks)
-                edge = np.zeros(len(s.hash) + 1, np.int64)
+                hits = [np.empty(0, np.int64)]
                 answers = {x["place"]: x["first"] for x in row["found"] or []}
                 for place, (texts, _) in found.items():
                     first, at = np.frombuffer(unpack.decompress(answers[place]), np.int64), 0
                     for own in texts.values():
                         n = int(s.n[own[0]])
-                        for i in own:
-                            hit = s.first[i] + np.flatnonzero(first[at : at + n] < s.id[s.of[i]])
-                            np.add.at(edge, hit, 1)
-                            np.add.at(edge, hit + WINDOW, -1)
+                        earlier = first[at : at + n]
+                        hits += [s.first[i] + np.flatnonzero(earlier < s.id[s.of[i]]) for i in own]
                         at += n
+                hit = np.concatenate(hits)
+                edge = np.bincount(hit, minlength=len(s.hash) + 1) - np.bincount(hit + WINDOW, minlength=len(s.hash) + 1)
                 yield _kept(s, np.cumsum(edge)[:-1] > 0, text)
 
     return remove
