@@ -63,26 +63,23 @@ def tokenize(c: Column) -> Column:
     return F.filter(F.split(normalize_text(c), " "), lambda t: t != "")
 
 
-def _runs(ordered: Column, same: Callable[[Column, Column], Column], body: Callable[[Column, Column], Column]) -> Column:
-    """``body(first place, length)`` of each run of equal elements in an ordered array."""
+def _let(name: str, value: str, body: str) -> str:
+    """SQL text of ``body`` with a value that is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
-    def places(x: Column) -> Column:
-        n = F.size(x["s"])
-        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | ~same(F.get(x["s"], i), F.get(x["s"], i - 1)))
-        none = F.array().cast("array<int>")
-        return let(F.when(n > 0, starts).otherwise(none), lambda at: F.transform(at, lambda i, k: body(i, F.coalesce(F.get(at, k + 1), n) - i)))
 
-    return let(F.struct(ordered.alias("s")), places)
+#: First places of equal elements in an ordered array of the struct ``z``, by ``key``.
+_HEADS = "filter(sequence(0, size(z.s) - 1), i -> i = 0 OR get(z.s, i){0} <> get(z.s, i - 1){0})"
+
+_NUMBERED = "s -> CASE WHEN size(s) = 0 THEN s ELSE " + _let(
+    "z", "struct(sort_array(s) AS s)",
+    _let("heads", _HEADS.format(""), "flatten(transform(heads, (i, r) -> transform(sequence(1, coalesce(get(heads, r + 1), size(z.s)) - i), k -> concat(get(z.s, i), '\u0001', k))))"),
+) + " END"
 
 
 def _numbered(tokens: Column) -> Column:
     """Each token with the number of its occurrence, so that sets behave as multisets."""
-
-    def numbers(s: Column) -> Column:
-        one = lambda i, n: F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.get(s, i), F.lit("\u0001"), k.cast("string")))
-        return F.flatten(_runs(s, lambda a, b: a == b, one))
-
-    return let(F.sort_array(tokens), numbers)
+    return F.element_at(F.call_function("transform", F.array(tokens), F.expr(_NUMBERED)), 1)
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -113,64 +110,44 @@ def token_f1(prediction: Column, reference: Column) -> Column:
     return pair_f1(tokenize(prediction), tokenize(reference))
 
 
-#: Bits of a word of the bit vectors below: sums of two words and a carry stay positive.
-_BITS = 62
-
-
-def _word_masks(tokens: Column) -> Column:
-    """``(t, m)`` for each distinct token: the words whose bits are the token's places, and 0 elsewhere."""
-    words = F.ceil(F.size(tokens) / _BITS).cast("int")
-
-    def masks(s: Column) -> Column:
-        def mask(i: Column, n: Column) -> Column:
-            places = F.transform(F.slice(s, i + 1, n), lambda x: x["j"])
-            put = lambda m, j: F.transform(m, lambda w, k: F.when(k == F.floor(j / _BITS), w.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), j % _BITS))).otherwise(w))
-            return F.struct(F.get(s, i)["t"].alias("t"), F.aggregate(places, F.array_repeat(F.lit(0).cast("long"), words), put).alias("m"))
-
-        return _runs(s, lambda a, b: a["t"] == b["t"], mask)
-
-    return let(F.sort_array(F.transform(tokens, lambda t, j: F.struct(t.alias("t"), j.alias("j")))), masks)
+# Sums of two words of 62 bits and a carry stay positive.
+_WORDS = "(cast((z.n + 61) div 62 AS int))"
+_SAME = "coalesce(nullif(cast(array_position(zip_with({0}, {1}, (s, t) -> s <=> t), false) AS int), 0) - 1, size({0}))"
+_MASK = f"""aggregate(slice(z.s, i + 1, coalesce(get(heads, r + 1), z.n) - i), array_repeat(0L, {_WORDS}),
+    (m, e) -> transform(m, (w, q) -> if(q = e.j div 62, w | shiftleft(1L, e.j % 62), w)))"""
+_ADD = "aggregate(sequence(0, size(v) - 1), struct(cast(array() AS array<bigint>) AS words, 0L AS carry), (c, q) -> " + _let(
+    "total", "get(v, q) + (get(v, q) & get(m, q)) + c.carry",
+    "struct(concat(c.words, array((total & get(k.full, q)) | (get(v, q) & ~get(m, q)))) AS words, shiftright(total, 62) AS carry)",
+) + ").words"
+_ROW = f"aggregate(filter(y.a, t -> array_contains(k.of, t)), k.full, (v, t) -> {_let('m', 'get(k.masks, cast(array_position(k.of, t) AS int) - 1)', _ADD)})"
+_FOLD = "CASE WHEN size(y.a) = 0 OR size(y.b) = 0 THEN 0 ELSE " + _let(
+    "z", "struct(sort_array(transform(y.b, (t, j) -> struct(t AS t, j AS j))) AS s, size(y.b) AS n)",
+    _let(
+        "heads", _HEADS.format(".t"),
+        _let(
+            "k", f"struct(transform(heads, i -> get(z.s, i).t) AS of, transform(heads, (i, r) -> {_MASK}) AS masks, transform(sequence(0, {_WORDS} - 1), q -> shiftleft(1L, least(z.n - q * 62, 62)) - 1) AS full)",
+            f"z.n - aggregate({_ROW}, 0, (c, w) -> c + bit_count(w))",
+        ),
+    ),
+) + " END"
+_LCS = "(a, b) -> " + _let(
+    "n", _SAME.format("a", "b"),
+    "n + " + _let(
+        "x", "struct(reverse(slice(a, n + 1, size(a) - n)) AS a, reverse(slice(b, n + 1, size(b) - n)) AS b)",
+        _let("m", _SAME.format("x.a", "x.b"), "m + " + _let("y", "struct(slice(x.a, m + 1, size(x.a) - m) AS a, slice(x.b, m + 1, size(x.b) - m) AS b)", _FOLD)),
+    ),
+)
 
 
 def lcs_length(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence of two token arrays.
 
-    A bit vector over the places of ``b``, in words of 62 bits, takes one addition
-    with carries for each token of ``a``; its zeros count the subsequence.
+    Tokens that both begin or end with are counted as they are.  For the rest a
+    bit vector over the places of ``b`` takes one addition with carries for each
+    token of ``a`` that ``b`` has too; its zeros count the subsequence.  Written as SQL text,
+    which the JVM parses at once; built call by call it took seconds.
     """
-    long = lambda x: F.lit(x).cast("long")
-
-    def fold(x: Column) -> Column:
-        n = F.size(x["b"])
-        # All places of b are set at first; what an addition carries beyond them is cut off.
-        full = F.transform(F.sequence(F.lit(0), F.ceil(n / _BITS).cast("int") - 1), lambda k: F.call_function("shiftleft", long(1), F.least(n - k * _BITS, F.lit(_BITS))) - 1)
-
-        def count(y: Column) -> Column:
-            def token(v: Column, t: Column) -> Column:
-                m = F.get(y["masks"], F.array_position(y["of"], t).cast("int") - 1)["m"]
-
-                def add(z: Column) -> Column:
-                    def word(s: Column, k: Column) -> Column:
-                        old, hit = F.get(v, k), F.get(z["m"], k)
-                        return let(
-                            old + old.bitwiseAND(hit) + s["carry"],
-                            lambda total: F.struct(
-                                F.concat(s["words"], F.array(total.bitwiseAND(F.get(y["full"], k)).bitwiseOR(old.bitwiseAND(F.bitwise_not(hit))))).alias("words"), F.shiftright(total, _BITS).alias("carry")
-                            ),
-                        )
-
-                    start = F.struct(F.array().cast("array<long>").alias("words"), long(0).alias("carry"))
-                    return F.aggregate(F.sequence(F.lit(0), F.size(v) - 1), start, word)["words"]
-
-                return let(F.struct(m.alias("m")), add)
-
-            shared = F.filter(x["a"], lambda t: F.array_contains(y["of"], t))
-            return n - F.aggregate(F.aggregate(shared, y["full"], token), F.lit(0), lambda s, w: s + F.bit_count(w))
-
-        masks = let(_word_masks(x["b"]), lambda m: F.struct(m.alias("masks"), F.transform(m, lambda r: r["t"]).alias("of"), full.alias("full")))
-        return F.when((n == 0) | (F.size(x["a"]) == 0), 0).otherwise(let(masks, count))
-
-    return let(F.struct(a.alias("a"), b.alias("b")), fold).cast("int")
+    return F.element_at(F.call_function("zip_with", F.array(a), F.array(b), F.expr(_LCS)), 1)
 
 
 def rouge_l_f1(prediction: Column, reference: Column) -> Column:

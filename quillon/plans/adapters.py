@@ -41,9 +41,14 @@ def sql(expression: str) -> str:
 
 
 def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns that the next turn answers: conv_id, turn, record_id, question, reply."""
+    """User turns that the next turn answers: conv_id, turn, record_id, question, reply.
+
+    The window's one shuffle has as many partitions as the session says: what
+    follows works long on few bytes, so merging small partitions would make it slow.
+    """
     w = Window.partitionBy("conv_id").orderBy("turn")
-    turns = table(spark, sf_dir, "conversations").withColumns({"next_role": F.lead("role").over(w), "reply": F.lead("text").over(w)})
+    dealt = table(spark, sf_dir, "conversations").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id")
+    turns = dealt.withColumns({"next_role": F.lead("role").over(w), "reply": F.lead("text").over(w)})
     return turns.filter("role = 'user' and next_role = 'assistant'").select(
         "conv_id", "turn", F.concat(F.lit("conv_"), F.lpad(F.col("conv_id").cast("string"), 6, "0"), F.lit(":"), F.col("turn").cast("string")).alias("record_id"),
         F.col("text").alias("question"), "reply",
