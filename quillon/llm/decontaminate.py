@@ -3,22 +3,20 @@
 A document leaks an item if some run of its words lies within ``edits_of(n)``
 word edits of the item's n words.
 
-* Windows.  With k edits in n words some run of q = ceil((n - k) / (k + 1)) words
-  of the item is intact, so only around such a run can the item be; and k edits
-  break at most k * q of the item's runs and leave n - k of its words in a
-  passage of n + k words.  Both hold for every passage, so looking no further
-  leaves none out: each place that can hold the item gives its windows.
-* CGK.  An item is cut into parts of bounded length; of k edits some part has no
-  more than its share.  The random walk of an embedding repeats or passes each
-  word by a coin that word and step decide, so that two sequences of small edit
-  distance fall into step again: edit distance becomes Hamming distance.
-* LSH.  Windows of a part's length, one from each word on, are embedded by the
-  same walks; a few sampled places of an embedding form a key, and a place is a
-  candidate if any key of any part is equal.  How many walks a part needs for
-  the recall ``RECALL`` follows from its length and edits, by a simulation of
-  deletions, which are the hardest edits for the walk.
-* Verification.  The exact edit distance of the item to the best part of the
-  place decides.
+* CGK.  A walk reads words for a fixed number of steps from a given word on.  At
+  each step it stays or goes on to the next word by a coin that word and step
+  decide, so that two sequences of small edit distance fall into step again:
+  edit distance becomes Hamming distance between the words read.
+* LSH.  The words at a few sampled steps form a key.  Windows of the item's size
+  begin at each word of a document, and keys of all of them are computed at once,
+  from the last step to the first.  They are looked up in the table of the keys
+  from each word of each item; a place is a candidate if any key is equal.  How
+  many keys an item needs for the recall ``RECALL`` follows from its length and
+  edits, by a simulation of deletions, which are the hardest edits for the walk.
+* Verification.  A window around the candidate that holds the item shares at
+  least n - k words with it; the exact edit distance to the best part decides.
+
+Items without edits (up to four words) have their whole sequence as key.
 
 Items are handled in blocks of bounded size, each against all documents; only a
 block's tables are broadcast.  Documents are never shuffled.
@@ -40,24 +38,23 @@ from .words import grams, hash_words, mix, word_spans
 #: Edits allowed, as a share of an item's words.
 EDIT_SHARE = 0.2
 #: Share of the passages at the greatest number of edits that the search finds at least.
-RECALL = 0.999
-#: Words of an item's part; a part is shorter than twice this.
-PART = 24
-#: Places of an embedding in a key, and keys of a walk.
-SAMPLE_SIZE, SAMPLES = 2, 8
-MOST_WALKS = 64
-#: Walks that are tried before all others: enough for most passages.
-FIRST_WALKS = 2
-#: Trials of the simulation that tells the number of walks.
-TRIALS = 400
-#: Words of the items of a block: its tables take about 100 bytes a word.
-BLOCK_WORDS = 500_000
-#: Windows that are embedded at a time.
-WINDOWS = 256
+RECALL = 0.998
+#: Items of this length or more are read for more steps.
+LONG = 12
+#: Steps of a walk, and steps sampled for a key: of short items, of long ones.
+STEPS, SAMPLE = (7, 12), (3, 5)
+#: Keys of a walk, and keys at most.
+SAMPLES, MOST_KEYS = 8, 48
+#: Trials of the simulation that tells the number of keys; from this length on items need no more.
+TRIALS, STEADY = 2000, 24
+#: Words of the items of a block: its tables take some kilobytes a word.
+BLOCK_WORDS = 50_000
+#: Words whose keys are computed at a time.
+CHUNK = 1 << 15
 #: Seeds that are spread out at a time.
 SEED_BLOCK = 1 << 20
 
-_BLANK = np.uint64(0)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def edits_of(n: int) -> int:
@@ -65,65 +62,83 @@ def edits_of(n: int) -> int:
     return int(n * EDIT_SHARE)
 
 
-def run_of(n: int) -> int:
-    """Words of the intact run that every passage within the edits has."""
-    k = edits_of(n)
-    return -(-(n - k) // (k + 1))
+@cache
+def sampled(long: bool) -> list[frozenset[int]]:
+    """The sampled steps of each key."""
+    rng = np.random.default_rng(11 + long)
+    return [frozenset(rng.permutation(STEPS[long])[: SAMPLE[long]].tolist()) for _ in range(MOST_KEYS)]
 
 
-def cgk(words: np.ndarray, walks: range) -> np.ndarray:
-    """CGK embeddings of rows of equally many words: (rows, walks, 2 * words); past the end stands 0."""
-    rows, n = words.shape
-    padded = np.concatenate([words, np.full((rows, 1), _BLANK)], axis=1)
-    at = np.zeros((rows, len(walks)), dtype=np.int64)
-    row = np.arange(rows)[:, None]
-    out = np.empty((rows, len(walks), 2 * n), dtype=np.uint64)
-    walk = np.array(walks, dtype=np.uint64) + np.uint64(1)
+def coins(words: np.ndarray, walk: int) -> np.ndarray:
+    """A coin for each word and step of a walk, a bit a step."""
     with np.errstate(over="ignore"):
-        for t in range(2 * n):
-            w = padded[row, at]
-            out[:, :, t] = w
-            coin = mix(w ^ mix(walk * np.uint64(0x9E3779B97F4A7C15) + np.uint64(t + 1))) >> np.uint64(63)
-            at = np.minimum(at + coin.astype(np.int64), n)
-    return out
+        return (mix(words ^ mix(np.uint64(walk + 1) * _ODD)) >> np.uint64(32)).astype(np.uint32)
 
 
-def lsh_keys(words: np.ndarray, walks: range) -> np.ndarray:
-    """Bit-sampling keys of rows of equally many words: (rows, walks, SAMPLES); 0 where a sampled place is past the end."""
-    rows, n = words.shape
-    places = np.random.default_rng(n).integers(0, 2 * n, (MOST_WALKS, SAMPLES, SAMPLE_SIZE))[list(walks)]
-    seen = cgk(words, walks)[:, np.arange(len(walks))[:, None, None], places]
-    out = np.zeros(seen.shape[:3], dtype=np.uint64)  # keys are only compared place by place
-    with np.errstate(over="ignore"):
-        for k in range(SAMPLE_SIZE):
-            out = mix(out * np.uint64(0x100000001B3) + seen[..., k])
-    out[(seen == _BLANK).any(axis=-1)] = 0
-    return out
+def cgk_keys(words: np.ndarray, long: bool, keys: range) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of the key, its value for the walk from each word on); words after the last one are 0.
+
+    What a walk reads from a word and step on depends on both alone.  So from the
+    last step back, a word's value is that of the next step at the same word, or
+    at the next word if the coin says so, joined with the word where it is sampled.
+    """
+    steps = STEPS[long]
+    padded = np.concatenate([words, np.zeros(steps, np.uint64)])
+    for first in range(keys.start - keys.start % SAMPLES, keys.stop, SAMPLES):
+        coin = coins(padded, first)
+        go = [((coin >> np.uint32(t)) & np.uint32(1)).view(np.int32).astype(bool) for t in range(steps)]
+        for k in range(max(first, keys.start), min(first + SAMPLES, keys.stop)):
+            at, value = sampled(long)[k], np.zeros(len(padded), np.uint64)
+            with np.errstate(over="ignore"):
+                for t in reversed(range(steps)):
+                    end = len(words) + t  # further words are out of reach at this step
+                    value = np.where(go[t][:end], value[1 : end + 1], value[:end]) if t < max(at) else np.zeros(end + 1, np.uint64)[:end]
+                    if t in at:
+                        value = (value + padded[:end]) * _ODD
+                        value ^= value >> np.uint64(29)
+                    value = np.append(value, np.uint64(0))
+            yield k, value[: len(words)]
+
+
+def reach(words: np.ndarray, long: bool, k: int) -> np.ndarray:
+    """The place of the last word that key ``k`` samples, for the walk from each word on."""
+    last, n = max(sampled(long)[k]), len(words)
+    at, coin = np.arange(n), coins(np.append(words, np.uint64(0)), k - k % SAMPLES)
+    for t in range(last):
+        at = np.minimum(at + ((coin[at] >> np.uint32(t)) & np.uint32(1)).astype(np.int64), n)
+    return at
 
 
 @cache
-def walks_of(n: int) -> int:
-    """Walks after which a part of n words with its share of words left out collides with chance ``RECALL``.
+def keys_of(n: int) -> int:
+    """Keys after which a passage of n words with its share of words left out is found with chance ``RECALL``.
 
-    A walk's chance to collide is measured over random words; walks of one pair
-    are alike in how hard it is, so the chance of no collision is averaged over
-    the trials, not its logarithm.
+    In half of the trials the words left out are any, in the others they are
+    evenly spaced, which leaves the shortest runs.
     """
-    k = edits_of(n)
-    if not k:
-        return 1
+    n = min(n, STEADY)
+    k, long = edits_of(n), n >= LONG
     rng = np.random.default_rng(n)
     item = rng.integers(1, 1 << 62, (TRIALS, n)).astype(np.uint64)
-    order = np.argsort(rng.random((TRIALS, n)), axis=1)
-    keep = np.sort(order[:, k:], axis=1)
-    after = rng.integers(1, 1 << 62, (TRIALS, k)).astype(np.uint64)  # what follows the passage in the document
-    window = np.concatenate([np.take_along_axis(item, keep, axis=1), after], axis=1)
-    a, b = (lsh_keys(x, range(MOST_WALKS)) for x in (item, window))
-    hit = ((a == b) & (a != 0)).any(axis=2).mean(axis=1)
-    for w in range(1, MOST_WALKS):
-        if ((1 - np.minimum(hit, 1 - 1 / MOST_WALKS)) ** w).mean() <= 1 - RECALL:
-            return w
-    return MOST_WALKS
+    gone = rng.random((TRIALS, n))
+    spaced = ((np.arange(k) + rng.random((TRIALS // 2, 1))) * n / k).astype(np.int64)
+    np.put_along_axis(gone[: TRIALS // 2], spaced, -1.0, axis=1)
+    keep = np.sort(np.argsort(gone, axis=1)[:, k:], axis=1)
+    after = rng.integers(1, 1 << 62, (TRIALS, STEPS[long])).astype(np.uint64)  # what follows the passage in the document
+    passage = np.concatenate([np.take_along_axis(item, keep, axis=1), after], axis=1)
+    apart = np.concatenate([item, np.zeros((TRIALS, STEPS[long]), np.uint64)], axis=1)  # walks don't reach the next trial's item
+    whole = np.tile(np.arange(apart.shape[1]) < n, TRIALS)
+    trial_a, trial_b = np.repeat(np.arange(TRIALS), apart.shape[1]), np.repeat(np.arange(TRIALS), passage.shape[1])
+    missed = np.ones(TRIALS, bool)
+    both = zip(cgk_keys(apart.ravel(), long, range(MOST_KEYS)), cgk_keys(passage.ravel(), long, range(MOST_KEYS)), strict=True)
+    for (c, a), (_, b) in both:
+        inside = whole & (apart.ravel()[np.minimum(reach(apart.ravel(), long, c), apart.size - 1)] != 0)
+        with np.errstate(over="ignore"):
+            mine, theirs = mix(a + trial_a.astype(np.uint64) * _ODD)[inside], mix(b + trial_b.astype(np.uint64) * _ODD)
+        missed[trial_a[inside][np.isin(mine, theirs)]] = False
+        if missed.mean() <= 1 - RECALL:
+            return c + 1
+    return MOST_KEYS
 
 
 def best_part(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
@@ -151,18 +166,40 @@ def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def merged(pair: np.ndarray, lo: np.ndarray, hi: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Unions of a pair's overlapping ranges, with the sums of their counts."""
+def merged(pair: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Unions of a pair's overlapping ranges."""
     if not len(pair):
-        return pair, lo, hi, count
+        return pair, lo, hi
     order = np.lexsort((lo, pair))
-    pair, lo, hi, count = pair[order], lo[order], hi[order], count[order]
+    pair, lo, hi = pair[order], lo[order], hi[order]
     new = np.diff(pair, prepend=-1) != 0
     shift = np.cumsum(new) * (int(hi.max()) + 1)  # ranges of another pair never reach over
     reach = np.maximum.accumulate(hi + shift)
     new[1:] |= lo[1:] + shift[1:] >= reach[:-1]
     at = np.flatnonzero(new)
-    return pair[at], lo[at], np.maximum.reduceat(hi, at), np.add.reduceat(count, at)
+    return pair[at], lo[at], np.maximum.reduceat(hi, at)
+
+
+class Lookup:
+    """Places (item, word of the item) by key."""
+
+    def __init__(self, found: list[tuple[np.ndarray, int, np.ndarray]]):
+        """``found``: keys, number of the item, places in the item."""
+        keys = np.concatenate([g for g, _, _ in found])
+        order = np.argsort(keys, kind="stable")
+        self.item = np.concatenate([np.full(len(g), n) for g, n, _ in found])[order]
+        self.place = np.concatenate([p for _, _, p in found])[order]
+        self.keys, first = np.unique(keys[order], return_index=True)
+        self.first = np.append(first, len(keys))
+        self._bits = np.zeros(1 << 20, dtype=bool)
+        self._bits[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the given keys are there, and where."""
+        hit = np.flatnonzero(self._bits[(keys >> np.uint64(44)).astype(np.int64)]) if len(self.keys) else np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys[hit]), len(self.keys) - 1)
+        same = self.keys[at] == keys[hit]
+        return hit[same], at[same]
 
 
 class ItemTables:
@@ -174,84 +211,66 @@ class ItemTables:
         self.ids = list(self.words)
         self.size = np.array([len(w) for w in self.words.values()], dtype=np.int64)
         self.edits = np.array([edits_of(len(w)) for w in self.words.values()], dtype=np.int64)
-        q = np.array([run_of(len(w)) for w in self.words.values()], dtype=np.int64)
-        #: Runs that every passage within the edits shares with the item.
-        self.least = np.maximum(1, self.size - q + 1 - self.edits * q)
         self.distinct = [np.unique(w) for w in self.words.values()]
-        #: The parts of each item: words, walks and keys.
-        self.parts_of = [self._parts(w) for w in self.words.values()]
-        #: Run length -> (runs ascending, where each one's places begin, items, places in the item).
-        self.runs = {}
-        for k in sorted(set(q.tolist())):
-            own = [(n, grams(self.words[self.ids[n]], k)) for n in np.flatnonzero(q == k).tolist()]
-            found = np.concatenate([g for _, g in own])
-            item = np.concatenate([np.full(len(g), n) for n, g in own])
-            place = np.concatenate([np.arange(len(g)) for _, g in own])
-            order = np.argsort(found, kind="stable")
-            keys, first = np.unique(found[order], return_index=True)
-            self.runs[k] = (keys, np.append(first, len(found)), item[order], place[order])
-
-    @staticmethod
-    def _parts(words: np.ndarray) -> list[tuple[int, range, np.ndarray]]:
-        """(words, walks, keys) of each part, for its first walks, then for all others."""
-        out = []
-        parts = np.array_split(words, max(1, len(words) // PART))
-        for first in (True, False):
-            for part in parts:
-                walks = range(FIRST_WALKS) if first else range(FIRST_WALKS, max(FIRST_WALKS, walks_of(len(part))))
-                if walks:
-                    out.append((len(part), walks, lsh_keys(part[None, :], walks)))
-        return out
-
-    def collides(self, i: int, words: np.ndarray) -> bool:
-        """Whether a window of these words shares an LSH key with a part of item number ``i``."""
-        for n, walks, keys in self.parts_of[i]:
-            padded = np.concatenate([words, np.zeros(n - 1, dtype=np.uint64)])
-            windows = np.lib.stride_tricks.sliding_window_view(padded, n)
-            for k in range(0, len(windows), WINDOWS):
-                if ((lsh_keys(windows[k : k + WINDOWS], walks) == keys) & (keys != 0)).any():
-                    return True
-        return False
+        #: Length -> whole items without edits.
+        self.whole = {}
+        for q in sorted(set(self.size[self.edits == 0].tolist())):
+            own = np.flatnonzero(self.size == q).tolist()
+            self.whole[q] = Lookup([(grams(self.words[self.ids[n]], q), n, np.zeros(1, np.int64)) for n in own])
+        #: (long items?, key) -> their places.
+        self.keyed: dict[bool, dict[int, Lookup]] = {}
+        for long in (False, True):
+            own = [n for n in range(len(self.ids)) if self.edits[n] and (self.size[n] >= LONG) == long]
+            found: dict[int, list] = {}
+            for n in own:
+                w = self.words[self.ids[n]]
+                for k, keys in cgk_keys(w, long, range(keys_of(len(w)))):
+                    inside = np.flatnonzero(reach(w, long, k) < len(w))
+                    found.setdefault(k, []).append((keys[inside], n, inside))
+            self.keyed[long] = {k: Lookup(x) for k, x in sorted(found.items())}
+
+    def _spread(self, lookup: Lookup, hit: np.ndarray, at: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(document * items + item, first word, end word) around places ``hit`` with keys ``at``, in slices."""
+        doc = np.searchsorted(off, hit, side="right") - 1
+        n = lookup.first[at + 1] - lookup.first[at]
+        total = np.cumsum(n)
+        a = 0
+        while a < len(n):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + SEED_BLOCK, side="right")))
+            k = _ranges(lookup.first[at[a:b]], n[a:b])
+            i, d = lookup.item[k], np.repeat(doc[a:b], n[a:b])
+            begin = np.repeat(hit[a:b], n[a:b]) - lookup.place[k]
+            lo = np.maximum(off[d], begin - self.edits[i])
+            hi = np.minimum(off[d + 1], begin + self.size[i] + self.edits[i])
+            yield d * len(self.ids) + i, lo, hi
+            a = b
 
     def seeds(self, h: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(document * items + item, first word, end word) of the bounds around each intact run, in slices."""
-        for q, (keys, first, item, place) in self.runs.items():
-            if len(h) < q:
-                continue
-            g = grams(h, q)
-            bits = np.zeros(1 << 16, dtype=bool)
-            bits[keys & np.uint64(0xFFFF)] = True
-            hit = np.flatnonzero(bits[g & np.uint64(0xFFFF)])
-            at = np.minimum(np.searchsorted(keys, g[hit]), len(keys) - 1)
-            same = keys[at] == g[hit]
-            hit, at = hit[same], at[same]
-            doc = np.searchsorted(off, hit, side="right") - 1
-            inside = hit + q <= off[doc + 1]
-            hit, at, doc = hit[inside], at[inside], doc[inside]
-            n = first[at + 1] - first[at]
-            total = np.cumsum(n)
-            a = 0
-            while a < len(n):
-                b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + SEED_BLOCK, side="right")))
-                k = _ranges(first[at[a:b]], n[a:b])
-                i, d = item[k], np.repeat(doc[a:b], n[a:b])
-                begin = np.repeat(hit[a:b], n[a:b]) - place[k]
-                lo = np.maximum(off[d], begin - self.edits[i])
-                hi = np.minimum(off[d + 1], begin + self.size[i] + self.edits[i])
-                yield d * len(self.ids) + i, lo, hi
-                a = b
+        """(document * items + item, first word, end word) of the bounds around each equal key, in slices."""
+        for q, lookup in self.whole.items():
+            if len(h) >= q:
+                yield from self._spread(lookup, *lookup.find(grams(h, q)), off)
+        for long, lookups in self.keyed.items():
+            for a in range(0, len(h) if lookups else 0, CHUNK):
+                words = h[a : a + CHUNK + STEPS[long]]  # keys of the last words are those of the next chunk
+                for k, keys in cgk_keys(words, long, range(max(lookups) + 1)):
+                    hit, at = lookups[k].find(keys[:CHUNK])
+                    if len(hit):
+                        yield from self._spread(lookups[k], hit + a, at, off)
 
     def places(self, h: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(document, number of the item, first word, end word) of all places with enough runs and words of an item."""
+        """(document, number of the item, first word, end word) of all places with an equal key and enough words of an item."""
         none = np.empty(0, dtype=np.int64)
-        pair, lo, hi, count = none, none, none, none
-        for p, a, b in self.seeds(h, off):
-            new = merged(p, a, b, np.ones(len(p), dtype=np.int64))
-            pair, lo, hi, count = merged(*(np.concatenate(x) for x in zip((pair, lo, hi, count), new, strict=True)))
-        if not len(pair):
-            return
-        enough = count >= self.least[pair % len(self.ids)]
-        for p, a, b in zip(pair[enough].tolist(), lo[enough].tolist(), hi[enough].tolist(), strict=True):
+        pair, lo, hi = none, none, none
+        waiting, size = [], 0
+        for found in self.seeds(h, off):
+            waiting.append(found)
+            size += len(found[0])
+            if size > SEED_BLOCK:
+                pair, lo, hi = merged(*(np.concatenate(x) for x in zip((pair, lo, hi), *waiting, strict=True)))
+                waiting, size = [], 0
+        pair, lo, hi = merged(*(np.concatenate(x) for x in zip((pair, lo, hi), *waiting, strict=True)))
+        for p, a, b in zip(pair.tolist(), lo.tolist(), hi.tolist(), strict=True):
             d, i = divmod(p, len(self.ids))
             n, k = int(self.size[i]), int(self.edits[i])
             words = self.distinct[i]
@@ -266,8 +285,6 @@ class ItemTables:
         """(document, item) -> (edits, first word, end word) of the best passage within the edits."""
         out: dict[tuple[int, int], tuple[int, int, int]] = {}
         for d, i, lo, hi in self.places(h, off):
-            if not self.collides(i, h[lo:hi]):
-                continue
             item = self.ids[i]
             edits, a, b = best_part(self.words[item], h[lo:hi])
             found = (edits, lo + a - int(off[d]), lo + b - int(off[d]))

@@ -101,17 +101,57 @@ def test_odd_rows(spark):
     assert D.without_leaks(d, b.limit(0)).count() == len(docs)
 
 
-def test_the_walk_turns_few_edits_into_few_differences():
+def plain_key(words: np.ndarray, start: int, long: bool, k: int) -> tuple[int, int]:
+    """A key by walking forward, and the place of the last word that it samples."""
+    padded = np.concatenate([words, np.zeros(99, np.uint64)])
+    coin = D.coins(padded, k - k % D.SAMPLES)
+    at, read = start, []
+    for t in range(max(D.sampled(long)[k]) + 1):
+        read.append(at)
+        at += int(coin[at]) >> t & 1
+    value = 0
+    for t in sorted(D.sampled(long)[k], reverse=True):
+        value = (value + int(padded[read[t]])) * int(D._ODD) % 2**64
+        value ^= value >> 29
+    return value, read[-1]
+
+
+@pytest.mark.parametrize("long", [False, True])
+def test_keys_from_the_last_step_back_are_those_of_walks(long):
     rng = np.random.default_rng(5)
-    near, far = [], []
-    for _ in range(40):
+    for n in (0, 1, 7, 40):
+        words = rng.integers(1, 1 << 62, n).astype(np.uint64)
+        got = dict(D.cgk_keys(words, long, range(3, 11)))
+        assert sorted(got) == list(range(3, 11))
+        for k, keys in got.items():
+            plain = [plain_key(words, i, long, k) for i in range(n)]
+            assert keys.tolist() == [v for v, _ in plain] and np.minimum(D.reach(words, long, k), n).tolist() == [min(r, n) for _, r in plain]
+
+
+def test_the_walk_keeps_keys_over_an_edit():
+    """Keys from the words before a missing word on are often those of the whole text, as no word run over it is."""
+    rng = np.random.default_rng(5)
+    kept = total = far = 0
+    for _ in range(60):
         a = rng.integers(1, 1 << 62, 40).astype(np.uint64)
-        b = np.concatenate([a[:11], a[12:], rng.integers(1, 1 << 62, 1).astype(np.uint64)])  # a word is missing
+        b = np.concatenate([a[:20], a[21:]])
         c = rng.integers(1, 1 << 62, 40).astype(np.uint64)
-        e = D.cgk(np.stack([a, b, c]), range(16))[:, :, : 40 * 5 // 3]
-        near.append((e[0] == e[1]).mean())
-        far.append((e[0] == e[2]).mean())
-    assert np.mean(near) > 0.5 and np.mean(far) < 0.05
+        for (k, x), (_, y), (_, z) in zip(*(D.cgk_keys(w, True, range(16)) for w in (a, b, c)), strict=True):
+            over = (D.reach(a, True, k)[14:19] > 20) & (D.reach(b, True, k)[14:19] >= 20)
+            kept, total = kept + (x[14:19] == y[14:19])[over].sum(), total + over.sum()
+            far += (x == z)[:28].sum()  # walks from there on stay inside
+    assert kept > 0.1 * total > 0 and far == 0
+
+
+def test_results_vanish_without_the_embedding(monkeypatch):
+    rng = random.Random(3)
+    items = [(i, " ".join(rng.choices(WORDS, k=rng.randint(5, 40)))) for i in range(10)]
+    h, off = hash_words([t.encode() for _, t in items])
+    tables = D.ItemTables(items)
+    assert len(tables.matches(h, off)) >= 10
+    real = D.cgk_keys
+    monkeypatch.setattr(D, "cgk_keys", lambda *a: ((k, np.zeros_like(v)) for k, v in real(*a)))
+    assert tables.matches(h, off) == {}
 
 
 def test_best_part_is_the_edit_distance():
@@ -144,15 +184,16 @@ def test_short_items_are_searched_exactly():
 
 @pytest.mark.parametrize("n", [5, 10, 16, 30, 45, 60, 120])
 def test_recall_at_the_most_deletions(n):
-    """LSH alone, over its own windows, where every passage has as many words left out as is allowed."""
+    """Every passage has as many words left out as is allowed, at any places or evenly spaced."""
     rng = random.Random(n)
-    lost, trials = 0, 150
-    for _ in range(trials):
+    lost, trials = 0, 200
+    for trial in range(trials):
         item = rng.choices(WORDS, k=n)
-        kept = sorted(rng.sample(range(n), n - D.edits_of(n)))
+        k = D.edits_of(n)
+        kept = sorted(rng.sample(range(n), n - k)) if trial % 2 else [i for i in range(n) if (i + trial) * k % n >= k]
         words = rng.choices(WORDS, k=10) + [item[i] for i in kept] + rng.choices(WORDS, k=20)
         h, off = hash_words([" ".join(words).encode()])
-        lost += not D.ItemTables([(7, " ".join(item))]).collides(0, h)
+        lost += not D.ItemTables([(7, " ".join(item))]).matches(h, off)
     assert lost <= 0.01 * trials
 
 
