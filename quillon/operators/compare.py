@@ -78,12 +78,17 @@ def delta_intervals(pairs: DataFrame, samples: int = 5000, seed: int = 72, draws
     raise ValueError(f"unknown draws: {draws}")
 
 
+def type_mismatches(pairs: DataFrame) -> DataFrame:
+    """``(record_id, mode, left, right)``: pairs of predictions whose question types differ; a missing one is ``unknown``."""
+    kind = lambda s: F.coalesce(f"{s}_question_type", F.lit("unknown"))
+    return pairs.select(*PREDICTION, kind("left").alias("left"), kind("right").alias("right")).filter("left <> right")
+
+
 def same_types(pairs: DataFrame) -> DataFrame:
     """``pairs`` of predictions, after a check that both sides have the same question type."""
-    kind = lambda s: F.coalesce(f"{s}_question_type", F.lit("unknown"))
-    found = pairs.filter(kind("left") != kind("right")).select(*PREDICTION).orderBy(*PREDICTION).limit(1).collect()
+    found = type_mismatches(pairs).orderBy(*PREDICTION).limit(1).collect()
     if found:
-        raise ValueError(f"question type mismatch for {tuple(found[0])!r}")
+        raise ValueError(f"question type mismatch for {tuple(found[0])[:2]!r}")
     return pairs
 
 

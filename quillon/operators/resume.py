@@ -12,6 +12,11 @@ from .tables import rubric
 TASK = ["record_id", "mode", "dimension"]
 
 
+def unknown_types(predictions: DataFrame) -> DataFrame:
+    """Predictions whose question type has no dimensions, which :func:`judge_tasks` refuses."""
+    return predictions.join(F.broadcast(rubric(predictions.sparkSession).select("question_type").distinct()), "question_type", "left_anti")
+
+
 def judge_tasks(predictions: DataFrame) -> DataFrame:
     """A row for each prediction and dimension of its type; unknown types are an error."""
     dims = F.broadcast(rubric(predictions.sparkSession))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import resume, sampling, tables
+from ..operators import bootstrap, resume, sampling, tables
 from ..scratch import shared_folder
 from ..sources import jsonl, manifests, results, series
 from . import adapters as A
@@ -178,15 +178,29 @@ def split_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("mode").agg(F.count("*").alias("n"), F.round(F.sum("loss"), 6).alias("loss"))
 
 
-@query(f"""WITH {_FINALS}, m AS (SELECT mode, question_type, avg(final) AS v FROM finals GROUP BY 1, 2), t AS (SELECT mode, max(CASE WHEN question_type = 'multiple_choice' THEN v END) AS a,
-  max(CASE WHEN question_type = 'open_ended' THEN v END) AS b, max(CASE WHEN question_type = 'true_false' THEN v END) AS c FROM m GROUP BY 1)
-SELECT '| ' || mode || ' | ' || printf('%.2f', a) || ' | ' || printf('%.2f', b) || ' | ' || printf('%.2f', c) || ' | ' || printf('%.2f', (a + b + c) / 3) || ' | - |' AS line FROM t""")
+_CELLS = [f"{k}/{part}" for k in ("multiple_choice", "open_ended", "true_false") for part in ("final", *sorted(d for kind, d, _ in tables.RUBRIC if kind == k))]
+
+
+@query(f"""WITH {_FINALS}, long AS (SELECT mode, question_type || '/final' AS metric, final AS value FROM finals UNION ALL
+  SELECT s.mode, s.question_type || '/' || dimension, score FROM scores s JOIN finals f ON s.record_id = f.record_id AND s.mode = f.mode), m AS (SELECT mode, metric, avg(value) AS v FROM long GROUP BY 1, 2)
+SELECT '| ' || mode || ' | ' || {" || ' | ' || ".join(f"printf('%.2f', max(CASE WHEN metric = '{c}' THEN v END))" for c in _CELLS)} || ' |' AS line FROM m GROUP BY mode""")
 def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the Markdown report, written as text and read again."""
+    """The rows of the Markdown report, with every dimension, written as text and read again."""
+    return _report(spark, tables.weighted_table(A.scores(spark, sf_dir)), None).filter("line like '| %' and line not like '| mode %' and line not like '| ---%'")
+
+
+@query()
+def markdown_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of the Markdown report with the paired differences from 10,000 rounds below it."""
+    scores = A.scores(spark, sf_dir)
+    intervals = bootstrap.split_intervals(tables.paired_differences(scores), "mode", "diff", samples=10_000)
+    return _report(spark, tables.weighted_table(scores), intervals)
+
+
+def _report(spark: SparkSession, table: DataFrame, intervals: DataFrame | None) -> DataFrame:
     path = shared_folder(spark, "report")
-    text = manifests.markdown_table(tables.weighted_table(A.scores(spark, sf_dir)))
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
-    return spark.read.text(path).select(F.col("value").alias("line")).filter("line like '| %' and line not like '| mode %'")
+    spark.createDataFrame([(manifests.markdown_table(table, intervals),)], "value string").coalesce(1).write.text(path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
 
 
 @query(f"""WITH {_FINALS}, m AS (SELECT mode, question_type || '/final' AS metric, avg(final) AS value FROM finals GROUP BY 1, 2) SELECT mode, metric, round(value, 6) AS value FROM m""")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, logprobs
 from ..functions import text as T
-from ..operators import audit, bootstrap, compare, latest, resume, sampling, scoring, selection, tables
+from ..operators import audit, batches, bootstrap, compare, latest, resume, sampling, scoring, selection, tables
 from . import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,6 +156,26 @@ def pad_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""WITH {A.SERIES_SQL}, b AS (SELECT series, n, (row_number() OVER (ORDER BY n DESC, series) - 1) // 8 AS batch, (row_number() OVER (ORDER BY series) - 1) // 8 AS dealt, list_sum(vals) AS s FROM series),
+d AS (SELECT sum(longest * k) AS steps FROM (SELECT max(n) AS longest, count(*) AS k FROM b GROUP BY dealt))
+SELECT batch, count(*) AS series, max(n) AS longest, CAST(sum(n) AS BIGINT) AS valid, CAST(max(n) * count(*) - sum(n) AS BIGINT) AS padding, round(1 - sum(n) / (max(n) * count(*)), 6) AS share,
+round(sum(s), 6) AS total, CAST(any_value(d.steps) AS BIGINT) AS steps_in_order FROM b, d GROUP BY batch""")
+def length_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of eight series of about one length: steps, padding and its share; and all steps of batches dealt in order."""
+    points = A.series_points(spark, sf_dir)
+    lengths = points.groupBy("series").agg(F.count("*").alias("n"))
+    batch = batches.by_length(lengths, "series", "n", 8)
+    patches = batches.padded_patches(points, batch, "series", 16)
+    valid = F.size(F.filter("mask", lambda x: x))
+    out = patches.groupBy("batch").agg(
+        F.count_distinct("series").alias("series"), F.sum(valid).alias("valid"), F.sum(F.size("mask") - valid).alias("padding"),
+        F.round(F.sum(F.aggregate("values", F.lit(0.0), lambda s, x: s + x)), 6).alias("total"),
+    ).withColumn("share", F.round(F.col("padding") / (F.col("valid") + F.col("padding")), 6))
+    longest = batch.groupBy("batch").agg(F.max("longest").alias("longest"))
+    dealt = batches.in_order(lengths, "series", "n", 8).agg(F.sum("longest").alias("steps_in_order"))
+    return out.join(longest, "batch").crossJoin(dealt)  # one row
+
+
 @query(f"""WITH {A.POINTS_SQL}, p AS (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY pos) AS last FROM points)
 SELECT series, round(avg(pow(value - last, 2)) FILTER (WHERE last IS NOT NULL AND event_type <> 'error'), 6) AS loss FROM p GROUP BY 1""")
 def masked_mse(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays, logprobs, prompts
 from ..functions import text as T
 from ..functions.similarity import text_similarity
-from ..operators import audit, compare, judging, latest, selection, tables
+from ..operators import audit, compare, judging, latest, resume, selection, tables
 from ..scratch import shared_folder
 from ..sources import jsonl
 from ..streaming import journal
@@ -78,6 +78,23 @@ def type_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy(F.col("left_question_type").alias("question_type")).agg(F.count("*").alias("pairs"))
 
 
+@query(f"""WITH {A.PREDICTIONS_SQL} SELECT record_id, mode, question_type AS "left", CASE WHEN loss > 11 THEN 'unknown' ELSE 'true_false' END AS "right" FROM predictions
+WHERE loss > 11 OR (loss < 2 AND question_type <> 'true_false')""")
+def type_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of two runs that the check of types rejects: the second run lost or changed some types."""
+    df = A.predictions(spark, sf_dir)
+    other = F.when(F.col("loss") > 11, F.lit(None)).when(F.col("loss") < 2, "true_false").otherwise(F.col("question_type"))
+    pairs = df.select(*compare.PREDICTION, F.col("question_type").alias("left_question_type")).join(df.select(*compare.PREDICTION, other.alias("right_question_type")), compare.PREDICTION)
+    return compare.type_mismatches(pairs)
+
+
+@query(f"""WITH {A.PREDICTIONS_SQL} SELECT record_id, mode, CASE WHEN loss > 11 THEN 'odd' END AS question_type FROM predictions WHERE loss > 11 OR loss < 1""")
+def unknown_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions that can't be judged, as their type is missing or has no dimensions."""
+    kind = F.when(F.col("loss") > 11, "odd").when(F.col("loss") >= 1, F.col("question_type"))
+    return resume.unknown_types(A.predictions(spark, sf_dir).withColumn("question_type", kind)).select("record_id", "mode", "question_type")
+
+
 @query(f"""WITH {A.SCORES_SQL}, d AS (SELECT record_id, mode, dimension, count(*) AS n FROM scores GROUP BY ALL HAVING count(*) > 1),
 e AS (SELECT p.record_id, p.mode, r.dimension FROM (SELECT DISTINCT a.record_id, m.mode FROM predictions a, (SELECT DISTINCT mode FROM predictions) m) p
   JOIN (SELECT DISTINCT record_id, mode, question_type FROM predictions) k USING (record_id, mode) JOIN rubric r ON r.question_type = k.question_type),
@@ -189,6 +206,20 @@ def stream_two_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read("done").unionByName(read("pending"))
 
 
+@query(f"""WITH {A.PREDICTIONS_SQL}, k AS (SELECT mode, count(*) AS n FROM predictions GROUP BY 1) SELECT CAST(sum(n) OVER () AS BIGINT) AS processed, 'done' AS state, CAST((SELECT count(*) FROM k) AS BIGINT) AS files FROM k LIMIT 1""")
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream over one file a mode says of itself at its end: rows so far, state, and batches with rows."""
+    folder = shared_folder(spark, "stream")
+    df = A.predictions(spark, sf_dir).select("record_id", "mode", "loss")
+    for mode in tables.MODES:
+        jsonl.append_jsonl(df.filter(F.col("mode") == mode).coalesce(1), f"{folder}/in")
+    rows = journal.once_by_key(journal.read_stream(spark, f"{folder}/in", df.schema, files=1), compare.PREDICTION)
+    stream = journal.two_sinks(rows, F.col("loss") < 6, f"{folder}/done", f"{folder}/pending", f"{folder}/state")
+    stream.awaitTermination()
+    told = spark.createDataFrame(journal.progress(stream), "batch long, rows long, processed long, state string")
+    return told.agg(F.max("processed").alias("processed"), F.max_by("state", "batch").alias("state"), F.count_if(F.col("rows") > 0).alias("files"))
+
+
 @query("SELECT n_regionkey * 5 + n_nationkey AS round, least(60.0, power(2.0, least(n_regionkey * 5 + n_nationkey, 5))) AS seconds FROM nation")
 def backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seconds to wait after each of some rounds."""

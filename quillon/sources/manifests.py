@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.sampling import split_names
+from ..operators.tables import BASE, MODES, RUBRIC
 from ..schemas import SPLIT
 
 
@@ -51,21 +52,25 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def markdown_table(table: DataFrame, intervals: DataFrame | None = None) -> str:
-    """The score table as Markdown: a row a mode, a column a question type and the macro final.
+    """The score table as Markdown: a row a mode; for each question type its final and its dimensions.
 
-    Numbers are formatted on the driver, with Python's rounding; the table has a
-    few rows.  Empty if a mode lacks a question type.
+    Below it stand the mean difference of each other mode to the base mode and its
+    interval, if ``intervals`` (mode, mean, low, high) are given.  Numbers are
+    formatted on the driver, with Python's rounding; the table has a few rows.
+    Empty if a mode lacks a number.
     """
-    kinds = ("multiple_choice", "open_ended", "true_false")
+    kinds = sorted({k for k, _, _ in RUBRIC})
+    metrics = [f"{k}/{part}" for k in kinds for part in ("final", *sorted(d for kind, d, _ in RUBRIC if kind == k))]
     cells = {(r["mode"], r["metric"]): r["value"] for r in table.collect()}
-    modes = sorted({m for m, _ in cells}, key=lambda m: (m != "base", m))
-    if not all((m, f"{k}/final") in cells for m in modes for k in kinds):
+    found = {m for m, _ in cells}
+    modes = [m for m in MODES if m in found] + sorted(found - set(MODES))
+    if not all((m, c) in cells for m in modes for c in metrics):
         return ""
-    found = {r["mode"]: r for r in intervals.collect()} if intervals is not None else {}
-    lines = ["| mode | " + " | ".join(kinds) + " | macro | difference to base |", "|" + "---|" * 6]
-    for m in modes:
-        ci = found.get(m)
-        diff = f"{ci['mean']:.2f} [{ci['low']:.2f}, {ci['high']:.2f}]" if ci else "-"
-        values = [cells[m, f"{k}/final"] for k in kinds] + [cells[m, "macro_final"]]
-        lines.append(f"| {m} | " + " | ".join(f"{v:.2f}" for v in values) + f" | {diff} |")
+    rows = [["mode", *(c.replace("/", " ") for c in metrics)], ["---"] * (len(metrics) + 1)]
+    rows += [[m, *(f"{cells[m, c]:.2f}" for c in metrics)] for m in modes]
+    lines = [f"| {' | '.join(r)} |" for r in rows]
+    if intervals is not None:
+        known = {r["mode"]: r for r in intervals.collect()}
+        lines += ["", f"Mean difference to {BASE}, 95% bootstrap interval:"]
+        lines += [f"- {m}: {r['mean']:.3f} [{r['low']:.3f}, {r['high']:.3f}]" for m in modes if (r := known.get(m))]
     return "\n".join(lines) + "\n"

@@ -176,5 +176,33 @@ def test_stream_splits_once(spark, tmp_path):
 
 
 def test_markdown(spark):
-    rows = [("base", f"{k}/final", 4.0) for k in ("multiple_choice", "open_ended", "true_false")] + [("base", "macro_final", 4.0)]
-    assert "| base | 4.00" in manifests.markdown_table(spark.createDataFrame(rows, "mode string, metric string, value double"))
+    from quillon.operators.tables import RUBRIC
+
+    metrics = sorted({f"{k}/{p}" for k, d, _ in RUBRIC for p in (d, "final")})
+    rows = [(m, c, 4.0 + (m == "base")) for m in ("odd", "wo_windows", "base") for c in [*metrics, "macro_final"]]
+    table = spark.createDataFrame(rows, "mode string, metric string, value double")
+    intervals = spark.createDataFrame([("wo_windows", -1.0, -1.25, -0.5)], "mode string, mean double, low double, high double")
+    lines = manifests.markdown_table(table, intervals).splitlines()
+    assert lines[0] == (
+        "| mode | multiple_choice final | multiple_choice correctness | multiple_choice reasoning_quality | open_ended final | open_ended accuracy"
+        " | open_ended completeness | open_ended relevance | true_false final | true_false correctness | true_false justification_quality |"
+    )
+    assert lines[2] == "| base |" + " 5.00 |" * 10 and [x.split()[1] for x in lines[2:5]] == ["base", "wo_windows", "odd"]
+    assert lines[5:] == ["", "Mean difference to base, 95% bootstrap interval:", "- wo_windows: -1.000 [-1.250, -0.500]"]
+    assert manifests.markdown_table(table.filter("metric <> 'open_ended/accuracy'")) == ""
+
+
+def test_batches_are_padded_to_their_own_longest(spark):
+    from quillon.operators import batches
+
+    sizes = {"a": 5, "b": 1, "c": 9, "d": 2, "e": 40}
+    points = spark.createDataFrame([(k, i, float(i + 1)) for k, n in sizes.items() for i in range(n)], "series string, pos long, value double").repartition(3)
+    batch = batches.by_length(points.groupBy("series").agg(F.count("*").alias("n")), "series", "n", 2)
+    assert {r.series: (r.batch, r.longest) for r in batch.collect()} == {"e": (0, 40), "c": (0, 40), "a": (1, 5), "d": (1, 5), "b": (2, 1)}
+    rows = batches.padded_patches(points, batch, "series", 4).orderBy("series", "patch").collect()
+    for k, n in sizes.items():
+        longest = {"e": 40, "c": 40, "a": 5, "d": 5, "b": 1}[k]
+        own = [r for r in rows if r.series == k]
+        assert sum((r["values"] for r in own), []) == [float(i + 1) for i in range(n)] + [0.0] * (longest - n)
+        assert sum((r["mask"] for r in own), []) == [True] * n + [False] * (longest - n)
+    assert batches.padded_patches(points.limit(0), batch.limit(0), "series", 4).count() == 0
