@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.logprobs import valid_distribution
-from .latest import duplicate_keys, key_difference
+from .latest import duplicate_keys
+from .reconcile import exact_difference
 from .tables import MODES, rubric
 
 #: Name of the sampling method, and the samples that it must have.
@@ -45,14 +46,14 @@ def expected_scores(predictions: DataFrame, modes: tuple[str, ...] = MODES) -> D
 def audit_predictions(predictions: DataFrame, manifest: DataFrame | None = None, modes: tuple[str, ...] = MODES) -> DataFrame:
     """Checks of a prediction table: duplicate keys, empty responses, missing and unexpected keys."""
     keys = ["record_id", "mode"]
-    diff = key_difference(predictions, expected_predictions(predictions, modes), keys)
+    diff = exact_difference(predictions, expected_predictions(predictions, modes), keys)
     out = (
         _count(duplicate_keys(predictions, keys), "duplicate_keys")
         .union(_rows(predictions, {"empty_response": empty_response(F.col("response"))}))
         .union(_rows(diff, {"unexpected": F.col("side") == "left", "missing": F.col("side") == "right"}))
     )
     if manifest is not None:
-        out = out.union(_count(key_difference(predictions, manifest, ["record_id"]), "record_ids"))
+        out = out.union(_count(exact_difference(predictions, manifest, ["record_id"]), "record_ids"))
     return out.withColumn("ok", F.col("bad") == 0)
 
 
@@ -81,7 +82,7 @@ def audit_scores(scores: DataFrame, predictions: DataFrame, modes: tuple[str, ..
     ``expected`` names columns whose only value must be the given one.
     """
     keys = ["record_id", "mode", "dimension"]
-    diff = key_difference(scores, expected_scores(predictions, modes), keys)
+    diff = exact_difference(scores, expected_scores(predictions, modes), keys)
     checks = score_checks(**options)
     if allowed_methods:
         checks["method"] = ~F.coalesce(F.col("method"), F.lit("")).isin(*allowed_methods)
@@ -109,7 +110,7 @@ def audit_validation(predictions: DataFrame, expected_series: DataFrame, per_ser
     out = (
         _count(duplicate_keys(predictions, ["record_id", "mode"]), "duplicate_keys")
         .union(_rows(predictions, {"other_modes": F.col("mode") != "base", "empty_response": empty_response(F.col("response"))}))
-        .union(_count(key_difference(counts, expected_series, ["series_file"]), "series"))
+        .union(_count(exact_difference(counts, expected_series, ["series_file"]), "series"))
         .union(_rows(counts, {"records_of_series": F.col("n") != per_series}))
     )
     return out.withColumn("ok", F.col("bad") == 0)

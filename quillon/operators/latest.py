@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .reconcile import key_difference
+
 
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row of the greatest ``order`` of each key, by a partial aggregate."""
@@ -26,14 +28,6 @@ def fail_on_duplicates(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     return df
 
 
-def key_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys of one side only, with ``side`` left or right; empty if the sets agree."""
-    a = left.select(*keys).distinct().withColumn("_l", F.lit(True))
-    b = right.select(*keys).distinct().withColumn("_r", F.lit(True))
-    both = a.join(b, keys, "full_outer")
-    return both.filter("_l is null or _r is null").select(*keys, F.when(F.col("_l"), "left").otherwise("right").alias("side"))
-
-
 def first_of_difference(left: DataFrame, right: DataFrame, keys: list[str], most: int = 5) -> DataFrame:
     """The first keys, in order, that only one side has: at most ``most`` a side."""
     diff = key_difference(left, right, keys)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import score_from_text
+from ..scratch import written
 from .latest import latest
 from .tables import rubric
 
@@ -25,10 +26,62 @@ def judge_tasks(predictions: DataFrame) -> DataFrame:
     return tasks.withColumn("dimension", known)
 
 
+#: Bits of the filter a done key, places a key, and bits at most (16 MB).
+BITS, PLACES, MOST_BITS = 12, 4, 1 << 27
+
+
+def _places(keys: list[str], bits: int) -> list[Column]:
+    """Places of a key's bits, from two halves of its hash."""
+    h = F.xxhash64(*keys)
+    low, high = h.bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftrightunsigned(h, 33)
+    return [(low + high * k) % bits for k in range(PLACES)]
+
+
+def done_filter(done: DataFrame, keys: list[str]) -> tuple[DataFrame, int] | None:
+    """A Bloom filter of the done keys: one row ``words`` (array<long>) and its bits; None if it would be too large.
+
+    It is sized from the number of rows; about 3 in 1000 keys that aren't done
+    pass it too.
+    """
+    n = done.count()
+    bits = 64 * max(1, -(-n * BITS // 64))
+    if bits > MOST_BITS:
+        return None
+    at = done.select(F.explode(F.array(*_places(keys, bits))).alias("_at"))
+    set_ = at.groupBy(F.floor(F.col("_at") / 64).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_at") % 64).cast("int"))).alias("_bits"))
+    every = done.sparkSession.range(bits // 64).select(F.col("id").alias("_word"))
+    words = every.join(set_, "_word", "left").select("_word", F.coalesce("_bits", F.lit(0).cast("long")).alias("_bits"))
+    row = written(words.agg(F.transform(F.array_sort(F.collect_list(F.struct("_word", "_bits"))), lambda x: x["_bits"]).alias("words")), "filter")
+    return row, bits
+
+
+def maybe_done(keys: list[str], words: Column, bits: int) -> Column:
+    """False if a key surely isn't among those of the filter."""
+    hit = [F.call_function("shiftrightunsigned", F.get(words, F.floor(p / 64).cast("int")), (p % 64).cast("int")).bitwiseAND(F.lit(1)) == 1 for p in _places(keys, bits)]
+    out = hit[0]
+    for h in hit[1:]:
+        out = out & h
+    return out
+
+
 def remaining(tasks: DataFrame, done: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Tasks whose key isn't done."""
+    """Tasks whose key isn't done.
+
+    A filter of the done keys stands in the plan as one value: tasks that are
+    surely not done are passed on where they are, and only the others are joined
+    with the done keys.  So the first start of a long run shuffles next to
+    nothing.  Very many done keys, whose filter would be too large, are joined
+    without it.  A key with a null is never done, and no key is changed.
+    """
     keys = keys or TASK
-    return tasks.join(done.select(*keys).distinct(), keys, "left_anti")
+    done = written(done.select(*keys).dropna(), "done")
+    join = lambda df: df.join(done.distinct(), keys, "left_anti").select(*tasks.columns)
+    found = done_filter(done, keys)
+    if found is None:
+        return join(tasks)
+    row, bits = found
+    known = F.coalesce(maybe_done(keys, row.scalar(), bits), F.lit(False))
+    return tasks.filter(~known).unionByName(join(tasks.filter(known)))
 
 
 def usable_pending(journal: DataFrame, order: str = "_line_no") -> DataFrame:

@@ -3,35 +3,19 @@
 from __future__ import annotations
 
 import json
-import os
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .named_files import register
+
 
 def write_named(rows: DataFrame, folder: str) -> int:
-    """Write each row (name, text) as a file of that name; returns how many.
-
-    Each file appears under its name when it is whole, so a task that is run
-    again leaves the same files.
-    """
-
-    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        store, path = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + os.path.abspath(folder.removeprefix("file:")))
-        store.create_dir(path, recursive=True)
-        for part in parts:
-            for name, text in zip(part["name"], part["text"], strict=True):
-                temp = f"{path}/.{name}.{os.getpid()}.tmp"
-                with store.open_output_stream(temp) as out:
-                    out.write(text.encode())
-                store.move(temp, f"{path}/{name}")
-            yield pd.DataFrame({"n": [len(part)]})
-
-    return rows.select("name", "text").mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
+    """Write each row (name, text) as a file of that name, all or none; returns how many rows there were."""
+    register(rows.sparkSession)
+    seen = Observation()
+    rows.select("name", "text").observe(seen, F.count(F.lit(1)).alias("n")).write.format("named_files").option("path", folder).mode("append").save()
+    return seen.get["n"]
 
 
 def write_series(series: DataFrame, folder: str) -> int:

@@ -114,6 +114,27 @@ def test_resume(spark):
     assert resume.usable_pending(log).count() == 0
 
 
+def test_remaining_tasks_through_the_filter(spark, monkeypatch):
+    tasks = [(f"r{i % 900}", "base", "d", i) for i in range(1000)] + [(None, "base", "d", -1), ("r1", None, "d", -2)]
+    done = [(f"r{i}", "base", "d") for i in range(0, 900, 3)] * 2 + [(None, "base", "d"), ("other", "base", "d")]
+    a = spark.createDataFrame(tasks, "record_id string, mode string, dimension string, n long").repartition(3)
+    b = spark.createDataFrame(done, "record_id string, mode string, dimension string")
+    want = sorted(t[3] for t in tasks if t[:3] not in set(done) or None in t[:3])
+    plain = sorted(r.n for r in a.join(b, resume.TASK, "left_anti").collect())
+    assert want == plain
+    for most in (resume.MOST_BITS, 64):
+        monkeypatch.setattr(resume, "MOST_BITS", most)
+        got = resume.remaining(a, b)
+        assert sorted(r.n for r in got.collect()) == want and got.columns == a.columns
+    monkeypatch.undo()
+    assert resume.remaining(a, b.limit(0)).count() == len(tasks) and resume.remaining(a.limit(0), b).count() == 0
+    row, bits = resume.done_filter(b.dropna(), resume.TASK)
+    assert bits == 64 * -(-601 * 12 // 64) and len(row.first().words) * 64 == bits
+    fresh = spark.range(20_000).select(F.concat(F.lit("new"), F.col("id").cast("string")).alias("record_id"), F.lit("base").alias("mode"), F.lit("d").alias("dimension"))
+    passed = fresh.filter(resume.maybe_done(resume.TASK, row.scalar(), bits)).count()
+    assert passed < 0.02 * 20_000 and b.dropna().filter(resume.maybe_done(resume.TASK, row.scalar(), bits)).count() == 601
+
+
 def test_judging_verdicts(spark):
     def client(prompt, attempt):
         if prompt == "denied":

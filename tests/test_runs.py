@@ -123,3 +123,40 @@ def test_split_manifest_and_progress(spark, tmp_path):
     query.awaitTermination()
     told = journal.progress(query)
     assert told[-1]["processed"] == 10 and told[-1]["state"] == "done"
+
+
+def test_named_files_appear_when_the_job_commits(spark, tmp_path):
+    folder = tmp_path / "out"
+    rows = spark.range(40, numPartitions=4).select(F.format_string("f%02d.txt", "id").alias("name"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    assert results.write_named(rows, f"file://{folder}") == 40
+    assert sorted(p.name for p in folder.iterdir()) == [f"f{i:02}.txt" for i in range(40)] and (folder / "f07.txt").read_text() == "text 7"
+    # One task fails after others have written: no file and no staging folder is left.
+    bad = rows.withColumn("name", F.when(F.col("name") == "f39.txt", F.lit("no/name")).otherwise(F.concat(F.lit("x"), "name")))
+    with pytest.raises(Exception, match="not a file name"):
+        results.write_named(bad, f"file://{folder}")
+    assert len(list(folder.iterdir())) == 40
+    assert results.write_named(rows.limit(0), f"file://{tmp_path}/none") == 0
+    with pytest.raises(Exception, match="append"):
+        rows.write.format("named_files").option("path", str(folder)).mode("overwrite").save()
+
+
+def test_differences_of_key_sets(spark):
+    import random
+
+    from quillon.operators import reconcile
+
+    rng = random.Random(1)
+    assert all(reconcile._check(r.h) == r.c for r in spark.range(-5, 5).select(F.xxhash64("id").alias("h")).withColumn("c", F.xxhash64("h")).collect())
+    keys = [(f"r{i}", rng.choice(["a", "b", None])) for i in range(3000)]
+    for gone, extra, double in ((0, 0, 0), (1, 2, 0), (300, 200, 0), (5, 5, 4), (2900, 0, 0)):
+        left = keys[gone:] + [(None, f"x{i}") for i in range(extra)]
+        right = keys + keys[-double:] if double else keys
+        frames = [spark.createDataFrame(x, "k string, m string").repartition(3) for x in (left, right)]
+        want = {(*k, "left") for k in set(left) - set(right)} | {(*k, "right") for k in set(right) - set(left)}
+        for cells in (reconcile.CELLS, (30,)):
+            got = [tuple(r) for r in reconcile.key_difference(*frames, ["k", "m"], cells).collect()]
+            assert len(got) == len(want) and set(got) == want
+    a, b = spark.createDataFrame([("k", 1), ("k", 1), ("z", 1)], "k string, n int"), spark.createDataFrame([("k", 1)], "k string, n int")
+    assert [tuple(r) for r in reconcile.key_difference(a, b, ["k"]).collect()] == [("z", "left")]
+    table = reconcile._table(frames[0], frames[0], ["k", "m"], 100)
+    assert table == {} and reconcile.decoded(table, 100) == []
