@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level elements.  What stands in an element
 that is side matter by its tag, role or class (footer, form, advert, comments
-...) is left out.  Every other block is decided by its text:
+...) is left out; a form, or what a class names, only if it holds no more than
+half of the text.  Every other block is decided by its text:
 
 * Pass 1: link density, length and stop-word density make a block good, bad,
   nearly good, or ambiguous.
@@ -59,7 +60,7 @@ _BLOCK = frozenset(
     """.split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SIDE = frozenset("aside button dialog fieldset footer form head menu nav optgroup option search select template title".split())
+_SIDE = frozenset("aside button dialog fieldset footer head menu nav optgroup option search select template title".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 _NAMED = frozenset(
     """
@@ -75,12 +76,15 @@ _ENDS = {
 }
 _SCOPES = frozenset("article aside body dialog div dl footer form header html li main menu nav ol section table td th ul".split())
 
+# Attributes of a tag: quotes may hold anything, the rest no tag.  Without a way back, and at most so
+# many quotes: a tag whose quotes don't pair is given up soon, and ends at its first ``>``.
+_QUOTED = r"[^>\"'<]*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"'<]*+){0,200}+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?:svg|math)(?=[\s/>])[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*(?<=/)>"  # self-closed: empty
+    rf"|<(?:svg|math)(?=[\s/>]){_QUOTED}(?<=/)>"  # self-closed: empty
     r"|<(script|style|noscript|textarea|template|svg|iframe|object|canvas|math|video|audio|xmp)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>"
+    rf"|<(/?)([a-zA-Z][^\s/>]*)({_QUOTED})>"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
@@ -239,6 +243,7 @@ def read_page(page: str) -> Page:
             new.credits = True  # an article's own header: only its headings are text
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             new.heading = True
+        named = tag == "form"  # side matter, but for one that holds most of the page
         if m[4].strip():
             attributes = _attributes(m[4])
             if attributes.get("role", "").lower() in _ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or _HIDDEN.search(attributes.get("style", "")):
@@ -246,9 +251,11 @@ def read_page(page: str) -> Page:
             if tag not in ("html", "body", "main", "a") and tag in _BLOCK | {"span", "ins"}:
                 parts = _NAME_PARTS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}")
                 if _NAMED.intersection(p.lower() for p in parts) and not (tag == "article" and not up.article):
-                    new.name = len(out.named)
-                    out.named.append(up.name)
-                    out.within.append(new.article)
+                    named = True
+        if named:
+            new.name = len(out.named)
+            out.named.append(up.name)
+            out.within.append(new.article)
         stack.push(new)
     said(page[at:])
     end_block()

@@ -134,3 +134,20 @@ def test_the_table_holds_articles_and_nothing_else(spark):
 )
 def test_text_after_empty_and_custom_elements(between):
     assert html.main_text(page(f"<article><p>{P1}</p>{between}<p>{P2}</p></article>")).split("\n") == [P1, P2]
+
+
+@pytest.mark.parametrize("unit", ["<p '>'a", "<p \">x", "<a b='c\">y", "<p ''>'z", "<svg '>'/>q", "<p '<p>'x'", "<b '\"'>", "</p '>'"])
+def test_quotes_that_do_not_pair_take_linear_time(unit):
+    import time
+
+    began = time.perf_counter()
+    html.main_text(unit * (1_000_000 // len(unit)))
+    assert time.perf_counter() - began < 20
+
+
+def test_a_page_in_one_form_keeps_its_article():
+    prose = "It was the second of the days that he had with them, and they were there for it as she was. " * 4
+    page = f"<html><head><title>t</title></head><body><form action='x'><h1>Heading</h1><p>{prose}</p><select><option>one</option></select><p>{prose}</p></form></body></html>"
+    assert html.main_text(page) == "\n".join(["Heading", prose.strip(), prose.strip()])
+    small = f"<body><h1>Heading</h1><p>{prose}</p><form><p>{prose[:150]}</p><button>Send</button></form></body>"
+    assert html.main_text(small) == "\n".join(["Heading", prose.strip()])
