@@ -88,6 +88,24 @@ def thinking_of(c: Column) -> Column:
     return known.otherwise(F.raise_error(F.lit("expected auto, true, or false")).cast("boolean"))
 
 
+#: Alternatives of a request, and samples of a fallback.
+FALLBACKS = (0, 20)
+
+
+def setting_faults(top_logprobs: Column, fallback: Column, bound: Column, readout: bool = False) -> Column:
+    """Names of the settings of a judging run that are refused, in order; empty if all are fine.
+
+    Alternatives must be from 0 (1 for a readout) to 5, fallback samples 0 or 20,
+    and the bound of missing score mass in [0, 1).  A null is refused.
+    """
+    fine = {
+        "top_logprobs": top_logprobs.between(int(readout), MOST_ALTERNATIVES),
+        "fallback_samples": fallback.isin(*FALLBACKS),
+        "max_missing_score_mass": (bound >= 0) & (bound < 1) & ~F.isnan(bound),
+    }
+    return F.filter(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in fine.items())), lambda x: x.isNotNull())
+
+
 def _message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 

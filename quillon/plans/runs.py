@@ -11,7 +11,7 @@ from ..functions.similarity import text_similarity
 from ..operators import audit, compare, judging, latest, resume, selection, tables
 from ..scratch import shared_folder
 from ..sources import jsonl
-from ..streaming import journal
+from ..streaming import journal, retries
 from . import adapters as A
 from .queries import _RUNS, _SOFT_SQL, _TWO_RUNS, _other, query, r6
 
@@ -220,6 +220,29 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.agg(F.max("processed").alias("processed"), F.max_by("state", "batch").alias("state"), F.count_if(F.col("rows") > 0).alias("files"))
 
 
+#: Attempts recorded by the events: eight tasks a user, a code a kind of event.
+_CODES = "CASE event_type WHEN 'purchase' THEN 200 WHEN 'signup' THEN 401 WHEN 'error' THEN 503 WHEN 'click' THEN 429 END"
+_TASK = "CAST(user_id AS STRING) || ':' || CAST(event_id % 8 AS STRING)"
+
+
+@query(f"""WITH a AS (SELECT {A.sql(_TASK)} AS task, ts, {_CODES} AS code FROM events),
+k AS (SELECT *, row_number() OVER w AS k, lag(ts) OVER w AS last, lead(ts) OVER w AS next FROM a WINDOW w AS (PARTITION BY task ORDER BY ts)),
+v AS (SELECT task, ts, k, CASE WHEN last + INTERVAL 2 DAY < ts THEN 'expired' WHEN code = 200 THEN 'done' WHEN code = 401 THEN 'permanent' WHEN k >= 3 THEN 'exhausted' END AS verdict,
+  CASE WHEN last + INTERVAL 2 DAY < ts THEN k - 1 ELSE k END AS attempts FROM k UNION ALL
+  SELECT task, ts + INTERVAL 2 DAY, k + 1, 'expired', k FROM k WHERE next IS NULL AND ts + INTERVAL 2 DAY <= (SELECT max(ts) FROM a))
+SELECT task, verdict, CAST(attempts AS INT) AS attempts FROM v WHERE verdict IS NOT NULL QUALIFY row_number() OVER (PARTITION BY task ORDER BY k) = 1""")
+def stream_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict and attempts of each task from a stream of recorded attempts, which is stopped and started again."""
+    folder = shared_folder(spark, "retries")
+    df = A.table(spark, sf_dir, "events").select(F.expr(_TASK).alias("task"), F.col("ts").cast("timestamp").alias("ts"), F.expr(_CODES).alias("code"))
+    half = df.agg(F.min("ts") + (F.max("ts") - F.min("ts")) / 2).first()[0]
+    for part in (df.filter(F.col("ts") < half), df.filter(F.col("ts") >= half)):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        rows = retries.verdicts(journal.read_stream(spark, f"{folder}/in", df.schema, "parquet"), most=3)
+        retries.start(rows, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.schema(retries.VERDICTS).parquet(f"{folder}/out").select("task", "verdict", "attempts")
+
+
 @query("SELECT n_regionkey * 5 + n_nationkey AS round, least(60.0, power(2.0, least(n_regionkey * 5 + n_nationkey, 5))) AS seconds FROM nation")
 def backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seconds to wait after each of some rounds."""
@@ -266,6 +289,18 @@ def question_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("series", "mode", F.sha2(prompt, 256).alias("prompt_sha256"), prompts.answer_prompt(number).alias("answer_prompt"))
 
 
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 8 AS INT) - 1 AS top, CASE l_suppkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 20 WHEN 2 THEN 5 END AS fallback, l_discount * 12 - 0.06 AS bound FROM lineitem)
+SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN top NOT BETWEEN 0 AND 5 THEN 'top_logprobs' END, CASE WHEN coalesce(fallback, -1) NOT IN (0, 20) THEN 'fallback_samples' END, CASE WHEN bound < 0 OR bound >= 1 THEN 'max_missing_score_mass' END) AS run_faults,
+concat_ws(',', CASE WHEN top NOT BETWEEN 1 AND 5 THEN 'top_logprobs' END, CASE WHEN coalesce(fallback, -1) NOT IN (0, 20) THEN 'fallback_samples' END, CASE WHEN bound < 0 OR bound >= 1 THEN 'max_missing_score_mass' END) AS readout_faults FROM s""")
+def rejected_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is refused of the settings of each run, and of a readout with the same settings."""
+    df = A.table(spark, sf_dir, "lineitem")
+    top = (F.col("l_partkey") % 8).cast("int") - 1
+    fallback = F.when(F.col("l_suppkey") % 4 == 0, 0).when(F.col("l_suppkey") % 4 == 1, 20).when(F.col("l_suppkey") % 4 == 2, 5)
+    faults = lambda readout: F.array_join(prompts.setting_faults(top, fallback, F.col("l_discount") * 12 - 0.06, readout), ",")
+    return df.select("l_orderkey", "l_linenumber", faults(False).alias("run_faults"), faults(True).alias("readout_faults"))
+
+
 _USER = """'{"role":"user","content":' || to_json(response) || '}'"""
 
 

@@ -160,3 +160,29 @@ def test_differences_of_key_sets(spark):
     assert [tuple(r) for r in reconcile.key_difference(a, b, ["k"]).collect()] == [("z", "left")]
     table = reconcile._table(frames[0], frames[0], ["k", "m"], 100)
     assert table == {} and reconcile.decoded(table, 100) == []
+
+
+def test_retries_are_state_that_a_restart_keeps(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from quillon.streaming import retries
+
+    hour = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    first = [("done", 1, 503), ("done", 2, 200), ("denied", 1, 401), ("late", 1, 429), ("busy", 1, 503), ("busy", 2, None), ("gone", 1, 503), ("half", 30, 429)]
+    second = [("busy", 31, 500), ("late", 60, 200), ("done", 61, 401), ("half", 62, 200), ("open", 100, 503)]
+    got = []
+    for part in (first, second, []):
+        if part:
+            df = spark.createDataFrame([(k, hour(h), c) for k, h, c in part], "task string, ts timestamp, code int")
+            df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        rows = retries.verdicts(journal.read_stream(spark, f"{tmp_path}/in", df.schema, "parquet"), most=3, patience="48 hours")
+        retries.start(rows, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+        out = spark.read.schema(retries.VERDICTS).parquet(f"{tmp_path}/out").collect()
+        got.append(sorted((r.task, r.verdict, r.attempts, r["at"]) for r in out))
+    assert [x[:3] for x in got[0]] == [("denied", "permanent", 1), ("done", "done", 2)]
+    # A stream's time passes with its rows: the task that nobody tried again and the one tried too late are expired.
+    assert got[1] == got[2] == sorted([
+        ("denied", "permanent", 1, hour(1)), ("done", "done", 2, hour(2)), ("busy", "exhausted", 3, hour(31)),
+        ("late", "expired", 1, hour(49)), ("gone", "expired", 1, hour(49)), ("half", "done", 2, hour(62)),
+    ])
+    assert spark.conf.get(retries._STORE).endswith("HDFSBackedStateStoreProvider")
