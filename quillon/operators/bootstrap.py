@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import written
 from .generator import accepted, stream
 from .sampling import numbered, placed
 
@@ -30,6 +31,11 @@ def interval_indices(samples: int, alpha: float = 0.05, closed: bool = False) ->
     return max(0, int(alpha / 2 * top)), min(samples - 1, int((1 - alpha / 2) * top))
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks that long work on few rows is dealt to; a stated number keeps small partitions from being merged."""
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _clean(df: DataFrame, group: str, value: str, *more: str) -> DataFrame:
     """Rows with a value, as ``_v``; the group also as a text that is never null, ``_k``."""
     v = F.col(value).cast("double")
@@ -117,11 +123,12 @@ def split_intervals(df: DataFrame, group: str, value: str, samples: int = 10_000
     without values has no row, and one with a single value has it as both bounds.
     """
     tally = _clean(df, group, value).groupBy(group, "_k", "_v").agg(F.count("*").alias("_m"))
-    places = placed(tally, ["_k"], ["_v"], "_m", "_start", "_n")
+    places = written(placed(tally, ["_k"], ["_v"], "_m", "_start", "_n"), "places")
     of = places.groupBy(group, "_k").agg(F.max("_n").alias("n"), (F.sum(F.col("_v") * F.col("_m")) / F.max("_n")).alias("mean"))
     if samples <= 0:
         return _bounds(of, of, group, samples, closed)
-    sums = places.select("_k", "_v", "_m", "_start", "_n").sortWithinPartitions("_k", "_start").mapInArrow(_weighted(seed, samples), _SUMS)
+    dealt = places.select("_k", "_v", "_m", "_start", "_n").repartitionByRange(_tasks(df), "_k", "_start")
+    sums = dealt.sortWithinPartitions("_k", "_start").mapInArrow(_weighted(seed, samples), _SUMS)
     rounds = sums.select("_k", "_slice", F.posexplode("_sums").alias("_i", "_x")).groupBy("_k", "_slice", "_i").agg(F.sum("_x").alias("_x"))
     means = rounds.join(of.select("_k", "n"), "_k").select("_k", (F.col("_x") / F.col("n")).alias("_m"))
     return _bounds(of, means, group, samples, closed)
@@ -166,7 +173,7 @@ def generator_draws(of: DataFrame, samples: int, seed: int, seeds: dict[str, int
     for name, other in (seeds or {}).items():
         own = F.when(F.col("_k") == f"={name}", other).otherwise(own)
     of = of.select("_k", "n", need.cast("long").alias("_need"), own.cast("long").alias("_seed"), blocks.alias("_blocks"))
-    rows = of.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).repartition("_k", "_block")
+    rows = of.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).repartition(_tasks(of), "_k", "_block")
     rows = rows.mapInArrow(_tries(block, True), "_k string, n long, _need long, _seed long, _blocks long, _block long, _got long")
     # A row a block: their sums are cheap, whatever the draws.
     from pyspark.sql import Window
@@ -175,7 +182,7 @@ def generator_draws(of: DataFrame, samples: int, seed: int, seeds: dict[str, int
     before = F.coalesce(F.sum("_got").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumns({"_before": before, "_all": F.sum("_got").over(Window.partitionBy("_k"))})
     enough = F.when(F.col("_all") >= F.col("_need"), F.col("_need")).otherwise(F.raise_error(F.lit("too few draws in the blocks of the generator")).cast("long"))
-    rows = rows.withColumn("_need", enough).filter("_before < _need").repartition("_k", "_block")
+    rows = rows.withColumn("_need", enough).filter("_before < _need").repartition(_tasks(of), "_k", "_block")
     return rows.mapInArrow(_tries(block, False), _DRAWS)
 
 
