@@ -479,18 +479,22 @@ def bounded_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("vec_id", F.round("b.score", 6).alias("score"), F.round("b.missing_mass_bound", 6).alias("missing_mass_bound"))
 
 
-@query(f"WITH {_SOFT_SQL} SELECT vec_id, round({_MEAN}, 6) AS score, 0 AS missing FROM soft")
+@query(f"""WITH {A.JUDGEMENTS_SQL}, e AS (SELECT *, vec_id % 2 = 1 AS odd, CASE WHEN vec_id % 2 = 1 THEN greatest(l1, l2, l3, l4) ELSE greatest({_LOGITS}) END AS peak, least({_LOGITS}) AS cutoff FROM judged),
+b AS (SELECT *, exp(l1 - peak) AS w1, exp(l2 - peak) AS w2, exp(l3 - peak) AS w3, exp(l4 - peak) AS w4, CASE WHEN odd THEN 0 ELSE exp(l5 - peak) END AS w5, CASE WHEN odd THEN exp(cutoff - peak) ELSE 0 END AS u FROM e),
+c AS (SELECT *, w1 + w2 + w3 + w4 + w5 AS z, NOT (odd AND digit = 5) AS chosen FROM b)
+SELECT vec_id, CASE WHEN chosen AND u / (z + u) <= 0.17 THEN round({_MEAN}, 6) END AS score, CASE WHEN chosen AND u / (z + u) <= 0.17 THEN CAST(odd AS INT) END AS missing FROM c""")
 def readout_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected score of a JSON readout with labels A to E."""
+    """Expected score of a JSON readout with labels A to E, one of which is missing from every other answer."""
     label = lambda t: F.translate(t, "12345", "ABCDE")
+    shown = lambda t: F.when((F.col("vec_id") % 2 == 1) & (label(t) == "E"), "?").otherwise(label(t))
     df = A.judgements(spark, sf_dir).withColumn("last", F.element_at("tokens", -1))
-    alts = F.transform("last.top_logprobs", lambda a: F.struct(label(a["token"]).alias("token"), a["logprob"].alias("logprob")))
+    alts = F.transform("last.top_logprobs", lambda a: F.struct(shown(a["token"]).alias("token"), a["logprob"].alias("logprob")))
     none = F.array().cast("array<struct<token:string,logprob:double>>")
     piece = lambda t, alts: F.struct(t.alias("token"), F.lit(-0.5).alias("logprob"), alts.alias("top_logprobs"))
     chosen = label(F.col("last.token"))
     df = df.withColumns(
         {"content": F.concat(F.lit('{"score":"'), chosen, F.lit('"}')), "tokens": F.array(piece(F.lit('{"score":"'), none), piece(chosen, alts), piece(F.lit('"}'), none))}
-    ).withColumn("b", logprobs.bounded_labels(F.col("content"), F.col("tokens"), 5, 1e-6))
+    ).withColumn("b", logprobs.bounded_labels(F.col("content"), F.col("tokens"), 5, 0.17))
     return df.select("vec_id", F.round("b.score", 6).alias("score"), F.col("b.missing").alias("missing"))
 
 
