@@ -60,14 +60,16 @@ def bucket_seeds(pairs: DataFrame, seed: int) -> dict[str, int]:
     return {"overall": seed, "changed": seed + 1, "unchanged": seed + 2} | {f"dimension/{d}": seed + 10 + i for i, d in enumerate(dimensions)}
 
 
-def delta_intervals(pairs: DataFrame, samples: int = 5000, seed: int = 72, draws: str = "split") -> DataFrame:
+def delta_intervals(pairs: DataFrame, samples: int = 5000, seed: int = 72, exact: bool = False, draws: str = "split") -> DataFrame:
     """``(bucket, n, mean, low, high)``: the mean difference of each bucket and its interval.
 
     Bounds are the means at 2.5 and 97.5 percent of samples - 1.  ``draws`` are
     ``split`` (counts from a splitting tree, for data of any size), ``exact`` (of
-    Python's generator, with a seed of its own for each bucket) or ``hashed``
-    (hashes of bucket, round and place, which SQL can repeat).
+    Python's generator, with a seed of its own for each bucket; ``exact=True``
+    says the same) or ``hashed`` (hashes of bucket, round and place, which SQL can
+    repeat).
     """
+    draws = "exact" if exact else draws
     rows = in_buckets(pairs).select("bucket", "delta", *SCORE)
     if draws == "split":
         return bootstrap.split_intervals(rows, "bucket", "delta", samples, seed, closed=True)
