@@ -9,8 +9,9 @@ Counts follow the corpus, so nothing of them goes to the driver or is broadcast.
 Documents are dealt to blocks of bounded size.  A block sends its distinct keys
 (64-bit hashes of words and word pairs), sorted, by key range; each range adds
 up what was sent and answers in the sender's own order, so an answer carries
-counts only.  Blocks then score their documents.  What is shuffled are a block's
-distinct keys, not its tokens.
+counts only.  Blocks then score their documents.  What is shuffled are the texts,
+to their blocks, twice (for the question and for the scores), and a block's distinct
+keys; no row is sent for a token.
 
 A block sends at most ``FANOUT`` messages.  If that many ranges are too few, the
 exchange has several levels, like the digits of a number: a node adds up what
@@ -349,8 +350,10 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     without doc_id are learned from.  Repeated rows count as often as they
     occur.  If nothing is learned from, each token's base score is that of one
     slot in one.  An empty table gives an empty result.  ``docs`` is read more
-    than once and must give its rows in the same order, as files do; otherwise
-    the run stops rather than mix up counts.
+    than once and must give its rows in the same order and splits, as files do.
+    Where they differ the run stops if a block's number of keys does, but blocks
+    with as many other keys would get wrong counts: write ``docs`` to a table
+    first if its source may change between reads.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(

@@ -102,7 +102,6 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"),
     )
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    large = (F.length("payload") >= MIN_REVISIT) & F.col("page_id").isNotNull()
     large = rows.filter((F.length("payload") >= MIN_REVISIT) & F.col("page_id").isNotNull()).select("page_id", "digest")
     firsts = (
         large.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
