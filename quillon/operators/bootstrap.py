@@ -4,7 +4,7 @@ Three ways to draw.  ``split_intervals`` is the one for large data: a resample i
 the multinomial count of each value, taken from a tree that splits the draws, and
 only sums of rounds are shuffled.  ``exact_intervals`` has the draws of Python's
 seeded generator, in its order.  ``hashed_intervals`` draws by MD5, which SQL can
-repeat; it sends a row for each value and round.
+repeat.  The last two make every draw and send it in packed form (see ``draws``).
 """
 
 from __future__ import annotations
@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import written
-from .generator import accepted, stream
+from . import draws as D
+from .generator import accepted, resumed, stream
 from .sampling import numbered, placed
 
 #: Rounds in a row of sums, and words of the generator in a block.
-SLICE, BLOCK = 500, 1 << 20
+SLICE, BLOCK = 500, 1 << 21
 
 
 def interval_indices(samples: int, alpha: float = 0.05, closed: bool = False) -> tuple[int, int]:
@@ -134,36 +135,57 @@ def split_intervals(df: DataFrame, group: str, value: str, samples: int = 10_000
     return _bounds(of, means, group, samples, closed)
 
 
-_DRAWS = "_k string, _b long, _i long"
+_BLOCK = "_k string, n long, _need long, _block long, _key binary, _pos int"
 
 
-def _tries(size: int, only_count: bool):
-    """Accepted draws of blocks (_k, n, _seed, _block, ...) of the generator: their number, or one by one."""
+def _walk(size: int):
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The generator's state where each block of a group's stream begins."""
+        for batch in batches:
+            for r in batch.to_pylist():
+                words = stream(r["_seed"])
+                for k in range(r["_blocks"]):
+                    state = words.state["state"]
+                    yield pa.RecordBatch.from_pylist([{"_k": r["_k"], "n": r["n"], "_need": r["_need"], "_block": k, "_key": state["key"].tobytes(), "_pos": state["pos"]}], schema=_BLOCK_ARROW)
+                    words.random_raw(size, output=False)
+
+    return walk
+
+
+_BLOCK_ARROW = pa.schema([("_k", pa.string()), ("n", pa.int64()), ("_need", pa.int64()), ("_block", pa.int64()), ("_key", pa.binary()), ("_pos", pa.int32())])
+
 
+def _accepted(r: dict, size: int) -> np.ndarray:
+    return accepted(resumed(r["_key"], r["_pos"]).random_raw(size), r["n"])
+
+
+def _count(size: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks with the number of their accepted draws."""
         for batch in batches:
-            got = [len(accepted(stream(r["_seed"], r["_block"] * size).random_raw(size), r["n"])) for r in batch.to_pylist()]
+            got = [len(_accepted(r, size)) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.int64())], names=[*batch.schema.names, "_got"])
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                places = accepted(stream(r["_seed"], r["_block"] * size).random_raw(size), r["n"])
-                order = np.arange(len(places)) + r["_before"]
-                for k in range(0, len(places), 1 << 16):
-                    i, g = places[k : k + (1 << 16)], order[k : k + (1 << 16)]
-                    i, g = i[g < r["_need"]], g[g < r["_need"]]
-                    yield pa.RecordBatch.from_arrays([pa.array([r["_k"]] * len(i), pa.string()), pa.array(g // r["n"]), pa.array(i)], names=["_k", "_b", "_i"])
+    return count
 
-    return count if only_count else draw
 
+def _rounds(size: int, rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, np.ndarray]]:
+    """``(_k, n, round, places)`` of the accepted draws of blocks, as far as they are needed."""
+    for batch in rows:
+        for r in batch.to_pylist():
+            n, first = r["n"], r["_before"]
+            places = _accepted(r, size)[: r["_need"] - first]
+            for b in range(first // n, -(-(first + len(places)) // n)):
+                yield r["_k"], n, b, places[max(0, b * n - first) : (b + 1) * n - first]
 
-def generator_draws(of: DataFrame, samples: int, seed: int, seeds: dict[str, int] | None = None, block: int = BLOCK) -> DataFrame:
-    """``(_k, _b, _i)``: places that Python's generator draws for each round, for groups ``of`` (_k, n).
 
-    A group's stream is cut in blocks of words.  Each block is made twice, by
-    whatever task: first its accepted draws are counted, and the sums of the
-    blocks before tell the number of its first draw; then they are sent.
+def _blocks(of: DataFrame, samples: int, seed: int, seeds: dict[str, int] | None, block: int) -> DataFrame:
+    """Blocks of the groups' streams with their state and the number of draws before each.
+
+    A group's stream is walked through once, by one task that keeps nothing of it
+    (some 5 ns a word); a block's words are then made twice, by whatever task:
+    first to count its accepted draws, and, when the sums of the blocks before
+    tell the number of its first draw, to send them.
     """
     need = F.col("n") * samples
     # A try is accepted with a chance of n / 2 ** bits; two blocks and 2 % more than expected are ample.
@@ -173,8 +195,8 @@ def generator_draws(of: DataFrame, samples: int, seed: int, seeds: dict[str, int
     for name, other in (seeds or {}).items():
         own = F.when(F.col("_k") == f"={name}", other).otherwise(own)
     of = of.select("_k", "n", need.cast("long").alias("_need"), own.cast("long").alias("_seed"), blocks.alias("_blocks"))
-    rows = of.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).repartition(_tasks(of), "_k", "_block")
-    rows = rows.mapInArrow(_tries(block, True), "_k string, n long, _need long, _seed long, _blocks long, _block long, _got long")
+    rows = of.repartition(_tasks(of), "_k").mapInArrow(_walk(block), _BLOCK).repartition(_tasks(of), "_k", "_block")
+    rows = written(rows.mapInArrow(_count(block), f"{_BLOCK}, _got long"), "blocks")
     # A row a block: their sums are cheap, whatever the draws.
     from pyspark.sql import Window
 
@@ -182,8 +204,41 @@ def generator_draws(of: DataFrame, samples: int, seed: int, seeds: dict[str, int
     before = F.coalesce(F.sum("_got").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumns({"_before": before, "_all": F.sum("_got").over(Window.partitionBy("_k"))})
     enough = F.when(F.col("_all") >= F.col("_need"), F.col("_need")).otherwise(F.raise_error(F.lit("too few draws in the blocks of the generator")).cast("long"))
-    rows = rows.withColumn("_need", enough).filter("_before < _need").repartition(_tasks(of), "_k", "_block")
-    return rows.mapInArrow(_tries(block, False), _DRAWS)
+    return rows.withColumn("_need", enough).filter("_before < _need").drop("_all", "_got").repartition(_tasks(of), "_k", "_block")
+
+
+def generator_draws(of: DataFrame, samples: int, seed: int, seeds: dict[str, int] | None = None, block: int = BLOCK) -> DataFrame:
+    """``(_k, _b, _i)``: places that Python's generator draws for each round, for groups ``of`` (_k, n)."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, _, b, places in _rounds(block, batches):
+            for a in range(0, len(places), 1 << 16):
+                i = places[a : a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(i), pa.string()), pa.array(np.full(len(i), b)), pa.array(i)], names=["_k", "_b", "_i"])
+
+    return _blocks(of, samples, seed, seeds, block).mapInArrow(draw, "_k string, _b long, _i long")
+
+
+def packed_generator_draws(of: DataFrame, samples: int, seed: int, seeds: dict[str, int] | None = None, block: int = BLOCK) -> DataFrame:
+    """The same draws in packed form."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from D.batches((k, b, *row) for k, n, b, places in _rounds(block, batches) for row in D.packed(places, n))
+
+    return _blocks(of, samples, seed, seeds, block).mapInArrow(draw, D.PACKED)
+
+
+def _numbered(df: DataFrame, group: str, value: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Groups (group, _k, n, mean) and their values (_k, _i, _v), numbered in order."""
+    more = [c for c in order if c != group]
+    v = numbered(_clean(df, group, value, *more), ["_k", *more], "_g")
+    of = written(v.groupBy(group, "_k").agg(F.count("*").alias("n"), F.min("_g").alias("_first"), F.avg("_v").alias("mean")), "groups")
+    return of, v.join(of.select("_k", "_first"), "_k").select("_k", (F.col("_g") - F.col("_first")).alias("_i"), "_v")
+
+
+def _means(of: DataFrame, draws: DataFrame, values: DataFrame) -> DataFrame:
+    sums = D.sums_of_rounds(draws, values, _tasks(of))
+    return sums.join(of.select("_k", "n"), "_k").select("_k", (F.col("_x") / F.col("n")).alias("_m"))
 
 
 def exact_intervals(
@@ -192,19 +247,14 @@ def exact_intervals(
     """``(group, n, mean, low, high)`` with the draws of ``random.Random(seed)`` in their order.
 
     Round by round, n draws below n index the group's values in ``order``.  The
-    draws of a group are made in blocks by many tasks and joined with the numbered
-    values, so neither is one task's work.  ``seeds`` names a seed for each group
-    (by its text).  At most 2 ** 32 - 1 values a group.
+    draws of a group are made in blocks by many tasks and sent in packed form to
+    the parts of its values, so neither is one task's work.  ``seeds`` names a
+    seed for each group (by its text).  At most 2 ** 32 - 1 values a group.
     """
-    more = [c for c in order if c != group]
-    v = numbered(_clean(df, group, value, *more), ["_k", *more], "_g")
-    of = v.groupBy(group, "_k").agg(F.count("*").alias("n"), F.min("_g").alias("_first"), F.avg("_v").alias("mean"))
+    of, values = _numbered(df, group, value, order)
     if samples <= 0:
         return _bounds(of, of, group, samples, closed)
-    v = v.join(of.select("_k", "_first"), "_k").select("_k", "_v", (F.col("_g") - F.col("_first")).alias("_i"))
-    draws = generator_draws(of.select("_k", "n"), samples, seed, seeds, block)
-    means = draws.join(v, ["_k", "_i"]).groupBy("_k", "_b").agg(F.avg("_v").alias("_m"))
-    return _bounds(of, means, group, samples, closed)
+    return _bounds(of, _means(of, packed_generator_draws(of, samples, seed, seeds, block), values), group, samples, closed)
 
 
 def hashed_draw(group: Column, round_: Column, position: Column, n: Column, seed: int) -> Column:
@@ -213,19 +263,34 @@ def hashed_draw(group: Column, round_: Column, position: Column, n: Column, seed
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % n
 
 
+def _hash(seed: int):
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packed draws of rounds (_k, n, _b) at the positions from _from on."""
+
+        def rows() -> Iterator[tuple[str, int, int, bool, bytes]]:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    name = r["_k"][1:] if r["_k"].startswith("=") else None
+                    places = D.hashed_places(seed, name, r["_b"], r["_from"], min(r["n"], r["_from"] + D.CHUNK), r["n"])
+                    for row in D.packed(places, r["n"]):
+                        yield r["_k"], r["_b"], *row
+
+        return D.batches(rows())
+
+    return draw
+
+
 def hashed_intervals(df: DataFrame, group: str, value: str, order: list[str], samples: int = 1000, seed: int = 72, closed: bool = False) -> DataFrame:
-    """``(group, n, mean, low, high)`` in DataFrame functions, by independent draws.
+    """``(group, n, mean, low, high)`` by independent draws: those of :func:`hashed_draw`.
 
     Values are numbered over the table, group by group, without ordering a group
-    in one task; each round joins its draws back to them.  ``samples`` rows a
-    value pass the join, partitioned by group and place: for much data use
-    :func:`split_intervals`.
+    in one task.  Tasks make the hashes of a round's positions and send the places
+    in packed form to the parts of the values.
     """
-    more = [c for c in order if c != group]
-    v = numbered(_clean(df, group, value, *more), ["_k", *more], "_g")
-    of = v.groupBy(group, "_k").agg(F.count("*").alias("n"), F.min("_g").alias("_first"), F.avg("_v").alias("mean"))
-    v = v.join(of.select("_k", "n", "_first"), "_k").select(group, "_k", "_v", "n", (F.col("_g") - F.col("_first")).alias("_i"))
-    rounds = v.select(group, "_k", "_i", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long"))).alias("_b"))
-    drawn = rounds.select("_k", "_b", hashed_draw(F.col(group), F.col("_b"), F.col("_i"), F.col("n"), seed).alias("_i"))
-    means = drawn.join(v.select("_k", "_i", "_v"), ["_k", "_i"]).groupBy("_k", "_b").agg(F.avg("_v").alias("_m"))
-    return _bounds(of, means, group, samples, closed)
+    of, values = _numbered(df, group, value, order)
+    if samples <= 0:
+        return _bounds(of, of, group, samples, closed)
+    whole = lambda stop, step=1: F.sequence(F.lit(0).cast("long"), stop.cast("long") - 1, F.lit(step).cast("long"))
+    rounds = of.select("_k", "n", F.explode(whole(F.lit(samples))).alias("_b")).select("_k", "n", "_b", F.explode(whole(F.col("n"), D.CHUNK)).alias("_from"))
+    draws = rounds.repartition(_tasks(df), "_k", "_b", "_from").mapInArrow(_hash(seed), D.PACKED)
+    return _bounds(of, _means(of, draws, values), group, samples, closed)

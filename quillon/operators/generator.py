@@ -24,6 +24,13 @@ def stream(seed: int, start: int = 0) -> np.random.MT19937:
     return out
 
 
+def resumed(key: bytes, place: int) -> np.random.MT19937:
+    """A generator in the state of one that was stopped."""
+    out = np.random.MT19937()
+    out.state = {"bit_generator": "MT19937", "state": {"key": np.frombuffer(key, np.uint32), "pos": place}}
+    return out
+
+
 def accepted(words: np.ndarray, n: int) -> np.ndarray:
     """The draws below ``n`` among tries of one word each: the top bits, if they are below ``n``."""
     tries = words >> np.uint64(32 - n.bit_length())

@@ -149,3 +149,43 @@ def test_both_index_rules():
 def test_rows_only_queries_run(spark):
     for name in sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)):
         assert registry.QUERIES[name](spark, SF).count() > 0, name
+
+
+def test_hashed_draws_are_made_in_arrays_and_sent_packed(spark):
+    from quillon.operators import draws
+
+    groups = [("a", 3, 0, 1200, 999), (None, 12, 0, 1100, 77), ("é" * 40, 0, 99_990, 101_500, 123_456_789_012), ("x" * 50, 499, 9_000, 10_500, 1 << 59)]
+    for g, b, start, stop, n in groups:
+        i = spark.range(start, stop).select(F.lit(g).cast("string").alias("g"), F.lit(b).alias("b"), "id", F.lit(n).cast("long").alias("n"))
+        told = [r[0] for r in i.select(bootstrap.hashed_draw(F.col("g"), F.col("b"), F.col("id"), F.col("n"), 72)).collect()]
+        assert draws.hashed_places(72, g, b, start, stop, n).tolist() == told
+    places = random.Random(4).choices(range(150_001), k=90_000) + [7] * 400 + random.Random(5).choices(range(70_000), k=60_000)
+    values = bootstrap.np.random.default_rng(1).normal(size=150_001)
+    rows = list(draws.packed(bootstrap.np.array(places), len(values)))
+    assert {counted for _, counted, _ in rows} == {True, False} and sum(len(d) for *_, d in rows) < 2 * len(places)
+    got = sum(draws.weighted(counted, d, values[p * draws.PART : (p + 1) * draws.PART]) for p, counted, d in rows)
+    assert got == pytest.approx(float(values[places].sum()))
+    assert draws.weighted(True, bytes([0x10]), bootstrap.np.array([float("inf"), 2.0])) == 2.0
+
+
+@pytest.mark.parametrize("intervals", [bootstrap.hashed_intervals, bootstrap.exact_intervals])
+def test_no_row_a_draw_passes_a_join_or_broadcast(spark, intervals, capsys):
+    df = spark.range(200).selectExpr("'g' AS mode", "id AS record_id", "CAST(id AS DOUBLE) AS diff")
+    intervals(df, "mode", "diff", ["record_id"], samples=300).explain()
+    plan = capsys.readouterr().out
+    # Draws are made in Arrow and weighed in Arrow; between both they are only dealt and sorted.
+    weigh, make = plan.index("_weigh"), plan.index("draw(")
+    assert weigh < make and "Join" not in plan[weigh:make]
+
+
+@pytest.mark.parametrize("kind", ["exact"])
+def test_groups_of_several_parts(spark, kind):
+    from quillon.operators import draws
+
+    n, samples = draws.PART + 4_000, 12
+    df = spark.range(n).selectExpr("'g' AS mode", "id AS record_id", "CAST(id % 1013 AS DOUBLE) AS diff")
+    (r,) = getattr(bootstrap, f"{kind}_intervals")(df, "mode", "diff", ["record_id"], samples=samples).collect()
+    rng, values = random.Random(72), bootstrap.np.arange(n) % 1013
+    one = {"exact": lambda b: [rng.randrange(n) for _ in range(n)], "hashed": lambda b: draws.hashed_places(72, "g", b, 0, n, n)}[kind]
+    means = sorted(float(values[one(b)].mean()) for b in range(samples))
+    assert (r.n, r["mean"], r.low, r.high) == pytest.approx((n, float(values.mean()), means[0], means[11]))
