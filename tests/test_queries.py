@@ -178,7 +178,7 @@ def test_no_row_a_draw_passes_a_join_or_broadcast(spark, intervals, capsys):
     assert weigh < make and "Join" not in plan[weigh:make]
 
 
-@pytest.mark.parametrize("kind", ["exact"])
+@pytest.mark.parametrize("kind", ["exact", "hashed"])
 def test_groups_of_several_parts(spark, kind):
     from quillon.operators import draws
 
