@@ -186,3 +186,19 @@ def test_retries_are_state_that_a_restart_keeps(spark, tmp_path):
         ("late", "expired", 1, hour(49)), ("gone", "expired", 1, hour(49)), ("half", "done", 2, hour(62)),
     ])
     assert spark.conf.get(retries._STORE).endswith("HDFSBackedStateStoreProvider")
+
+
+def test_splits_of_more_names_than_their_sql_can_shuffle(spark):
+    """The SQL makes 624 words of the generator and has no rows beyond; Python's shuffle tells what is right."""
+    import duckdb
+
+    from quillon import registry
+
+    sf = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    assert con.sql(f"SELECT count(*) FROM ({registry.ORACLE_SQL['split_manifest']})").fetchall() == [(0,)]
+    order = [f"series_{u:06}.json" for u in range(1500)]
+    random.Random(72).shuffle(order)
+    got = sorted((r.split, r.place, r.series_file) for r in registry.QUERIES["split_manifest"](spark, sf).collect())
+    assert got == [("train", i, x) for i, x in enumerate(order[:1425])] + [("val", i, x) for i, x in enumerate(order[1425:])]
