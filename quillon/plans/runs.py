@@ -9,7 +9,7 @@ from ..functions import arrays, logprobs, prompts
 from ..functions import text as T
 from ..functions.similarity import text_similarity
 from ..operators import audit, compare, judging, latest, resume, selection, tables
-from ..scratch import shared_folder
+from ..scratch import shared_folder, written
 from ..sources import jsonl
 from ..streaming import journal, retries
 from . import adapters as A
@@ -210,7 +210,8 @@ def stream_two_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a stream over one file a mode says of itself at its end: rows so far, state, and batches with rows."""
     folder = shared_folder(spark, "stream")
-    df = A.predictions(spark, sf_dir).select("record_id", "mode", "loss")
+    # Written first: one task a file then only copies rows, and sorts nothing of what they are made of.
+    df = written(A.predictions(spark, sf_dir).select("record_id", "mode", "loss"), "predictions")
     for mode in tables.MODES:
         jsonl.append_jsonl(df.filter(F.col("mode") == mode).coalesce(1), f"{folder}/in")
     rows = journal.once_by_key(journal.read_stream(spark, f"{folder}/in", df.schema, files=1), compare.PREDICTION)
