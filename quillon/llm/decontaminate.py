@@ -191,12 +191,14 @@ class Lookup:
         self.place = np.concatenate([p for _, _, p in found])[order]
         self.keys, first = np.unique(keys[order], return_index=True)
         self.first = np.append(first, len(keys))
-        self._bits = np.zeros(1 << 20, dtype=bool)
-        self._bits[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+        # A bit table of some 32 cells a key, a byte each, tells most keys that are not there.
+        self._shift = np.uint64(64 - min(20, max(8, (32 * len(self.keys)).bit_length())))
+        self._bits = np.zeros(1 << (64 - int(self._shift)), dtype=bool)
+        self._bits[(self.keys >> self._shift).astype(np.int64)] = True
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the given keys are there, and where."""
-        hit = np.flatnonzero(self._bits[(keys >> np.uint64(44)).astype(np.int64)]) if len(self.keys) else np.empty(0, np.int64)
+        hit = np.flatnonzero(self._bits[(keys >> self._shift).astype(np.int64)]) if len(self.keys) else np.empty(0, np.int64)
         at = np.minimum(np.searchsorted(self.keys, keys[hit]), len(self.keys) - 1)
         same = self.keys[at] == keys[hit]
         return hit[same], at[same]

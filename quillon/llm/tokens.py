@@ -17,12 +17,14 @@ encoded whole.
 
 from __future__ import annotations
 
+import ctypes
+import weakref
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -187,14 +189,25 @@ def _utf8(column: pa.Array) -> list[bytes]:
 _ENCODERS: dict[int, Encoder] = {}
 
 
-def _encoder(tokenizer_json: str) -> Encoder:
-    key = hash(tokenizer_json)
+def _encoder(tokenizer: Broadcast) -> Encoder:
+    """The worker's encoder of a tokenizer, with the slices that it knows.
+
+    It goes with the broadcast, which Spark takes from a worker with the first
+    task that doesn't use it: workers live on, and later stages need the memory.
+    """
+    key = id(tokenizer)
     if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(tokenizer_json)
+        _ENCODERS[key] = Encoder(tokenizer.value)
+        weakref.finalize(tokenizer, _drop, key)
     return _ENCODERS[key]
 
 
+def _drop(key: int) -> None:
+    _ENCODERS.pop(key, None)
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps what is freed otherwise
+        trim(0)
+
+
 def shard_uri(folder: str, shard: int) -> str:
     return f"{folder}/tokens-{shard:06d}.zst"
 
@@ -221,7 +234,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, shards: int
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        out, encoder = None, _encoder(tokenizer.value)
+        out, encoder = None, _encoder(tokenizer)
         held: list[np.ndarray] = []
         rows: list[tuple[int, int, int, int]] = []
         total, waiting = 0, 0

@@ -206,3 +206,18 @@ def test_a_line_break_in_a_url_stays_in_its_header():
     record = warc.make_record(1, "http://x/\r\nWARC-Type: y", b"z", "d", None)
     head, block = warc.parse_record(record)
     assert head["warc-type"] == "response" and block == b"z" and "\n" not in head["warc-target-uri"]
+
+
+def test_workers_forget_the_encoder_with_the_next_stage(spark, tmp_path):
+    """Workers are used again; the slices that an encoder keeps must not take memory from other stages."""
+    rows = spark.range(40).selectExpr("id AS doc_id", "concat('some words ', id) AS text")
+
+    def held(batches):
+        from quillon.llm import tokens
+
+        for batch in batches:
+            yield batch.from_pydict({"n": [len(tokens._ENCODERS)]})
+
+    for k in range(2):
+        assert tokens.write_tokens(rows, f"file://{tmp_path}/{k}", PATH, shards=4).count() == 4
+        assert {r.n for r in spark.range(0, 8, 1, 4).mapInArrow(held, "n long").collect()} == {0}
