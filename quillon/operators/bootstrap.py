@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 
 from ..scratch import written
 from . import draws as D
-from .generator import accepted, resumed, stream
+from .generator import accepted, good, resumed, stream
 from .sampling import numbered, placed
 
-#: Rounds in a row of sums, and words of the generator in a block.
-SLICE, BLOCK = 500, 1 << 21
+#: Rounds in a row of sums, words of the generator in a block, and words that are made at a time.
+SLICE, BLOCK, STEP = 500, 1 << 21, 1 << 20
 
 
 def interval_indices(samples: int, alpha: float = 0.05, closed: bool = False) -> tuple[int, int]:
@@ -155,28 +155,49 @@ def _walk(size: int):
 _BLOCK_ARROW = pa.schema([("_k", pa.string()), ("n", pa.int64()), ("_need", pa.int64()), ("_block", pa.int64()), ("_key", pa.binary()), ("_pos", pa.int32())])
 
 
-def _accepted(r: dict, size: int) -> np.ndarray:
-    return accepted(resumed(r["_key"], r["_pos"]).random_raw(size), r["n"])
-
-
 def _count(size: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks with the number of their accepted draws."""
         for batch in batches:
-            got = [len(_accepted(r, size)) for r in batch.to_pylist()]
+            got = [sum(good(words, r["n"]) for words in _words(r, size)) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.int64())], names=[*batch.schema.names, "_got"])
 
     return count
 
 
-def _rounds(size: int, rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, np.ndarray]]:
-    """``(_k, n, round, places)`` of the accepted draws of blocks, as far as they are needed."""
+def _words(r: dict, size: int | None = None) -> Iterator[np.ndarray]:
+    """The generator's words from a block's beginning, to its end or on and on."""
+    words, left = resumed(r["_key"], r["_pos"]), size
+    while left is None or left > 0:
+        now = STEP if left is None else min(left, STEP)
+        yield words.random_raw(now)
+        left = left if left is None else left - now
+
+
+def _rounds(rows: Iterator[pa.RecordBatch], most: int = D.CHUNK) -> Iterator[tuple[str, int, int, np.ndarray]]:
+    """``(_k, n, round, places)`` of the rounds that begin in blocks, whole up to ``most`` places, beyond that in pieces.
+
+    A block's last round is followed into the blocks after it, which leave it out:
+    places of a round that are sent together take less room.
+    """
     for batch in rows:
         for r in batch.to_pylist():
-            n, first = r["n"], r["_before"]
-            places = _accepted(r, size)[: r["_need"] - first]
-            for b in range(first // n, -(-(first + len(places)) // n)):
-                yield r["_k"], n, b, places[max(0, b * n - first) : (b + 1) * n - first]
+            n, b, end = r["n"], r["_first"], r["_end"]
+            skip, words, got = b * n - r["_before"], _words(r), np.empty(0, np.uint32)
+            while b < end:
+                piece, at, left = np.empty(min(n, most), np.uint32), 0, n
+                while left:
+                    if skip >= len(got):
+                        skip -= len(got)
+                        got = accepted(next(words), n)
+                        continue
+                    take = min(len(got) - skip, left, len(piece) - at)
+                    piece[at : at + take] = got[skip : skip + take]
+                    skip, at, left = skip + take, at + take, left - take
+                    if not left or at == len(piece):
+                        yield r["_k"], n, b, piece[:at]
+                        at = 0
+                b += 1
 
 
 def _blocks(of: DataFrame, samples: int, seed: int, seeds: dict[str, int] | None, block: int) -> DataFrame:
@@ -185,7 +206,7 @@ def _blocks(of: DataFrame, samples: int, seed: int, seeds: dict[str, int] | None
     A group's stream is walked through once, by one task that keeps nothing of it
     (some 5 ns a word); a block's words are then made twice, by whatever task:
     first to count its accepted draws, and, when the sums of the blocks before
-    tell the number of its first draw, to send them.
+    tell the number of its first draw, to send the rounds that begin in it.
     """
     need = F.col("n") * samples
     # A try is accepted with a chance of n / 2 ** bits; two blocks and 2 % more than expected are ample.
@@ -204,17 +225,18 @@ def _blocks(of: DataFrame, samples: int, seed: int, seeds: dict[str, int] | None
     before = F.coalesce(F.sum("_got").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumns({"_before": before, "_all": F.sum("_got").over(Window.partitionBy("_k"))})
     enough = F.when(F.col("_all") >= F.col("_need"), F.col("_need")).otherwise(F.raise_error(F.lit("too few draws in the blocks of the generator")).cast("long"))
-    return rows.withColumn("_need", enough).filter("_before < _need").drop("_all", "_got").repartition(_tasks(of), "_k", "_block")
+    rows = rows.withColumn("_need", enough).withColumns({"_first": F.expr("(_before + n - 1) div n"), "_end": F.expr("(least(_before + _got, _need) + n - 1) div n")})
+    return rows.filter("_first < _end").drop("_all", "_got", "_need").repartition(_tasks(of), "_k", "_block")
 
 
 def generator_draws(of: DataFrame, samples: int, seed: int, seeds: dict[str, int] | None = None, block: int = BLOCK) -> DataFrame:
     """``(_k, _b, _i)``: places that Python's generator draws for each round, for groups ``of`` (_k, n)."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, _, b, places in _rounds(block, batches):
+        for k, _, b, places in _rounds(batches):
             for a in range(0, len(places), 1 << 16):
                 i = places[a : a + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(i), pa.string()), pa.array(np.full(len(i), b)), pa.array(i)], names=["_k", "_b", "_i"])
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(i), pa.string()), pa.array(np.full(len(i), b)), pa.array(i, pa.int64())], names=["_k", "_b", "_i"])
 
     return _blocks(of, samples, seed, seeds, block).mapInArrow(draw, "_k string, _b long, _i long")
 
@@ -223,7 +245,7 @@ def packed_generator_draws(of: DataFrame, samples: int, seed: int, seeds: dict[s
     """The same draws in packed form."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from D.batches((k, b, *row) for k, n, b, places in _rounds(block, batches) for row in D.packed(places, n))
+        yield from D.batches((k, b, *row) for k, n, b, places in _rounds(batches) for row in D.packed(places, n))
 
     return _blocks(of, samples, seed, seeds, block).mapInArrow(draw, D.PACKED)
 

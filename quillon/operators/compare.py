@@ -70,6 +70,8 @@ def delta_intervals(pairs: DataFrame, samples: int = 5000, seed: int = 72, exact
     repeat).
     """
     draws = "exact" if exact else draws
+    if draws in ("exact", "hashed"):  # read several times: for seeds, for ranges and for rows
+        pairs = written(pairs.select(*SCORE, "delta", "changed"), "pairs")
     rows = in_buckets(pairs).select("bucket", "delta", *SCORE)
     if draws == "split":
         return bootstrap.split_intervals(rows, "bucket", "delta", samples, seed, closed=True)

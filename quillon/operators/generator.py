@@ -31,10 +31,21 @@ def resumed(key: bytes, place: int) -> np.random.MT19937:
     return out
 
 
+def _bound(n: int) -> tuple[np.uint64, np.uint64]:
+    """What good words are below, and how far a draw's bits are shifted: it is the word's top bits, if below ``n``."""
+    shift = 32 - n.bit_length()
+    return np.uint64(n << shift), np.uint64(shift)
+
+
 def accepted(words: np.ndarray, n: int) -> np.ndarray:
-    """The draws below ``n`` among tries of one word each: the top bits, if they are below ``n``."""
-    tries = words >> np.uint64(32 - n.bit_length())
-    return tries[tries < n].astype(np.int64)
+    """The draws below ``n`` among tries of one word each."""
+    bound, shift = _bound(n)
+    return (words[words < bound] >> shift).astype(np.uint32)
+
+
+def good(words: np.ndarray, n: int) -> int:
+    """The number of the draws that :func:`accepted` gives."""
+    return int(np.count_nonzero(words < _bound(n)[0]))
 
 
 class Falling:

@@ -5,13 +5,16 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import assert_same
 from pyspark.sql import functions as F
 
 from quillon import registry
 from quillon.functions import text as T
-from quillon.operators import bootstrap
+from quillon.operators import bootstrap, generator
+from quillon.operators import draws as D
 
 SF = "/root/testdata/sf0.001"
 
@@ -85,6 +88,25 @@ def test_exact_draws_of_one_group_come_from_many_tasks(spark):
     assert got == [sorted(rng.randrange(700) for _ in range(700)) for _ in range(40)]
 
 
+@pytest.mark.parametrize("block", [256, 1024, 1 << 14])
+def test_exact_rounds_are_sent_whole(spark, block):
+    of = spark.createDataFrame([("=g", 700), ("=h", 1)], "_k string, n long")
+    rows = bootstrap.packed_generator_draws(of, 40, 72, block=block).collect()
+    assert Counter((r["_k"], r["_b"]) for r in rows) == Counter((k, b) for k in ("=g", "=h") for b in range(40))  # one row each, whatever the blocks
+    rng, values = random.Random(72), np.arange(700.0)
+    expected = [sum(rng.randrange(700) for _ in range(700)) for _ in range(40)]
+    assert [D.weighted(r["_counted"], r["_data"], values) for r in sorted(rows, key=lambda r: r["_b"]) if r["_k"] == "=g"] == expected
+
+
+def test_rounds_beyond_a_piece_are_sent_in_pieces():
+    first = generator.stream(72).state["state"]
+    row = {"_k": "=g", "n": 700, "_block": 0, "_key": first["key"].tobytes(), "_pos": first["pos"], "_before": 0, "_first": 0, "_end": 3}
+    pieces = [(b, places.tolist()) for _, _, b, places in bootstrap._rounds([pa.RecordBatch.from_pylist([row])], most=300)]
+    rng = random.Random(72)
+    assert [(b, len(p)) for b, p in pieces] == [(b, m) for b in range(3) for m in (300, 300, 100)]
+    assert [x for _, p in pieces for x in p] == [rng.randrange(700) for _ in range(2100)]
+
+
 @pytest.mark.parametrize("intervals", [bootstrap.hashed_intervals, bootstrap.split_intervals])
 def test_bootstrap_has_the_width_of_independent_resamples(spark, intervals):
     rng = random.Random(3)
@@ -163,9 +185,9 @@ def test_hashed_draws_are_made_in_arrays_and_sent_packed(spark):
     values = bootstrap.np.random.default_rng(1).normal(size=150_001)
     rows = list(draws.packed(bootstrap.np.array(places), len(values)))
     assert {counted for _, counted, _ in rows} == {True, False} and sum(len(d) for *_, d in rows) < 2 * len(places)
-    got = sum(draws.weighted(counted, d, values[p * draws.PART : (p + 1) * draws.PART]) for p, counted, d in rows)
+    got = sum(D.weighted(counted, d, values[p * draws.PART : (p + 1) * draws.PART]) for p, counted, d in rows)
     assert got == pytest.approx(float(values[places].sum()))
-    assert draws.weighted(True, bytes([0x10]), bootstrap.np.array([float("inf"), 2.0])) == 2.0
+    assert D.weighted(True, bytes([0x10]), bootstrap.np.array([float("inf"), 2.0])) == 2.0
 
 
 @pytest.mark.parametrize("intervals", [bootstrap.hashed_intervals, bootstrap.exact_intervals])
