@@ -21,17 +21,22 @@ from pyspark.sql import functions as F
 
 #: Places of a part; tasks that share the rounds of a part.
 PART, LANES = 1 << 16, 16
-#: Draws that are made at a time, and bytes of packed rows that are sent at a time.
-CHUNK, SEND = 1 << 21, 1 << 22
+#: Draws of a round that are packed together, and bytes of packed rows that are sent at a time.  Fewer draws would
+#: take more bytes each where a round has several chunks: half a byte a place is for all that fall on a part.
+CHUNK, SEND = 1 << 24, 1 << 22
 #: Rows of an Arrow batch, up to half a megabyte each.
 ROWS = 256
 
 PACKED = "_k string, _part long, _b long, _counted boolean, _data binary"
 
 
+def _place(n: int) -> type:
+    return np.uint32 if n <= 1 << 32 else np.uint64
+
+
 def packed(places: np.ndarray, n: int) -> Iterator[tuple[int, bool, bytes]]:
     """``(part, counted, data)`` of places below ``n`` that were drawn for one round."""
-    places = np.sort(places.astype(np.uint32 if n <= 1 << 32 else np.uint64))
+    places = np.sort(places.astype(_place(n), copy=False))
     if not len(places):
         return
     first, last = int(places[0]) // PART, int(places[-1]) // PART
@@ -174,11 +179,11 @@ def _tails(head: bytes, width: int, start: int, stop: int) -> np.ndarray:
 
 def hashed_places(seed: int, group: str | None, round_: int, start: int, stop: int, n: int) -> np.ndarray:
     """Places below ``n`` of the positions from ``start`` to ``stop``: what ``bootstrap.hashed_draw`` says of each."""
-    head, out, i = "|".join([str(seed), *([] if group is None else [group]), str(round_), ""]), [], start
+    head, out, i = "|".join([str(seed), *([] if group is None else [group]), str(round_), ""]), np.empty(max(0, stop - start), _place(n)), start
     while i < stop:
         q, r = divmod(i, 10**_WIDTH)
         width = _WIDTH if q else len(str(i))
         end = min(stop, q * 10**_WIDTH + 10**width)
-        out.append(_tails((head + (str(q) if q else "")).encode(), width, r, r + end - i))
+        out[i - start : end - start] = _tails((head + (str(q) if q else "")).encode(), width, r, r + end - i) % n
         i = end
-    return np.concatenate(out) % n if out else np.empty(0, np.int64)
+    return out

@@ -107,6 +107,13 @@ def test_rounds_beyond_a_piece_are_sent_in_pieces():
     assert [x for _, p in pieces for x in p] == [rng.randrange(700) for _ in range(2100)]
 
 
+def test_draws_of_a_large_round_take_half_a_byte():
+    n = 3 << 20  # packed by 2 ** 21 draws, the places took a byte each
+    rows = [{"_k": "=g", "n": n, "_b": 0, "_from": a} for a in range(0, n, D.CHUNK)]
+    sent = list(bootstrap._hash(72)([pa.RecordBatch.from_pylist(rows)]))
+    assert sum(len(x) for batch in sent for x in batch.column("_data").to_pylist()) <= 0.55 * n
+
+
 @pytest.mark.parametrize("intervals", [bootstrap.hashed_intervals, bootstrap.split_intervals])
 def test_bootstrap_has_the_width_of_independent_resamples(spark, intervals):
     rng = random.Random(3)
