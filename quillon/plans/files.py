@@ -36,7 +36,7 @@ def _series_folder(spark: SparkSession, sf_dir: str) -> str:
         F.struct(F.col("values").alias("time_series")).alias("original_data"), F.transform(F.sequence(F.lit(0), count - 1), window).alias("windows"),
     )
     folder = shared_folder(spark, "series")
-    results.write_series(rows, folder)
+    results.write_series(rows, folder, spread=True)
     return folder
 
 

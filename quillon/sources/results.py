@@ -7,21 +7,28 @@ import json
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .named_files import register
+from .named_files import part, register
 
 
-def write_named(rows: DataFrame, folder: str) -> int:
-    """Write each row (name, text) as a file of that name, all or none; returns how many rows there were."""
+def write_named(rows: DataFrame, folder: str, spread: bool = False) -> int:
+    """Write each row (name, text) as a file of that name, all or none; returns how many rows there were.
+
+    ``spread`` deals very many files into subfolders: rows go to tasks by
+    subfolder, so the job moves subfolders at its end, not files.
+    """
     register(rows.sparkSession)
     seen = Observation()
-    rows.select("name", "text").observe(seen, F.count(F.lit(1)).alias("n")).write.format("named_files").option("path", folder).mode("append").save()
+    rows = rows.select("name", "text").observe(seen, F.count(F.lit(1)).alias("n"))
+    if spread:
+        rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), part("name"))
+    rows.write.format("named_files").option("path", folder).option("spread", str(spread)).mode("append").save()
     return seen.get["n"]
 
 
-def write_series(series: DataFrame, folder: str) -> int:
+def write_series(series: DataFrame, folder: str, spread: bool = False) -> int:
     """Write each row (series_file, sample_id, original_data, windows) as a JSON file of its own."""
     body = F.to_json(F.struct("sample_id", "original_data", "windows"))
-    return write_named(series.select(F.col("series_file").alias("name"), body.alias("text")), folder)
+    return write_named(series.select(F.col("series_file").alias("name"), body.alias("text")), folder, spread)
 
 
 def yaml_text(columns: list[str]) -> Column:

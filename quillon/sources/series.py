@@ -8,22 +8,31 @@ from pyspark.sql import functions as F
 
 from ..operators.sampling import numbered, short_subset, split_names
 from ..schemas import SERIES_FILE
+from . import named_files
 
 
 def list_names(spark: SparkSession, folder: str) -> DataFrame:
-    """``(series_file)``: names of the series files; listed by Spark, so any store will do."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "series_*.json").load(folder)
-    names = files.select(F.element_at(F.split("path", "/"), -1).alias("series_file"))
+    """``(series_file, folder)``: names of the series files and where they lie; listed by tasks, or by Spark in a store that only Spark reads."""
+    if named_files.reachable(folder):
+        files = named_files.listed(spark, folder).withColumnRenamed("name", "series_file")
+    else:
+        files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("series_file"), F.lit(folder).alias("folder"))
+    names = files.filter(r"series_file rlike '^series_.*[.]json$'")
     if not names.limit(1).count():
         raise FileNotFoundError(f"no series_*.json in {folder}")
     return names
 
 
-def read_series(spark: SparkSession, folder: str, names: list[str] | None = None) -> DataFrame:
-    """Series files as rows with ``series_file``, only the named ones if names are given."""
-    paths = folder if names is None else [f"{folder.rstrip('/')}/{n}" for n in names]
-    df = spark.read.schema(SERIES_FILE).option("multiLine", True).option("mode", "FAILFAST").option("pathGlobFilter", "series_*.json").json(paths)
-    return df.withColumn("series_file", F.col("_metadata.file_name"))
+def read_series(spark: SparkSession, folder: str, names: DataFrame | None = None) -> DataFrame:
+    """Series files as rows with ``series_file``, only the named ones if names (as listed) are given."""
+    if not named_files.reachable(folder):
+        df = spark.read.schema(SERIES_FILE).option("multiLine", True).option("mode", "FAILFAST").option("pathGlobFilter", "series_*.json").json(folder)
+        df = df.withColumn("series_file", F.col("_metadata.file_name"))
+        return df if names is None else df.join(names, "series_file", "left_semi")
+    names = list_names(spark, folder) if names is None else names
+    texts = named_files.texts(names.withColumnRenamed("series_file", "name"))
+    rows = F.inline(F.from_json("text", f"array<struct<{SERIES_FILE}>>", {"mode": "FAILFAST"}))
+    return texts.select(rows, F.col("name").alias("series_file"))
 
 
 def records(series: DataFrame, order: DataFrame) -> DataFrame:
@@ -45,19 +54,19 @@ def load_records(spark: SparkSession, folder: str, subset: str = "full", seed: i
     names = list_names(spark, folder)
     if subset == "paper140":
         order = short_subset(names, "series_file", seed)
-        series = read_series(spark, folder, [r[0] for r in order.select("series_file").collect()])  # ``SLICE_LENGTH`` names at most
     elif subset == "full":
-        order, series = numbered(names, ["series_file"], "position"), read_series(spark, folder)
+        order = numbered(names.select("series_file"), ["series_file"], "position")
     else:
         raise ValueError(f"unknown subset: {subset}")
-    df = records(series, order)
+    df = records(read_series(spark, folder, names.join(order, "series_file", "left_semi")), order)
     return df.orderBy("series_index", "window_index").limit(max_records) if max_records is not None else df
 
 
 def load_split(spark: SparkSession, folder: str, split: str, seed: int = 42, share: float = 0.95) -> DataFrame:
     """Series of the training part, or (for any other name) of the rest."""
-    names = split_names(list_names(spark, folder), "series_file", seed, share)
-    return read_series(spark, folder).join(names.filter(F.col("split") == ("train" if split == "train" else "val")), "series_file", "left_semi")
+    names = list_names(spark, folder)
+    part = split_names(names, "series_file", seed, share).filter(F.col("split") == ("train" if split == "train" else "val"))
+    return read_series(spark, folder, names.join(part, "series_file", "left_semi"))
 
 
 class SeriesCache:

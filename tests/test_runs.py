@@ -239,3 +239,58 @@ def test_the_one_task_of_a_streamed_file_only_copies_rows(spark, monkeypatch):
     monkeypatch.setattr(jsonl, "append_jsonl", lambda df, path: (plans.append(df._jdf.queryExecution().executedPlan().toString()), append(df, path)))
     assert registry.QUERIES["stream_progress"](spark, "/root/testdata/sf0.001").first().files == 4
     assert len(plans) == 4 and not any("Window" in p or "Sort" in p for p in plans)
+
+
+def test_series_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    """Spark's own file sources would hold each file's status on the driver, once for every scan."""
+    body = lambda k: json.dumps({"sample_id": str(k), "original_data": {"time_series": [0.5, k]}, "windows": [{}]})
+    rows = spark.range(300).select(F.format_string("series_%06d.json", "id").alias("series_file"), F.col("id").cast("string").alias("sample_id"), F.expr("struct(array(0.5D, double(id)) AS time_series)").alias("original_data"), F.expr("array(struct('q' AS question))").alias("windows"))
+    dealt, flat = f"{tmp_path}/dealt", tmp_path / "flat"
+    assert results.write_series(rows, dealt, spread=True) == 300
+    flat.mkdir()
+    for k in range(300):
+        (flat / f"series_{k:06}.json").write_text(body(k))
+    (flat / "other.json").write_text("{broken")
+    (flat / "inner").mkdir()
+    (flat / "inner" / "series_999999.json").write_text(body(9))
+    order = [f"series_{k:06}.json" for k in range(300)]
+    random.Random(42).shuffle(order)
+    for folder in (dealt, str(flat), f"file://{flat}/"):
+        for split, names in (("train", order[:285]), ("val", order[285:])):
+            df = series.load_split(spark, folder, split)
+            assert not [f for f in df.inputFiles() if "series_0" in f]
+            assert sorted((r.series_file, r.sample_id, r.original_data.time_series[1]) for r in df.collect()) == sorted((x, str(int(x[7:13])), float(x[7:13])) for x in names)
+        short = series.load_records(spark, folder, "paper140")
+        assert not [f for f in short.inputFiles() if "series_0" in f]
+        assert [r.series_file for r in sorted(short.collect(), key=lambda r: r.series_index)] == order[6:76]
+    with pytest.raises(Exception, match="(?i)malformed"):
+        (flat / "series_000300.json").write_text('{"sample_id": ')
+        series.read_series(spark, str(flat)).collect()
+    with pytest.raises(Exception, match="no series"):
+        (tmp_path / "none").mkdir()
+        series.list_names(spark, f"{tmp_path}/none")
+
+
+def test_dealt_files_are_moved_by_subfolder(spark, tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    from quillon.sources import named_files
+
+    folder, moved = tmp_path / "out", []
+    writers = [named_files.NamedFilesWriter(str(folder), spread=True) for _ in range(2)]
+    told = [w.write(iter([{"name": f"f{k}.txt", "text": f"{t} {k}"} for k in range(2000 * t, 2000 * t + 3000)])) for t, w in enumerate(writers)]  # names 2000 to 2999 in both
+    store = fs.LocalFileSystem()
+    monkeypatch.setattr(named_files, "_store", lambda f: (type("Told", (), {"__getattr__": lambda s, n: getattr(store, n), "move": lambda s, a, b: (moved.append(b), store.move(a, b))})(), f))
+    writers[0].commit([told[0], None])
+    assert len(moved) == named_files.SPREAD
+    writers[1].commit([told[1]])
+    monkeypatch.undo()
+    files = {p.name: p for p in folder.rglob("*.txt")}
+    assert len(list(folder.rglob("*.txt"))) == len(files) == 5000 and files["f10.txt"].read_text() == "0 10" and files["f2500.txt"].read_text() == "1 2500"
+    rows = named_files.listed(spark, str(folder)).collect()
+    assert {r.name for r in rows} == set(files) and len(rows) == 5000
+    (folder / "f10.txt").write_text("flat")
+    (r,) = named_files.texts(named_files.listed(spark, str(folder)).filter("name = 'f10.txt'")).collect()
+    assert tuple(r) == ("f10.txt", "0 10")
+    found = spark.createDataFrame([(p.name, p.parent.name) for p in files.values()], "name string, part string")
+    assert found.filter(F.format_string("named-%02x", named_files.part("name")) != F.col("part")).count() == 0
