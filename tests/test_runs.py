@@ -294,3 +294,13 @@ def test_dealt_files_are_moved_by_subfolder(spark, tmp_path, monkeypatch):
     assert tuple(r) == ("f10.txt", "0 10")
     found = spark.createDataFrame([(p.name, p.parent.name) for p in files.values()], "name string, part string")
     assert found.filter(F.format_string("named-%02x", named_files.part("name")) != F.col("part")).count() == 0
+
+
+def test_series_in_a_store_that_only_spark_reads(spark, tmp_path):
+    for k in range(20):
+        (tmp_path / f"series_{k:06}.json").write_text(json.dumps({"sample_id": str(k), "original_data": {"time_series": [0.5, k]}, "windows": [{}]}))
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.series.link./in", f"file://{tmp_path}")
+    for split in ("train", "val"):
+        rows = [sorted((r.series_file, r.sample_id) for r in series.load_split(spark, folder, split).collect()) for folder in (str(tmp_path), "viewfs://series/in")]
+        assert rows[0] == rows[1] and len(rows[0]) == {"train": 19, "val": 1}[split]
+    assert series.load_records(spark, "viewfs://series/in", max_records=7).count() == 7
